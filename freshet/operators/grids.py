@@ -101,6 +101,12 @@ def zonal_mean_expanding(cells: DataFrame, polygons: DataFrame, max_distance: fl
     has cells.
     """
     pairs = match_polygons(valid_cells(cells, value), polygons, id_col=id_col, margin=max_distance, salts=salts)
+    return _with_every_polygon(polygons, expanding_mean_of_pairs(pairs, max_distance, steps, id_col, value), id_col)
+
+
+def expanding_mean_of_pairs(pairs: DataFrame, max_distance: float, steps: int = 5,
+                            id_col: str = "polygon_id", value: str = "value") -> DataFrame:
+    """The expanding-radius mean of (cell, polygon) pairs matched at the largest radius."""
     away = F.when(F.col("inside"), F.lit(0.0)).otherwise(F.sqrt("boundary_sq"))
     # Half a nanodegree forgives rounding at the ring limits.
     ring = F.size(F.filter(radii(max_distance, steps), lambda r: r + 5e-10 < away))
@@ -108,8 +114,7 @@ def zonal_mean_expanding(cells: DataFrame, polygons: DataFrame, max_distance: fl
                      .agg(F.avg(col(value)).alias("mean_value"), F.count(F.lit(1)).alias("n_cells")))
     best = F.min_by(F.struct("mean_value", "n_cells",
                              F.get(radii(max_distance, steps), F.col("_ring")).alias("radius")), F.col("_ring"))
-    means = per_ring.groupBy(col(id_col)).agg(best.alias("_m")).select(col(id_col), "_m.*")
-    return _with_every_polygon(polygons, means, id_col)
+    return per_ring.groupBy(col(id_col)).agg(best.alias("_m")).select(col(id_col), "_m.*")
 
 
 def spatial_mean_by_time(cells: DataFrame, id_col: str = "polygon_id", ts: str = "ts",

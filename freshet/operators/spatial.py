@@ -250,7 +250,7 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
             f"{tag}_own", _box_level(tag))
         box = {c: F.col(f"{tag}{c}") for c in _BOX}
         s = _size(F.col("_lvl"))
-        return (sized.withColumn("_lvl", F.explode(F.filter(levels, lambda v: v >= F.col(f"{tag}_own"))))
+        return (sized.withColumn("_lvl", F.explode(levels)).where(F.col("_lvl") >= F.col(f"{tag}_own"))
                      .withColumn("_bx", F.explode(F.sequence(_bucket(box["min_lon"], s), _bucket(box["max_lon"], s))))
                      .withColumn("_by", F.explode(F.sequence(_bucket(box["min_lat"], s), _bucket(box["max_lat"], s))))
                      .where(F.col(f"{tag}start") <= F.col(f"{tag}end"))

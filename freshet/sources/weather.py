@@ -55,6 +55,6 @@ def parse_wx_daily(rows: DataFrame) -> DataFrame:
 
 
 def read_wx_daily(spark: SparkSession, path) -> DataFrame:
-    """CSV with a header in any column order; all columns stay text until coerced."""
+    """CSV with a header; every file is checked against it, and all columns stay text until coerced."""
     return parse_wx_daily(spark.read.csv(path, header=True, quote='"', ignoreLeadingWhiteSpace=True,
                                          ignoreTrailingWhiteSpace=True, enforceSchema=False))
