@@ -54,7 +54,7 @@ edge AS (SELECT a.k, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
     FROM vertex a JOIN vertex b ON a.k = b.k AND b.i = (a.i + 1) % {len(OUTLINE)})"""
 
 CELLS_SQL = """cell AS (SELECT o_orderkey AS id, 37 + (o_orderkey % 397) / 1e2 AS lat, -109 + (o_orderkey % 691) / 1e2 AS lon,
-    CAST(o_orderdate AS DATE) AS ts, o_orderstatus AS grid_id, CASE WHEN o_totalprice < 20000 THEN NULL ELSE o_totalprice END AS value FROM orders)"""
+    CAST(o_orderdate AS DATE) AS ts, o_orderstatus AS grid_id, CASE WHEN o_totalprice < 20000 THEN NULL ELSE floor(o_totalprice) END AS value FROM orders)"""
 
 # Even-odd test of every cell against every ring, boundary points out, and the
 # squared distance to the boundary.
@@ -133,4 +133,4 @@ class Tables:
         return self.orders.select(
             F.col("o_orderkey").alias("id"), lat.alias("lat"), lon.alias("lon"), F.to_date("o_orderdate").alias("ts"),
             F.col("o_orderstatus").alias("grid_id"),
-            F.when(F.col("o_totalprice") >= 20000, F.col("o_totalprice")).alias("value"))
+            F.when(F.col("o_totalprice") >= 20000, F.floor("o_totalprice").cast("double")).alias("value"))

@@ -6,8 +6,11 @@ returns the positions to keep; everything else stays in Spark expressions.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.numeric import col, round_coord
@@ -15,6 +18,9 @@ from freshet.functions.rings import close_ring
 
 _MAX_HALVINGS = 40
 
+# Send these helpers along with the plan, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _distances(p: np.ndarray, a: int, b: int, to_segment: bool) -> np.ndarray:
     """Distance of the points strictly between positions a and b from their chord."""
@@ -110,7 +116,9 @@ def _kept_positions(choose, ring: Column, amount: Column) -> Column:
             None if x is None else choose(np.column_stack([x, y]).astype(float), float(t)).astype("int32")
             for x, y, t in zip(lons, lats, amounts)])
 
-    return positions(ring["lon"], ring["lat"], amount)
+    # Not deterministic only in name: it keeps the optimizer from copying the call
+    # into filters of its own, which would run the walk twice.
+    return positions.asNondeterministic()(ring["lon"], ring["lat"], amount)
 
 
 def _rdp(p: np.ndarray, epsilon: float) -> np.ndarray:
