@@ -41,6 +41,24 @@ def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, c in enumerate(cols)})
 
 
+def fill_and_standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``fill_mean`` over the whole table, then ``standardize``, from one look at the data.
+
+    Filling with the mean leaves the mean as it is and shrinks the variance by the
+    share of values that were there, so both steps need the same statistics.
+    """
+    stats = {"n": F.count(F.lit(1))}
+    for i, c in enumerate(cols):
+        stats[f"m{i}"], stats[f"s{i}"], stats[f"n{i}"] = F.avg(col(c)), F.stddev_pop(col(c)), F.count(col(c))
+    s = _single(df, stats)
+
+    def scaled(i: int, c: str) -> Column:
+        deviation = s[f"s{i}"] * F.sqrt(s[f"n{i}"] / s["n"])
+        return (F.coalesce(col(c), s[f"m{i}"]) - s[f"m{i}"]) / F.when(deviation == 0, F.lit(1.0)).otherwise(deviation)
+
+    return df.withColumns({c: scaled(i, c) for i, c in enumerate(cols)})
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).where(col(column).isNotNull()).distinct()
 

@@ -7,17 +7,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.functions.dates import lookback, year_fraction
+from freshet.functions.dates import lenient_date, lookback, year_fraction
 from freshet.functions.numeric import coerce_numeric
 from freshet.functions.text import blank_to_null
 from freshet.operators.filters import day, lookup_sites, parse_site_keys, require_columns
-from freshet.operators.flows import (
-    daily_extremes, drop_bad_date_sites, merge_weather_flow, one_sided_sites, select_readings,
-    sites_with_both, union_sites)
+from freshet.operators.flows import daily_extremes, merge_weather_flow, select_readings, union_sites
 from freshet.operators.joins import SALTS
 from freshet.operators.nearest import nearest_fit_station
-from freshet.operators.scaling import fill_mean, one_hot, standardize
+from freshet.operators.scaling import fill_and_standardize, fill_mean, one_hot
 from freshet.operators.series import smooth_temperatures
+from freshet.operators.staging import staged
 
 NUMERIC = ("tmin", "tmax", "min_flow", "max_flow")
 
@@ -35,47 +34,59 @@ class Sources:
     wx_daily: DataFrame     # noaa_station, date, tmin, tmax
 
 
-def weather_for_sites(sites: DataFrame, wx_daily: DataFrame, nearest: DataFrame, start, end,
-                      salts: int = SALTS) -> DataFrame:
-    """Daily temperatures of each site's station, keyed by the site.
+def weather_for_sites(sites: DataFrame, days: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Daily temperatures of each site's weather station, keyed by the site.
 
     Many sites can share one station; its days are spread by salt before they fan out.
     """
-    chosen = (sites.select("station_id", "site_id").join(nearest.select("station_id", "noaa_station"), "station_id")
-              .withColumnRenamed("site_id", "usgs_site_id")
+    chosen = (sites.select("station_id", "noaa_station", F.col("site_id").alias("usgs_site_id"))
               .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
-    days = (wx_daily.where(F.col("date").between(day(start), day(end)))
-            .withColumn("_salt", F.pmod(F.xxhash64("noaa_station", "date"), F.lit(salts))))
-    return days.join(chosen, ["noaa_station", "_salt"]).drop("_salt")
+    spread = days.withColumn("_salt", F.pmod(F.xxhash64("noaa_station", "date"), F.lit(salts)))
+    return spread.join(chosen, ["noaa_station", "_salt"]).drop("_salt")
 
 
 def build_dataset(sources: Sources, as_of, years: int = 7, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
-    """(combined, rejects) for all sites in one plan.
+    """(combined, rejects) for all sites.
 
     site -> coordinates -> nearest fit weather station -> its days, merged with the
     site's daily flow.  A site that cannot be completed does not stop the others;
     it is listed in ``rejects`` with the reason.
+
+    Three tables are staged, each far smaller than what it is made from: daily
+    flow (so the readings are scanned once), one status row per site, and the
+    merged days (so that filling does not merge twice).
     """
     start, end = lookback(day(as_of), years * 365)
     sites, unknown = parse_site_keys(sources.sites)
-    located = lookup_sites(sites, sources.coordinates, ["prefix", "site_id"])
-    nearest = nearest_fit_station(located, sources.wx_stations, sources.wx_meta, sources.wx_fields, start, end,
-                                  site_id="station_id", salts=salts)
-    wx = weather_for_sites(sites, coerce_numeric(sources.wx_daily, ["tmin", "tmax"]), nearest, start, end, salts)
+    sites = sites.distinct()
     readings = sources.readings.withColumnRenamed("station_id", "site_id")
     in_range = select_readings(readings, start, end, ["prefix", "site_id", "ts", "flow"])
     # Reduce to days before looking at the site list: a hot gauge shrinks first.
     keyed = in_range.withColumn("station_id", F.concat_ws(":", "prefix", "site_id"))
-    flow = daily_extremes(keyed).join(sites.select("station_id").distinct(), "station_id", "left_semi")
-    wx, flow = drop_bad_date_sites(wx, flow)
-    wx_kept, flow_kept = sites_with_both(wx, flow)
-    combined = merge_weather_flow(wx_kept, flow_kept).select(
-        "date", "station_id", "tmin", "tmax", "min_flow", "max_flow", "noaa_station", "usgs_site_id")
-    nothing = sites.select("station_id").distinct().join(
-        union_sites([wx.select("station_id"), flow.select("station_id")]).distinct(), "station_id", "left_anti")
-    rejects = union_sites([
-        unknown.select("station_id", F.lit("unknown prefix").alias("reason")),
-        one_sided_sites(wx, flow), nothing.withColumn("reason", F.lit("no data"))])
+    flow = staged(daily_extremes(keyed).join(sites.select("station_id"), "station_id", "left_semi"), "daily-flow")
+
+    wx_days = coerce_numeric(sources.wx_daily, ["tmin", "tmax"])
+    bad_wx = wx_days.where(lenient_date(F.col("date")).isNull()).select("noaa_station").distinct()
+    wx_days = wx_days.withColumn("date", lenient_date(F.col("date"))).where(F.col("date").between(start, end))
+    located = lookup_sites(sites, sources.coordinates, ["prefix", "site_id"])
+    nearest = nearest_fit_station(located, sources.wx_stations, sources.wx_meta, sources.wx_fields, start, end,
+                                  site_id="station_id", salts=salts).select("station_id", "noaa_station")
+    with_days = (nearest.join(wx_days.select("noaa_station").distinct(), "noaa_station", "left_semi")
+                        .join(bad_wx, "noaa_station", "left_anti"))
+    with_flow = flow.select("station_id", F.lit(True).alias("has_flow")).distinct()
+    status = staged(sites.select("station_id", "site_id").join(with_days, "station_id", "left")
+                         .join(with_flow, "station_id", "left"), "site-status")
+    has_wx, has_flow = F.col("noaa_station").isNotNull(), F.col("has_flow").isNotNull()
+
+    kept = status.where(has_wx & has_flow)
+    wx = weather_for_sites(kept, wx_days.select("noaa_station", "date", "tmin", "tmax"), salts)
+    merged = staged(merge_weather_flow(
+        wx, flow.join(kept.select("station_id"), "station_id", "left_semi"), fill=False), "merged-days")
+    combined = fill_mean(merged, list(NUMERIC), by="station_id").select(
+        "date", "station_id", *NUMERIC, "noaa_station", "usgs_site_id")
+    reason = F.when(has_wx, "no flow").when(has_flow, "no weather").otherwise("no data")
+    rejects = union_sites([unknown.select("station_id", F.lit("unknown prefix").alias("reason")),
+                           status.where(~(has_wx & has_flow)).select("station_id", reason.alias("reason"))])
     return combined, rejects
 
 
@@ -84,14 +95,15 @@ def normalize(df: DataFrame, window: int = 7, only_missing: bool = False, key: s
               keep_keys: bool = False) -> DataFrame:
     """Smooth, one-hot, coerce, fill, scale, year fraction, drop the date: in that order.
 
-    Smoothing runs within a station, scaling over all of them.  ``keep_keys``
-    keeps the station and the date for the windows that follow.
+    Smoothing runs within a station, scaling over all of them.  The smoothed rows
+    are staged, because the station list, the statistics and the result each read
+    them.  ``keep_keys`` keeps the station and the date for the windows that follow.
     """
     require_columns(df, [*NUMERIC, "date", key])
     smoothed = smooth_temperatures(coerce_numeric(df, ["tmin", "tmax"]), key, "date", window, only_missing)
-    hot = one_hot(blank_to_null(smoothed), key, "station", max_stations, station_values, drop=not keep_keys)
-    scaled = standardize(fill_mean(coerce_numeric(hot, NUMERIC), NUMERIC), NUMERIC)
-    out = scaled.withColumn("date_normalized", year_fraction(F.col("date")))
+    rows = staged(coerce_numeric(blank_to_null(smoothed), NUMERIC), "smoothed")
+    hot = one_hot(rows, key, "station", max_stations, station_values, drop=not keep_keys)
+    out = fill_and_standardize(hot, NUMERIC).withColumn("date_normalized", year_fraction(F.col("date")))
     return out if keep_keys else out.drop("date")
 
 

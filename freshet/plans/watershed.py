@@ -12,6 +12,7 @@ from freshet.operators.grids import cells_with_coords, clip_cells, expanding_mea
 from freshet.operators.joins import SALTS, lookup
 from freshet.operators.simplify import simplify_rings
 from freshet.operators.snow import swe_to_daily
+from freshet.operators.staging import staged
 from freshet.operators.spatial import granules_for_requests, huc_for_points, match_polygons
 
 
@@ -34,10 +35,14 @@ def simplified_hucs(polygons: DataFrame, level: int, tolerance: float = 0.005) -
 
 def _used(points: DataFrame, polygons: DataFrame, level: int, point_id: str, tolerance: float,
           salts: int) -> tuple[DataFrame, DataFrame]:
-    """(point -> polygon, the simplified polygons that hold a point)."""
-    found = huc_for_points(points, polygons, level, point_id=point_id, salts=salts)
+    """(point -> polygon, the simplified polygons that hold a point), both staged.
+
+    Placing the points and simplifying in Python are the dear parts; what follows
+    reads both results several times.
+    """
+    found = staged(huc_for_points(points, polygons, level, point_id=point_id, salts=salts), "placed-points")
     used = polygons.where(F.col("huc_level") == level).join(found.select("huc_id").distinct(), "huc_id", "left_semi")
-    return found, simplified_hucs(used, level, tolerance)
+    return found, staged(simplified_hucs(used, level, tolerance), "simplified-rings")
 
 
 def huc_boundary(points: DataFrame, polygons: DataFrame, level: int = 8, bounds: Sequence[float] | None = None,
