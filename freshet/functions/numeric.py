@@ -80,16 +80,6 @@ def is_point_on_line(x1: Column, y1: Column, x2: Column, y2: Column,
     return (x2 - x1) * (y1 - y) == (x1 - x) * (y2 - y1)
 
 
-def segment_distance_sq(x1: Column, y1: Column, x2: Column, y2: Column,
-                        x: Column, y: Column) -> Column:
-    """Squared distance of (x, y) from the segment between two points."""
-    dx, dy = x2 - x1, y2 - y1
-    length_sq = dx * dx + dy * dy
-    t = F.when(length_sq == 0, F.lit(0.0)).otherwise(
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / length_sq)))
-    return F.pow(x - (x1 + t * dx), 2) + F.pow(y - (y1 + t * dy), 2)
-
-
 def round_coord(c: Column, digits: int = 6) -> Column:
     """Round coordinates half-even, as coordinates are published."""
     return F.bround(c, digits)

@@ -68,8 +68,7 @@ def clip_cells(cells: DataFrame, polygons: DataFrame, all_touched: bool = False,
         return match_polygons(cells, polygons, id_col=id_col, salts=salts).drop("inside")
     if half is None:
         raise ValueError("all_touched needs the half width and height of a cell")
-    return match_polygons(cells, polygons, id_col=id_col, margin=max(half), salts=salts,
-                          touched_half=(F.lit(half[0]), F.lit(half[1]))).drop("inside", "boundary_sq")
+    return match_polygons(cells, polygons, id_col=id_col, salts=salts, touched_half=half).drop("inside")
 
 
 def cells_near_polygon(cells: DataFrame, polygons: DataFrame, distance: float,
@@ -107,9 +106,10 @@ def zonal_mean_expanding(cells: DataFrame, polygons: DataFrame, max_distance: fl
 def expanding_mean_of_pairs(pairs: DataFrame, max_distance: float, steps: int = 5,
                             id_col: str = "polygon_id", value: str = "value") -> DataFrame:
     """The expanding-radius mean of (cell, polygon) pairs matched at the largest radius."""
-    away = F.when(F.col("inside"), F.lit(0.0)).otherwise(F.sqrt("boundary_sq"))
-    # Half a nanodegree forgives rounding at the ring limits.
-    ring = F.size(F.filter(radii(max_distance, steps), lambda r: r + 5e-10 < away))
+    # Radii are evenly spaced, so the first that reaches the cell follows by
+    # division; half a nanodegree forgives rounding at the ring limits.
+    gap = max_distance / max(steps - 1, 1)
+    ring = F.greatest(F.lit(0), F.ceil((F.sqrt("away_sq") - 5e-10) / gap)).cast("int")
     per_ring = (pairs.withColumn("_ring", ring).groupBy(col(id_col), "_ring")
                      .agg(F.avg(col(value)).alias("mean_value"), F.count(F.lit(1)).alias("n_cells")))
     best = F.min_by(F.struct("mean_value", "n_cells",

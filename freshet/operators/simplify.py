@@ -17,38 +17,57 @@ from freshet.functions.numeric import col, round_coord
 from freshet.functions.rings import close_ring
 
 _MAX_HALVINGS = 40
+_SHORT, _FEW = 48, 400
 
 # Send these helpers along with the plan, so that workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _distances(p: np.ndarray, a: int, b: int, to_segment: bool) -> np.ndarray:
-    """Distance of the points strictly between positions a and b from their chord."""
-    start, chord, mid = p[a], p[b] - p[a], p[a + 1:b]
-    length = float(np.hypot(*chord))
-    if length == 0.0:
-        return np.hypot(*(mid - start).T) if to_segment else np.zeros(len(mid))
+def _farthest(p: np.ndarray, xs: list, ys: list, a: int, b: int, to_segment: bool) -> tuple[int, float]:
+    """Position strictly between a and b that is farthest from their chord, and how far."""
+    if b - a <= _SHORT:  # array calls cost more than a short loop
+        x0, y0 = xs[a], ys[a]
+        dx, dy = xs[b] - x0, ys[b] - y0
+        length_sq = dx * dx + dy * dy
+        at, best = a + 1, -1.0
+        for i in range(a + 1, b):
+            x, y = xs[i] - x0, ys[i] - y0
+            if to_segment:
+                t = min(max((x * dx + y * dy) / length_sq, 0.0), 1.0) if length_sq else 0.0
+                x, y = x - t * dx, y - t * dy
+                d = x * x + y * y
+            else:
+                d = abs(dx * y - dy * x)
+            if d > best:
+                at, best = i, d
+        return at, best ** 0.5 if to_segment else (best / length_sq ** 0.5 if length_sq else 0.0)
+    dx, dy = p[b] - p[a]
+    off = p[a + 1:b] - p[a]
+    x, y = off[:, 0], off[:, 1]
+    length_sq = dx * dx + dy * dy
     if to_segment:
-        t = np.clip((mid - start) @ chord / length ** 2, 0.0, 1.0)
-        return np.hypot(*(mid - start - t[:, None] * chord).T)
-    return np.abs(chord[0] * (mid[:, 1] - start[1]) - chord[1] * (mid[:, 0] - start[0])) / length
+        t = np.clip((x * dx + y * dy) / length_sq, 0.0, 1.0) if length_sq else 0.0
+        d = np.hypot(x - t * dx, y - t * dy)
+    else:
+        d = np.abs(dx * y - dy * x) / (length_sq ** 0.5 if length_sq else np.inf)
+    i = int(d.argmax())
+    return a + 1 + i, float(d[i])
 
 
 def keep_line(p: np.ndarray, epsilon: float, to_segment: bool = False) -> np.ndarray:
     """Positions that Ramer-Douglas-Peucker keeps of an open line."""
-    kept = np.zeros(len(p), dtype=bool)
-    kept[[0, -1]] = True
-    todo = [(0, len(p) - 1)]
+    xs, ys = p[:, 0].tolist(), p[:, 1].tolist()
+    kept = [0, len(xs) - 1]
+    todo = [(0, len(xs) - 1)]
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        d = _distances(p, a, b, to_segment)
-        i = int(d.argmax())
-        if d[i] > epsilon:
-            kept[a + 1 + i] = True
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    return np.flatnonzero(kept)
+        i, d = _farthest(p, xs, ys, a, b, to_segment)
+        if d > epsilon:
+            kept.append(i)
+            todo += [(a, i), (i, b)]
+    return np.array(sorted(set(kept)))
 
 
 def keep_ring(p: np.ndarray, epsilon: float, to_segment: bool = False) -> np.ndarray:
@@ -75,26 +94,26 @@ def self_intersects(p: np.ndarray) -> bool:
     """Do two non-adjacent segments of a closed ring touch?"""
     a, b = p[:-1], p[1:]
     n = len(a)
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.argsort(low[:, 0], kind="stable")
-    starts = low[order, 0]
 
-    def side(o, q, r):
+    def side(o: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
         return np.sign((q[..., 0] - o[..., 0]) * (r[..., 1] - o[..., 1])
                        - (q[..., 1] - o[..., 1]) * (r[..., 0] - o[..., 0]))
 
-    for at, i in enumerate(order):
-        others = order[at + 1:np.searchsorted(starts, high[i, 0], side="right")]
-        gap = np.abs(others - i)
-        others = others[(gap != 1) & (gap != n - 1)]
-        others = others[(low[others, 1] <= high[i, 1]) & (high[others, 1] >= low[i, 1])]
-        if len(others) == 0:
-            continue
-        s1, s2 = side(a[i], b[i], a[others]), side(a[i], b[i], b[others])
-        s3, s4 = side(a[others], b[others], a[i]), side(a[others], b[others], b[i])
-        if np.any((s1 * s2 <= 0) & (s3 * s4 <= 0)):
-            return True
-    return False
+    def any_touch(i: np.ndarray, j: np.ndarray) -> bool:
+        apart = (np.abs(i - j) > 1) & (np.abs(i - j) < n - 1)
+        i, j = i[apart], j[apart]
+        boxes = np.all((low[i] <= high[j]) & (low[j] <= high[i]), axis=1)
+        i, j = i[boxes], j[boxes]
+        return bool(np.any((side(a[i], b[i], a[j]) * side(a[i], b[i], b[j]) <= 0)
+                           & (side(a[j], b[j], a[i]) * side(a[j], b[j], b[i]) <= 0)))
+
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    if n <= _FEW:
+        return any_touch(*np.triu_indices(n, 2))
+    order = np.argsort(low[:, 0], kind="stable")  # sweep along x
+    ends = np.searchsorted(low[order, 0], high[order, 0], side="right")
+    return any(any_touch(np.full(end - at - 1, i), order[at + 1:end])
+               for at, (i, end) in enumerate(zip(order, ends)) if end > at + 1)
 
 
 def keep_simple_ring(p: np.ndarray, tolerance: float) -> np.ndarray:

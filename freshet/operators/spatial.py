@@ -18,8 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from freshet.functions.numeric import col, segment_distance_sq
-from freshet.functions.rings import close_ring, edge_meets_box, ring_bbox, ring_edges, touches
+from freshet.functions.numeric import col
+from freshet.functions.rings import close_ring, edge_meets_box, ring_bbox, ring_edges
 from freshet.functions.text import leading_letters
 from freshet.operators.joins import SALTS
 
@@ -28,7 +28,9 @@ _MIN_LEVEL, _MAX_LEVEL = -20, 8
 # coordinates do not line up with it.
 _AX, _AY = math.sqrt(2) - 1, math.sqrt(3) - 1
 HUC_LEVELS = (4, 6, 8)
-_EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+_BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
+_EDGES = ("array<struct<x1:double,y1:double,x2:double,y2:double,dx:double,dy:double,"
+          "slope:double,per_length_sq:double>>")
 
 
 def _size(level: Column) -> Column:
@@ -60,25 +62,33 @@ def _levels_in_use(df: DataFrame) -> Column:
 
 def ring_buckets(polygons: DataFrame, id_col: str = "polygon_id", ring_col: str = "ring",
                  margin: float = 0.0) -> DataFrame:
-    """(id, _lvl, _bx, _by, _anchor_in, _edges) for every bucket a polygon needs.
+    """(id, _lvl, _bx, _by, _anchor_in, _edges, _ups) for every bucket a polygon needs.
 
-    ``margin`` widens what counts as passing through a bucket, for searches
-    within a distance of the boundary.
+    ``_edges`` are the edges passing through, with what tests against them need
+    worked out once.  ``_ups`` are the heights at which edges cross the vertical
+    through the anchor.  ``margin`` widens what counts as passing through, for
+    searches within a distance of the boundary.
     """
     edges = (polygons.select(col(id_col), _polygon_level(col(ring_col), margin).alias("_lvl"),
                              F.explode(ring_edges(close_ring(col(ring_col)))).alias("e"))
                      .withColumn("_s", _size(F.col("_lvl"))))
     e, s = F.col("e"), F.col("_s")
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
 
     def span(a: Column, b: Column, grow: float) -> Column:
         return F.explode(F.sequence(_bucket(F.least(a, b) - grow, s), _bucket(F.greatest(a, b) + grow, s)))
 
     key = [col(id_col), F.col("_lvl"), F.col("_bx"), F.col("_by")]
+    anchor_x = (F.col("_bx") + F.lit(_AX)) * s
+    edge = F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"),
+                    dx.alias("dx"), dy.alias("dy"), F.coalesce(F.try_divide(dx, dy), F.lit(0.0)).alias("slope"),
+                    F.coalesce(F.try_divide(F.lit(1.0), dx * dx + dy * dy), F.lit(0.0)).alias("per_length_sq"))
+    up = F.when((e["x1"] > anchor_x) != (e["x2"] > anchor_x), e["y1"] + (anchor_x - e["x1"]) * F.try_divide(dy, dx))
     through = (edges.withColumn("_bx", span(e["x1"], e["x2"], margin))
                     .withColumn("_by", span(e["y1"], e["y2"], margin))
                     .where(edge_meets_box(e, F.col("_bx") * s, F.col("_by") * s, (F.col("_bx") + 1) * s,
                                           (F.col("_by") + 1) * s, slack=margin + s * 1e-9))
-                    .groupBy(*key).agg(F.collect_list(e).alias("_edges")))
+                    .groupBy(*key).agg(F.collect_list(edge).alias("_edges"), F.collect_list(up).alias("_ups")))
 
     # Anchors of a bucket row: the polygon's edges cut the row's anchor line at
     # some columns, and the anchors between an odd and an even cut are inside.
@@ -101,7 +111,8 @@ def ring_buckets(polygons: DataFrame, id_col: str = "polygon_id", ring_col: str
     return (through.join(inside, [id_col, "_lvl", "_bx", "_by"], "full")
                    .withColumns({
                        "_anchor_in": F.coalesce("_anchor_in", F.lit(False)),
-                       "_edges": F.coalesce("_edges", F.array().cast(_EDGES))}))
+                       "_edges": F.coalesce("_edges", F.array().cast(_EDGES)),
+                       "_ups": F.coalesce("_ups", F.array().cast("array<double>"))}))
 
 
 def _in_buckets(points: DataFrame, x: str, y: str, levels: Column) -> DataFrame:
@@ -121,54 +132,74 @@ def _salted_join(points: DataFrame, buckets: DataFrame, salts: int) -> DataFrame
     return points.join(buckets, keys).drop("_salt")
 
 
-def _point_state(x: Column, y: Column) -> tuple[Column, Column]:
-    """(inside by parity, exactly on an edge) of a point joined to its bucket."""
+def _point_state(x: Column, y: Column, margin: float) -> Column:
+    """``struct<inside, away_sq>`` of a point joined to its bucket.
+
+    The way from the anchor goes straight up or down to the point's height, then
+    across; edges it crosses flip the anchor's side.
+    """
     size = _size(F.col("_lvl"))
     ax, ay = (F.col("_bx") + F.lit(_AX)) * size, (F.col("_by") + F.lit(_AY)) * size
+    vertical = F.size(F.filter("_ups", lambda v: (v > ay) != (v > y)))
+
+    def crossed(e: Column) -> Column:
+        at = e["x1"] + (y - e["y1"]) * e["slope"]
+        return ((e["y1"] > y) != (e["y2"] > y)) & ((at > x) != (at > ax))
+
+    def on_edge(e: Column) -> Column:
+        return ((e["dx"] * (y - e["y1"]) == (x - e["x1"]) * e["dy"])
+                & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+                & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    def flips(e: Column) -> Column:
-        # From the anchor straight up or down to the point's height, then across.
-        y_at = e["y1"] + (ax - e["x1"]) * F.try_divide(e["y2"] - e["y1"], e["x2"] - e["x1"])
-        x_at = e["x1"] + (y - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])
-        up = F.when((e["x1"] > ax) != (e["x2"] > ax), (y_at > ay) != (y_at > y)).otherwise(F.lit(False))
-        across = F.when((e["y1"] > y) != (e["y2"] > y), (x_at > x) != (x_at > ax)).otherwise(F.lit(False))
-        return up != across
+    flips = vertical + F.size(F.filter("_edges", crossed))
+    inside = F.when(F.size("_edges") == 0, F.col("_anchor_in")).otherwise(
+        (F.col("_anchor_in") != (flips % 2 == 1)) & ~F.exists("_edges", on_edge))
+    if margin <= 0:
+        return F.struct(inside.alias("inside"))
 
-    parity = F.aggregate(F.col("_edges"), F.col("_anchor_in"), lambda acc, e: acc != flips(e))
-    return parity, F.exists(F.col("_edges"), lambda e: touches(e, x, y))
+    def distance_sq(e: Column) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
+            (x - e["x1"]) * e["dx"] + (y - e["y1"]) * e["dy"]) * e["per_length_sq"]))
+        return F.pow(x - e["x1"] - t * e["dx"], 2) + F.pow(y - e["y1"] - t * e["dy"], 2)
+
+    return F.struct(inside.alias("inside"), F.array_min(F.transform("_edges", distance_sq)).alias("_edge_sq"))
 
 
 def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                    id_col: str = "polygon_id", ring_col: str = "ring",
                    attrs: Sequence[str] = (), margin: float = 0.0, salts: int = SALTS,
-                   touched_half: tuple[Column, Column] | None = None) -> DataFrame:
-    """Every (point, polygon) pair that the polygon contains.
-
-    With ``margin`` also pairs within that distance of the boundary.  Adds
-    ``inside`` (strictly) and ``boundary_sq``, the squared distance to the
-    nearest edge in the bucket, NULL when no edge is near.  ``touched_half``
-    gives half the width and height of a cell: pairs whose cell an edge crosses
-    then count as well.
+                   touched_half: tuple[float, float] | None = None) -> DataFrame:
+    """Every (point, polygon) pair that the polygon contains; adds ``inside`` (strictly).
+
+    With ``margin`` also pairs within that distance of the boundary, and
+    ``away_sq``, the squared distance from the polygon: 0 inside.  With
+    ``touched_half``, half the width and height of a cell, instead also pairs
+    whose cell an edge crosses.
     """
-    buckets = ring_buckets(polygons, id_col, ring_col, margin)
-    if attrs:
-        buckets = buckets.join(polygons.select(col(id_col), *map(col, attrs)), id_col)
-    levels = _levels_in_use(polygons.select(_polygon_level(col(ring_col), margin).alias("_lvl")))
-    pairs = _salted_join(_in_buckets(points, x, y, levels), buckets, salts)
-    parity, on_edge = _point_state(col(x), col(y))
-    pairs = pairs.withColumns({"inside": parity & ~on_edge})
-    if margin > 0:
-        pairs = pairs.withColumn("boundary_sq", F.array_min(F.transform(
-            F.col("_edges"),
-            lambda e: segment_distance_sq(e["x1"], e["y1"], e["x2"], e["y2"], col(x), col(y)))))
-    keep = F.col("inside")
+    reach = max(touched_half) if touched_half is not None else margin
+    buckets = ring_buckets(polygons, id_col, ring_col, reach)
+    box = ring_bbox(col(ring_col))
+    extra = polygons.select(col(id_col), box.alias("_box"), *map(col, attrs))
+    levels = _levels_in_use(polygons.select(_polygon_level(col(ring_col), reach).alias("_lvl")))
+    pairs = _salted_join(_in_buckets(points, x, y, levels), buckets.join(extra, id_col), salts)
+    # Four comparisons spare most of the pairs that only share a bucket.
+    grown = [F.col(f"_box.{c}") for c in _BOX]
+    pairs = pairs.where((col(x) >= grown[0] - reach) & (col(x) <= grown[2] + reach)
+                        & (col(y) >= grown[1] - reach) & (col(y) <= grown[3] + reach))
+    measure = margin if touched_half is None else 0.0
+    # Through a one-element array, so that the walk over the edges runs once and
+    # is not repeated in the filter and in everything computed from it.
+    pairs = pairs.select("*", F.inline(F.array(_point_state(col(x), col(y), measure))))
     if touched_half is not None:
         hx, hy = touched_half
-        keep = keep | F.exists(F.col("_edges"), lambda e: edge_meets_box(
-            e, col(x) - hx, col(y) - hy, col(x) + hx, col(y) + hy))
+        pairs = pairs.where(F.col("inside") | F.exists(F.col("_edges"), lambda e: edge_meets_box(
+            e, col(x) - hx, col(y) - hy, col(x) + hx, col(y) + hy)))
     elif margin > 0:
-        keep = keep | (F.col("boundary_sq") <= F.lit(float(margin) ** 2))
-    return pairs.where(keep).drop("_lvl", "_bx", "_by", "_edges", "_anchor_in")
+        pairs = pairs.withColumn("away_sq", F.when(F.col("inside"), F.lit(0.0)).otherwise(F.col("_edge_sq"))).where(
+            F.col("away_sq") <= F.lit(float(margin) ** 2)).drop("_edge_sq")
+    else:
+        pairs = pairs.where("inside")
+    return pairs.drop("_lvl", "_bx", "_by", "_edges", "_ups", "_anchor_in", "_box")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, **kw) -> DataFrame:
@@ -178,7 +209,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, **kw) -> DataFram
 
 def within_distance(points: DataFrame, polygons: DataFrame, distance: float, **kw) -> DataFrame:
     """Pairs where the point is inside, or at most ``distance`` (degrees) from the boundary."""
-    return match_polygons(points, polygons, margin=distance, **kw).drop("inside", "boundary_sq")
+    return match_polygons(points, polygons, margin=distance, **kw).drop("inside", "away_sq")
 
 
 def assign_watershed(points: DataFrame, polygons: DataFrame, point_id: str = "point_id",
@@ -218,9 +249,6 @@ def polygon_bbox(polygons: DataFrame, id_col: str = "polygon_id", ring_col: str
     return polygons.select(col(id_col), ring_bbox(col(ring_col)).alias("b")).select(col(id_col), "b.*")
 
 
-_BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
-
-
 def points_in_boxes(points: DataFrame, boxes: DataFrame, id_col: str = "polygon_id", x: str = "lon",
                     y: str = "lat", margin: float = 0.0, salts: int = SALTS) -> DataFrame:
     """(point, box) pairs with the point in the closed box grown by ``margin``; keeps the box columns."""
