@@ -264,11 +264,11 @@ def _(t):
     return filters.by_country(t.wx_stations())
 
 
-@query("filter_wx_stations", """WITH wx AS (SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 'CAN00' WHEN 'BUILDING' THEN 'USX-' WHEN 'HOUSEHOLD' THEN 'USabc' ELSE 'USW00' END
+@query("filter_wx_stations", """WITH wx AS (SELECT CASE c_mktsegment WHEN 'MACHINERY' THEN 'CAN00' WHEN 'BUILDING' THEN 'USX-' WHEN 'HOUSEHOLD' THEN 'USabc' ELSE 'USW0000' END
   || CAST(c_custkey AS VARCHAR) AS wx_id FROM customer) SELECT wx_id FROM wx WHERE regexp_matches(wx_id, '^US[a-zA-Z0-9_]{6}[0-9]+')""")
 def _(t):
     head = F.when(F.col("c_mktsegment") == "MACHINERY", "CAN00").when(F.col("c_mktsegment") == "BUILDING", "USX-").when(
-        F.col("c_mktsegment") == "HOUSEHOLD", "USabc").otherwise("USW00")
+        F.col("c_mktsegment") == "HOUSEHOLD", "USabc").otherwise("USW0000")
     return filters.filter_wx_stations(t.customer.select(F.concat(head, F.col("c_custkey").cast("string")).alias("wx_id")))
 
 

@@ -150,13 +150,13 @@ def _(t):
     return t.rings().select("polygon_id", rings.ring_contains(ring, px, py).alias("inside"))
 
 
-# A ring per line item with integer corners; parts and suppliers decide its shape,
-# so corners repeat, directions differ and some rings are closed already.
-_CORNERS = (("l_partkey % 3", "l_suppkey % 3"), ("l_partkey % 3", "l_suppkey % 3 + l_linenumber % 2"), ("4 + l_suppkey % 2", "l_partkey % 5"),
-            ("4 + l_suppkey % 2", "l_partkey % 5"), ("2", "6 - l_linenumber"), ("l_partkey % 2", "l_suppkey % 3"))
-_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+# A ring per order with integer corners that its keys decide, so that corners
+# repeat, directions differ and some rings are closed already.
+_CORNERS = (("o_orderkey % 3", "o_custkey % 3"), ("o_orderkey % 3", "o_custkey % 3 + o_orderkey % 2"), ("4 + o_custkey % 2", "o_orderkey % 5"),
+            ("4 + o_custkey % 2", "o_orderkey % 5"), ("2", "6 - o_orderkey % 7"), ("o_orderkey % 2", "o_custkey % 3"))
+_KEYS = "o_orderkey"
 _CORNER_SQL = "corner AS (" + " UNION ALL ".join(
-    f"SELECT {_KEYS}, {i} AS i, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM lineitem" for i, (x, y) in enumerate(_CORNERS)) + ")"
+    f"SELECT {_KEYS}, {i} AS i, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM orders" for i, (x, y) in enumerate(_CORNERS)) + ")"
 _CLEAN_SQL = f"""WITH {_CORNER_SQL},
 d AS (SELECT * FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM corner WINDOW w AS (PARTITION BY {_KEYS} ORDER BY i)) WHERE i = 0 OR x <> px OR y <> py),
 c AS (SELECT {_KEYS}, i, x, y FROM d UNION ALL SELECT {_KEYS}, 99, arg_min(x, i), arg_min(y, i) FROM d GROUP BY ALL
@@ -167,7 +167,7 @@ o AS (SELECT {_KEYS}, sum((x2 - x) * (y2 + y)) AS s, max(seq) AS n FROM e GROUP
 
 def _corner_rings(t):
     points = [F.struct(F.expr(x).cast("double").alias("lon"), F.expr(y).cast("double").alias("lat")) for x, y in _CORNERS]
-    return t.lineitem.select(*_KEYS.split(", "), F.array(*points).alias("ring"))
+    return t.orders.select(_KEYS, F.array(*points).alias("ring"))
 
 
 @query("clean_rings", f"""{_CLEAN_SQL} SELECT {_KEYS}, string_agg(CAST(CAST(x AS INT) AS VARCHAR) || ' ' || CAST(CAST(y AS INT) AS VARCHAR), ',' ORDER BY CASE WHEN s < 0 THEN seq ELSE n - seq END) AS ring
@@ -180,7 +180,7 @@ def _(t):
 @query("ring_orientation", f"""{_CLEAN_SQL} SELECT {_KEYS}, s, s < 0 AS ccw FROM o""")
 def _(t):
     closed = _corner_rings(t).withColumn("ring", rings.close_ring(rings.drop_repeats(F.col("ring"))))
-    return closed.select(*_KEYS.split(", "), rings.orientation_sum(F.col("ring")).alias("s"), rings.is_ccw(F.col("ring")).alias("ccw"))
+    return closed.select(_KEYS, rings.orientation_sum(F.col("ring")).alias("s"), rings.is_ccw(F.col("ring")).alias("ccw"))
 
 
 @query("outer_ring_vertices", f"WITH {RINGS_SQL} SELECT k AS polygon_id, i AS seq, x AS lon, y AS lat FROM vertex")
@@ -305,9 +305,9 @@ def _granules(t):
         F.col("c_acctbal").alias("size_mb"))
 
 
-@query("granules_for", f"WITH {_GRANULE_SQL} SELECT granule_id FROM granule WHERE a <= DATE '2024-01-12' AND b >= DATE '2024-01-08' AND x0 <= -104.5 AND x1 >= -106.25 AND y0 <= 39.5 AND y1 >= 38")
+@query("granules_for", f"WITH {_GRANULE_SQL} SELECT granule_id FROM granule WHERE a <= DATE '2024-01-12' AND b >= DATE '2024-01-08' AND x0 <= -107.75 AND x1 >= -108.5 AND y0 <= 38.5 AND y1 >= 37.5")
 def _(t):
-    return filters.granules_for(_granules(t), (-106.25, 38, -104.5, 39.5), "2024-01-08", "2024-01-12").select("granule_id")
+    return filters.granules_for(_granules(t), (-108.5, 37.5, -107.75, 38.5), "2024-01-08", "2024-01-12").select("granule_id")
 
 
 _REQUESTS_SQL = f"""WITH {RINGS_SQL}, {_GRANULE_SQL}, req AS (SELECT k AS request_id, min(x) AS rx0, min(y) AS ry0, max(x) AS rx1, max(y) AS ry1,
