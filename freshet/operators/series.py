@@ -16,7 +16,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.numeric import col
-from freshet.operators.joins import lookup
 
 CHUNK_ROWS = 4096
 
@@ -25,6 +24,20 @@ def _names(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def _key(by: Sequence[str], part: Column) -> Column:
+    """One key of the series and a part of it.
+
+    As a struct it joins NULL to NULL with plain equality, so the join and the
+    windows on it share one shuffle.
+    """
+    return F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(by)], part.alias("part"))
+
+
+def _along(key: str, by: Sequence[str]):
+    """Window over the parts of a series, in order."""
+    return W.partitionBy(*[F.col(f"{key}.k{i}") for i in range(len(by))]).orderBy(f"{key}.part")
+
+
 def number_rows(df: DataFrame, by, order, out: str = "_n", span: str = "month") -> DataFrame:
     """0-based position of each row in its series, without a whole-series window.
 
@@ -32,26 +45,25 @@ def number_rows(df: DataFrame, by, order, out: str = "_n", span: str = "month")
     each series, and rows are numbered within their span on top of that.
     """
     by, order = _names(by), _names(order)
-    df = df.withColumn("_span", F.coalesce(
-        F.date_trunc(span, col(order[0]).cast("timestamp_ntz")).cast("date"), F.lit("0001-01-01").cast("date")))
-    before = W.partitionBy(*map(col, by)).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
-    starts = (df.groupBy(*map(col, by), "_span").count()
-                .withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-                .drop("count"))
-    # (series, span) groups are bounded by the calendar, so they need no salt,
-    # and the window below reuses the partitioning of this join.
-    placed = lookup(df, starts, by + ["_span"], how="inner", salts=1)
-    within = W.partitionBy(*map(col, by), "_span").orderBy(*map(col, order))
-    return (placed.withColumn(out, F.col("_start") + F.row_number().over(within) - 1)
-                  .drop("_span", "_start"))
-
-
-def with_halo(df: DataFrame, before: int, after: int, chunk_rows: int = CHUNK_ROWS,
+    start_of_span = F.coalesce(F.date_trunc(span, col(order[0]).cast("timestamp_ntz")).cast("date"),
+                               F.lit("0001-01-01").cast("date"))
+    keyed = df.withColumn("_key", _key(by, start_of_span))
+    before = _along("_key", by).rowsBetween(W.unboundedPreceding, -1)
+    starts = keyed.groupBy("_key").count().select(
+        "_key", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    # (series, span) groups are bounded by the calendar, so they need no salt.
+    within = W.partitionBy("_key").orderBy(*map(col, order))
+    return (keyed.join(starts, "_key").withColumn(out, F.col("_start") + F.row_number().over(within) - 1)
+                 .drop("_key", "_start"))
+
+
+def with_halo(df: DataFrame, by: Sequence[str], before: int, after: int, chunk_rows: int = CHUNK_ROWS,
               n: str = "_n") -> DataFrame:
     """Cut a numbered series into chunks that overlap by the rows frames need.
 
-    Adds ``_chunk`` and ``_own``; a row appears once as its chunk's own, and once
-    more in the chunk on either side when that chunk's frames reach it.
+    Adds ``_chunk``, the series and the chunk's number, and ``_own``; a row
+    appears once as its chunk's own, and once more in the chunk on either side
+    when that chunk's frames reach it.
     """
     if max(before, after) > chunk_rows:
         raise ValueError(f"frames of {before}/{after} rows do not fit chunks of {chunk_rows}")
@@ -61,19 +73,19 @@ def with_halo(df: DataFrame, before: int, after: int, chunk_rows: int = CHUNK_RO
         home,
         F.when((pos < after) & (home > 0), home - 1),
         F.when(pos >= chunk_rows - before, home + 1)))
-    return (df.withColumn("_chunk", F.explode(chunks))
-              .withColumn("_own", F.col("_chunk") == F.floor(F.col(n) / chunk_rows)))
+    return (df.withColumn("_c", F.explode(chunks))
+              .withColumns({"_chunk": _key(by, F.col("_c")), "_own": F.col("_c") == home}).drop("_c"))
 
 
-def _chunk_window(by: Sequence[str], n: str = "_n"):
-    return W.partitionBy(*map(col, by), "_chunk").orderBy(n)
+def _chunk_window(n: str = "_n"):
+    return W.partitionBy("_chunk").orderBy(n)
 
 
 def _roll(df: DataFrame, cols, window: int, by, chunk_rows: int, only_missing: bool) -> DataFrame:
     """Centred rolling mean of a numbered frame; keeps ``_n`` and ``_chunk``."""
     before, after = window // 2, window - 1 - window // 2
-    frame = _chunk_window(by).rowsBetween(-before, after)
-    cut = with_halo(df, before, after, chunk_rows)
+    frame = _chunk_window().rowsBetween(-before, after)
+    cut = with_halo(df, by, before, after, chunk_rows)
 
     def rolled(c: str) -> Column:
         mean = F.avg(col(c)).over(frame)
@@ -93,17 +105,17 @@ def _fill(df: DataFrame, cols, by, backward: bool, forward: bool) -> DataFrame:
         has = col(c).isNotNull()
         stats += [F.min_by(col(c), F.when(has, F.col("_n"))).alias(f"_first{i}"),
                   F.max_by(col(c), F.when(has, F.col("_n"))).alias(f"_last{i}")]
-    edges = df.groupBy(*map(col, by), "_chunk").agg(*stats)
-    series = W.partitionBy(*map(col, by)).orderBy("_chunk")
+    edges = df.groupBy("_chunk").agg(*stats)
+    series = _along("_chunk", by)
     later = series.rowsBetween(1, W.unboundedFollowing)
     earlier = series.rowsBetween(W.unboundedPreceding, -1)
     carried = edges.select(
-        *map(col, by), "_chunk",
+        "_chunk",
         *[F.first(f"_first{i}", True).over(later).alias(f"_next{i}") for i in range(len(cols))],
         *[F.last(f"_last{i}", True).over(earlier).alias(f"_prev{i}") for i in range(len(cols))])
-    df = lookup(df, carried, list(by) + ["_chunk"], how="inner", salts=1)
-    ahead = _chunk_window(by).rowsBetween(0, W.unboundedFollowing)
-    behind = _chunk_window(by).rowsBetween(W.unboundedPreceding, 0)
+    df = df.join(carried, "_chunk")
+    ahead = _chunk_window().rowsBetween(0, W.unboundedFollowing)
+    behind = _chunk_window().rowsBetween(W.unboundedPreceding, 0)
     out = {}
     for i, c in enumerate(cols):
         options = [col(c)]
@@ -116,8 +128,8 @@ def _fill(df: DataFrame, cols, by, backward: bool, forward: bool) -> DataFrame:
     return df.withColumns(out).drop(*spare)
 
 
-def _chunked(df: DataFrame, chunk_rows: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col("_n") / chunk_rows))
+def _chunked(df: DataFrame, by: Sequence[str], chunk_rows: int) -> DataFrame:
+    return df.withColumn("_chunk", _key(by, F.floor(F.col("_n") / chunk_rows)))
 
 
 def centered_rolling_mean(df: DataFrame, cols, by, order, window: int = 7,
@@ -135,14 +147,14 @@ def centered_rolling_mean(df: DataFrame, cols, by, order, window: int = 7,
 def backward_fill(df: DataFrame, cols, by, order, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Replace NULLs by the next value of the series."""
     by = _names(by)
-    numbered = _chunked(number_rows(df, by, order), chunk_rows)
+    numbered = _chunked(number_rows(df, by, order), by, chunk_rows)
     return _fill(numbered, _names(cols), by, True, False).drop("_n", "_chunk")
 
 
 def forward_fill(df: DataFrame, cols, by, order, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Replace NULLs by the previous value of the series."""
     by = _names(by)
-    numbered = _chunked(number_rows(df, by, order), chunk_rows)
+    numbered = _chunked(number_rows(df, by, order), by, chunk_rows)
     return _fill(numbered, _names(cols), by, False, True).drop("_n", "_chunk")
 
 
@@ -182,17 +194,17 @@ def sliding_windows(df: DataFrame, by="station_id", order="date", history: int =
     by, order = _names(by), _names(order)
     seen, total = history + forecast, history + forecast + horizon
     chunk_rows = max(chunk_rows, total)
-    cut = with_halo(number_rows(df, by, order), 0, total - 1, chunk_rows)
+    cut = with_halo(number_rows(df, by, order), by, 0, total - 1, chunk_rows)
     row = F.struct(F.col("_n"), col(order[0]).alias("day"),
                    F.array(*[col(c).cast("double") for c in features]).alias("x"),
                    F.array(*[col(c).cast("double") for c in targets]).alias("y"))
     # At most chunk_rows + total - 1 rows per group.
-    pieces = (cut.groupBy(*map(col, by), "_chunk")
+    pieces = (cut.groupBy("_chunk")
                  .agg(F.sort_array(F.collect_list(row)).alias("_rows"),
                       F.count_if(F.col("_own")).alias("_own"))
                  .withColumn("_m", F.least(F.col("_own"), F.size("_rows") - F.lit(total - 1)))
                  .where("_m >= 1")
-                 .select(*map(col, by), "_m", F.col("_rows.day").alias("_days"),
+                 .select(*[F.col(f"_chunk.k{i}").alias(c) for i, c in enumerate(by)], "_m", F.col("_rows.day").alias("_days"),
                          F.col("_rows.x").alias("_xs"), F.col("_rows.y").alias("_ys")))
     windows = F.transform(
         F.sequence(F.lit(1).cast("long"), F.col("_m")),
