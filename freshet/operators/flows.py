@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from freshet.functions.dates import lenient_date
 from freshet.functions.numeric import col
 from freshet.operators.filters import require_columns
+from freshet.operators.joins import lookup
 from freshet.operators.scaling import fill_mean
 
 VALUE_COLUMNS = ("tmax", "tmin", "min_flow", "max_flow")
@@ -44,13 +45,13 @@ def drop_bad_stations(readings: DataFrame, station: str = "station_id",
     """Strict mode: a station with any bad record loses all of its records."""
     bad = bad if bad is not None else (F.col("ts").isNull() | F.col("flow").isNull())
     marked = readings.where(F.coalesce(bad, F.lit(True))).select(col(station)).distinct()
-    return readings.join(marked, station, "left_anti")
+    return lookup(readings, marked, [station], how="left_anti")
 
 
 def sites_with_both(wx: DataFrame, flow: DataFrame, key: str = "station_id") -> tuple[DataFrame, DataFrame]:
     """Keep sites that have rows on both sides."""
-    return (wx.join(flow.select(col(key)).distinct(), key, "left_semi"),
-            flow.join(wx.select(col(key)).distinct(), key, "left_semi"))
+    return (lookup(wx, flow.select(col(key)).distinct(), [key], how="left_semi"),
+            lookup(flow, wx.select(col(key)).distinct(), [key], how="left_semi"))
 
 
 def one_sided_sites(wx: DataFrame, flow: DataFrame, key: str = "station_id") -> DataFrame:
@@ -72,7 +73,7 @@ def drop_bad_date_sites(wx: DataFrame, flow: DataFrame, key: str = "station_id",
     require_columns(flow, [date])
     bad = (wx.where(lenient_date(col(date)).isNull()).select(col(key))
            .unionByName(flow.where(lenient_date(col(date)).isNull()).select(col(key))).distinct())
-    return tuple(side.join(bad, key, "left_anti").withColumn(date, lenient_date(col(date)))
+    return tuple(lookup(side, bad, [key], how="left_anti").withColumn(date, lenient_date(col(date)))
                  for side in (wx, flow))
 
 

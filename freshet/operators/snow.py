@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.functions.numeric import col
 from freshet.functions.text import is_digits
 from freshet.operators.filters import date_range
+from freshet.operators.joins import lookup
 
 
 def swe_to_daily(wide: DataFrame, start, end, keys: tuple[str, ...] = ("basin",)) -> DataFrame:
@@ -29,5 +30,5 @@ def year_values(wide: DataFrame, first: int, last: int, out: str = "years") -> D
 def snow_for_huc(stations: DataFrame, daily: DataFrame, huc: str, start=None, end=None) -> DataFrame:
     """Daily snow of the stations in a watershed (by the start of their HUC code)."""
     inside = stations.where(F.startswith(F.col("huc"), F.lit(huc))).select("triplet").distinct()
-    out = daily.join(inside, "triplet", "left_semi")
+    out = lookup(daily, inside, ["triplet"], how="left_semi")
     return out if start is None else date_range(out, start, end)

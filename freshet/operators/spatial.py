@@ -121,9 +121,9 @@ def _in_buckets(points: DataFrame, x: str, y: str, levels: Column) -> DataFrame:
                   .withColumns({"_bx": _bucket(col(x), size), "_by": _bucket(col(y), size)}))
 
 
-def _salted_join(points: DataFrame, buckets: DataFrame, salts: int) -> DataFrame:
+def _salted_join(points: DataFrame, buckets: DataFrame, salts: int, also: Sequence[str] = ()) -> DataFrame:
     """Inner equi-join on the bucket, with hot buckets cut into ``salts`` pieces."""
-    keys = ["_lvl", "_bx", "_by"]
+    keys = ["_lvl", "_bx", "_by", *also]
     if salts > 1:
         points = points.withColumn("_salt", F.pmod(F.xxhash64(*map(col, points.columns)), F.lit(salts)))
         buckets = buckets.withColumn("_salt", F.explode(
@@ -168,20 +168,27 @@ def _point_state(x: Column, y: Column, margin: float) -> Column:
 def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                    id_col: str = "polygon_id", ring_col: str = "ring",
                    attrs: Sequence[str] = (), margin: float = 0.0, salts: int = SALTS,
-                   touched_half: tuple[float, float] | None = None) -> DataFrame:
+                   touched_half: tuple[float, float] | None = None,
+                   same: tuple[str, str] | None = None) -> DataFrame:
     """Every (point, polygon) pair that the polygon contains; adds ``inside`` (strictly).
 
     With ``margin`` also pairs within that distance of the boundary, and
     ``away_sq``, the squared distance from the polygon: 0 inside.  With
     ``touched_half``, half the width and height of a cell, instead also pairs
-    whose cell an edge crosses.
+    whose cell an edge crosses.  ``same`` names a point column and a polygon
+    column that must be equal too; they become part of the join key.
     """
     reach = max(touched_half) if touched_half is not None else margin
     buckets = ring_buckets(polygons, id_col, ring_col, reach)
     box = ring_bbox(col(ring_col))
     extra = polygons.select(col(id_col), box.alias("_box"), *map(col, attrs))
     levels = _levels_in_use(polygons.select(_polygon_level(col(ring_col), reach).alias("_lvl")))
-    pairs = _salted_join(_in_buckets(points, x, y, levels), buckets.join(extra, id_col), salts)
+    placed, kept, also = _in_buckets(points, x, y, levels), buckets.join(extra, id_col), []
+    if same is not None:
+        also = ["_same"]
+        placed = placed.withColumn("_same", col(same[0]))
+        kept = kept.join(polygons.select(col(id_col), col(same[1]).alias("_same")), id_col)
+    pairs = _salted_join(placed, kept, salts, also).drop(*also)
     # Four comparisons spare most of the pairs that only share a bucket.
     grown = [F.col(f"_box.{c}") for c in _BOX]
     pairs = pairs.where((col(x) >= grown[0] - reach) & (col(x) <= grown[2] + reach)

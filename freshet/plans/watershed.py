@@ -65,23 +65,19 @@ def huc_soil_moisture(points: DataFrame, polygons: DataFrame, granules: DataFram
     found, rings = _used(points, polygons, level, point_id, tolerance, salts)
     boxed = rings.select("polygon_id", "ring", ring_bbox(F.col("ring")).alias("b"))
     requests = boxed.select(F.col("polygon_id").alias("request_id"), day(start).alias("start"), day(end).alias("end"), "b.*")
-    chosen = smallest_granule(granules_for_requests(requests, granules, salts=salts)).select(
-        F.col("request_id").alias("polygon_id"), F.col("granule_id"))
-    # A polygon only sees the cells of its own granule.
-    usable = cells.join(chosen.select(F.col("granule_id").alias("grid_id")).distinct(), "grid_id", "left_semi")
-    means = _granule_means(usable, boxed.select("polygon_id", "ring").join(chosen, "polygon_id"), max_distance, salts)
+    chosen = staged(smallest_granule(granules_for_requests(requests, granules, salts=salts)).select(
+        F.col("request_id").alias("polygon_id"), F.col("granule_id")), "chosen-granules")
+    # Most granules are nobody's choice: drop their cells before the spatial join, in
+    # which the granule is part of the key, so a polygon only meets cells of its own.
+    usable = lookup(valid_cells(cells), chosen.select(F.col("granule_id").alias("grid_id")).distinct(), ["grid_id"],
+                    how="left_semi", salts=salts)
+    wanted = boxed.select("polygon_id", "ring").join(chosen, "polygon_id")
+    pairs = match_polygons(usable, wanted, margin=max_distance, salts=salts, same=("grid_id", "granule_id"))
+    means = chosen.join(expanding_mean_of_pairs(pairs, max_distance), "polygon_id", "left")
     per_huc = means.withColumnRenamed("polygon_id", "huc_id")
     return lookup(found, per_huc, ["huc_id"], salts=salts)
 
 
-def _granule_means(cells: DataFrame, rings: DataFrame, max_distance: float, salts: int) -> DataFrame:
-    """Expanding-radius means of each ring over the cells of its granule."""
-    pairs = match_polygons(valid_cells(cells), rings, id_col="polygon_id", attrs=("granule_id",),
-                           margin=max_distance, salts=salts)
-    means = expanding_mean_of_pairs(pairs.where(F.col("granule_id") == F.col("grid_id")), max_distance)
-    return rings.select("polygon_id", "granule_id").join(means, "polygon_id", "left")
-
-
 def huc_drought_cells(points: DataFrame, polygons: DataFrame, cells: DataFrame, transform, level: int = 8,
                       tolerance: float = 0.005, point_id: str = "point_id", salts: int = SALTS) -> DataFrame:
     """Drought-index cells in the watersheds that hold a point: (polygon_id, latitude, longitude, value)."""
