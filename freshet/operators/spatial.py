@@ -152,7 +152,10 @@ def _point_state(x: Column, y: Column, margin: float) -> Column:
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
     flips = vertical + F.size(F.filter("_edges", crossed))
-    inside = F.when(F.size("_edges") == 0, F.col("_anchor_in")).otherwise(
+    # Outside the polygon's own box there is nothing to walk.
+    box = F.col("_box")
+    in_box = (x >= box["min_lon"]) & (x <= box["max_lon"]) & (y >= box["min_lat"]) & (y <= box["max_lat"])
+    inside = F.when(~in_box, F.lit(False)).when(F.size("_edges") == 0, F.col("_anchor_in")).otherwise(
         (F.col("_anchor_in") != (flips % 2 == 1)) & ~F.exists("_edges", on_edge))
     if margin <= 0:
         return F.struct(inside.alias("inside"))
