@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_format, secret_scan
+from freshet.llm import chat_format, decontaminate, quality_ratio, secret_scan
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -41,3 +41,27 @@ def op1(spark, folder):
 def op9(spark, folder):
     """Secrets in every text of the documents."""
     return secret_scan.summary(secret_scan.scan_secrets(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+@query("op2_likelihood_ratio")
+def op2(spark, folder):
+    """Documents that the texts labelled good explain about as well as the corpus does."""
+    trusted = table(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    return quality_ratio.score_documents(table(spark, folder, "documents"), trusted)
+
+
+@query("op3_positional_index", """
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS t FROM benchmark),
+win AS (SELECT DISTINCT item_id, t[i:i + 9] AS w, len(t[i:i + 9]) AS n
+    FROM (SELECT item_id, t, unnest(generate_series(1, greatest(len(t) - 9, 1))) AS i FROM bw WHERE len(t) > 0)),
+occ AS (SELECT r, i, n, item_id FROM
+    (SELECT r, i, l.n, t[i:i + l.n - 1] AS w FROM (SELECT r, t, unnest(generate_series(1, len(t))) AS i FROM dw), (SELECT DISTINCT n FROM win) l
+     WHERE i + l.n - 1 <= len(t)) d JOIN win USING (n, w)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT r, i, n FROM occ)) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM occ) GROUP BY r)
+SELECT doc_id, len(t) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)""")
+def op3(spark, folder):
+    """Benchmark passages in all documents."""
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("near")
