@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from freshet.llm.base import bind, blank_words
 
 #: Buckets of the n-gram hash: the size of both multinomials, whatever the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -103,7 +103,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, n_max: int = 2, buckets:
         - F.log((F.col("raw") + smoothing) / (F.col("all_raw") + pad))).alias("weight"))
 
 
-def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = -0.25, n_max: int = 2,
+def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = -0.13, n_max: int = 2,
                     buckets: int = BUCKETS) -> DataFrame:
     """One row per document: its base signals, ``score`` and ``kept``.
 
