@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
+def shipped_by_value(module: str) -> None:
+    """Send the module's functions to tasks with the plan, so that executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     plain = F.length(text) == F.octet_length(text)

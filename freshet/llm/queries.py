@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_format, decontaminate, quality_ratio, secret_scan
+from freshet.llm import chat_format, decontaminate, minhash_dedup, quality_ratio, secret_scan
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -65,3 +65,18 @@ SELECT doc_id, len(t) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 def op3(spark, folder):
     """Benchmark passages in all documents."""
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("near")
+
+
+@query("op5_bbit_minhash", """
+WITH RECURSIVE w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, t[i:i + 3] AS g FROM (SELECT doc_id, t, unnest(generate_series(1, greatest(len(t) - 3, 1))) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r(node, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node WHERE r.low < e.b),
+c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+    FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
+def op5(spark, folder):
+    """Near copies by 4-word shingles over all documents."""
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), n=4)
