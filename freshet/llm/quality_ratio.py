@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.llm.base import bind, blank_words
@@ -23,21 +25,18 @@ def _windows(h: Column, n: int) -> Column:
                        lambda x, i: F.xxhash64(x, *[h[i + k] for k in range(1, n)]))
 
 
-def gram_buckets(words: Column, n_max: int = 2, buckets: int = BUCKETS) -> Column:
-    """The bucket of every n-gram of 1 to ``n_max`` words, with repeats."""
-    def grams(h):
-        parts = [F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))]
-        for n in range(2, n_max + 1):
-            parts.append(F.transform(_windows(h, n), lambda x: F.pmod(x, F.lit(buckets)).cast("int")))
-        return F.concat(*parts)
-    return bind(_word_hashes(words), grams)
+def gram_buckets(hashes: Column, n_max: int = 2, buckets: int = BUCKETS) -> Column:
+    """The bucket of every n-gram of 1 to ``n_max`` words, with repeats, from the words' hashes."""
+    parts = [hashes] + [_windows(hashes, n) for n in range(2, n_max + 1)]
+    return F.transform(F.concat(*parts), lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
+def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     """Words inside windows of ``window`` words that stand in the text twice or more, every standing counted.
 
-    Windows are told apart by a 64-bit hash.  Equal hashes meet by sorting, so a
-    text costs n log n; texts without a repeated window skip that.
+    Takes the words' hashes.  Windows are told apart by a 64-bit hash.  Equal
+    hashes meet by sorting, so a text costs n log n; texts without a repeated
+    window skip that.
     """
     def covered(hashes):
         by_hash = F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -57,7 +56,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
             bind(bind(by_hash, starts), total))
 
-    return bind(bind(_word_hashes(words), lambda h: _windows(h, window)), covered).cast("long")
+    return bind(_windows(hashes, window), covered).cast("long")
 
 
 def _near(s: Column, x: Column, j: Column) -> Column:
@@ -71,61 +70,71 @@ def duplicate_lines(text: Column) -> Column:
     return bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def base_signals(docs: DataFrame) -> DataFrame:
-    """Each document with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and ``base_failed``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = blank_words(text)
-    per_words = bind(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
-    out = docs.withColumn("_w", per_words).withColumns({
-        "n_words": F.col("_w.n"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": duplicate_lines(text),
-        "n_repeat_words": F.col("_w.r")}).drop("_w")
-    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-
-
-def bucket_weights(docs: DataFrame, trusted: DataFrame, n_max: int = 2, buckets: int = BUCKETS, smoothing: float = 1.0) -> DataFrame:
-    """(bucket, weight): the log ratio of a bucket's probability in the trusted and in all documents.
-
-    ``trusted`` holds the doc_ids of the target.  Both multinomials are counted
-    over every document of theirs and smoothed by adding ``smoothing`` to each
-    bucket.  At most ``buckets`` rows; buckets that no document has are left out.
+def _text_signals(text: Column) -> dict[str, Column]:
+    return {"word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_dup_lines": duplicate_lines(text)}
+
+
+def bucket_counts(docs: DataFrame, trusted: DataFrame, n_max: int = 2, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, target): n-grams in all documents, and in those whose doc_id ``trusted`` has.
+
+    Buckets without any n-gram are left out, so these are at most ``buckets``
+    rows.  Texts are shuffled once, to meet the trusted ids; after that only one
+    row per bucket and task moves.
     """
     ids = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("_t", F.lit(1))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left")
-    grams = marked.select(F.col("_t"), F.explode(gram_buckets(blank_words(F.col("text")), n_max, buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
-    total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    pad = smoothing * buckets
-    return counts.join(F.broadcast(total)).select("bucket", (
-        F.log((F.col("target") + smoothing) / (F.col("all_target") + pad))
-        - F.log((F.col("raw") + smoothing) / (F.col("all_raw") + pad))).alias("weight"))
+    marked = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    hashes = _word_hashes(blank_words(F.col("text")))
+    grams = marked.select("_t", F.explode(bind(hashes, lambda h: gram_buckets(h, n_max, buckets))).alias("bucket"))
+    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
+
+
+def bucket_weights(counts: list, buckets: int = BUCKETS, smoothing: float = 1.0) -> list[float]:
+    """For every bucket the log ratio of its probability in the trusted and in all documents.
+
+    Both multinomials are smoothed by adding ``smoothing`` to each bucket.
+    """
+    raw, target = [smoothing] * buckets, [smoothing] * buckets
+    for row in counts:
+        raw[row["bucket"]] += row["raw"]
+        target[row["bucket"]] += row["target"]
+    shift = math.log(sum(raw)) - math.log(sum(target))
+    return [math.log(t) - math.log(r) + shift for r, t in zip(raw, target)]
 
 
 def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = -0.13, n_max: int = 2,
                     buckets: int = BUCKETS) -> DataFrame:
-    """One row per document: its base signals, ``score`` and ``kept``.
-
-    ``score`` is the mean weight of the document's n-grams (:func:`bucket_weights`),
-    that is the log-likelihood ratio between the trusted and the raw multinomial
-    over its length.  A document is kept when it passes the base rules and its
-    score is ``threshold`` or more: a document that trusted texts explain about
-    as well as the corpus does scores near 0.  A document without words scores
-    NULL and fails the base rules; without any trusted text all scores tie at
-    values that say nothing, so then only the base rules decide.
-
-    Rows are told apart by their place, so repeated or NULL doc_ids each get
-    their own row; NULL texts have no words.  Whole texts and all documents are
-    counted.  The weights are at most ``buckets`` rows, so they are broadcast;
-    texts are not shuffled, only one row per document and one per bucket and task.
+    """Each document's ``doc_id``, base signals, ``score`` and ``kept``.
+
+    ``score`` is the mean weight of the document's n-grams, that is the
+    log-likelihood ratio between the trusted and the raw multinomial over its
+    length.  A document is kept when it passes the base rules and its score is
+    ``threshold`` or more: one that trusted texts explain about as well as the
+    corpus does scores near 0.  A document without words scores NULL and fails
+    the base rules.  Where nothing is trusted, the scores say nothing and only
+    the base rules decide.
+
+    Every row is judged by its own text, so repeated or NULL doc_ids each get
+    their row (an n-gram counts for the target if its row's doc_id is trusted).
+    NULL texts have no words.  Whole texts and all documents are counted.  The
+    weights, ``buckets`` numbers whatever the corpus, come to the driver and go
+    into the plan as a constant; scoring shuffles nothing.
     """
-    weights = bucket_weights(docs, trusted, n_max, buckets)
-    signals = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = base_signals(docs.select("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())
-    grams = rows.select("_row", "doc_id", *signals, F.explode_outer(gram_buckets(blank_words(F.col("text")), n_max, buckets)).alias("bucket"))
-    scored = (grams.join(F.broadcast(weights), "bucket", "left").groupBy("_row", "doc_id", *signals)
-              .agg(F.avg("weight").alias("score")).drop("_row"))
-    any_trusted = trusted.filter("doc_id IS NOT NULL").select(F.lit(True).alias("_any")).limit(1).agg(F.count("_any").alias("_any"))
-    return scored.join(F.broadcast(any_trusted)).withColumn(
-        "kept", ~F.col("base_failed") & ((F.col("_any") == 0) | (F.col("score") >= threshold))).drop("_any")
+    counts = bucket_counts(docs, trusted, n_max, buckets).collect()
+    weights = bucket_weights(counts, buckets)
+    any_trusted = any(row["target"] for row in counts)
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def judged(h):
+        total = F.aggregate(gram_buckets(h, n_max, buckets), F.lit(0.0), lambda a, b: a + table[b])
+        grams = sum((F.greatest(F.size(h) - k, F.lit(0)) for k in range(1, n_max)), F.size(h))
+        return F.struct(F.size(h).cast("long").alias("n"), repeated_words(h).alias("r"), F.try_divide(total, grams).alias("score"))
+
+    out = docs.select("doc_id", "text", bind(_word_hashes(blank_words(text)), judged).alias("_w")).select(
+        "doc_id", F.col("_w.n").alias("n_words"), *[c.alias(k) for k, c in _text_signals(text).items()],
+        F.col("_w.r").alias("n_repeat_words"), F.when(F.col("_w.n") > 0, F.col("_w.score")).alias("score"))
+    out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    clean = F.coalesce(F.col("score") >= threshold, F.lit(False)) if any_trusted else F.lit(True)
+    return out.withColumn("kept", ~F.col("base_failed") & clean)
