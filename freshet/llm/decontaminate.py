@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from freshet.llm.base import ascii_lower, bind, stored
+from freshet.llm.base import ascii_lower, checkpointed, stored
 
-_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Most terms whose set is sent to every executor (8 bytes each); beyond it the join shuffles.
-BROADCAST_TERMS = 500_000
+_GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Most rows of a narrow table that are sent to every executor, 30 bytes each; beyond it the join shuffles.
+SENT_ROWS = 500_000
+#: Stands in the index behind a document's last word, so its place is the number of words.
+END = -6148914691236517206
 #: Rarest terms whose posting lists are intersected before the words themselves are compared.
 RAREST = 3
 
 
 def terms_of(text: Column) -> Column:
     """The words of a text after lower-casing A-Z, as 64-bit hashes; none for NULL."""
-    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAPS), "")
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
@@ -33,125 +35,125 @@ def test_windows(benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataF
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The postings (term, doc_id, pos) of the test vocabulary in all documents, stored.
+    """The index (term, row, doc_id, pos), stored: postings of the test vocabulary in all documents, and document ends.
 
     A posting of a term that no test has can take part in no match, so only the
-    vocabulary's are kept.  The index lies in segments, one for each task that
-    read documents, so building it shuffles nothing.
+    vocabulary's are kept.  ``row`` tells documents apart.  The index lies in
+    segments, one for each task that read documents, so building it shuffles
+    nothing.
     """
-    postings = docs.select("doc_id", F.posexplode(terms_of(F.col("text"))).alias("pos", "term"))
-    return stored(_only_terms(postings, vocabulary).select("term", "doc_id", "pos"), "postings")
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    terms = F.concat(terms_of(F.col("text")), F.array(F.lit(END)))
+    postings = numbered.select("doc_id", "row", F.posexplode(terms).alias("pos", "term"))
+    wanted = vocabulary.union(vocabulary.sparkSession.range(1).select(F.lit(END).alias("term")))
+    return stored(_among(postings, wanted, "term").select("term", "row", "doc_id", "pos"), "postings")
 
 
-def _only_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+def _among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is among the keys; few keys are sent to every task, many meet the rows in a shuffle."""
+    return df.join(_sized(keys), column, "left_semi")
 
 
-def rank_terms(windows: DataFrame, index: DataFrame) -> DataFrame:
-    """(window, rank, offset, term): each window's places from the rarest term on; windows with an absent term are left out."""
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+def _sized(table: DataFrame) -> DataFrame:
+    few = table.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    return F.broadcast(table) if few else table
+
+
+def rank_terms(windows: DataFrame, postings: DataFrame) -> DataFrame:
+    """(window, size, rank, offset, term): each window's places from the rarest term on; windows with an absent term are left out."""
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     places = windows.select("window", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    known = places.join(counts, "term")
     by_window = W.partitionBy("window")
-    return (known.withColumn("_there", F.count(F.lit(1)).over(by_window)).filter("_there = size")
+    return (places.join(counts, "term").withColumn("_there", F.count(F.lit(1)).over(by_window)).filter("_there = size")
             .withColumn("rank", F.row_number().over(by_window.orderBy("n", "offset")))
             .select("window", "size", "rank", "offset", "term"))
 
 
-def intersect(index: DataFrame, ranked: DataFrame, slop: int = 0) -> DataFrame:
-    """(window, doc_id, start, gap): where the rarest terms of a window stand as the window has them.
+def intersect(postings: DataFrame, ranked: DataFrame, slop: int = 0) -> DataFrame:
+    """(window, row, start, gap): where the rarest terms of a window stand as the window has them.
 
     The posting list of the rarest term, moved back by its place in the window,
     gives the starts; the lists of the next terms are moved likewise and
     intersected with them.  With a ``slop`` a later term may stand that many
-    words away from its place; ``gap`` is the farthest one's distance, 0 for an
-    exact standing.
+    words away from its place; ``gap`` is the farthest one's distance, 0 where
+    all stand exactly.
     """
     first = ranked.filter("rank = 1").select("window", "term", "offset")
-    found = (index.join(_sized(first), "term")
-             .select("window", "doc_id", (F.col("pos") - F.col("offset")).alias("start"), F.lit(0).alias("gap")))
+    found = (postings.join(_sized(first), "term")
+             .select("window", "row", (F.col("pos") - F.col("offset")).alias("start"), F.lit(0).alias("gap")))
     for rank in range(2, RAREST + 1):
-        next_term = ranked.filter(F.col("rank") == rank).select("window", "term", "offset")
-        lists = _only_terms(index, next_term.select("term").distinct()).withColumnsRenamed({"doc_id": "_doc", "pos": "_pos", "term": "_term"})
-        probes = found.join(_sized(next_term), "window", "left")
+        term = ranked.filter(F.col("rank") == rank).select("window", "term", "offset")
+        lists = _among(postings, term.select("term").distinct(), "term").select("term", "row", F.col("pos").alias("at"))
+        probes = found.join(_sized(term), "window", "left")
         moves = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
-        probes = probes.withColumn("_move", moves).withColumn("_at", F.col("start") + F.col("offset") + F.col("_move"))
+        moved = (probes.filter("term IS NOT NULL").withColumn("move", moves)
+                 .withColumn("at", F.col("start") + F.col("offset") + F.col("move")))
+        met = moved.join(lists, ["row", "at", "term"]).groupBy("window", "row", "start").agg(
+            F.min(F.greatest("gap", F.abs("move"))).alias("gap"))
         # A window of fewer terms than this is decided already.
-        met = probes.filter("term IS NOT NULL").join(lists, F.expr("_doc <=> doc_id AND _pos = _at AND _term = term"))
-        done = probes.filter("term IS NULL AND _move = 0").select("window", "doc_id", "start", "gap")
-        found = met.groupBy("window", "doc_id", "start").agg(
-            F.min(F.greatest("gap", F.abs("_move"))).alias("gap")).union(done)
+        found = met.union(probes.filter("term IS NULL").select("window", "row", "start", "gap"))
     return found
 
 
-def _sized(table: DataFrame) -> DataFrame:
-    """A table by term or window, to be broadcast only if its rows are few."""
-    few = table.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return F.broadcast(table) if few else table
+def exact_matches(postings: DataFrame, ranked: DataFrame, found: DataFrame) -> DataFrame:
+    """(window, row, start, size): the candidates whose every term stands in its place, by the same index."""
+    found = found.filter("gap = 0").select("window", "row", "start")
+    there = _among(postings, found.select("row").distinct(), "row").select("term", "row", F.col("pos").alias("at"))
+    places = ranked.select("window", "size", "offset", "term")
+    probes = found.join(_sized(places), "window").withColumn("at", F.col("start") + F.col("offset"))
+    return (probes.join(there, ["row", "at", "term"]).groupBy("window", "row", "start", "size")
+            .agg(F.count(F.lit(1)).alias("_n")).filter("_n = size").drop("_n"))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_words``, ``hits`` and ``near``.
+def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, phrases, proximities) of all documents.
 
-    ``hits`` is an array of (start, length, window): every standing of a
-    benchmark window in the document, in words.  ``near`` counts its proximity
-    matches: standings of a window's rarest terms within ``slop`` words of their
-    places that are no exact match.  Use :func:`passage_items` to go from windows
-    to items.
+    ``documents``: (row, doc_id, n_words), a row number for every document.
+    ``phrases``: (window, row, start, size), every standing of a benchmark window,
+    in words.  ``proximities``: (window, row, start, gap), standings of a window's
+    rarest terms within ``slop`` words of their places that are no phrase.
+    :func:`test_windows` leads from windows to items.
 
-    Terms meet as 64-bit hashes.  Candidates from the index are compared with
-    the document's words before they count as hits.  Documents are told apart by
-    doc_id for the index and then decided row by row: repeated doc_ids are each
-    compared with their own text, and a NULL doc_id is a key like others.  NULL
-    texts have no words; an empty benchmark gives no hits.
+    Terms meet as 64-bit hashes.  Every text is read once, for the index, and no
+    text is shuffled; all matching works on postings.  The posting lists of
+    frequent terms are touched only where rarer terms of the window have met, so
+    a common word or passage costs its own postings.  Repeated and NULL doc_ids
+    are documents of their own; NULL texts have no words; an empty benchmark
+    gives no matches.
     """
     windows, _ = test_windows(benchmark, size)
-    windows = stored(windows, "windows")
-    vocabulary = windows.select(F.explode("terms").alias("term")).distinct()
-    index = build_index(docs, vocabulary)
-    ranked = stored(rank_terms(windows, index), "ranked")
-    candidates = intersect(index, ranked, slop)
-    with_terms = candidates.join(_sized(windows), "window")
-    per_doc = (with_terms.groupBy("doc_id").agg(F.collect_list(F.struct("start", "terms", "window", "gap")).alias("_found"))
-               .withColumnRenamed("doc_id", "_doc"))
-    rows = docs.select("doc_id", "text").join(per_doc, F.expr("doc_id <=> _doc"), "left")
-
-    def decide(t):
-        exact = F.filter("_found", lambda c: (c["gap"] == 0) & (c["start"] >= 0)
-                         & (F.slice(t, F.greatest(c["start"], F.lit(0)) + 1, F.size(c["terms"])) == c["terms"]))
-        hits = F.transform(exact, lambda c: F.struct(c["start"].alias("start"), F.size(c["terms"]).alias("length"), c["window"].alias("window")))
-        return F.struct(F.size(t).cast("long").alias("n_words"), F.coalesce(hits, F.array().cast(
-            "array<struct<start:int,length:int,window:bigint>>")).alias("hits"))
-
-    counted = F.regexp_count("text", F.lit(_WORD.replace("\\x60", "\\x40\\x5B-\\x60")))
-    decided = F.when(F.col("_found").isNull(), F.struct(
-        F.coalesce(counted, F.lit(0)).cast("long").alias("n_words"),
-        F.array().cast("array<struct<start:int,length:int,window:bigint>>").alias("hits"))).otherwise(bind(terms_of(F.col("text")), decide))
-    return rows.withColumn("_d", decided).select(
-        "doc_id", F.col("_d.n_words").alias("n_words"), F.sort_array(F.col("_d.hits")).alias("hits"),
-        (F.coalesce(F.size("_found"), F.lit(0)) - F.size("_d.hits")).cast("long").alias("near"))
+    windows = checkpointed(windows)
+    index = build_index(docs, windows.select(F.explode("terms").alias("term")).distinct())
+    postings = index.filter(F.col("term") != END)
+    ranked = checkpointed(rank_terms(windows, postings))
+    found = checkpointed(intersect(postings, ranked, slop))
+    phrases = checkpointed(exact_matches(postings, ranked, found))
+    near = found.join(phrases, ["window", "row", "start"], "left_anti")
+    documents = index.filter(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
+    return documents, phrases, near
 
 
 def covered_words(hits: Column) -> Column:
-    """Words inside any of the hits, which are sorted by start."""
+    """Words inside any of the hits, (start, size) sorted by start."""
     blank = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(hits, blank, lambda a, h: F.struct(
-        F.greatest(a["end"], h["start"] + h["length"]).alias("end"),
-        (a["n"] + F.greatest(h["start"] + h["length"] - F.greatest(a["end"], h["start"]), F.lit(0))).alias("n")))["n"].cast("long")
+        F.greatest(a["end"], h["start"] + h["size"]).alias("end"),
+        (a["n"] + F.greatest(h["start"] + h["size"] - F.greatest(a["end"], h["start"]), F.lit(0))).alias("n")))["n"].cast("long")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 2) -> DataFrame:
-    """``find_passages`` summed up: words hit, items found and their digest, for every document."""
+    """``find_passages`` summed up: words hit, items found and their digest, and proximity matches, for every document."""
+    documents, phrases, near = find_passages(docs, benchmark, size, slop)
     _, items = test_windows(benchmark, size)
-    found = find_passages(docs, benchmark, size, slop).withColumn("_row", F.monotonically_increasing_id())
-    found = found.select("_row", "doc_id", "n_words", covered_words(F.col("hits")).alias("n_hit"),
-                         F.array_distinct("hits.window").alias("windows"), "near")
-    found = stored(found, "passages")
-    of_doc = (found.select("_row", F.explode("windows").alias("window")).join(_sized(items), "window")
-              .select("_row", F.col("item_id").cast("string").alias("item")).distinct()
-              .groupBy("_row").agg(F.sort_array(F.collect_list("item")).alias("items")))
-    listed = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return found.join(of_doc, "_row", "left").select(
-        "doc_id", "n_words", "n_hit", F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "near")
+    hits = phrases.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("hits"))
+    listed = (phrases.select("row", "window").distinct().join(_sized(items), "window")
+              .select("row", F.col("item_id").cast("string").alias("item")).distinct()
+              .groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
+    close = near.groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    none = F.array().cast("array<string>")
+    out = documents.join(hits, "row", "left").join(listed, "row", "left").join(close, "row", "left")
+    return out.select(
+        "doc_id", "n_words", F.coalesce(covered_words(F.col("hits")), F.lit(0).cast("long")).alias("n_hit"),
+        F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
+        F.col("hits").isNotNull().alias("contaminated"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
