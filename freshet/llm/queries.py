@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_format, decontaminate, minhash_dedup, quality_ratio, secret_scan
+from freshet.llm import chat_format, decontaminate, kd_shards, minhash_dedup, quality_ratio, secret_scan
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -88,3 +88,9 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.do
 def op5(spark, folder):
     """Near copies by 4-word shingles over all documents."""
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), n=4)
+
+
+@query("op7_kd_tree")
+def op7(spark, folder):
+    """All documents in 24 shards of near equal bytes."""
+    return kd_shards.shard_documents(table(spark, folder, "documents"))
