@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_format, decontaminate, kd_shards, minhash_dedup, quality_ratio, secret_scan
+from freshet.llm import chat_format, decontaminate, kd_shards, minhash_dedup, mixture, quality_ratio, secret_scan
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -94,3 +94,9 @@ def op5(spark, folder):
 def op7(spark, folder):
     """All documents in 24 shards of near equal bytes."""
     return kd_shards.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op8_multinomial_mix")
+def op8(spark, folder):
+    """All documents mixed to the sources' weights."""
+    return mixture.mix_documents(table(spark, folder, "documents")).drop("source")
