@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_format, decontaminate, kd_shards, minhash_dedup, mixture, quality_ratio, secret_scan
+from freshet.llm import chat_format, decontaminate, kd_shards, language_id, minhash_dedup, mixture, quality_ratio, secret_scan
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -100,3 +100,9 @@ def op7(spark, folder):
 def op8(spark, folder):
     """All documents mixed to the sources' weights."""
     return mixture.mix_documents(table(spark, folder, "documents")).drop("source")
+
+
+@query("op6_string_kernel")
+def op6(spark, folder):
+    """The language of every document."""
+    return language_id.identify(table(spark, folder, "documents"))
