@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import uuid
@@ -10,7 +11,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shipped_by_value(module: str) -> None:
@@ -26,8 +26,7 @@ def ascii_lower(text: Column) -> Column:
 
 def blank_words(text: Column) -> Column:
     """The runs of characters other than blanks (0x20, 0x09-0x0D); none for NULL."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_BLANKS))
-    return F.when(F.length(trimmed) > 0, F.split(trimmed, "[\\x20\\x09-\\x0D]+")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def bind(value: Column, then) -> Column:
@@ -35,6 +34,18 @@ def bind(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows of a batch that plans made inside, and run there, send to Python: few where rows are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of the session.
 
