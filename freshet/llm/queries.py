@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import chat_format, decontaminate, kd_shards, language_id, minhash_dedup, mixture, quality_ratio, secret_scan
+from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, minhash_dedup, mixture, quality_ratio,
+                         secret_scan, warc)
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -106,3 +107,19 @@ def op8(spark, folder):
 def op6(spark, folder):
     """The language of every document."""
     return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op10_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
+s AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex, first FROM p JOIN f USING (html)),
+bits AS (SELECT *, [('0x' || upper(hex[g * 10 + 1:g * 10 + 10]))::BIGINT FOR g IN range(4)] AS parts FROM s)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((parts[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31) + 1]), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to FROM bits""")
+def op10(spark, folder):
+    """All pages written to WARC archives and read back from them."""
+    archives = warc.new_folder(spark)
+    warc.write_archives(table(spark, folder, "pages"), archives)
+    return warc.read_archives(spark, archives).drop("url")
