@@ -13,7 +13,7 @@ _BIN_BITS = 10
 #: A cut may leave this share of its node's weight on the wrong side.
 _TOLERANCE = 1 / 4000
 #: Rows numbered together when slots are given out.
-_NUMBERED = 20_000
+_NUMBERED = 4_000
 
 
 @dataclass

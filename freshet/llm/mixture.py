@@ -12,7 +12,7 @@ SHARD_SLOTS = 1 << 14
 PASSES = 3
 _ROUNDS = 8
 _GUIDES = 4096
-_NUMBERED = 20_000
+_NUMBERED = 4_000
 
 
 def source_targets(sizes: DataFrame, weights: int = 3, passes: int = PASSES) -> DataFrame:
