@@ -86,6 +86,35 @@ def salted_join(df: DataFrame, per_key: DataFrame, keys: list[str], spread: str,
     return left.join(per_key.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
+#: Rows of one side of a comparison block.
+BLOCK = 256
+
+
+def comparison_blocks(placed: DataFrame) -> DataFrame:
+    """Members (key, rep, comp and more) of buckets, each row once for every block it has to be compared with.
+
+    Buckets whose members are all of one component are left out.  The columns
+    ``own``, ``lo`` and ``hi`` name the row's block and the two of the comparison.
+    A component with many rows in a bucket has blocks of its own, which need no
+    comparison among themselves; the rows of the small components share blocks.
+    Every block has about ``BLOCK`` rows, so no task holds a bucket.
+    """
+    settled = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    members = checkpointed(placed.join(settled, "key"))
+    columns = members.columns
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    large = F.when(F.col("c") >= BLOCK, F.col("comp"))
+    parts = (sizes.groupBy("key", large.alias("pure")).agg(F.sum("c").alias("c"))
+             .withColumn("k", F.ceil(F.col("c") / BLOCK)))
+    blocks = (parts.select("key", "pure", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i"))
+              .select("key", F.col("pure").alias("_pure"), F.xxhash64("pure", "i", F.col("pure").isNull()).alias("_block")))
+    own = (members.join(sizes.select("key", "comp", large.alias("pure")), ["key", "comp"])
+           .join(parts.select(F.col("key").alias("_key"), F.col("pure").alias("_p"), "k"), F.expr("key = _key AND pure <=> _p"))
+           .withColumn("own", F.xxhash64("pure", F.pmod(F.xxhash64("rep"), F.col("k")), F.col("pure").isNull())))
+    spread = own.select(*columns, "pure", "own").join(blocks, "key").filter("pure IS NULL OR NOT pure <=> _pure")
+    return spread.select(*columns, "own", F.least("own", "_block").alias("lo"), F.greatest("own", "_block").alias("hi"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the edges reaches.
 

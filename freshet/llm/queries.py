@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, minhash_dedup, mixture, quality_ratio,
+from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, line_dedup, minhash_dedup, mixture, quality_ratio,
                          secret_scan, warc)
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -123,3 +123,11 @@ def op10(spark, folder):
     archives = warc.new_folder(spark)
     warc.write_archives(table(spark, folder, "pages"), archives)
     return warc.read_archives(spark, archives).drop("url")
+
+
+@query("op4_fuzzy_lines")
+def op4(spark, folder):
+    """Near-equal lines dropped from all documents."""
+    out = line_dedup.drop_near_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("text_chars"),
+                      F.sha2("text", 256).alias("text_sha256"))
