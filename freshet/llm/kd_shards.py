@@ -157,15 +157,13 @@ def with_slots(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
             .withColumn("slot", (F.col("_start") + F.col("_number") - 1).cast("long")).drop("_part", "_number", "_start"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """The columns that sharding needs, with the text measured and left behind."""
+def _measures(docs: DataFrame) -> dict[str, Column]:
     text = F.coalesce(F.col("text"), F.lit(""))
     number = F.coalesce(F.col("n_chars").cast("long"), F.lit(-1)) if "n_chars" in docs.columns else F.length(text).cast("long")
-    return docs.select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        number.alias("_d_chars"), F.coalesce("doc_id", F.lit(-1)).alias("_d_id"),
-        *[(text_code(F.col(c)) if c in docs.columns else F.lit(-1).cast("long")).alias(f"_d_{c}") for c in ("source", "lang")],
-    ).withColumn("_tie", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "_d_source"), 1))
+    out = {"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8")),
+           "_d_chars": number, "_d_id": F.coalesce("doc_id", F.lit(-1))}
+    out |= {f"_d_{c}": text_code(F.col(c)) if c in docs.columns else F.lit(-1).cast("long") for c in ("source", "lang")}
+    return out | {"_tie": F.shiftrightunsigned(F.xxhash64("doc_id", out["text_crc32"], out["_d_source"]), 1)}
 
 
 DIMENSIONS = ["_d_source", "_d_lang", "_d_chars", "_d_id"]
@@ -181,8 +179,20 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     rows equal in doc_id and text can't be parted.  Slots go by doc_id.
     ``grown_shard`` is NULL under this law.  An empty table gives no rows.
     """
-    rows = stored(measured(docs), "measured")
+    rows = stored(docs.select("doc_id", *[c.alias(n) for n, c in _measures(docs).items()]), "measured")
     tree = grow_tree(rows, DIMENSIONS, "size", shards)
     placed = rows.withColumn("shard", tree.place())
     return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
+    """The documents with all their columns, and ``shard`` and ``slot``, which replace columns of these names."""
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    docs = docs.select(*columns)
+    measures = _measures(docs)
+    tree = grow_tree(stored(docs.select(*[c.alias(n) for n, c in measures.items()]), "measured"), DIMENSIONS, "size", shards)
+    # The measures go in a column of their own beside the documents, so that no name can clash.
+    rows = docs.select(F.struct(*columns).alias("document"), F.col("doc_id").alias("_id"), *[c.alias(n) for n, c in measures.items()])
+    placed = with_slots(rows.withColumn("shard", tree.place()), "shard", ["_id", "text_crc32", "size"])
+    return placed.select("document.*", "shard", "slot")

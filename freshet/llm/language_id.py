@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from freshet.llm.base import arrow_rows, shipped_by_value, stored
@@ -130,22 +131,39 @@ def train(docs: DataFrame) -> Model | None:
     return fit(np.unpackbits(bits, axis=1).astype(bool), [r["lang"] for r in rows])
 
 
-def _predictor(shared):
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _predict(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    language, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+    present, letters = presence(texts)
+    if model is not None and letters.any():
+        s = model.scores(present[letters])
+        language[letters] = np.array(model.languages, object)[s.argmax(axis=1)]
+        score[letters] = np.clip(s.max(axis=1), 0, 1)
+    return language, score
+
+
+def _predictor(shared, text: str, least: float | None = None):
+    """Tasks that predict.  With ``least``: that pass on the rows whose language is known with that score."""
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value) if shared.value else None
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            language, score = np.full(len(batch), UNDETERMINED, object), np.zeros(len(batch))
-            present, letters = presence(batch["text"].tolist())
-            if model is not None and letters.any():
-                s = model.scores(present[letters])
-                language[letters] = np.array(model.languages, object)[s.argmax(axis=1)]
-                score[letters] = np.clip(s.max(axis=1), 0, 1)
-            yield batch.drop(columns="text").assign(lang_pred=language, score=score)
+            at = batch.schema.get_field_index(text)
+            language, score = _predict(model, batch.column(at).to_pylist())
+            if least is not None:
+                yield batch.filter(pa.array((language != UNDETERMINED) & (score >= least)))
+            else:
+                kept = [k for k in range(batch.num_columns) if k != at]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(language, pa.string()), pa.array(score)],
+                                                 [*(batch.schema.names[k] for k in kept), "lang_pred", "score"])
     return predict
 
 
+def _shared_model(docs: DataFrame):
+    model = train(docs)
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights) if model else None)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``lang_pred`` and ``score`` (0 to 1).
 
@@ -156,8 +174,16 @@ def identify(docs: DataFrame) -> DataFrame:
     nor held out.  Repeated rows get a row each.  The model is LANDMARKS rows of
     FEATURES bits and is sent to every task.
     """
-    model = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights) if model else None)
     rows = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
     with arrow_rows(docs.sparkSession, BATCH):
-        return stored(rows.mapInPandas(_predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double"), "languages")
+        return stored(rows.mapInArrow(_predictor(_shared_model(docs), "text"), "doc_id long, held_out boolean, lang_pred string, score double"), "languages")
+
+
+def keep_known(docs: DataFrame, least: float = 0.25) -> DataFrame:
+    """The documents, with all their columns, whose predicted language isn't ``und`` and has a score of ``least`` or more.
+
+    Texts that mix languages, or have little but numbers, score low; ``least`` is
+    near what guessing among four languages gives, so clean texts stay.
+    """
+    with arrow_rows(docs.sparkSession, BATCH):
+        return stored(docs.mapInArrow(_predictor(_shared_model(docs), "text", least), docs.schema), "known")

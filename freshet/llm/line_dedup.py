@@ -92,7 +92,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
             found = line_signatures(batch["text"].tolist())
-            yield pd.DataFrame({"key": batch["key"].to_numpy()[found["text"]], "doc_id": batch["doc_id"].array[found["text"]],
+            yield pd.DataFrame({"key": batch["key"].to_numpy()[found["text"]], "order": batch["order"].to_numpy()[found["text"]],
                                 "line": found["line"], "n": found["n"], "h": found["h"], "sig": found["sig"]})
 
 
@@ -195,14 +195,15 @@ def _texts_of(keyed: DataFrame, lines: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key"))
+    last = F.lit((1 << 63) - 1)
+    return docs.select("doc_id", "text", F.coalesce("doc_id", last).alias("order"), F.xxhash64("doc_id", "text", F.col("text").isNull()).alias("key"))
 
 
 def line_groups(docs: DataFrame, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups) of the lines of all documents.
 
-    ``occurrences``: (key, doc_id, line, n, h, sig) of every line with a letter or
-    digit, ``key`` telling documents apart.  ``groups``: (h, component) of the
+    ``occurrences``: (key, order, line, n, h, sig) of every line with a letter or
+    digit, ``key`` telling documents apart and ``order`` their doc_id, NULL last.  ``groups``: (h, component) of the
     lines that a link ties to another.  Two different lines are linked when their
     SimHashes differ in at most ``DISTANCE`` bits and their edit similarity is
     ``percent`` or more; both on normalised lines (:func:`normal`), whole.
@@ -214,7 +215,7 @@ def line_groups(docs: DataFrame, percent: int = 90) -> tuple[DataFrame, DataFram
     """
     keyed = _keyed(docs)
     with arrow_rows(docs.sparkSession, BATCH):
-        occurrences = stored(keyed.mapInPandas(_sign, "key long, doc_id long, line int, n int, h long, sig long"), "lines")
+        occurrences = stored(keyed.drop("doc_id").mapInPandas(_sign, "key long, order long, line int, n int, h long, sig long"), "lines")
     lines = occurrences.groupBy(F.col("h").alias("rep")).agg(
         F.min(F.struct("key", "line")).alias("at"), F.first("sig").alias("sig")).select("rep", "at.key", "at.line", "sig")
     lines = stored(lines, "distinct")
@@ -248,8 +249,7 @@ def drop_near_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
     empty.  Rows equal in doc_id and text are one document and come out alike.
     """
     occurrences, groups = line_groups(docs, percent)
-    counts = occurrences.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(
-        F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "line")).alias("first"))
+    counts = occurrences.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("order", "key", "line")).alias("first"))
     grouped = counts.join(groups, "h", "left").filter("m > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "h"))
     keepers = grouped.groupBy("component").agg(F.min("first").alias("keeper"))
     of_line = salted_join(grouped.select("h", "component"), keepers, ["component"], "h").select("h", "keeper.key", "keeper.line")

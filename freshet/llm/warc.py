@@ -109,7 +109,7 @@ def _writer(uri: str, roll: int):
                         shard.close()
                         done += shard.done
                     shard = _Shard(store, folder, int(at), roll)
-                page_id, refers_to = (None if pd.isna(x) else int(x) for x in (page_id, refers_to))
+                page_id, refers_to = (None if x is None else int(x) for x in (page_id, refers_to))
                 shard.add(_member(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to)))
         if shard is not None:
             shard.close()
@@ -168,7 +168,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
                          F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
     whole = rows.join(known, F.expr("digest = _digest AND page_id <=> _id")).select("shard", "page_id", "url", "html", "refers_to", "digest")
     width = max(LEAST_SHARDS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_pages = whole.repartition(width, "shard").sortWithinPartitions("shard", "page_id", "url", "digest").drop("digest")
+    sorted_pages = whole.repartition(width, "shard").sortWithinPartitions("shard", "page_id", "url", "digest").select(
+        "shard", F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
     with arrow_rows(pages.sparkSession, BATCH):
         sorted_pages.mapInPandas(_writer(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/manifest")
     store.delete_dir(f"{path}/_temporary")
