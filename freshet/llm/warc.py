@@ -26,6 +26,7 @@ _DATE = "1970-01-01T00:00:00Z"  # the pages carry no time; a fixed one keeps the
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard long, file string, records long, bytes long, sha1 string"
+_PACKED = "page_id string, url string, length long, digest string, sha string, member binary"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -42,22 +43,25 @@ def _header_value(text) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in text or "")
 
 
-def record(page_id, url, payload: bytes, refers_to=None) -> bytes:
-    """One record, uncompressed: a response with the payload, or a revisit of ``refers_to``, the page that has it."""
-    digest = base32_sha1(payload)
-    http = _HTTP % len(payload)
-    revisit = refers_to is not None
-    block = http if revisit else http + payload
-    headers = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id)), ("WARC-Date", _DATE),
-               ("WARC-Target-URI", _header_value(url)), ("WARC-Payload-Digest", f"sha1:{digest}"),
-               ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("Content-Type", "application/http;msgtype=response"),
-               ("X-Page-ID", "" if page_id is None else str(int(page_id))), ("X-Payload-Length", str(len(payload)))]
-    if revisit:
-        headers += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", _record_id(refers_to)), ("X-Refers-To-Page", str(int(refers_to)))]
-    headers.append(("Content-Length", str(len(block))))
+def _framed(page_id, url, kind: str, block: bytes, digest: str, length: int, more=()) -> bytes:
+    headers = [("WARC-Type", kind), ("WARC-Record-ID", _record_id(page_id)), ("WARC-Date", _DATE), ("WARC-Target-URI", _header_value(url)),
+               ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
+               ("Content-Type", "application/http;msgtype=response"), ("X-Page-ID", "" if page_id is None else str(page_id)),
+               ("X-Payload-Length", str(length)), *more, ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
+def response(page_id, url, payload: bytes) -> bytes:
+    """A record with the payload, uncompressed."""
+    return _framed(page_id, url, "response", _HTTP % len(payload) + payload, base32_sha1(payload), len(payload))
+
+
+def revisit(page_id, url, digest: str, length: int, refers_to: int) -> bytes:
+    """A record that names the page whose response has the payload, uncompressed."""
+    more = [("WARC-Profile", _REVISIT), ("WARC-Refers-To", _record_id(refers_to)), ("X-Refers-To-Page", str(refers_to))]
+    return _framed(page_id, url, "revisit", _HTTP % length, digest, length, more)
+
+
 def _member(data: bytes) -> bytes:
     """The record as a gzip member of its own, the same bytes at every run."""
     out = io.BytesIO()
@@ -98,19 +102,33 @@ class _Shard:
             self.out = None
 
 
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pages as compressed responses, so that only compressed bytes are shuffled."""
+    for batch in batches:
+        rows = []
+        for page_id, url, html, sha in zip(batch["page_id"], batch["url"], batch["html"], batch["sha"]):
+            payload = (html or "").encode("utf-8", "surrogatepass")
+            rows.append((page_id, url, len(payload), base32_sha1(payload), sha, _member(response(_number(page_id), url, payload))))
+        yield pd.DataFrame(rows, columns=["page_id", "url", "length", "digest", "sha", "member"])
+
+
+def _number(text) -> int | None:
+    return None if text is None else int(text)
+
+
 def _writer(uri: str, roll: int):
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, folder = pafs.FileSystem.from_uri(uri)
         shard, done = None, []
         for batch in batches:
-            for at, page_id, url, html, refers_to in zip(batch["shard"], batch["page_id"], batch["url"], batch["html"], batch["refers_to"]):
-                if shard is None or shard.shard != at:
+            for row in batch.itertuples(index=False):
+                if shard is None or shard.shard != row.shard:
                     if shard is not None:
                         shard.close()
                         done += shard.done
-                    shard = _Shard(store, folder, int(at), roll)
-                page_id, refers_to = (None if x is None else int(x) for x in (page_id, refers_to))
-                shard.add(_member(record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), refers_to)))
+                    shard = _Shard(store, folder, int(row.shard), roll)
+                shard.add(bytes(row.member) if row.refers_to is None else _member(
+                    revisit(_number(row.page_id), row.url, row.digest, row.length, _number(row.refers_to))))
         if shard is not None:
             shard.close()
             done += shard.done
@@ -159,19 +177,20 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
     """
     store, path = pafs.FileSystem.from_uri(folder)
     store.create_dir(f"{path}/_temporary", recursive=True)
-    rows = pages.select("page_id", "url", "html", F.sha2(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 256).alias("digest"))
-    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
-    facts = rows.select("page_id", "digest", (size + 512).alias("size"), (size >= least_bytes).alias("_ok")).distinct()
-    firsts = facts.filter("_ok").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    known = salted_join(with_shards(facts.drop("_ok"), shard_bytes), firsts, ["digest"], "page_id", "left")
-    known = known.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "shard",
-                         F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to"))
-    whole = rows.join(known, F.expr("digest = _digest AND page_id <=> _id")).select("shard", "page_id", "url", "html", "refers_to", "digest")
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select("page_id", "url", "html", F.sha2(F.encode(html, "UTF-8"), 256).alias("sha"))
+    size = F.octet_length(html).cast("long")
+    facts = rows.select("page_id", "sha", (size + 512).alias("size"), (size >= least_bytes).alias("ok")).distinct()
+    firsts = facts.filter("ok").groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    known = salted_join(with_shards(facts.drop("ok"), shard_bytes), firsts, ["sha"], "page_id", "left")
+    known = known.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "shard",
+                         F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first").cast("string")).alias("refers_to"))
+    packed = rows.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(_pack, _PACKED).withColumn("id", F.col("page_id").cast("long"))
+    whole = packed.join(known, F.expr("sha = _sha AND id <=> _id")).drop("_sha", "_id")
     width = max(LEAST_SHARDS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_pages = whole.repartition(width, "shard").sortWithinPartitions("shard", "page_id", "url", "digest").select(
-        "shard", F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
+    in_order = whole.repartition(width, "shard").sortWithinPartitions("shard", "id", "url", "sha").drop("id", "sha")
     with arrow_rows(pages.sparkSession, BATCH):
-        sorted_pages.mapInPandas(_writer(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/manifest")
+        in_order.mapInPandas(_writer(folder, roll_bytes), _MANIFEST).write.parquet(f"{folder}/manifest")
     store.delete_dir(f"{path}/_temporary")
     return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
