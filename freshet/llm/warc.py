@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import io
@@ -22,11 +23,13 @@ SHARD_BYTES, ROLL_BYTES = 256 << 20, 64 << 20
 #: Even few pages are written by so many shards, so that a job has tasks to share.
 LEAST_SHARDS = 64
 BATCH = 64
+#: Most revisits whose targets are sent to every executor, 100 bytes each; more meet the pages in a shuffle.
+SENT_ROWS = 500_000
 _DATE = "1970-01-01T00:00:00Z"  # the pages carry no time; a fixed one keeps the bytes the same
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard long, file string, records long, bytes long, sha1 string"
-_PACKED = "page_id string, url string, length long, digest string, sha string, member binary"
+_PACKED = "shard long, page_id string, url string, length long, digest string, sha string, member binary"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -102,14 +105,18 @@ class _Shard:
             self.out = None
 
 
-def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages as compressed responses, so that only compressed bytes are shuffled."""
-    for batch in batches:
-        rows = []
-        for page_id, url, html, sha in zip(batch["page_id"], batch["url"], batch["html"], batch["sha"]):
-            payload = (html or "").encode("utf-8", "surrogatepass")
-            rows.append((page_id, url, len(payload), base32_sha1(payload), sha, _member(response(_number(page_id), url, payload))))
-        yield pd.DataFrame(rows, columns=["page_id", "url", "length", "digest", "sha", "member"])
+def _packer(starts):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pages as compressed responses with their shard, so that only compressed bytes are shuffled."""
+        bounds = starts.value
+        for batch in batches:
+            rows = []
+            for page_id, url, html, sha in zip(batch["page_id"], batch["url"], batch["html"], batch["sha"]):
+                payload, number = (html or "").encode("utf-8", "surrogatepass"), _number(page_id)
+                shard = 0 if number is None else max(bisect.bisect_right(bounds, number) - 1, 0)
+                rows.append((shard, page_id, url, len(payload), base32_sha1(payload), sha, _member(response(number, url, payload))))
+            yield pd.DataFrame(rows, columns=["shard", "page_id", "url", "length", "digest", "sha", "member"])
+    return pack
 
 
 def _number(text) -> int | None:
@@ -137,25 +144,26 @@ def _writer(uri: str, roll: int):
     return write
 
 
-def with_shards(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``rows`` (with ``page_id`` and ``size``) with ``shard``: pages in order, cut wherever another shard's bytes are full.
+def shard_starts(sizes: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """The first page_id of every shard, from (page_id, size): one number for each ``shard_bytes`` of pages.
 
     A page's shard is the bytes before it, in the order of page_id, over a
     shard's bytes.  Spark sorts by ranges, whose bounds may differ from run to
     run; what lies before a page doesn't, so shards are the same at every run.
     """
-    spark = rows.sparkSession
-    goal = rows.agg(F.greatest(F.least(F.lit(shard_bytes), F.ceil(F.sum("size") / LEAST_SHARDS)), F.lit(1))).first()[0] or 1
-    order = ["page_id", *[c for c in rows.columns if c != "page_id"]]
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stored(rows.repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()), "ranged")
-    sums = ranged.groupBy("_range").agg(F.sum("size").alias("_s"))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
-    starts = sums.select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    running = ranged.withColumn("_end", F.sum("size").over(inside)).join(starts, "_range")
-    place = F.floor((F.col("_start") + F.col("_end") - F.col("size")) / F.lit(goal))
-    return running.withColumn("shard", place).drop("_range", "_end", "_start")
+    per_page = sizes.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.sum("size").alias("size"))
+    width = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(per_page.repartitionByRange(width, "page_id").withColumn("range", F.spark_partition_id()), "ranged")
+    total = ranged.agg(F.sum("size")).first()[0] or 0
+    goal = max(min(shard_bytes, -(-total // LEAST_SHARDS)), 1)
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("s"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    offsets = sums.select("range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    inside = W.partitionBy("range").orderBy("page_id").rowsBetween(W.unboundedPreceding, 0)
+    running = ranged.withColumn("end", F.sum("size").over(inside)).join(offsets, "range")
+    shard = F.floor((F.col("offset") + F.col("end") - F.col("size")) / F.lit(goal))
+    firsts = running.groupBy(shard.alias("shard")).agg(F.min("page_id").alias("start"))
+    return sorted(r["start"] for r in firsts.collect())
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES,
@@ -180,13 +188,15 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, shard_by
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(F.encode(html, "UTF-8"), 256).alias("sha"))
     size = F.octet_length(html).cast("long")
-    facts = rows.select("page_id", "sha", (size + 512).alias("size"), (size >= least_bytes).alias("ok")).distinct()
+    facts = stored(rows.select("page_id", "sha", (size + 512).alias("size"), (size >= least_bytes).alias("ok")).distinct(), "facts")
     firsts = facts.filter("ok").groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    known = salted_join(with_shards(facts.drop("ok"), shard_bytes), firsts, ["sha"], "page_id", "left")
-    known = known.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "shard",
-                         F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")), F.col("first").cast("string")).alias("refers_to"))
-    packed = rows.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(_pack, _PACKED).withColumn("id", F.col("page_id").cast("long"))
-    whole = packed.join(known, F.expr("sha = _sha AND id <=> _id")).drop("_sha", "_id")
+    revisits = salted_join(facts, firsts, ["sha"], "page_id").filter("page_id IS NULL OR page_id > first").select(
+        F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), F.col("first").cast("string").alias("refers_to"))
+    revisits = stored(revisits, "revisits")
+    few = revisits.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    starts = pages.sparkSession.sparkContext.broadcast(shard_starts(facts.select("page_id", "size"), shard_bytes))
+    packed = rows.withColumn("page_id", F.col("page_id").cast("string")).mapInPandas(_packer(starts), _PACKED).withColumn("id", F.col("page_id").cast("long"))
+    whole = packed.join(F.broadcast(revisits) if few else revisits, F.expr("sha = _sha AND id <=> _id"), "left").drop("_sha", "_id")
     width = max(LEAST_SHARDS, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     in_order = whole.repartition(width, "shard").sortWithinPartitions("shard", "id", "url", "sha").drop("id", "sha")
     with arrow_rows(pages.sparkSession, BATCH):
