@@ -6,10 +6,15 @@ import contextlib
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -64,9 +69,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Run the plan and keep its rows in shared storage; Spark removes them with the last reference."""
+    """Run the plan and keep its rows in shared storage; Spark removes them with the last reference.
+
+    For narrow tables: written by two tasks for each core of the cluster, so that
+    shared storage doesn't fill with tiny files.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -86,6 +95,35 @@ def salted_join(df: DataFrame, per_key: DataFrame, keys: list[str], spread: str,
     return left.join(per_key.withColumn("_salt", F.explode(salts)), [*keys, "_salt"], how).drop("_salt")
 
 
+def in_blocks(rows: DataFrame, look, schema: str) -> DataFrame:
+    """Apply ``look`` to the rows of every (key, lo, hi), as a dict of arrays; it returns a frame of ``schema``.
+
+    The rows of a block stand together in a task, which takes block after block
+    from its batches; most blocks are tiny, so this spares a call of Spark's for
+    each.
+    """
+    names = ["key", "lo", "hi"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in batches:
+            batch = batch if left is None else pd.concat([left, batch], ignore_index=True)
+            ids = batch[names].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]).any(axis=1)])) if len(ids) else []
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            found = [look({c: v[a:b] for c, v in columns.items()}) for a, b in zip(starts, starts[1:])]
+            left = batch.iloc[starts[-1]:] if len(starts) else batch
+            found = [f for f in found if len(f)]
+            if found:
+                yield pd.concat(found, ignore_index=True)
+        if left is not None and len(left):
+            found = look({c: left[c].to_numpy() for c in left.columns})
+            if len(found):
+                yield found
+
+    return rows.repartition(*names).sortWithinPartitions(*names).mapInPandas(run, schema)
+
+
 #: Rows of one side of a comparison block.
 BLOCK = 256
 

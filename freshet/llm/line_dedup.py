@@ -9,8 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from freshet.llm.base import (arrow_rows, checkpointed, comparison_blocks, components, salted_join, shipped_by_value,
-                              stored)
+from freshet.llm.base import (arrow_rows, checkpointed, comparison_blocks, components, in_blocks, salted_join,
+                              shipped_by_value, stored)
 
 shipped_by_value(__name__)
 
@@ -154,11 +154,10 @@ def _key_bits(sig: Column, table: tuple[int, ...]) -> Column:
     return out
 
 
-def _partners(group: pd.DataFrame) -> pd.DataFrame:
+def _partners(block: dict[str, np.ndarray]) -> pd.DataFrame:
     """For every row of two blocks of a bucket: the rows of other components whose SimHash is near, once per pair."""
-    own, comp, sig, rep = (group[c].to_numpy() for c in ("own", "comp", "sig", "rep"))
-    sig = sig.view(np.uint64)
-    lo, hi, band = group["lo"].iloc[0], group["hi"].iloc[0], int(group["band"].iloc[0])
+    own, comp, sig, rep = block["own"], block["comp"], block["sig"].view(np.uint64), block["rep"]
+    lo, hi, band = block["lo"][0], block["hi"][0], block["band"][0]
     left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
     lists, wanted = {}, set()
     for i in left:
@@ -171,14 +170,14 @@ def _partners(group: pd.DataFrame) -> pd.DataFrame:
                 lists.setdefault(i, []).append(int(rep[j]))
                 wanted.update((i, j))
     rows = np.array(sorted(wanted), np.int64)
-    return pd.DataFrame({"key": np.full(len(rows), group["key"].iloc[0]), "lo": np.full(len(rows), lo), "hi": np.full(len(rows), hi),
-                         "rep": rep[rows], "partners": pd.Series([lists.get(i, []) for i in rows], dtype=object)})
+    return pd.DataFrame({**{c: block[c][rows] for c in ("key", "lo", "hi", "rep")},
+                         "partners": pd.Series([lists.get(i, []) for i in rows], dtype=object)})
 
 
 def _links(percent: int):
-    def confirm(group: pd.DataFrame) -> pd.DataFrame:
-        text = dict(zip(group["rep"], group["norm"]))
-        found = [(a, b) for a, partners in zip(group["rep"], group["partners"]) for b in partners
+    def confirm(block: dict[str, np.ndarray]) -> pd.DataFrame:
+        text = dict(zip(block["rep"], block["norm"]))
+        found = [(a, b) for a, partners in zip(block["rep"], block["partners"]) for b in partners
                  if b in text and similar(text[a], text[b], percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
     return confirm
@@ -232,10 +231,9 @@ def line_groups(docs: DataFrame, percent: int = 90) -> tuple[DataFrame, DataFram
     tied = checkpointed(pairs.join(one, "a").join(two, "b").filter(_similar(percent)("na", "nb")).select("a", "b"))
     by_node = components(tied).withColumnsRenamed({"node": "rep", "component": "_comp"})
     placed = members.select("key", "band", "rep", "sig").join(by_node, "rep", "left").withColumn("comp", F.coalesce("_comp", "rep")).drop("_comp")
-    listed = checkpointed(comparison_blocks(placed).groupBy("key", "lo", "hi").applyInPandas(
-        _partners, "key long, lo long, hi long, rep long, partners array<long>"))
+    listed = checkpointed(in_blocks(comparison_blocks(placed), _partners, "key long, lo long, hi long, rep long, partners array<long>"))
     more = _texts_of(keyed, places, listed.select("rep").distinct())
-    links = listed.join(more, "rep").groupBy("key", "lo", "hi").applyInPandas(_links(percent), "a long, b long")
+    links = checkpointed(in_blocks(listed.join(more, "rep"), _links(percent), "a long, b long"))
     return occurrences, components(tied.union(links)).withColumnRenamed("node", "h")
 
 
