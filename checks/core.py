@@ -33,14 +33,14 @@ def _(t):
 
 
 SIDES = f"""WITH wx AS (SELECT CAST(user_id AS VARCHAR) AS station_id, {day_sql('ts')} AS date, min(value) AS tmin, max(value) AS tmax
-  FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+  FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
 fl AS (SELECT CAST(user_id AS VARCHAR) AS station_id, {day_sql('ts')} AS date, min(value) AS min_flow, max(value) AS max_flow
-  FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2)"""
+  FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)"""
 
 
 def _sides(t):
-    wx = t.readings().where(F.col("event_type").isin("click", "view"))
-    fl = t.readings().where(F.col("event_type").isin("purchase", "error"))
+    keyed = t.events.select(F.col("user_id").cast("string").alias("station_id"), "ts", F.col("value").alias("flow"), "event_id")
+    wx, fl = keyed.where(F.col("event_id") % 2 == 0), keyed.where(F.col("event_id") % 2 == 1)
     return (flows.daily_extremes(wx).withColumnsRenamed({"min_flow": "tmin", "max_flow": "tmax"}), flows.daily_extremes(fl))
 
 
@@ -57,13 +57,13 @@ def _(t):
     return merged.withColumns({c: F.round(c, 6) for c in flows.VALUE_COLUMNS})
 
 
-TWO_SETS = """WITH a AS (SELECT o_custkey AS station_id, o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'),
-b AS (SELECT o_custkey AS station_id, o_orderkey AS id FROM orders WHERE o_orderpriority = '5-LOW')"""
+TWO_SETS = """WITH a AS (SELECT o_custkey AS station_id, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0),
+b AS (SELECT o_custkey AS station_id, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 1)"""
 
 
 def _two_sets(t, *extra):
-    o = t.orders.select(F.col("o_custkey").alias("station_id"), F.col("o_orderkey").alias("id"), "o_orderpriority", *extra)
-    return tuple(o.where(F.col("o_orderpriority") == p).drop("o_orderpriority") for p in ("1-URGENT", "5-LOW"))
+    o = t.orders.select(F.col("o_custkey").alias("station_id"), F.col("o_orderkey").alias("id"), *extra)
+    return tuple(o.where(F.col("id") % 2 == side) for side in (0, 1))
 
 
 @query("sites_with_both", f"""{TWO_SETS} SELECT 'a' AS side, * FROM a WHERE station_id IN (SELECT station_id FROM b)
@@ -79,22 +79,22 @@ def _(t):
     return flows.one_sided_sites(*_two_sets(t))
 
 
-@query("drop_bad_date_sites", f"""WITH s AS (SELECT o_custkey AS station_id, o_orderkey AS id, o_orderpriority AS p,
+@query("drop_bad_date_sites", f"""WITH s AS (SELECT o_custkey AS station_id, o_orderkey AS id,
   CASE WHEN o_totalprice > 470000 THEN 'no date' ELSE {day_sql('o_orderdate')} END AS date FROM orders),
-bad AS (SELECT station_id FROM s WHERE date = 'no date' AND p IN ('1-URGENT', '5-LOW'))
-SELECT station_id, id, date FROM s WHERE p IN ('1-URGENT', '5-LOW') AND station_id NOT IN (SELECT station_id FROM bad)""")
+bad AS (SELECT station_id FROM s WHERE date = 'no date')
+SELECT station_id, id, date FROM s WHERE station_id NOT IN (SELECT station_id FROM bad)""")
 def _(t):
     d = F.when(F.col("o_totalprice") > 470000, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date")
     a, b = flows.drop_bad_date_sites(*_two_sets(t, d))
     return a.unionByName(b)
 
 
-@query("union_sites", """SELECT event_id, value, NULL AS props FROM events WHERE event_type = 'view'
-UNION ALL SELECT event_id, NULL, props FROM events WHERE event_type = 'error'""")
+@query("union_sites", """SELECT event_id, value, NULL AS props FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, NULL, props FROM events WHERE event_id % 2 = 1""")
 def _(t):
     e = t.events
-    return flows.union_sites([e.where(F.col("event_type") == "view").select("event_id", "value"),
-                              e.where(F.col("event_type") == "error").select("event_id", "props")])
+    return flows.union_sites([e.where(F.col("event_id") % 2 == 0).select("event_id", "value"),
+                              e.where(F.col("event_id") % 2 == 1).select("event_id", "props")])
 
 
 # --- whole-column statistics --------------------------------------------------
@@ -126,7 +126,7 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 @query("one_hot", "SELECT o_orderkey, " + ", ".join(
     f"coalesce(o_orderpriority = '{p}', false) AS \"station_{p}\"" for p in PRIORITIES) + " FROM orders")
 def _(t):
-    hot = scaling.one_hot(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "station")
+    hot = scaling.one_hot(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "station", PRIORITIES)
     return hot.select("o_orderkey", *[F.col(f"`{c}`") for c in filters.prefixed_columns(hot)])
 
 
@@ -168,6 +168,12 @@ def _(t):
     return _rounded(series.centered_rolling_mean(t.gappy_daily(), ["tmin", "tmax"], "station_id", "date"))
 
 
+@query("centered_rolling_mean_long", f"WITH {GAPPY} " + _sql_each(f"round(avg({{c}}) OVER ({_W} ROWS BETWEEN 4500 PRECEDING AND 4500 FOLLOWING), 6)"))
+def _(t):
+    """Frames wider than the pieces that a series is cut into."""
+    return _rounded(series.centered_rolling_mean(t.gappy_daily(), ["tmin", "tmax"], "station_id", "date", window=9001))
+
+
 @query("centered_rolling_mean_of_missing", f"WITH {GAPPY} " + _sql_each(f"round(coalesce({{c}}, {_ROLL}), 6)"))
 def _(t):
     return _rounded(series.centered_rolling_mean(t.gappy_daily(), ["tmin", "tmax"], "station_id", "date", only_missing=True))
@@ -318,6 +324,17 @@ def _(t):
         "o_orderkey", "site_id", "lat", "lon")
 
 
+@query("lookup_sites_repeated", """WITH inv AS (SELECT c_custkey AS k, 37 + (c_custkey % 400) / 1e2 AS lat, -109 + (c_custkey % 700) / 1e2 AS lon FROM customer)
+SELECT o.o_orderkey, CAST(o.o_custkey AS VARCHAR) AS site_id, lat, lon FROM orders o LEFT JOIN inv ON k = o_custkey""")
+def _(t):
+    """The inventory holds every line three times, one of them with other coordinates that sort later."""
+    inventory = t.wx_stations().select(F.ltrim(F.substring("wx_id", 4, 12), F.lit("0")).alias("site_id"), "lat", "lon")
+    inventory = inventory.withColumn("site_id", F.when(F.col("site_id") == "", "0").otherwise(F.col("site_id")))
+    later = inventory.withColumn("lat", F.col("lat") + 10)
+    return filters.lookup_sites(t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("site_id")),
+                                later.union(inventory).union(inventory)).select("o_orderkey", "site_id", "lat", "lon")
+
+
 @query("date_range", f"SELECT o_orderkey, {day_sql('o_orderdate')} AS date FROM orders WHERE o_orderdate BETWEEN DATE '1996-03-01' AND DATE '1999-02-28'")
 def _(t):
     return filters.date_range(t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("date")), "1996-03-01", "1999-02-28")

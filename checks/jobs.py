@@ -97,10 +97,24 @@ def _combined_by_type(t):
 
 @query("normalize", _NORMALIZE_SQL)
 def _(t):
-    out = dataset.normalize(_combined_by_type(t))
+    out = dataset.normalize(_combined_by_type(t), station_values=_TYPES)
     return out.withColumns({c: F.round(c, 6) for c in (*_VALUES, "date_normalized")})
 
 
+@query("normalize_many_stations", """WITH n0 AS (SELECT o_custkey AS station_id, CAST(o_orderdate AS DATE) AS date, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1, 2)
+SELECT CAST(station_id AS VARCHAR) AS station_id, strftime(date, '%Y-%m-%d') AS date, round((lo - avg(lo) OVER ()) / stddev_pop(lo) OVER (), 6) AS min_flow,
+round((hi - avg(hi) OVER ()) / stddev_pop(hi) OVER (), 6) AS max_flow, true AS index_fits FROM n0""")
+def _(t):
+    """Thousands of stations, each with its own position in place of a column."""
+    n = t.orders.select("o_custkey").distinct().count()
+    days = t.orders.groupBy(F.col("o_custkey").cast("string").alias("station_id"), F.to_date("o_orderdate").alias("date")).agg(
+        F.min("o_totalprice").alias("min_flow"), F.max("o_totalprice").alias("max_flow")).withColumns(
+        {"tmin": F.lit(1.0), "tmax": F.lit(2.0)})
+    out = dataset.normalize(days, keep_keys=True)
+    return out.select("station_id", "date", F.round("min_flow", 6).alias("min_flow"), F.round("max_flow", 6).alias("max_flow"),
+                      F.col("station_index").between(0, n - 1).alias("index_fits"))
+
+
 @query("fit_forecaster")
 def _(t):
     daily = flows.daily_extremes(t.readings())

@@ -40,6 +40,32 @@ def _(t):
     return spatial.assign_watershed(_points(t), t.hucs())
 
 
+def _twice(polygons, shift):
+    """Every ring twice, and a third part of the same polygon beside it that overlaps it."""
+    moved = F.transform("ring", lambda p: F.struct((p["lon"] + shift).alias("lon"), p["lat"].alias("lat")))
+    return polygons.union(polygons).union(polygons.withColumn("ring", moved))
+
+
+@query("assign_watershed_repeated", f"""WITH {RINGS_SQL}, pts AS (SELECT c_custkey AS point_id, -109 + (c_custkey % 700) / 1e2 AS lon, 37 + (c_custkey % 400) / 1e2 AS lat FROM customer),
+part AS (SELECT k, i, x1, y1, x2, y2, 0 AS part FROM edge UNION ALL SELECT k, i, x1 + 0.01e0, y1, x2 + 0.01e0, y2, 1 FROM edge),
+hit AS (SELECT point_id, k, part FROM pts, part GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1)
+SELECT point_id, min(lpad(CAST(k AS VARCHAR), 8, '0')) AS huc_id FROM hit GROUP BY 1""")
+def _(t):
+    return spatial.assign_watershed(_points(t), _twice(t.hucs(), 0.01)).select("point_id", "huc_id")
+
+
+@query("zonal_mean_repeated", f"""WITH {RINGS_SQL}, {CELLS_SQL},
+part AS (SELECT k, i, x1, y1, x2, y2, 0 AS part FROM edge UNION ALL SELECT k, i, x1 + 0.01e0, y1, x2 + 0.01e0, y2, 1 FROM edge),
+hit AS (SELECT c.id, k, part, any_value(value) AS value FROM cell c, part WHERE value IS NOT NULL GROUP BY ALL
+  HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1),
+once AS (SELECT DISTINCT id, k, value FROM hit)
+SELECT s_suppkey AS polygon_id, round(avg(value), 6) AS mean_value, CASE WHEN count(id) > 0 THEN count(id) END AS n_cells
+FROM supplier LEFT JOIN once ON k = s_suppkey GROUP BY 1""")
+def _(t):
+    means = grids.zonal_mean(t.cells(), _twice(t.rings(), 0.01))
+    return means.withColumn("mean_value", F.round("mean_value", 6))
+
+
 @query("huc8_for_points", _assigned("AND huc_level = 8"))
 def _(t):
     return spatial.huc_for_points(_points(t), t.hucs(), 8)
@@ -110,8 +136,8 @@ _SMALLER_SQL = RINGS_SQL.replace("outline(", "outline2(").replace(", outline)",
 @query("grid_iou", f"""{PAIRS_SQL}, {_SMALLER_SQL},
 pair2 AS (SELECT c.id, e.k, count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1 AS inside
   FROM cell c, edge2 e GROUP BY c.id, e.k)
-SELECT a.k AS polygon_id, round(count(*) FILTER (WHERE a.inside AND b.inside) / count(*), 6) AS iou
-FROM pair a JOIN pair2 b USING (id, k) WHERE a.inside OR b.inside GROUP BY 1""")
+SELECT s_suppkey AS polygon_id, iou FROM supplier LEFT JOIN (SELECT a.k, round(count(*) FILTER (WHERE a.inside AND b.inside) / count(*), 6) AS iou
+  FROM pair a JOIN pair2 b USING (id, k) WHERE a.inside OR b.inside GROUP BY 1) ON k = s_suppkey""")
 def _(t):
     k = F.col("polygon_id")
     cx = F.lit(-109) + (k * 7 % 700) / F.lit(100.0) + F.lit(0.00371)
@@ -277,7 +303,7 @@ def _(t):
 @query("grid_availability", f"""WITH {RINGS_SQL}, {CELLS_SQL}, box AS (SELECT k, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM vertex GROUP BY 1)
 SELECT k AS polygon_id, grid_id, count(*) FILTER (WHERE i) AS total, count(*) FILTER (WHERE i AND value IS NOT NULL) AS valid, count(value) AS valid_around,
   round(count(*) FILTER (WHERE i AND value IS NOT NULL) * 100.0 / nullif(count(*) FILTER (WHERE i), 0), 6) AS pct_valid
-FROM (SELECT *, lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 AS i FROM box, cell WHERE lon BETWEEN x0 - 1 AND x1 + 1 AND lat BETWEEN y0 - 1 AND y1 + 1) GROUP BY 1, 2""")
+FROM (SELECT *, lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1 AS i FROM box LEFT JOIN cell ON lon BETWEEN x0 - 1 AND x1 + 1 AND lat BETWEEN y0 - 1 AND y1 + 1) GROUP BY 1, 2""")
 def _(t):
     return grids.grid_availability(t.cells(), spatial.polygon_bbox(t.rings())).withColumn("pct_valid", F.round("pct_valid", 6))
 
@@ -329,3 +355,24 @@ def _(t):
 @query("smallest_granule_for_requests", f"{_REQUESTS_SQL} SELECT request_id, arg_min(granule_id, (size_mb, granule_id)) AS granule_id FROM hit GROUP BY 1")
 def _(t):
     return filters.smallest_granule(spatial.granules_for_requests(_requests(t), _granules(t))).select("request_id", "granule_id")
+
+
+@query("granules_for_requests_ts", f"""WITH {RINGS_SQL}, g AS (SELECT event_id AS granule_id, user_id AS u, -109 + (user_id % 700) / 1e2 AS x0, 37 + (user_id % 400) / 1e2 AS y0, ts AS a,
+  CASE WHEN event_id % 50 = 0 THEN TIMESTAMP '9999-12-31 23:59:59' ELSE ts + to_hours(CAST(event_id % 60 AS INTEGER)) END AS b FROM events),
+req AS (SELECT k AS request_id, min(x) AS rx0, min(y) AS ry0, max(x) AS rx1, max(y) AS ry1, TIMESTAMP '2024-01-05 07:30:00' + to_hours(CAST(k % 200 AS INTEGER)) AS ra,
+  CASE WHEN k % 3 = 0 THEN TIMESTAMP '2031-01-01 00:00:00' ELSE TIMESTAMP '2024-01-05 07:30:00' + to_hours(CAST(k % 200 + k % 7 AS INTEGER)) END AS rb FROM vertex GROUP BY k)
+SELECT request_id, granule_id FROM req, g WHERE rx0 <= x0 + 0.2e0 AND x0 <= rx1 AND ry0 <= y0 + 0.1e0 AND y0 <= ry1 AND ra <= b AND a <= rb""")
+def _(t):
+    """Ranges with times of day, of hours, of years and without an end."""
+    u = F.col("user_id")
+    lon, lat = F.lit(-109) + (u % 700) / F.lit(100.0), F.lit(37) + (u % 400) / F.lit(100.0)
+    end = F.when(F.col("event_id") % 50 == 0, F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")).otherwise(
+        F.expr("CAST(ts AS timestamp_ntz) + make_dt_interval(0, CAST(event_id % 60 AS INT))"))
+    granules = t.events.select(F.col("event_id").alias("granule_id"), lon.alias("min_lon"), lat.alias("min_lat"), (lon + 0.2).alias("max_lon"),
+                               (lat + 0.1).alias("max_lat"), F.col("ts").cast("timestamp_ntz").alias("start"), end.alias("end"))
+    start = F.expr("TIMESTAMP_NTZ '2024-01-05 07:30:00' + make_dt_interval(0, CAST(polygon_id % 200 AS INT))")
+    stop = F.when(F.col("polygon_id") % 3 == 0, F.lit("2031-01-01 00:00:00").cast("timestamp_ntz")).otherwise(
+        F.expr("TIMESTAMP_NTZ '2024-01-05 07:30:00' + make_dt_interval(0, CAST(polygon_id % 200 + polygon_id % 7 AS INT))"))
+    requests = spatial.polygon_bbox(t.rings()).select(F.col("polygon_id").alias("request_id"), "min_lon", "min_lat", "max_lon", "max_lat",
+                                                      start.alias("start"), stop.alias("end"))
+    return spatial.granules_for_requests(requests, granules).select("request_id", "granule_id")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freshet.operators.joins import lookup
 from freshet.functions.numeric import col
 from freshet.functions.text import normalize_name
 
@@ -139,9 +140,16 @@ def latest_scene(scenes: DataFrame, as_of, days: int = 30, by: str = "dataset",
     return recent.groupBy(col(by)).agg(newest.alias("_s")).select(col(by), "_s.*")
 
 
-def lookup_sites(requests: DataFrame, inventory: DataFrame, key: str = "site_id") -> DataFrame:
-    """Coordinates of requested sites by exact id; unknown ids keep NULL coordinates."""
-    return requests.join(inventory, key, "left")
+def lookup_sites(requests: DataFrame, inventory: DataFrame, key: str | Sequence[str] = "site_id") -> DataFrame:
+    """Coordinates of requested sites by exact id; unknown ids keep NULL coordinates.
+
+    Inventories are landed again and again; of the lines of one site the first
+    counts, in the order of their values, so every request stays one row.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in inventory.columns if c not in key]
+    first = inventory.groupBy(*map(col, key)).agg(F.min(F.struct(*map(col, rest))).alias("_first")).select(*map(col, key), "_first.*")
+    return lookup(requests, first, key)
 
 
 def resolve_basin(requests: DataFrame, basins: DataFrame) -> DataFrame:

@@ -39,7 +39,10 @@ def grid_bounds(cells: DataFrame, group: str = "grp") -> DataFrame:
 
 def grid_availability(cells: DataFrame, boxes: DataFrame, margin: float = 1.0,
                       id_col: str = "polygon_id", salts: int = SALTS) -> DataFrame:
-    """Cells and valid cells in each box, and valid cells in the box grown by ``margin``."""
+    """Cells and valid cells in each box, and valid cells in the box grown by ``margin``.
+
+    A box with no cell near it has a row without ``grid_id``: no cells, and no share that is valid.
+    """
     pairs = points_in_boxes(cells.select("grid_id", "lon", "lat", "value"), boxes, id_col,
                             margin=margin, salts=salts)
     in_box = in_bbox(F.col("lon"), F.col("lat"), [F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")])
@@ -47,7 +50,8 @@ def grid_availability(cells: DataFrame, boxes: DataFrame, margin: float = 1.0,
     out = pairs.groupBy(col(id_col), "grid_id").agg(
         F.count_if(in_box).alias("total"), F.count_if(in_box & valid).alias("valid"),
         F.count_if(valid).alias("valid_around"))
-    return out.withColumn("pct_valid", F.try_divide(F.col("valid") * 100.0, F.col("total")))
+    every = boxes.select(col(id_col)).distinct().join(out, id_col, "left").fillna(0, ["total", "valid", "valid_around"])
+    return every.withColumn("pct_valid", F.try_divide(F.col("valid") * 100.0, F.col("total")))
 
 
 def cells_with_coords(cells: DataFrame, transform: Sequence[Column | float]) -> DataFrame:
@@ -78,7 +82,7 @@ def cells_near_polygon(cells: DataFrame, polygons: DataFrame, distance: float,
 
 
 def _with_every_polygon(polygons: DataFrame, means: DataFrame, id_col: str) -> DataFrame:
-    return polygons.select(col(id_col)).join(means, id_col, "left")
+    return polygons.select(col(id_col)).distinct().join(means, id_col, "left")
 
 
 def zonal_mean(cells: DataFrame, polygons: DataFrame, id_col: str = "polygon_id",
@@ -125,11 +129,12 @@ def spatial_mean_by_time(cells: DataFrame, id_col: str = "polygon_id", ts: str =
 
 def grid_iou(cells: DataFrame, first: DataFrame, second: DataFrame, id_col: str = "polygon_id",
              cell_id: str = "cell_id", salts: int = SALTS) -> DataFrame:
-    """Overlap of two versions of each polygon, measured on cells: both / either."""
+    """Overlap of two versions of each polygon, measured on cells: both / either; NULL where no cell is in either."""
     both = first.select(F.struct(col(id_col).alias("id"), F.lit(True).alias("a")).alias("_v"), "ring").unionByName(
         second.select(F.struct(col(id_col).alias("id"), F.lit(False).alias("a")).alias("_v"), "ring"))
     hits = match_polygons(cells.select(col(cell_id), "lon", "lat"), both, id_col="_v", salts=salts)
     per_cell = hits.groupBy(F.col("_v.id").alias(id_col), col(cell_id)).agg(
         F.bool_or("_v.a").alias("_a"), F.bool_or(~F.col("_v.a")).alias("_b"))
-    return per_cell.groupBy(col(id_col)).agg(
-        (F.count_if(F.col("_a") & F.col("_b")) / F.count(F.lit(1))).alias("iou"))
+    measured = per_cell.groupBy(col(id_col)).agg((F.count_if(F.col("_a") & F.col("_b")) / F.count(F.lit(1))).alias("iou"))
+    every = first.select(col(id_col)).union(second.select(col(id_col))).distinct()
+    return every.join(measured, id_col, "left")

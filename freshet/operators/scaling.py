@@ -63,19 +63,14 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(col(column)).where(col(column).isNotNull()).distinct()
 
 
-def one_hot(df: DataFrame, column: str, prefix: str, max_values: int = 1000,
-            values: Sequence[str] | None = None, drop: bool = True) -> DataFrame:
-    """One boolean column ``<prefix>_<value>`` per value, sorted, at the end.
+def one_hot(df: DataFrame, column: str, prefix: str, values: Sequence, drop: bool = True) -> DataFrame:
+    """One boolean column ``<prefix>_<value>`` for each of ``values``, sorted, at the end.
 
-    NULL is false everywhere.  The domain is read with an action unless given;
-    over ``max_values`` this raises, and ``one_hot_index`` is the way to go.
+    NULL is false everywhere.  The columns are part of the schema, so the caller
+    says which there are; for a domain that comes from the data take
+    ``one_hot_index``.
     """
-    if values is None:
-        found = [r[0] for r in distinct_values(df, column).limit(max_values + 1).collect()]
-        if len(found) > max_values:
-            raise ValueError(f"{column} has over {max_values} values; use one_hot_index")
-        values = sorted(found)
-    flags = {f"{prefix}_{v}": F.coalesce(col(column) == F.lit(v), F.lit(False)) for v in values}
+    flags = {f"{prefix}_{v}": F.coalesce(col(column) == F.lit(v), F.lit(False)) for v in sorted(values)}
     out = df.withColumns(flags) if flags else df
     return out.drop(column) if drop else out
 

@@ -63,10 +63,9 @@ def with_halo(df: DataFrame, by: Sequence[str], before: int, after: int, chunk_r
 
     Adds ``_chunk``, the series and the chunk's number, and ``_own``; a row
     appears once as its chunk's own, and once more in the chunk on either side
-    when that chunk's frames reach it.
+    when that chunk's frames reach it.  A chunk has at least as many rows as a
+    frame looks ahead or back.
     """
-    if max(before, after) > chunk_rows:
-        raise ValueError(f"frames of {before}/{after} rows do not fit chunks of {chunk_rows}")
     home = F.floor(F.col(n) / chunk_rows)
     pos = F.col(n) % chunk_rows
     chunks = F.array_compact(F.array(
@@ -84,6 +83,7 @@ def _chunk_window(n: str = "_n"):
 def _roll(df: DataFrame, cols, window: int, by, chunk_rows: int, only_missing: bool) -> DataFrame:
     """Centred rolling mean of a numbered frame; keeps ``_n`` and ``_chunk``."""
     before, after = window // 2, window - 1 - window // 2
+    chunk_rows = max(chunk_rows, before, after)  # so that a frame reaches the next chunk at most
     frame = _chunk_window().rowsBetween(-before, after)
     cut = with_halo(df, by, before, after, chunk_rows)
 

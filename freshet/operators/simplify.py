@@ -16,78 +16,71 @@ from pyspark.sql import Column, DataFrame, functions as F
 from freshet.functions.numeric import col, round_coord
 from freshet.functions.rings import close_ring
 
-_MAX_HALVINGS = 40
-_SHORT, _FEW = 48, 400
+_PAIRS = 1 << 20  # segment pairs tested at a time
 
 # Send these helpers along with the plan, so that workers need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _farthest(p: np.ndarray, xs: list, ys: list, a: int, b: int, to_segment: bool) -> tuple[int, float]:
-    """Position strictly between a and b that is farthest from their chord, and how far."""
-    if b - a <= _SHORT:  # array calls cost more than a short loop
-        x0, y0 = xs[a], ys[a]
-        dx, dy = xs[b] - x0, ys[b] - y0
-        length_sq = dx * dx + dy * dy
-        at, best = a + 1, -1.0
-        for i in range(a + 1, b):
-            x, y = xs[i] - x0, ys[i] - y0
-            if to_segment:
-                t = min(max((x * dx + y * dy) / length_sq, 0.0), 1.0) if length_sq else 0.0
-                x, y = x - t * dx, y - t * dy
-                d = x * x + y * y
-            else:
-                d = abs(dx * y - dy * x)
-            if d > best:
-                at, best = i, d
-        return at, best ** 0.5 if to_segment else (best / length_sq ** 0.5 if length_sq else 0.0)
-    dx, dy = p[b] - p[a]
-    off = p[a + 1:b] - p[a]
-    x, y = off[:, 0], off[:, 1]
-    length_sq = dx * dx + dy * dy
-    if to_segment:
-        t = np.clip((x * dx + y * dy) / length_sq, 0.0, 1.0) if length_sq else 0.0
-        d = np.hypot(x - t * dx, y - t * dy)
-    else:
-        d = np.abs(dx * y - dy * x) / (length_sq ** 0.5 if length_sq else np.inf)
-    i = int(d.argmax())
-    return a + 1 + i, float(d[i])
-
-
-def keep_line(p: np.ndarray, epsilon: float, to_segment: bool = False) -> np.ndarray:
-    """Positions that Ramer-Douglas-Peucker keeps of an open line."""
-    xs, ys = p[:, 0].tolist(), p[:, 1].tolist()
-    kept = [0, len(xs) - 1]
-    todo = [(0, len(xs) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        i, d = _farthest(p, xs, ys, a, b, to_segment)
-        if d > epsilon:
-            kept.append(i)
-            todo += [(a, i), (i, b)]
-    return np.array(sorted(set(kept)))
-
-
-def keep_ring(p: np.ndarray, epsilon: float, to_segment: bool = False) -> np.ndarray:
-    """Positions to keep of a closed ring: split at the vertex farthest from the first."""
-    everything = np.arange(len(p))
-    if len(p) <= 4:
-        return everything
-    far = int(np.hypot(*(p - p[0]).T).argmax())
-    if far == 0:
+def keep_lines(p: np.ndarray, starts: np.ndarray, ends: np.ndarray, epsilon: np.ndarray, to_segment: bool = False) -> np.ndarray:
+    """Which vertices Ramer-Douglas-Peucker keeps of the open lines ``p[start:end + 1]``, as a mask.
+
+    All lines are walked together: a step takes every chord that may still be
+    split, finds the vertex farthest from each, and splits the chords whose
+    farthest vertex is more than the line's ``epsilon`` away.
+    """
+    keep = np.zeros(len(p), bool)
+    keep[starts], keep[ends] = True, True
+    a, b, eps = starts, ends, epsilon
+    while True:
+        open_ = b - a > 1
+        a, b, eps = a[open_], b[open_], eps[open_]
+        if not len(a):
+            return keep
+        count = b - a - 1
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        chord = np.repeat(np.arange(len(a)), count)
+        at = np.arange(count.sum()) - first[chord] + a[chord] + 1
+        d, off = (p[b] - p[a])[chord], p[at] - p[a[chord]]
+        length_sq = (d * d).sum(axis=1)
+        flat = length_sq == 0
+        safe = np.where(flat, 1.0, length_sq)
+        if to_segment:
+            t = np.where(flat, 0.0, np.clip((off * d).sum(axis=1) / safe, 0.0, 1.0))
+            away = np.hypot(off[:, 0] - t * d[:, 0], off[:, 1] - t * d[:, 1])
+        else:
+            away = np.where(flat, 0.0, np.abs(d[:, 0] * off[:, 1] - d[:, 1] * off[:, 0]) / np.sqrt(safe))
+        best = np.maximum.reduceat(away, first)
+        hits = np.flatnonzero(away == best[chord])
+        at_best = at[hits[np.searchsorted(chord[hits], np.arange(len(a)))]]  # the first of equally far ones
+        split = best > eps
+        at_best = at_best[split]
+        keep[at_best] = True
+        a, b, eps = np.concatenate([a[split], at_best]), np.concatenate([at_best, b[split]]), np.concatenate([eps[split]] * 2)
+
+
+def keep_rings(rings: list[np.ndarray], epsilon: np.ndarray, to_segment: bool = False) -> list[np.ndarray]:
+    """Positions to keep of closed rings: each split at the vertex farthest from its first, both halves walked as lines."""
+    everything = [np.arange(len(p)) for p in rings]
+    far = [int(np.hypot(*(p - p[0]).T).argmax()) if len(p) > 4 else 0 for p in rings]
+    walked = [k for k, f in enumerate(far) if f]
+    if not walked:
         return everything
-    a = keep_line(p[:far + 1], epsilon, to_segment)
-    b = keep_line(p[far:], epsilon, to_segment) + far
-    kept = np.union1d(a, b)
-    if len(kept) < 4:  # both halves went flat: keep the vertex that gives the ring its width
-        chord = p[far] - p[0]
-        off = np.abs(chord[0] * (p[:, 1] - p[0, 1]) - chord[1] * (p[:, 0] - p[0, 0]))
-        if off.max() == 0.0:
-            return everything
-        kept = np.union1d(kept, [int(off.argmax())])
-    return kept
+    p = np.concatenate([rings[k] for k in walked])
+    start = np.concatenate([[0], np.cumsum([len(rings[k]) for k in walked])])
+    middle = start[:-1] + [far[k] for k in walked]
+    eps = np.asarray(epsilon, float)[walked]
+    keep = keep_lines(p, np.concatenate([start[:-1], middle]), np.concatenate([middle, start[1:] - 1]), np.concatenate([eps, eps]), to_segment)
+    out = list(everything)
+    for k, x, y in zip(walked, start, start[1:]):
+        kept = np.flatnonzero(keep[x:y])
+        if len(kept) < 4:  # both halves went flat: keep the vertex that gives the ring its width
+            q = rings[k]
+            chord = q[far[k]] - q[0]
+            off = np.abs(chord[0] * (q[:, 1] - q[0, 1]) - chord[1] * (q[:, 0] - q[0, 0]))
+            kept = everything[k] if off.max() == 0.0 else np.union1d(kept, [int(off.argmax())])
+        out[k] = kept
+    return out
 
 
 def self_intersects(p: np.ndarray) -> bool:
@@ -108,42 +101,64 @@ def self_intersects(p: np.ndarray) -> bool:
                            & (side(a[j], b[j], a[i]) * side(a[j], b[j], b[i]) <= 0)))
 
     low, high = np.minimum(a, b), np.maximum(a, b)
-    if n <= _FEW:
-        return any_touch(*np.triu_indices(n, 2))
     order = np.argsort(low[:, 0], kind="stable")  # sweep along x
-    ends = np.searchsorted(low[order, 0], high[order, 0], side="right")
-    return any(any_touch(np.full(end - at - 1, i), order[at + 1:end])
-               for at, (i, end) in enumerate(zip(order, ends)) if end > at + 1)
-
-
-def keep_simple_ring(p: np.ndarray, tolerance: float) -> np.ndarray:
-    """Like ``keep_ring``, but halves the tolerance until the result does not cross itself."""
-    for _ in range(_MAX_HALVINGS):
-        kept = keep_ring(p, tolerance, to_segment=True)
-        if len(kept) == len(p):
-            break
-        if not self_intersects(p[kept]):
-            return kept
-        tolerance /= 2
-    return np.arange(len(p))
+    after = np.searchsorted(low[order, 0], high[order, 0], side="right") - np.arange(n) - 1
+    done = 0
+    while done < n:  # as many segments as have a bounded number of partners
+        stop = max(done + 1, int(np.searchsorted(np.cumsum(after[done:]), _PAIRS)) + done)
+        count = after[done:stop]
+        left = np.repeat(np.arange(done, min(stop, n)), count)
+        right = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + left + 1
+        if any_touch(order[left], order[right]):
+            return True
+        done = stop
+    return False
+
+
+def keep_simple_rings(rings: list[np.ndarray], tolerance: np.ndarray) -> list[np.ndarray]:
+    """Like ``keep_rings``, but halves a ring's tolerance until simplifying makes it cross itself nowhere.
+
+    A ring that touches itself to begin with has nothing to protect: it is
+    simplified once.
+    """
+    tolerance = np.array(tolerance, float)
+    out = keep_rings(rings, tolerance, to_segment=True)
+    open_ = [k for k, p in enumerate(rings) if len(out[k]) < len(p) and self_intersects(p[out[k]]) and not self_intersects(p)]
+    while open_:
+        tolerance[open_] /= 2
+        for k, kept in zip(open_, keep_rings([rings[k] for k in open_], tolerance[open_], to_segment=True)):
+            out[k] = kept if tolerance[k] else np.arange(len(rings[k]))
+        open_ = [k for k in open_ if len(out[k]) < len(rings[k]) and self_intersects(rings[k][out[k]])]
+    return out
 
 
 def _kept_positions(choose, ring: Column, amount: Column) -> Column:
     @F.pandas_udf("array<int>")
     def positions(lons: pd.Series, lats: pd.Series, amounts: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if x is None else choose(np.column_stack([x, y]).astype(float), float(t)).astype("int32")
-            for x, y, t in zip(lons, lats, amounts)])
+        there = [k for k, x in enumerate(lons) if x is not None]
+        rings = [np.column_stack([lons.iloc[k], lats.iloc[k]]).astype(float).reshape(-1, 2) for k in there]
+        out: list = [None] * len(lons)
+        for k, kept in zip(there, choose(rings, amounts.to_numpy(float)[there])):
+            out[k] = kept.astype("int32")
+        return pd.Series(out, dtype=object)
 
     # Not deterministic only in name: it keeps the optimizer from copying the call
     # into filters of its own, which would run the walk twice.
     return positions.asNondeterministic()(ring["lon"], ring["lat"], amount)
 
 
-def _rdp(p: np.ndarray, epsilon: float) -> np.ndarray:
-    if len(p) < 3:
-        return np.arange(len(p))
-    return keep_ring(p, epsilon) if np.array_equal(p[0], p[-1]) else keep_line(p, epsilon)
+def _rdp(lines: list[np.ndarray], epsilon: np.ndarray) -> list[np.ndarray]:
+    out = [np.arange(len(p)) for p in lines]
+    closed = [k for k, p in enumerate(lines) if len(p) > 2 and np.array_equal(p[0], p[-1])]
+    for k, kept in zip(closed, keep_rings([lines[k] for k in closed], epsilon[closed])):
+        out[k] = kept
+    opened = [k for k, p in enumerate(lines) if len(p) > 2 and not np.array_equal(p[0], p[-1])]
+    if opened:
+        start = np.concatenate([[0], np.cumsum([len(lines[k]) for k in opened])])
+        keep = keep_lines(np.concatenate([lines[k] for k in opened]), start[:-1], start[1:] - 1, epsilon[opened])
+        for k, x, y in zip(opened, start, start[1:]):
+            out[k] = np.flatnonzero(keep[x:y])
+    return out
 
 
 def _pick(df: DataFrame, ring: str, choose, amount: Column, digits: int | None) -> DataFrame:
@@ -171,7 +186,7 @@ def simplify_rings(df: DataFrame, tolerance: float | Column = 0.005, ring: str =
                    digits: int = 6) -> DataFrame:
     """Simplify closed rings without letting them cross themselves; rounds coordinates.
 
-    A ring that cannot be simplified that way stays as it is.
+    Where the tolerance would make a ring cross itself, a smaller one is taken.
     """
     amount = tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))
-    return _pick(df.withColumn(ring, close_ring(col(ring))), ring, keep_simple_ring, amount, digits)
+    return _pick(df.withColumn(ring, close_ring(col(ring))), ring, keep_simple_rings, amount, digits)

@@ -60,25 +60,35 @@ def _levels_in_use(df: DataFrame) -> Column:
     return df.select("_lvl").distinct().agg(F.collect_list("_lvl")).scalar()
 
 
-def ring_buckets(polygons: DataFrame, id_col: str = "polygon_id", ring_col: str = "ring",
-                 margin: float = 0.0) -> DataFrame:
-    """(id, _lvl, _bx, _by, _anchor_in, _edges, _ups) for every bucket a polygon needs.
-
-    ``_edges`` are the edges passing through, with what tests against them need
-    worked out once.  ``_ups`` are the heights at which edges cross the vertical
-    through the anchor.  ``margin`` widens what counts as passing through, for
-    searches within a distance of the boundary.
+def polygon_parts(polygons: DataFrame, id_col: str, ring_col: str, margin: float) -> DataFrame:
+    """(id, _part, _ring, _lvl): each different ring of each polygon, once.
+
+    Landed polygons repeat and may have several rings under one id.  All parts of
+    a polygon get the bucket size of the one that needs the largest.
+    """
+    parts = (polygons.select(col(id_col), F.xxhash64(col(ring_col)).alias("_part"), col(ring_col).alias("_ring"))
+             .dropDuplicates([id_col, "_part"]))
+    return parts.withColumn("_lvl", F.max(_polygon_level(F.col("_ring"), margin)).over(W.partitionBy(col(id_col))))
+
+
+def ring_buckets(parts: DataFrame, id_col: str = "polygon_id", margin: float = 0.0) -> DataFrame:
+    """(id, _lvl, _bx, _by, _rings) for every bucket a polygon needs, from its :func:`polygon_parts`.
+
+    ``_rings`` has an entry (_anchor_in, _edges, _ups) for every part that reaches
+    the bucket.  ``_edges`` are the edges passing through, with what tests against
+    them need worked out once.  ``_ups`` are the heights at which edges cross the
+    vertical through the anchor.  ``margin`` widens what counts as passing
+    through, for searches within a distance of the boundary.
     """
-    edges = (polygons.select(col(id_col), _polygon_level(col(ring_col), margin).alias("_lvl"),
-                             F.explode(ring_edges(close_ring(col(ring_col)))).alias("e"))
-                     .withColumn("_s", _size(F.col("_lvl"))))
+    edges = (parts.select(col(id_col), "_part", "_lvl", F.explode(ring_edges(close_ring(F.col("_ring")))).alias("e"))
+                  .withColumn("_s", _size(F.col("_lvl"))))
     e, s = F.col("e"), F.col("_s")
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
 
     def span(a: Column, b: Column, grow: float) -> Column:
         return F.explode(F.sequence(_bucket(F.least(a, b) - grow, s), _bucket(F.greatest(a, b) + grow, s)))
 
-    key = [col(id_col), F.col("_lvl"), F.col("_bx"), F.col("_by")]
+    key = [col(id_col), F.col("_part"), F.col("_lvl"), F.col("_bx"), F.col("_by")]
     anchor_x = (F.col("_bx") + F.lit(_AX)) * s
     edge = F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"),
                     dx.alias("dx"), dy.alias("dy"), F.coalesce(F.try_divide(dx, dy), F.lit(0.0)).alias("slope"),
@@ -97,22 +107,22 @@ def ring_buckets(polygons: DataFrame, id_col: str = "polygon_id", ring_col: str
     cuts = (edges.withColumn("_by", F.explode(F.sequence(
                     _bucket(F.least(e["y1"], e["y2"]), s) - 1, _bucket(F.greatest(e["y1"], e["y2"]), s))))
                  .where((e["y1"] > line) != (e["y2"] > line))
-                 .select(col(id_col), "_lvl", "_by",
+                 .select(col(id_col), "_part", "_lvl", "_by",
                          (F.ceil(cut_x / s - F.lit(_AX)) - 1).alias("_last")))
-    row = W.partitionBy(col(id_col), "_by").orderBy("_last")
+    row = W.partitionBy(col(id_col), "_part", "_by").orderBy("_last")
     runs = (cuts.withColumn("_to_right", F.count(F.lit(1)).over(
-                    W.partitionBy(col(id_col), "_by").orderBy(F.col("_last"))
+                    W.partitionBy(col(id_col), "_part", "_by").orderBy(F.col("_last"))
                      .rowsBetween(W.currentRow, W.unboundedFollowing)))
                 .withColumn("_prev", F.lag("_last").over(row))
                 .where((F.col("_to_right") % 2 == 1) & (F.col("_last") > F.col("_prev"))))
-    inside = runs.select(col(id_col), "_lvl", "_by",
+    inside = runs.select(col(id_col), "_part", "_lvl", "_by",
                          F.explode(F.sequence(F.col("_prev") + 1, F.col("_last"))).alias("_bx"),
                          F.lit(True).alias("_anchor_in"))
-    return (through.join(inside, [id_col, "_lvl", "_bx", "_by"], "full")
-                   .withColumns({
-                       "_anchor_in": F.coalesce("_anchor_in", F.lit(False)),
-                       "_edges": F.coalesce("_edges", F.array().cast(_EDGES)),
-                       "_ups": F.coalesce("_ups", F.array().cast("array<double>"))}))
+    ring = F.struct(F.coalesce("_anchor_in", F.lit(False)).alias("_anchor_in"),
+                    F.coalesce("_edges", F.array().cast(_EDGES)).alias("_edges"),
+                    F.coalesce("_ups", F.array().cast("array<double>")).alias("_ups"))
+    return (through.join(inside, [id_col, "_part", "_lvl", "_bx", "_by"], "full")
+                   .groupBy(col(id_col), "_lvl", "_bx", "_by").agg(F.collect_list(ring).alias("_rings")))
 
 
 def _in_buckets(points: DataFrame, x: str, y: str, levels: Column) -> DataFrame:
@@ -133,14 +143,14 @@ def _salted_join(points: DataFrame, buckets: DataFrame, salts: int, also: Sequen
 
 
 def _point_state(x: Column, y: Column, margin: float) -> Column:
-    """``struct<inside, away_sq>`` of a point joined to its bucket.
+    """``struct<inside, _edge_sq>`` of a point joined to its bucket.
 
-    The way from the anchor goes straight up or down to the point's height, then
-    across; edges it crosses flip the anchor's side.
+    Inside a polygon is inside any of its parts.  The way from the anchor goes
+    straight up or down to the point's height, then across; edges it crosses
+    flip the anchor's side.
     """
     size = _size(F.col("_lvl"))
     ax, ay = (F.col("_bx") + F.lit(_AX)) * size, (F.col("_by") + F.lit(_AY)) * size
-    vertical = F.size(F.filter("_ups", lambda v: (v > ay) != (v > y)))
 
     def crossed(e: Column) -> Column:
         at = e["x1"] + (y - e["y1"]) * e["slope"]
@@ -151,12 +161,15 @@ def _point_state(x: Column, y: Column, margin: float) -> Column:
                 & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    flips = vertical + F.size(F.filter("_edges", crossed))
+    def holds(ring: Column) -> Column:
+        flips = F.size(F.filter(ring["_ups"], lambda v: (v > ay) != (v > y))) + F.size(F.filter(ring["_edges"], crossed))
+        return F.when(F.size(ring["_edges"]) == 0, ring["_anchor_in"]).otherwise(
+            (ring["_anchor_in"] != (flips % 2 == 1)) & ~F.exists(ring["_edges"], on_edge))
+
     # Outside the polygon's own box there is nothing to walk.
     box = F.col("_box")
     in_box = (x >= box["min_lon"]) & (x <= box["max_lon"]) & (y >= box["min_lat"]) & (y <= box["max_lat"])
-    inside = F.when(~in_box, F.lit(False)).when(F.size("_edges") == 0, F.col("_anchor_in")).otherwise(
-        (F.col("_anchor_in") != (flips % 2 == 1)) & ~F.exists("_edges", on_edge))
+    inside = F.when(~in_box, F.lit(False)).otherwise(F.exists("_rings", holds))
     if margin <= 0:
         return F.struct(inside.alias("inside"))
 
@@ -165,7 +178,10 @@ def _point_state(x: Column, y: Column, margin: float) -> Column:
             (x - e["x1"]) * e["dx"] + (y - e["y1"]) * e["dy"]) * e["per_length_sq"]))
         return F.pow(x - e["x1"] - t * e["dx"], 2) + F.pow(y - e["y1"] - t * e["dy"], 2)
 
-    return F.struct(inside.alias("inside"), F.array_min(F.transform("_edges", distance_sq)).alias("_edge_sq"))
+    # Only a point outside needs its distance.
+    nearest = F.array_min(F.transform("_rings", lambda r: F.array_min(F.transform(r["_edges"], distance_sq))))
+    return F.transform(F.array(inside), lambda i: F.struct(
+        i.alias("inside"), F.when(i, F.lit(0.0)).otherwise(nearest).alias("_edge_sq")))[0]
 
 
 def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
@@ -175,6 +191,11 @@ def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: st
                    same: tuple[str, str] | None = None) -> DataFrame:
     """Every (point, polygon) pair that the polygon contains; adds ``inside`` (strictly).
 
+    Rows of ``polygons`` with one id are parts of one polygon, and repeated rows
+    count once.  A polygon contains a point when any part does, and is as far
+    away as its nearest part; a pair comes out once however many parts it meets.
+    Of differing ``attrs`` of one id the smallest are taken.
+
     With ``margin`` also pairs within that distance of the boundary, and
     ``away_sq``, the squared distance from the polygon: 0 inside.  With
     ``touched_half``, half the width and height of a cell, instead also pairs
@@ -182,15 +203,21 @@ def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: st
     column that must be equal too; they become part of the join key.
     """
     reach = max(touched_half) if touched_half is not None else margin
-    buckets = ring_buckets(polygons, id_col, ring_col, reach)
-    box = ring_bbox(col(ring_col))
-    extra = polygons.select(col(id_col), box.alias("_box"), *map(col, attrs))
-    levels = _levels_in_use(polygons.select(_polygon_level(col(ring_col), reach).alias("_lvl")))
+    parts = polygon_parts(polygons, id_col, ring_col, reach)
+    buckets = ring_buckets(parts, id_col, reach)
+    boxed = parts.select(col(id_col), ring_bbox(F.col("_ring")).alias("_b")).groupBy(col(id_col)).agg(F.struct(
+        F.min("_b.min_lon").alias("min_lon"), F.min("_b.min_lat").alias("min_lat"),
+        F.max("_b.max_lon").alias("max_lon"), F.max("_b.max_lat").alias("max_lat")).alias("_box"))
+    extra = boxed
+    if attrs:
+        named = polygons.groupBy(col(id_col)).agg(F.min(F.struct(*map(col, attrs))).alias("_a"))
+        extra = boxed.join(named.select(col(id_col), "_a.*"), id_col)
+    levels = _levels_in_use(parts)
     placed, kept, also = _in_buckets(points, x, y, levels), buckets.join(extra, id_col), []
     if same is not None:
         also = ["_same"]
         placed = placed.withColumn("_same", col(same[0]))
-        kept = kept.join(polygons.select(col(id_col), col(same[1]).alias("_same")), id_col)
+        kept = kept.join(polygons.select(col(id_col), col(same[1]).alias("_same")).distinct(), id_col)
     pairs = _salted_join(placed, kept, salts, also).drop(*also)
     # Four comparisons spare most of the pairs that only share a bucket.
     grown = [F.col(f"_box.{c}") for c in _BOX]
@@ -202,14 +229,13 @@ def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: st
     pairs = pairs.select("*", F.inline(F.array(_point_state(col(x), col(y), measure))))
     if touched_half is not None:
         hx, hy = touched_half
-        pairs = pairs.where(F.col("inside") | F.exists(F.col("_edges"), lambda e: edge_meets_box(
-            e, col(x) - hx, col(y) - hy, col(x) + hx, col(y) + hy)))
+        pairs = pairs.where(F.col("inside") | F.exists("_rings", lambda r: F.exists(r["_edges"], lambda e: edge_meets_box(
+            e, col(x) - hx, col(y) - hy, col(x) + hx, col(y) + hy))))
     elif margin > 0:
-        pairs = pairs.withColumn("away_sq", F.when(F.col("inside"), F.lit(0.0)).otherwise(F.col("_edge_sq"))).where(
-            F.col("away_sq") <= F.lit(float(margin) ** 2)).drop("_edge_sq")
+        pairs = pairs.withColumnRenamed("_edge_sq", "away_sq").where(F.col("away_sq") <= F.lit(float(margin) ** 2))
     else:
         pairs = pairs.where("inside")
-    return pairs.drop("_lvl", "_bx", "_by", "_edges", "_ups", "_anchor_in", "_box")
+    return pairs.drop("_lvl", "_bx", "_by", "_rings", "_box")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, **kw) -> DataFrame:
@@ -251,7 +277,7 @@ def huc_code(level: Column, huc2: Column, code: Column, name: Column) -> Column:
 def huc_for_points(points: DataFrame, polygons: DataFrame, level: int, **kw) -> DataFrame:
     """Each point's watershed at level 4, 6 or 8."""
     if level not in HUC_LEVELS:
-        raise ValueError("HUC level must be either 4, 6, or 8")
+        raise ValueError(f"no watersheds of level {level}; there are {HUC_LEVELS}")
     return assign_watershed(points, polygons, level=level, **kw)
 
 
@@ -279,21 +305,32 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
     """Granules that overlap each request's box and date range.
 
     Requests and granules carry ``start``, ``end`` and the four box columns.
-    Both are laid out on (bucket size, bucket, day); a pair is made at the
-    coarser of the two sizes, and only in the bucket and on the day where its
-    overlap begins, so it comes out once.
+    Dates and timestamps both work, and the ranges are compared exactly.  Both
+    sides are laid out on buckets of space and of whole days, each of a power of
+    two that suits the own extent, so a range of any length lies in two spans of
+    days at most.  A pair is made at the coarser of the two sizes, and only in
+    the bucket and span where its overlap begins, so it comes out once.
     """
-    def laid_out(df: DataFrame, tag: str, levels: Column) -> DataFrame:
-        sized = df.select(*[col(c).alias(f"{tag}{c}") for c in df.columns]).withColumn(
-            f"{tag}_own", _box_level(tag))
+    def laid_out(df: DataFrame, tag: str, levels: Column, spans: Column) -> DataFrame:
+        sized = df.select(*[col(c).alias(f"{tag}{c}") for c in df.columns]).where(F.col(f"{tag}start") <= F.col(f"{tag}end"))
+        sized = sized.withColumns({f"{tag}own": _box_level(tag), f"{tag}span": _span_level(tag)})
         box = {c: F.col(f"{tag}{c}") for c in _BOX}
         s = _size(F.col("_lvl"))
-        return (sized.withColumn("_lvl", F.explode(levels)).where(F.col("_lvl") >= F.col(f"{tag}_own"))
+        return (sized.withColumn("_lvl", F.explode(levels)).where(F.col("_lvl") >= F.col(f"{tag}own"))
                      .withColumn("_bx", F.explode(F.sequence(_bucket(box["min_lon"], s), _bucket(box["max_lon"], s))))
                      .withColumn("_by", F.explode(F.sequence(_bucket(box["min_lat"], s), _bucket(box["max_lat"], s))))
-                     .where(F.col(f"{tag}start") <= F.col(f"{tag}end"))
-                     .withColumn("_day", F.explode(F.sequence(F.col(f"{tag}start"), F.col(f"{tag}end"),
-                                                              F.expr("interval 1 day")))))
+                     .withColumn("_span", F.explode(spans)).where(F.col("_span") >= F.col(f"{tag}span"))
+                     .withColumn("_day", F.explode(F.sequence(_in_span(_day(F.col(f"{tag}start"))), _in_span(_day(F.col(f"{tag}end")))))))
+
+    def _day(t: Column) -> Column:
+        return F.date_diff(t.cast("date"), F.lit("1970-01-01").cast("date"))
+
+    def _in_span(day: Column) -> Column:
+        return F.call_function("shiftright", day, F.col("_span"))
+
+    def _span_level(tag: str) -> Column:
+        days = _day(F.col(f"{tag}end")) - _day(F.col(f"{tag}start")) + 1
+        return F.ceil(F.log2(days.cast("double"))).cast("int")
 
     def _box_level(tag: str) -> Column:
         wide = F.greatest(F.col(f"{tag}max_lon") - F.col(f"{tag}min_lon"),
@@ -301,12 +338,15 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
         return _level(wide)
 
     def own_levels(df: DataFrame) -> DataFrame:
-        return df.select(*[col(c).alias(f"z{c}") for c in _BOX]).select(_box_level("z").alias("_lvl"))
-
-    levels = _levels_in_use(own_levels(requests).unionByName(own_levels(granules)))
-    keys = ["_lvl", "_bx", "_by", "_day"]
-    left, right = laid_out(requests, "r_", levels), laid_out(granules, "g_", levels)
-    if salts > 1:  # one bucket and day may hold most requests
+        named = df.select(*[col(c).alias(f"z{c}") for c in ("start", "end", *_BOX)]).where(F.col("zstart") <= F.col("zend"))
+        return named.select(_box_level("z").alias("_lvl"), _span_level("z").alias("_span"))
+
+    own = own_levels(requests).unionByName(own_levels(granules))
+    levels = _levels_in_use(own)
+    spans = own.select("_span").distinct().agg(F.collect_list("_span")).scalar()  # at most 22 numbers
+    keys = ["_lvl", "_bx", "_by", "_span", "_day"]
+    left, right = laid_out(requests, "r_", levels, spans), laid_out(granules, "g_", levels, spans)
+    if salts > 1:  # one bucket and span may hold most requests
         left = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(f"r_{request_id}")), F.lit(salts)))
         right = right.withColumn("_salt", F.explode(
             F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -315,10 +355,11 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
     low_x = F.greatest("r_min_lon", "g_min_lon")
     low_y = F.greatest("r_min_lat", "g_min_lat")
     pairs = left.join(right, keys).where(
-        (F.col("_lvl") == F.greatest("r__own", "g__own"))
+        (F.col("_lvl") == F.greatest("r_own", "g_own")) & (F.col("_span") == F.greatest("r_span", "g_span"))
+        & (F.col("r_start") <= F.col("g_end")) & (F.col("g_start") <= F.col("r_end"))
         & (F.col("r_min_lon") <= F.col("g_max_lon")) & (F.col("g_min_lon") <= F.col("r_max_lon"))
         & (F.col("r_min_lat") <= F.col("g_max_lat")) & (F.col("g_min_lat") <= F.col("r_max_lat"))
         & (F.col("_bx") == _bucket(low_x, s)) & (F.col("_by") == _bucket(low_y, s))
-        & (F.col("_day") == F.greatest("r_start", "g_start")))
+        & (F.col("_day") == _in_span(F.greatest(_day(F.col("r_start")), _day(F.col("g_start"))))))
     return pairs.select(F.col(f"r_{request_id}").alias(request_id),
                         *[F.col(f"g_{c}").alias(c) for c in granules.columns])

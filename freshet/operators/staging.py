@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: str | None = None
+def shared(df: DataFrame) -> DataFrame:
+    """Keep the frame's rows with the executors once they are made, on disk where memory is short.
 
-
-def staging_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for checkpoints; a temporary one only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    global _own_folder
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="freshet-")
-    return _own_folder
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame once and read it back.  Runs the plan.
-
-    For a frame that several branches of a plan need: each branch would compute
-    it again otherwise.  The table lies in shared storage, so losing executors
-    loses none of it, and the branches read only the columns they use.
+    For a frame that several branches of a plan need: each branch would compute it
+    again otherwise.  Nothing runs until the branches do, and what a lost executor
+    held is made again from its lineage.
     """
-    path = f"{staging_folder(df.sparkSession)}/freshet-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

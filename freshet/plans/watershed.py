@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from freshet.functions.numeric import col
 from freshet.functions.rings import clean_rings, intersects_bounds, ring_bbox
 from freshet.operators.filters import date_range, day, resolve_basin, smallest_granule, valid_cells
 from freshet.operators.grids import cells_with_coords, clip_cells, expanding_mean_of_pairs, spatial_mean_by_time
 from freshet.operators.joins import SALTS, lookup
 from freshet.operators.simplify import simplify_rings
 from freshet.operators.snow import swe_to_daily
-from freshet.operators.staging import staged
+from freshet.operators.staging import shared
 from freshet.operators.spatial import granules_for_requests, huc_for_points, match_polygons
 
 
@@ -35,14 +36,14 @@ def simplified_hucs(polygons: DataFrame, level: int, tolerance: float = 0.005) -
 
 def _used(points: DataFrame, polygons: DataFrame, level: int, point_id: str, tolerance: float,
           salts: int) -> tuple[DataFrame, DataFrame]:
-    """(point -> polygon, the simplified polygons that hold a point), both staged.
+    """(point -> polygon, the simplified polygons that hold a point), both shared.
 
     Placing the points and simplifying in Python are the dear parts; what follows
     reads both results several times.
     """
-    found = staged(huc_for_points(points, polygons, level, point_id=point_id, salts=salts), "placed-points")
+    found = shared(huc_for_points(points, polygons, level, point_id=point_id, salts=salts))
     used = polygons.where(F.col("huc_level") == level).join(found.select("huc_id").distinct(), "huc_id", "left_semi")
-    return found, staged(simplified_hucs(used, level, tolerance), "simplified-rings")
+    return found, shared(simplified_hucs(used, level, tolerance))
 
 
 def huc_boundary(points: DataFrame, polygons: DataFrame, level: int = 8, bounds: Sequence[float] | None = None,
@@ -65,8 +66,8 @@ def huc_soil_moisture(points: DataFrame, polygons: DataFrame, granules: DataFram
     found, rings = _used(points, polygons, level, point_id, tolerance, salts)
     boxed = rings.select("polygon_id", "ring", ring_bbox(F.col("ring")).alias("b"))
     requests = boxed.select(F.col("polygon_id").alias("request_id"), day(start).alias("start"), day(end).alias("end"), "b.*")
-    chosen = staged(smallest_granule(granules_for_requests(requests, granules, salts=salts)).select(
-        F.col("request_id").alias("polygon_id"), F.col("granule_id")), "chosen-granules")
+    chosen = shared(smallest_granule(granules_for_requests(requests, granules, salts=salts)).select(
+        F.col("request_id").alias("polygon_id"), F.col("granule_id")))
     # Most granules are nobody's choice: drop their cells before the spatial join, in
     # which the granule is part of the key, so a polygon only meets cells of its own.
     usable = lookup(valid_cells(cells), chosen.select(F.col("granule_id").alias("grid_id")).distinct(), ["grid_id"],
@@ -79,9 +80,15 @@ def huc_soil_moisture(points: DataFrame, polygons: DataFrame, granules: DataFram
 
 
 def huc_drought_cells(points: DataFrame, polygons: DataFrame, cells: DataFrame, transform, level: int = 8,
-                      tolerance: float = 0.005, point_id: str = "point_id", salts: int = SALTS) -> DataFrame:
-    """Drought-index cells in the watersheds that hold a point: (polygon_id, latitude, longitude, value)."""
+                      tolerance: float = 0.005, point_id: str = "point_id", salts: int = SALTS, on=None,
+                      date: str = "ts") -> DataFrame:
+    """Drought-index cells in the watersheds that hold a point: (polygon_id, latitude, longitude, value).
+
+    ``on`` picks the cells of one day, by their column ``date``; without it every cell counts.
+    """
     _, rings = _used(points, polygons, level, point_id, tolerance, salts)
+    if on is not None:
+        cells = cells.where(col(date).cast("date") == day(on))
     placed = cells_with_coords(cells, transform)
     inside = clip_cells(placed, rings.select("polygon_id", "ring"), salts=salts)
     return inside.select("polygon_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "value")

@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_combined(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                   buckets: int = 64) -> None:
+                   buckets: int = 64, salts: int = 8) -> None:
     """The merged table, laid out by station.
 
-    Stations go into a fixed number of folders by hash, so the number of files
-    does not grow with the number of stations; rows are not gathered per
-    station before the write, so a hot station does not make a hot task.
+    Stations go into a fixed number of folders by hash.  The rows of a folder are
+    gathered by month and a salt before the write, so a task writes few folders
+    and a hot station is written by many tasks.
     """
     out = df.withColumn("station_bucket", F.pmod(F.xxhash64("station_id"), F.lit(buckets)))
+    out = out.repartition("station_bucket", F.trunc("date", "month"), F.pmod(F.xxhash64("station_id", "date"), F.lit(salts)))
     writer = out.sortWithinPartitions("station_bucket", "station_id", "date").write.mode(mode).partitionBy("station_bucket")
     if fmt == "csv":
         writer.csv(path, header=True)

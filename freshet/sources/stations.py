@@ -65,5 +65,5 @@ def read_stations_usgs(spark: SparkSession, path) -> DataFrame:
 def read_stations(spark: SparkSession, path, data_source: str) -> DataFrame:
     readers = {"DWR": read_stations_dwr, "USGS": read_stations_usgs}
     if data_source not in readers:
-        raise ValueError("Unsupported data source. Use 'DWR' or 'USGS'.")
+        raise ValueError(f"{data_source!r} lists no stations; known are {', '.join(readers)}")
     return readers[data_source](spark, path)

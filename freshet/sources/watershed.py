@@ -16,7 +16,7 @@ properties:struct<huc2:string,huc4:string,huc6:string,huc8:string,name:string>>>
 
 def _polygons(features: DataFrame, level: int, rings: str, attributes: str) -> DataFrame:
     if level not in HUC_LEVELS:
-        raise ValueError("HUC level must be either 4, 6, or 8")
+        raise ValueError(f"no watersheds of level {level}; there are {HUC_LEVELS}")
     a = F.col(attributes)
     return features.select(
         F.lit(level).alias("huc_level"), huc_code(F.lit(level), a["huc2"], a[f"huc{level}"], a["name"]).alias("huc_id"),

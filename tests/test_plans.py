@@ -39,12 +39,10 @@ def test_standardize_is_population_and_survives_a_constant(spark):
 
 def test_one_hot_is_get_dummies(spark):
     data = ["b:2", "a", None, "c", "a"]
-    got = scaling.one_hot(spark.createDataFrame([(i, v) for i, v in enumerate(data)], "i int, s string"), "s", "station").orderBy("i").toPandas()
+    got = scaling.one_hot(spark.createDataFrame([(i, v) for i, v in enumerate(data)], "i int, s string"), "s", "station", ["b:2", "c", "a"]).orderBy("i").toPandas()
     want = pd.get_dummies(pd.DataFrame({"i": range(5), "s": data}), columns=["s"], prefix=["station"])
     assert list(got.columns) == list(want.columns)
     assert (got.values == want.values).all()
-    with pytest.raises(ValueError):
-        scaling.one_hot(spark.createDataFrame([(v,) for v in "abc"], "s string"), "s", "x", max_values=2)
 
 
 def test_merge_multiplies_duplicates_and_fills_per_station(spark):
@@ -61,7 +59,7 @@ def test_normalize_is_the_pandas_recipe(spark):
     rng = random.Random(4)
     data = [(s, dt.date(2023, 12, 1) + dt.timedelta(days=i), *[None if rng.random() < .2 else rng.uniform(0, 9) for _ in range(4)]) for s in ("a", "b:1") for i in range(60)]
     pdf = pd.DataFrame(data, columns=["station_id", "date", "tmin", "tmax", "min_flow", "max_flow"])
-    got = dataset.normalize(spark.createDataFrame(data, COMBINED), keep_keys=True).toPandas().sort_values(["station_id", "date"]).reset_index(drop=True)
+    got = dataset.normalize(spark.createDataFrame(data, COMBINED), station_values=["a", "b:1"], keep_keys=True).toPandas().sort_values(["station_id", "date"]).reset_index(drop=True)
     for c in ("tmin", "tmax"):
         pdf[c] = pdf.groupby("station_id")[c].transform(lambda s: s.rolling(7, min_periods=1, center=True).mean().bfill().ffill())
     for c in ("tmin", "tmax", "min_flow", "max_flow"):
@@ -71,7 +69,9 @@ def test_normalize_is_the_pandas_recipe(spark):
     day = pd.to_datetime(pdf.date)
     np.testing.assert_allclose(got.date_normalized, (day.dt.dayofyear - 1) / (365 + day.dt.is_leap_year))
     assert filters.prefixed_columns(spark.createDataFrame(got.head(1))) == ["station_id", "station_a", "station_b:1"]
-    plain = dataset.normalize(spark.createDataFrame(data, COMBINED))
+    by_index = dataset.normalize(spark.createDataFrame(data, COMBINED))
+    assert by_index.columns == ["tmin", "tmax", "min_flow", "max_flow", "station_index", "date_normalized"]
+    plain = dataset.normalize(spark.createDataFrame(data, COMBINED), station_values=["a", "b:1"])
     assert plain.columns == ["tmin", "tmax", "min_flow", "max_flow", "station_a", "station_b:1", "date_normalized"]
 
 
@@ -150,32 +150,59 @@ def test_rdp_keeps_strictly_farther_points_and_whole_rings(spark):
     assert len(got["ring"]) >= 4
 
 
-def test_long_and_short_chords_agree():
+def plain_rdp(p, eps, seg):
+    def away(i, a, b):
+        d, o = p[b] - p[a], p[i] - p[a]
+        n = float(d @ d)
+        if not n:
+            return float(np.hypot(*o)) if seg else 0.0
+        if seg:
+            return float(np.hypot(*(o - min(max(float(o @ d) / n, 0), 1) * d)))
+        return abs(float(d[0] * o[1] - d[1] * o[0])) / n ** .5
+    kept, todo = {0, len(p) - 1}, [(0, len(p) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            i = max(range(a + 1, b), key=lambda k: away(k, a, b))
+            if away(i, a, b) > eps:
+                kept.add(i)
+                todo += [(a, i), (i, b)]
+    return sorted(kept)
+
+
+def test_lines_walked_together_are_lines_walked_alone():
     rng = np.random.default_rng(3)
-    p = np.column_stack([np.arange(200.), rng.normal(size=200).cumsum()])
+    lines = [np.column_stack([np.arange(n * 1.), rng.normal(size=n).cumsum()]) for n in (2, 3, 17, 200, 55)]
+    lines.append(np.zeros((6, 2)))
+    ends = np.cumsum([len(p) for p in lines])
+    starts = ends - [len(p) for p in lines]
+    eps = np.array([1., .5, 1.5, 1.5, .2, 1.])
     for seg in (False, True):
-        want = simplify.keep_line(p, 1.5, seg)
-        short, simplify._SHORT = simplify._SHORT, 0
-        try:
-            assert list(simplify.keep_line(p, 1.5, seg)) == list(want)
-        finally:
-            simplify._SHORT = short
+        keep = simplify.keep_lines(np.concatenate(lines), starts, ends - 1, eps, seg)
+        for p, a, b, e in zip(lines, starts, ends, eps):
+            assert np.flatnonzero(keep[a:b]).tolist() == plain_rdp(p, e, seg)
+
 
+def test_a_ring_that_touches_itself_is_simplified_once():
+    line = np.linspace(0, 4, 200)
+    ring = np.concatenate([[[0., 0.], [4., 0.], [4., 4.]], np.column_stack([line, line])[::-1], [[0., 4.], [4., 0.], [0., 0.]]])
+    assert simplify.self_intersects(ring)
+    kept = simplify.keep_simple_rings([ring], np.array([.01]))[0]
+    assert 4 <= len(kept) < 20
 
-def test_sweep_and_all_pairs_agree():
+
+def test_sweep_in_pieces_finds_the_same(monkeypatch):
     rng = np.random.default_rng(5)
-    few = simplify._FEW
     for _ in range(60):
         n = rng.integers(4, 30)
         a = np.sort(rng.uniform(0, 6.28, n)) + rng.normal(0, .15, n)
         p = np.column_stack([np.cos(a), np.sin(a)])
         p = np.vstack([p, p[:1]])
         first = simplify.self_intersects(p)
-        simplify._FEW = 0
-        try:
+        with monkeypatch.context() as m:
+            m.setattr(simplify, "_PAIRS", 1)
             assert simplify.self_intersects(p) == first
-        finally:
-            simplify._FEW = few
+
 
 
 def test_clean_rings_is_idempotent_and_counter_clockwise(spark):

@@ -90,10 +90,10 @@ def test_smooth_is_pandas_and_keeps_an_empty_column_empty(spark):
     assert got[got.station_id == "d"].tmax.isna().all()
 
 
-def test_frames_must_fit_chunks(spark):
-    df = spark.createDataFrame(_frame(), SCHEMA)
-    with pytest.raises(ValueError):
-        series.centered_rolling_mean(df, "tmin", "station_id", "date", window=21, chunk_rows=4)
+def test_frames_wider_than_chunks(spark):
+    rows = _frame()
+    got = series.centered_rolling_mean(spark.createDataFrame(rows, SCHEMA), ["tmin", "tmax"], "station_id", "date", window=41, chunk_rows=4)
+    _same(_actual(got), _expected(rows, lambda s: s.rolling(41, min_periods=1, center=True).mean()))
 
 
 def _daily(n, station="s"):
