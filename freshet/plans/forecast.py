@@ -14,7 +14,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from freshet.operators.scaling import one_hot_index
-from freshet.operators.series import split_windows
+from freshet.operators.series import sliding_windows, split_windows
+from freshet.plans.dataset import normalize
 from freshet.sources.sinks import save_model
 
 
@@ -43,6 +44,9 @@ def fit_forecaster(windows: DataFrame, horizon: int, targets: Sequence[str] = ("
                    reg_param: float = 0.0, split: tuple[DataFrame, DataFrame] | None = None) -> Forecaster:
     """Least squares per day ahead and target; mean squared error on the held-out windows.
 
+    The station's position has a weight for every station, which stands in for an
+    intercept; with one beside it the weights would not be determined.
+
     ``split`` gives (train, test) windows instead of the seeded random split; they
     must carry ``station_index`` already when given.
     """
@@ -64,7 +68,7 @@ def fit_forecaster(windows: DataFrame, horizon: int, targets: Sequence[str] = ("
             VectorAssembler(inputCols=["x_vec", "station_vec"], outputCol="features")]).fit(train)
         ready = prep.transform(train)
         fits = [LinearRegression(featuresCol="features", labelCol=f"label_{n}", predictionCol=n,
-                                 regParam=reg_param).fit(ready) for n, _, _ in names]
+                                 fitIntercept=False, regParam=reg_param).fit(ready) for n, _, _ in names]
         model = PipelineModel(stages=[*prep.stages, *fits])
         predicted = model.transform(test)
         errors = predicted.agg(*[F.avg(F.pow(F.col(n) - F.col(f"label_{n}"), 2)).alias(n) for n, _, _ in names]).first()
@@ -75,6 +79,17 @@ def fit_forecaster(windows: DataFrame, horizon: int, targets: Sequence[str] = ("
     return Forecaster(model, scores)
 
 
+def train_forecaster(combined: DataFrame, history: int = 60, forecast: int = 14, horizon: int = 14, window: int = 7,
+                     test_fraction: float = 0.2, seed: int = 0, reg_param: float = 0.0, path: str | None = None) -> Forecaster:
+    """From the combined table to a fitted forecaster: normalise, cut windows, split, fit, and save if a path is given."""
+    features = normalize(combined, window, keep_keys=True)
+    windows = sliding_windows(features, "station_id", "date", history, forecast, horizon)
+    model = fit_forecaster(windows, horizon, test_fraction=test_fraction, seed=seed, reg_param=reg_param)
+    if path is not None:
+        model.save(path)
+    return model
+
+
 def holdout_mse(predicted: DataFrame, name: str) -> float:
     """Mean squared error of one prediction column."""
     return RegressionEvaluator(predictionCol=name, labelCol=f"label_{name}", metricName="mse").evaluate(predicted)
