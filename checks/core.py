@@ -242,6 +242,18 @@ def _(t):
             .unionByName(test.select("station_id", "start", F.lit("test").alias("part"))))
 
 
+@query("split_windows_share", _WIN + """ SELECT count(*) AS n_windows, 0 AS n_in_both, true AS share_fits FROM w WHERE "end" IS NOT NULL""")
+def _(t):
+    """Every window on one side, about a fifth of them held out."""
+    train, test = series.split_windows(_windows(t), .2, seed=3)
+    key = ["station_id", "start"]
+    sides = train.select(*key, F.lit(0).alias("held")).unionByName(test.select(*key, F.lit(1).alias("held")))
+    per = sides.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("held").alias("held"))
+    spread = 6 * F.sqrt(F.lit(.16) / F.count(F.lit(1)))  # six standard deviations of the share
+    return per.agg(F.sum("n").alias("n_windows"), F.count_if(F.col("n") > 1).cast("int").alias("n_in_both"),
+                   (F.abs(F.avg("held") - .2) <= spread).alias("share_fits"))
+
+
 # --- filters, checks, lookups ---------------------------------------------------
 
 @query("parse_site_keys", """WITH k AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'USGS:' WHEN 'click' THEN 'DWR:' WHEN 'error' THEN 'NOAA:'

@@ -259,6 +259,26 @@ def _(t):
     return ring_vertices(simplify.simplify_rdp(_wavy(t), 0.002), "c_custkey")
 
 
+# A square per customer with a bump in its lower side, higher than the tolerance for every other one.
+_SQUARE = "'0.0 0.0,' || CASE WHEN c_custkey % 2 = 0 THEN (1 + c_custkey % 3) / 2.0e0 || ' -0.05,' ELSE '' END || s || ' 0.0,' || s || ' ' || s || ',0.0 ' || s || ',0.0 0.0'"
+
+
+@query("simplify_bumped_squares", f"SELECT c_custkey, {_SQUARE} AS kept, {_SQUARE} AS kept_by_distance FROM (SELECT c_custkey, (1 + c_custkey % 3) || '.0' AS s FROM customer)")
+def _(t):
+    s = (F.lit(1) + F.col("c_custkey") % 3).cast("double")
+    bump = F.when(F.col("c_custkey") % 2 == 0, -0.05).otherwise(-0.001)
+    zero = F.lit(0.0)
+    ring = F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in (
+        (zero, zero), (s / 2, bump), (s, zero), (s, s), (zero, s), (zero, zero))])
+    squares = t.customer.select("c_custkey", ring.alias("ring"))
+
+    def text(df, name):
+        return df.select("c_custkey", F.array_join(F.transform("ring", lambda p: F.concat_ws(" ", p["lon"], p["lat"])), ",").alias(name))
+
+    return text(simplify.simplify_rings(squares, 0.01), "kept").join(
+        text(simplify.simplify_rdp(squares, 0.01), "kept_by_distance"), "c_custkey")
+
+
 # An open line per line item, flat but for one bump: kept only when it is high enough.
 @query("simplify_rdp_lines", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > 25 THEN '0,3,9' ELSE '0,9' END AS xs FROM lineitem""")
 def _(t):
