@@ -63,19 +63,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="freshet-llm-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Run the plan and keep its rows in shared storage; Spark removes them with the last reference.
+    """Run the plan and keep its rows, a narrow table, in shared storage.
 
-    For narrow tables: written by two tasks for each core of the cluster, so that
-    shared storage doesn't fill with tiny files.
+    Written by two tasks for each core of the cluster, so that the folder doesn't
+    fill with tiny files.  A written table also tells the optimizer its true size;
+    a checkpoint would hand on an estimate that grows with every round of a loop.
     """
-    checkpoint_folder(df.sparkSession)
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
+    return stored(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), "narrow")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
