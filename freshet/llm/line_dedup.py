@@ -22,7 +22,7 @@ _OFFSETS = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS)))
 _TABLES = tuple(combinations(range(len(WIDTHS)), len(WIDTHS) - DISTANCE))
 #: Documents handed to Python at a time.
 BATCH = 256
-#: Most document keys sent to every executor, 8 bytes each.
+#: Most keys sent to every executor, 8 bytes each.
 SENT_IDS = 1_000_000
 _STEP = 0x9E3779B97F4A7C15
 
@@ -60,8 +60,9 @@ def normal(line: str) -> str:
 def line_signatures(texts: list[str | None]) -> dict[str, np.ndarray]:
     """Of every line with a letter or digit: ``text`` and ``line`` (its place), ``n`` characters, ``h`` and SimHash ``sig``.
 
-    Words are the features, each as often as it stands there.  All lines of the
-    batch are worked on together.
+    The different words of a line are its features; counted as often as they stand
+    there, the commonest words would make all lines of a language alike.  All
+    lines of the batch are worked on together.
     """
     codes = [np.frombuffer((t + "\n" if t else "\n").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
@@ -75,12 +76,18 @@ def line_signatures(texts: list[str | None]) -> dict[str, np.ndarray]:
     of_line = line_at[starts]
     first = np.flatnonzero(np.concatenate([[True], of_line[1:] != of_line[:-1]])) if len(words) else np.zeros(0, np.int64)
     stop = np.append(first[1:], len(words)).astype(np.int64) if len(first) else first
+    order = np.lexsort((words, of_line))
+    one, at = words[order], of_line[order]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (one[1:] != one[:-1])]) if len(one) else np.zeros(0, bool)
+    one, at = one[new], at[new]
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(one) else first
+    end = np.append(begin[1:], len(one)).astype(np.int64) if len(begin) else begin
     # Bits are summed as bytes, eight to a machine word, in runs of at most 255 words.
-    runs = np.concatenate([np.arange(a, b, 255) for a, b in zip(first, stop)]) if len(first) else first
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-    by_run = np.add.reduceat(bits, runs, axis=0).view(np.uint8).astype(np.int32) if len(first) else np.zeros((0, 64), np.int32)
-    ones = np.add.reduceat(by_run, np.searchsorted(runs, first), axis=0) if len(first) else by_run
-    sig = np.packbits(2 * ones > (stop - first)[:, None], axis=1).view(np.int64).ravel()
+    runs = np.concatenate([np.arange(a, b, 255) for a, b in zip(begin, end)]) if len(begin) else begin
+    bits = np.unpackbits(one.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+    by_run = np.add.reduceat(bits, runs, axis=0).view(np.uint8).astype(np.int32) if len(begin) else np.zeros((0, 64), np.int32)
+    ones = np.add.reduceat(by_run, np.searchsorted(runs, begin), axis=0) if len(begin) else by_run
+    sig = np.packbits(2 * ones > (end - begin)[:, None], axis=1).view(np.int64).ravel()
     text = row[starts[first]]
     lines_before = np.concatenate([[0], np.cumsum(np.bincount(row[ends_line], minlength=len(texts)))])
     width = np.concatenate([[0], np.cumsum(ends - starts)])
@@ -220,10 +227,14 @@ def line_groups(docs: DataFrame, percent: int = 90) -> tuple[DataFrame, DataFram
     lines = stored(lines, "distinct")
     tables = F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(_key_bits(F.col("sig"), t)) for k, t in enumerate(_TABLES)])
     keys = lines.select("rep", "sig", F.posexplode(tables).alias("band", "key"))
-    shared = keys.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    members = stored(keys.join(shared, "key"), "members")
+    # Most keys are had by one line; those of several are found first, from keys alone.
+    shared = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
+    few = shared.limit(SENT_IDS + 1).count() <= SENT_IDS
+    members = stored(keys.join(F.broadcast(shared) if few else shared, "key", "left_semi"), "members")
+    leaders = members.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("leader"))
+    led = members.join(leaders, "key")
     near = F.bit_count(F.col("sig").bitwiseXOR(F.col("leader.sig"))) <= DISTANCE
-    pairs = checkpointed(members.filter(near & (F.col("rep") != F.col("leader.rep")))
+    pairs = checkpointed(led.filter(near & (F.col("rep") != F.col("leader.rep")))
                          .select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct())
     places = lines.select("rep", "key", "line")
     texts = _texts_of(keyed, places, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())

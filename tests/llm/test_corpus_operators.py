@@ -100,6 +100,7 @@ def test_near_lines(documents):
     rng = random.Random(8)
     lines = [prose(rng, rng.randint(8, 60)) for _ in range(60)]
     lines += [line.upper() + "!" for line in lines[:10]] + [changed(rng, rng.choice(lines), .02) for _ in range(150)] + ["--", "", "a"]
+    lines += [changed(rng, line, .005) for line in [prose(rng, 150) for _ in range(40)] for _ in range(4)]
     rows = [(k, "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))) for k in range(120)]
     rows += [(500, None), (501, ""), (502, "\n\n--"), (None, lines[3] + "\nnew line"), (503, lines[4] + " " + "long " * 4000), rows[5]]
     want, links = brute.near_lines(rows, line_dedup, 90)
