@@ -12,6 +12,7 @@ from freshet.llm.base import stored
 _BIN_BITS = 10
 #: A cut may leave this share of its node's weight on the wrong side.
 _TOLERANCE = 1 / 4000
+_STATE = "_node int, measured int, low long, high long, bits int, dimension int, value long"
 #: Rows numbered together when slots are given out.
 _NUMBERED = 4_000
 
@@ -65,12 +66,10 @@ class _Search:
     def bits(self) -> int:
         return max((self.high - self.low).bit_length() - _BIN_BITS, 0)
 
-    def measured(self) -> Column:
-        return F.col("_tie" if self.value is not None or self.dimension is None else self.dimension)
-
-    def concerns(self) -> Column:
-        inside = (F.col("_node") == self.node.first) & self.measured().between(self.low, self.high)
-        return inside & (F.col(self.dimension) == self.value) if self.value is not None else inside
+    def state(self, dimensions: list[str]) -> tuple:
+        """What a row of the node is measured by, between which values, in which bins, and the value it must have."""
+        of = dimensions.index(self.dimension) + 1 if self.dimension else 1
+        return (self.node.first, len(dimensions) + 1 if self.measuring_tie() else of, self.low, self.high, self.bits(), of, self.value)
 
     def narrow(self, bins: dict[int, int]) -> bool:
         """Take in a histogram; True when the cut is found and noted in the node."""
@@ -126,10 +125,14 @@ def grow_tree(rows: DataFrame, dimensions: list[str], weight: str, shards: int)
                 searches.append(_Search(node, d, r[f"lo_{d}"], r[f"hi_{d}"], goal, r["_weight"]) if spans[d] > 0
                                 else _Search(node, None, 0, (1 << 63) - 1, goal, r["_weight"]))
         while searches:
-            bins = F.lit(None).cast("long")
-            for s in searches:
-                bins = F.when(s.concerns(), F.shiftright(s.measured() - s.low, s.bits())).otherwise(bins)
-            counted = placed.select("_node", bins.alias("_bin"), weight).filter("_bin IS NOT NULL").groupBy("_node", "_bin").agg(F.sum(weight).alias("w"))
+            # The cuts being searched are a table of a row for each node, so all rounds run the same code.
+            states = rows.sparkSession.createDataFrame([s.state(dimensions) for s in searches], _STATE)
+            values = F.array(*dimensions, "_tie")
+            at = F.element_at(values, F.col("measured"))
+            fits = at.between(F.col("low"), F.col("high")) & (F.col("value").isNull() | (F.element_at(values, F.col("dimension")) == F.col("value")))
+            inside = placed.join(F.broadcast(states), "_node").filter(fits)
+            counted = inside.select("_node", F.call_function("shiftright", at - F.col("low"), F.col("bits")).alias("_bin"), weight).groupBy(
+                "_node", "_bin").agg(F.sum(weight).alias("w"))
             by_node: dict[int, dict[int, int]] = {}
             for r in counted.collect():
                 by_node.setdefault(r["_node"], {})[r["_bin"]] = r["w"]
