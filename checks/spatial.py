@@ -46,7 +46,7 @@ def _twice(polygons, shift):
     return polygons.union(polygons).union(polygons.withColumn("ring", moved))
 
 
-@query("assign_watershed_repeated", f"""WITH {RINGS_SQL}, pts AS (SELECT c_custkey AS point_id, -109 + (c_custkey % 700) / 1e2 AS lon, 37 + (c_custkey % 400) / 1e2 AS lat FROM customer),
+@query("assign_watershed_repeated", f"""WITH {RINGS_SQL}, {CELLS_SQL}, pts AS (SELECT id AS point_id, lon, lat FROM cell),
 part AS (SELECT k, i, x1, y1, x2, y2, 0 AS part FROM edge UNION ALL SELECT k, i, x1 + 0.01e0, y1, x2 + 0.01e0, y2, 1 FROM edge),
 hit AS (SELECT point_id, k, part FROM pts, part GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1)
 SELECT point_id, min(lpad(CAST(k AS VARCHAR), 8, '0')) AS huc_id FROM hit GROUP BY 1""")
