@@ -123,18 +123,6 @@ def _(t):
     return t.spark.createDataFrame(sorted(scores.items()), "target string, mse double")
 
 
-@query("train_forecaster", "SELECT t || '_day' || d AS target, CAST(0 AS DOUBLE) AS mse FROM (VALUES ('min_flow'), ('max_flow')) a(t), (VALUES (1), (2)) b(d)")
-def _(t):
-    """Flows that grow by a step of their own per gauge, so the next days follow from the last: no error is left."""
-    k, d = F.col("s_suppkey"), F.col("d")
-    days = t.supplier.select(k, F.explode(F.sequence(F.lit(0), F.lit(39))).alias("d")).select(
-        k.cast("string").alias("station_id"), F.date_add(F.lit("2024-01-01").cast("date"), d).alias("date"),
-        (k % 10 + d % 5).cast("double").alias("tmin"), (k % 10 + d % 7 + 9).cast("double").alias("tmax"),
-        (k % 13 + d * (k % 7 + 1)).cast("double").alias("min_flow"), (k % 17 + 50 + d * (k % 5 + 2)).cast("double").alias("max_flow"))
-    scores = forecast.train_forecaster(days, history=4, forecast=2, horizon=2, reg_param=1e-8).scores
-    return t.spark.createDataFrame([(n, abs(round(v, 6))) for n, v in sorted(scores.items())], "target string, mse double")
-
-
 # --- watershed jobs -------------------------------------------------------------------
 
 _MATCH_SQL = f"""WITH {RINGS_SQL}, {_GRANULE_SQL}, huc AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS huc_id, s_name AS name FROM supplier WHERE s_nationkey >= 10),

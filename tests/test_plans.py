@@ -244,3 +244,12 @@ def test_snow_request(spark):
     assert filters.resolve_basin(slashed, snow.basin_dim(spark)).count() == 1  # slashes on both sides
     with pytest.raises(ValueError):
         watershed.basin_snow(asked, snow.basin_dim(spark), wide, "2024-01-02", "2024-01-01")
+
+
+def test_train_job_from_combined_to_saved_model(spark, landing):
+    """Flows that grow by a step of their own per gauge: the next days follow from the last, so no error is left."""
+    days = [(f"s{k}", dt.date(2024, 1, 1) + dt.timedelta(days=d), float(k % 10 + d % 5), float(k % 10 + d % 7 + 9),
+             float(k % 13 + d * (k % 7 + 1)), float(k % 17 + 50 + d * (k % 5 + 2))) for k in range(4) for d in range(30)]
+    model = forecast.train_forecaster(spark.createDataFrame(days, COMBINED), history=3, forecast=1, horizon=1, reg_param=1e-9, path=f"{landing}/model")
+    assert set(model.scores) == {"min_flow_day1", "max_flow_day1"} and all(v < 1e-6 for v in model.scores.values())
+    assert PipelineModel.load(f"{landing}/model").stages
