@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
 from freshet.llm.base import stored
 
@@ -12,7 +12,7 @@ from freshet.llm.base import stored
 _BIN_BITS = 10
 #: A cut may leave this share of its node's weight on the wrong side.
 _TOLERANCE = 1 / 4000
-_STATE = "_node int, measured int, low long, high long, bits int, dimension int, value long"
+_STATE = {"_node": "int", "measured": "int", "low": "long", "high": "long", "bits": "int", "dimension": "int", "value": "long"}
 #: Rows numbered together when slots are given out.
 _NUMBERED = 4_000
 
@@ -99,6 +99,12 @@ class _Search:
         return self.value is not None or self.dimension is None
 
 
+def _table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A few rows as a table made in the JVM."""
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).cast(kind).alias(n) for v, (n, kind) in zip(row, columns.items())]) for row in rows])))
+
+
 def grow_tree(rows: DataFrame, dimensions: list[str], weight: str, shards: int) -> Node:
     """The tree of ``shards`` leaves over rows with long ``dimensions`` and a long ``_tie`` of 0 or more.
 
@@ -126,7 +132,7 @@ def grow_tree(rows: DataFrame, dimensions: list[str], weight: str, shards: int)
                                 else _Search(node, None, 0, (1 << 63) - 1, goal, r["_weight"]))
         while searches:
             # The cuts being searched are a table of a row for each node, so all rounds run the same code.
-            states = rows.sparkSession.createDataFrame([s.state(dimensions) for s in searches], _STATE)
+            states = _table(rows.sparkSession, [s.state(dimensions) for s in searches], _STATE)
             values = F.array(*dimensions, "_tie")
             at = F.element_at(values, F.col("measured"))
             fits = at.between(F.col("low"), F.col("high")) & (F.col("value").isNull() | (F.element_at(values, F.col("dimension")) == F.col("value")))
