@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.llm.base import bind, blank_words
+from freshet.llm.base import bind, blank_words, stored
 
 #: Buckets of the n-gram hash: the size of both multinomials, whatever the corpus.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 20
+#: Without a threshold, this share of the trusted documents would be turned away.
+LOWEST = 0.01
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Most trusted ids sent to every executor, 8 bytes each.
+SENT_IDS = 1_000_000
 
 
 def _word_hashes(words: Column) -> Column:
@@ -80,61 +84,75 @@ def bucket_counts(docs: DataFrame, trusted: DataFrame, n_max: int = 2, buckets:
     """(bucket, raw, target): n-grams in all documents, and in those whose doc_id ``trusted`` has.
 
     Buckets without any n-gram are left out, so these are at most ``buckets``
-    rows.  Texts are shuffled once, to meet the trusted ids; after that only one
-    row per bucket and task moves.
+    rows.  Texts are shuffled only to meet more than ``SENT_IDS`` trusted ids;
+    after that only one row per bucket and task moves.
     """
-    ids = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("_t", F.lit(1))
-    marked = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    ids = stored(trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("_t", F.lit(1)), "trusted")
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left")
     hashes = _word_hashes(blank_words(F.col("text")))
     grams = marked.select("_t", F.explode(bind(hashes, lambda h: gram_buckets(h, n_max, buckets))).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_t").alias("target"))
 
 
-def bucket_weights(counts: list, buckets: int = BUCKETS, smoothing: float = 1.0) -> list[float]:
-    """For every bucket the log ratio of its probability in the trusted and in all documents.
+def bucket_weights(counts: pa.Table, buckets: int = BUCKETS, smoothing: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """For every bucket the log ratio of its probability in the trusted and in all documents, and that without one trusted n-gram.
 
-    Both multinomials are smoothed by adding ``smoothing`` to each bucket.
+    Both multinomials are smoothed by adding ``smoothing`` to each bucket.  The
+    second is what a trusted document's n-gram would weigh if it weren't trusted.
     """
-    raw, target = [smoothing] * buckets, [smoothing] * buckets
-    for row in counts:
-        raw[row["bucket"]] += row["raw"]
-        target[row["bucket"]] += row["target"]
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [math.log(t) - math.log(r) + shift for r, t in zip(raw, target)]
+    raw, target = np.full(buckets, smoothing), np.full(buckets, smoothing)
+    at = counts["bucket"].to_numpy()
+    raw[at] += counts["raw"].to_numpy()
+    target[at] += counts["target"].to_numpy()
+    shift = np.log(raw.sum()) - np.log(target.sum()) - np.log(raw)
+    return np.log(target) + shift, np.log(np.maximum(target - 1, smoothing)) + shift
 
 
-def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = -0.13, n_max: int = 2,
+def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, n_max: int = 2,
                     buckets: int = BUCKETS) -> DataFrame:
     """Each document's ``doc_id``, base signals, ``score`` and ``kept``.
 
     ``score`` is the mean weight of the document's n-grams, that is the
     log-likelihood ratio between the trusted and the raw multinomial over its
     length.  A document is kept when it passes the base rules and its score is
-    ``threshold`` or more: one that trusted texts explain about as well as the
-    corpus does scores near 0.  A document without words scores NULL and fails
-    the base rules.  Where nothing is trusted, the scores say nothing and only
-    the base rules decide.
+    ``threshold`` or more.  Scores shrink as buckets fill, so without a threshold
+    it is the ``LOWEST`` quantile of the scores of all trusted documents that pass
+    the base rules, each n-gram weighed as if it weren't trusted there.  A
+    document without words scores NULL and fails the base rules.  Where nothing
+    is trusted, or no trusted document passes them, the scores say nothing and
+    only the base rules decide.
 
     Every row is judged by its own text, so repeated or NULL doc_ids each get
     their row (an n-gram counts for the target if its row's doc_id is trusted).
     NULL texts have no words.  Whole texts and all documents are counted.  The
-    weights, ``buckets`` numbers whatever the corpus, come to the driver and go
-    into the plan as a constant; scoring shuffles nothing.
+    weights, ``buckets`` numbers whatever the corpus, come to the driver and are
+    sent to tasks as the value of a subquery; scoring shuffles no texts.
     """
-    counts = bucket_counts(docs, trusted, n_max, buckets).collect()
-    weights = bucket_weights(counts, buckets)
-    any_trusted = any(row["target"] for row in counts)
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
+    spark = docs.sparkSession
+    counts = bucket_counts(docs, trusted, n_max, buckets).toArrow()
+    any_trusted = bool(np.any(counts["target"].to_numpy()))
+    tables = [pa.array([w], pa.list_(pa.float64())) for w in bucket_weights(counts, buckets)]
+    weights = stored(spark.createDataFrame(pa.table(tables, ["w", "loo"])), "weights")
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def judged(h):
-        total = F.aggregate(gram_buckets(h, n_max, buckets), F.lit(0.0), lambda a, b: a + table[b])
-        grams = sum((F.greatest(F.size(h) - k, F.lit(0)) for k in range(1, n_max)), F.size(h))
-        return F.struct(F.size(h).cast("long").alias("n"), repeated_words(h).alias("r"), F.try_divide(total, grams).alias("score"))
+    def mean(at: Column, table: Column) -> Column:
+        return F.try_divide(F.aggregate(at, F.lit(0.0), lambda a, b: a + table[b]), F.size(at))
+
+    def judged(h, w):
+        return bind(gram_buckets(h, n_max, buckets), lambda at: F.struct(
+            F.size(h).cast("long").alias("n"), repeated_words(h).alias("r"), mean(at, w["w"]).alias("score"), mean(at, w["loo"]).alias("loo")))
 
-    out = docs.select("doc_id", "text", bind(_word_hashes(blank_words(text)), judged).alias("_w")).select(
+    # The optimizer puts the subquery where its one reference is, so its value is never part of a row.
+    both = weights.select(F.struct("w", "loo")).scalar()
+    out = docs.select("doc_id", "text", both.alias("_b")).select("doc_id", "text", bind(F.col("_b"), lambda w: bind(_word_hashes(blank_words(text)), lambda h: judged(h, w))).alias("_w")).select(
         "doc_id", F.col("_w.n").alias("n_words"), *[c.alias(k) for k, c in _text_signals(text).items()],
-        F.col("_w.r").alias("n_repeat_words"), F.when(F.col("_w.n") > 0, F.col("_w.score")).alias("score"))
+        F.col("_w.r").alias("n_repeat_words"), F.when(F.col("_w.n") > 0, F.col("_w.score")).alias("score"), F.col("_w.loo").alias("_loo"))
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    clean = F.coalesce(F.col("score") >= threshold, F.lit(False)) if any_trusted else F.lit(True)
-    return out.withColumn("kept", ~F.col("base_failed") & clean)
+    if any_trusted and threshold is None:
+        out = stored(out, "scores")
+        known = out.filter("NOT base_failed").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi")
+        threshold = known.agg(F.percentile_approx("_loo", LOWEST, 10_000)).first()[0]
+    judge = any_trusted and threshold is not None
+    clean = F.coalesce(F.col("score") >= threshold, F.lit(False)) if judge else F.lit(True)
+    return out.drop("_loo").withColumn("kept", ~F.col("base_failed") & clean)

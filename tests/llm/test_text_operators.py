@@ -72,6 +72,22 @@ def test_quality(spark, documents):
     assert quality_ratio.score_documents(docs.limit(0), trusted).collect() == []
 
 
+def test_quality_cut_holds_as_the_vocabulary_grows(spark, documents):
+    """Junk goes and clean texts stay, trusted or not, however many different words the corpus has."""
+    def text(rng, k, junk, size):
+        letters = "zqx" if junk else "abcdefghi"
+        return " ".join(rng.choice(["the", "of", "and", "to"]) if not junk and rng.random() < .5 else
+                        "".join(rng.choice(letters) for _ in range(size)) for _ in range(60))
+    for n, size in ((200, 5), (3000, 9)):
+        rng = random.Random(n)
+        rows = [(k, text(rng, k, k % 10 == 9, size), "en", "s") for k in range(n)]
+        docs = documents(rows)
+        trusted = spark.createDataFrame([(k,) for k in range(n) if k % 10 < 4], "doc_id long")
+        kept = {r.doc_id for r in quality_ratio.score_documents(docs, trusted).collect() if r.kept}
+        assert not any(k % 10 == 9 for k in kept)
+        assert sum(k % 10 in (4, 5, 6, 7, 8) for k in kept) >= .95 * .5 * n
+
+
 def plain_score(rows, trusted, text, docs):
     from pyspark.sql import functions as F
     hashes = F.transform(quality_ratio.blank_words(F.col("text")), lambda w: F.xxhash64(w))
