@@ -23,6 +23,9 @@ RIDGE = 1e-3
 #: Texts handed to Python at a time; their presence matrix is a row of FEATURES numbers each.
 BATCH = 256
 UNDETERMINED = "und"
+#: Of texts with n different n-grams, the part FAMILIAR * (n - FEWEST) / (n + GRAMS) at least must lie in the space of the
+#: landmarks to be known; fewer than FEWEST n-grams show too little, so only the score of such texts counts.
+FAMILIAR, FEWEST, GRAMS = 0.3, 40, 50
 
 
 def _tables(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +77,14 @@ class Model:
     languages: tuple[str, ...]
     landmarks: np.ndarray  # n-grams of each
     weights: np.ndarray  # from kernel values and a constant to one score per language
+    root: np.ndarray  # from kernel values to coordinates in the space of the landmarks
 
-    def scores(self, present: np.ndarray) -> np.ndarray:
+    def scores(self, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, familiar): one score per language, and whether enough of the text lies in the space of the landmarks."""
         k = _kernel(present, self.landmarks)
-        return np.hstack([k, np.ones((len(k), 1), np.float32)]) @ self.weights
+        n = present.sum(axis=1)
+        return (np.hstack([k, np.ones((len(k), 1), np.float32)]) @ self.weights,
+                ((k @ self.root) ** 2).sum(axis=1) >= FAMILIAR * (n - FEWEST) / (n + GRAMS))
 
 
 def fit(present: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -92,7 +99,8 @@ def fit(present: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, r
     penalty = ridge * len(present) * np.eye(phi.shape[1])
     penalty[-1, -1] = 1e-9
     solved = np.linalg.solve(phi.T @ phi + penalty, phi.T @ goal)
-    return Model(tuple(names), marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32))
+    return Model(tuple(names), marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32),
+                 root.astype(np.float32))
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -131,27 +139,27 @@ def train(docs: DataFrame) -> Model | None:
     return fit(np.unpackbits(bits, axis=1).astype(bool), [r["lang"] for r in rows])
 
 
-def _predict(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    language, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+def _predict(model: Model | None, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    language, score, familiar = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts), bool)
     present, letters = presence(texts)
     if model is not None and letters.any():
-        s = model.scores(present[letters])
+        s, familiar[letters] = model.scores(present[letters])
         language[letters] = np.array(model.languages, object)[s.argmax(axis=1)]
         score[letters] = np.clip(s.max(axis=1), 0, 1)
-    return language, score
+    return language, score, familiar
 
 
 def _predictor(shared, text: str, least: float | None = None):
-    """Tasks that predict.  With ``least``: that pass on the rows whose language is known with that score."""
+    """Tasks that predict.  With ``least``: that pass on the familiar rows with that score."""
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value) if shared.value else None
         for batch in batches:
             if not batch.num_rows:
                 continue
             at = batch.schema.get_field_index(text)
-            language, score = _predict(model, batch.column(at).to_pylist())
+            language, score, familiar = _predict(model, batch.column(at).to_pylist())
             if least is not None:
-                yield batch.filter(pa.array((language != UNDETERMINED) & (score >= least)))
+                yield batch.filter(pa.array(familiar & (score >= least)))
             else:
                 kept = [k for k in range(batch.num_columns) if k != at]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(language, pa.string()), pa.array(score)],
@@ -161,7 +169,7 @@ def _predictor(shared, text: str, least: float | None = None):
 
 def _shared_model(docs: DataFrame):
     model = train(docs)
-    return docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights) if model else None)
+    return docs.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights, model.root) if model else None)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -179,11 +187,14 @@ def identify(docs: DataFrame) -> DataFrame:
         return stored(rows.mapInArrow(_predictor(_shared_model(docs), "text"), "doc_id long, held_out boolean, lang_pred string, score double"), "languages")
 
 
-def keep_known(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """The documents, with all their columns, whose predicted language isn't ``und`` and has a score of ``least`` or more.
+def keep_known(docs: DataFrame, least: float = 0.42) -> DataFrame:
+    """The documents, with all their columns, in a language that was learned: with a score of ``least`` or more, and familiar.
 
-    Texts that mix languages, or have little but numbers, score low; ``least`` is
-    near what guessing among four languages gives, so clean texts stay.
+    The scores of a text sum to 1 whatever it is.  Of three languages or more,
+    texts in another one or in many at once get low scores for all; clean texts,
+    but for some of a few words, get over 0.42.  What shares too little with the
+    landmarks (:data:`FAMILIAR`), as other scripts or gibberish, goes whatever its
+    score.  Texts without a letter go.
     """
     with arrow_rows(docs.sparkSession, BATCH):
         return stored(docs.mapInArrow(_predictor(_shared_model(docs), "text", least), docs.schema), "known")

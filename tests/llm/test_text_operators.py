@@ -144,6 +144,19 @@ def test_languages(documents):
         r.doc_id or -1 for r in docs.collect() if r.doc_id not in (1000, 1001, 1002))
 
 
+def test_unknown_languages_go(documents):
+    """Other scripts, gibberish and a mixture of all languages are not known; clean texts are."""
+    rng = random.Random(5)
+    rows = [(k, spoken(lang := list(SYLLABLES)[k % 3], rng), lang, "s") for k in range(300)]
+    mixed = " ".join(spoken(x, rng) for x in SYLLABLES)
+    odd = ["Сегодня хорошая погода, и люди гуляют по городу вдоль реки.", "今天天气很好人们沿着河边散步谈论着工作和孩子",
+           "Σήμερα ο καιρός είναι καλός και οι άνθρωποι περπατούν.", mixed,
+           " ".join("".join(rng.choice("bcdfjklmoptvxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)),
+           "Dzisiaj jest piękna pogoda i ludzie spacerują wzdłuż rzeki, rozmawiając o pracy i dzieciach."]
+    docs = documents(rows + [(1000 + k, t, None, "s") for k, t in enumerate(odd)])
+    assert sorted(r.doc_id for r in language_id.keep_known(docs).collect()) == list(range(300))
+
+
 def test_languages_without_labels(documents):
     assert {(r.lang_pred, r.score) for r in language_id.identify(documents([(1, "abc", None, None), (2, None, None, None)])).collect()} == {("und", 0.0)}
     assert language_id.identify(documents([])).collect() == []
