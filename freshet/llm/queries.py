@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, line_dedup, minhash_dedup, mixture, quality_ratio,
-                         secret_scan, warc)
+from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, line_dedup, merkle_manifest, minhash_dedup, mixture,
+                         quality_ratio, secret_scan, warc)
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -131,3 +131,49 @@ def op4(spark, folder):
     out = line_dedup.drop_near_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("text_chars"),
                       F.sha2("text", 256).alias("text_sha256"))
+
+
+#: SQL for a one-row table ``crc`` and for the unsigned crc32 of a list of bytes.
+_CRC_TABLE = """crc AS (SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k) AS tab
+    FROM (SELECT CAST(range AS BIGINT) AS k FROM range(256)))"""
+
+
+def _crc32(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
+def _ascii_bytes(text: str) -> str:
+    return f"[CAST(ord(c) AS BIGINT) FOR c IN string_split({text}, '')]"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+def _folded(name: str, start: str, nodes: str) -> str:
+    return f"""{name}(r, g, l, pos, n, h, proof) AS ({start} UNION ALL
+    SELECT f.r, f.g, f.l + 1, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END),
+        f.proof || coalesce(s.h, '') FROM {name} f LEFT JOIN {nodes} s ON s.g = f.g AND s.l = f.l AND s.pos = xor(f.pos, 1) WHERE f.n > 1)"""
+
+
+def _nodes(name: str, leaves: str) -> str:
+    return f"""{name}(g, l, pos, n, h) AS ({leaves} UNION ALL
+    SELECT g, l + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, l, pos // 2, n)"""
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {_leaf("n_chars")} AS leaf,
+        CASE WHEN {_crc32(_ascii_bytes("CAST(doc_id AS VARCHAR)"))} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS now FROM documents, crc),
+p AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_nodes("t", "SELECT g, 0, pos, n, leaf FROM p")},
+sub AS (SELECT g, h, count(*) OVER () AS n FROM t WHERE n = 1),
+{_nodes("top", "SELECT 0, 0, g, n, h FROM sub")},
+{_folded("f", "SELECT r, g, 0, pos, n, now, '' FROM p", "t")},
+{_folded("up", "SELECT f.r, 0, 0, f.g, sub.n, f.h, f.proof FROM f JOIN sub USING (g) WHERE f.n = 1", "top")}
+SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(up.proof) AS proof_sha256, up.h AS folded_root, up.h = top.h AS verified
+    FROM p JOIN sub USING (g) JOIN up ON up.r = p.r AND up.n = 1 JOIN top ON top.n = 1""")
+def op12(spark, folder):
+    """The manifest of all documents, and a proof for each after some were tampered with."""
+    return merkle_manifest.prove_documents(table(spark, folder, "documents"))

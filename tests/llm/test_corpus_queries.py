@@ -31,7 +31,7 @@ def test_row_per_document(spark, folder, name):
 def test_entry_has_all(spark):
     import __spark_entry__ as entry
     have = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in have if n.startswith("op")} == set(range(1, 11)) and "pipeline" in have
+    assert {int(n[2:].split("_")[0]) for n in have if n.startswith("op")} == set(range(1, 14)) and "pipeline" in have
     assert set(entry.oracle_sql()) <= set(have)
 
 
