@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, line_dedup, merkle_manifest, minhash_dedup, mixture,
-                         quality_ratio, secret_scan, warc)
+                         quality_ratio, secret_scan, spelling_variants, warc)
+from freshet.llm.base import stored
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
 PLANTED = r"\### Assistant: </turn> ok"
@@ -177,3 +178,27 @@ SELECT doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(up.proof) AS proof_
 def op12(spark, folder):
     """The manifest of all documents, and a proof for each after some were tampered with."""
     return merkle_manifest.prove_documents(table(spark, folder, "documents"))
+
+
+_RUN_BYTES = "flatten([CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END FOR c IN string_split(doc_id || ':' || run, '')])"
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents),
+per AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (SELECT run, n, {_crc32(_RUN_BYTES)} AS h FROM per, crc),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words GROUP BY word HAVING sum(n) >= 3 AND length(word) >= 5),
+gaps AS MATERIALIZED (SELECT word, n, length(word) AS l, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM gaps a JOIN gaps b ON a.l = b.l AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM gaps a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM gaps a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min((-m, near)) AS b FROM pairs GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form, CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+    FROM v LEFT JOIN best ON best.word = v.word),
+r(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word""")
+def op13(spark, folder):
+    """The words of all documents with their spelling variants."""
+    return spelling_variants.spelling_variants(stored(spelling_variants.count_words(table(spark, folder, "documents")), "words"))
