@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.llm import (chat_format, decontaminate, kd_shards, language_id, line_dedup, merkle_manifest, minhash_dedup, mixture,
-                         quality_ratio, secret_scan, spelling_variants, warc)
+from freshet.llm import (chat_format, decontaminate, host_paths, kd_shards, language_id, line_dedup, merkle_manifest, minhash_dedup,
+                         mixture, quality_ratio, secret_scan, spelling_variants, warc)
 from freshet.llm.base import stored
 from freshet.llm.registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -202,3 +202,18 @@ SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r ON r.word = f.word"""
 def op13(spark, folder):
     """The words of all documents with their spelling variants."""
     return spelling_variants.spelling_variants(stored(spelling_variants.count_words(table(spark, folder, "documents")), "words"))
+
+
+# The character references that the pages use, the ampersand's last.
+_DECODED = "regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1)"
+_DECODED = f"regexp_replace(regexp_replace({_DECODED}, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
+for _reference, _character in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "''"), ("&amp;?", "&")):
+    _DECODED = f"regexp_replace({_DECODED}, '{_reference}', '{_character}', 'g')"
+
+
+@query("op11_host_paths", f"""
+WITH t AS (SELECT page_id, url, trim(regexp_replace({_DECODED}, '\\s+', ' ', 'g')) AS text FROM pages)
+SELECT page_id, url, text, length(text) AS n_chars FROM t""")
+def op11(spark, folder):
+    """The main text of every page."""
+    return host_paths.main_texts(table(spark, folder, "pages"))
