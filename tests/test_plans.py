@@ -7,7 +7,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from freshet.functions import nested, numeric, rings
@@ -107,8 +106,39 @@ def test_forecaster_finds_a_linear_rule_and_can_be_saved(spark, landing):
     fit = forecast.fit_forecaster(w, horizon=2, targets=("u", "v"))
     assert set(fit.scores) == {"u_day1", "v_day1", "u_day2", "v_day2"} and max(fit.scores.values()) < 1e-6
     fit.save(f"{landing}/model")
-    again = PipelineModel.load(f"{landing}/model")
-    assert again.transform(forecast.features_of(w)).select("u_day1").count() == w.count()
+    again = forecast.load_forecaster(spark, f"{landing}/model")
+    assert again.names == fit.names and again.scores == fit.scores
+    w = w.withColumns({"station": F.lit("clash"), "level": F.lit(1), "n": F.lit(1)})
+    off = again.predict(w).select(*[F.max(F.abs(F.col(f"{t}_day{d + 1}") - F.get(F.get("y", F.lit(d)), F.lit(i))))
+                                    for d in (0, 1) for i, t in enumerate(("u", "v"))]).first()
+    assert max(off) < 1e-6 and again.predict(w).columns == [*w.columns, *fit.names]
+    strange = w.limit(2).withColumn("station_id", F.when(F.col("start") < "2000-01-01", "c"))
+    assert all(r.u_day1 is not None for r in again.predict(strange).collect())
+
+
+def test_forecaster_with_gaps_ridge_and_few_rows(spark):
+    rng = np.random.default_rng(1)
+    x, level = rng.normal(size=(300, 2, 3)), {"a": 2.0, "b": -1.0, None: 0.5}
+    keys = [list(level)[i % 3] for i in range(300)]
+    weights = rng.normal(size=(6, 2))
+    y = x.reshape(300, 6) @ weights + np.array([level[k] for k in keys])[:, None]
+    rows = [(k, [[float(v) for v in r] for r in a], [[float(v) for v in b]]) for k, a, b in zip(keys, x, y)]
+    schema = "station_id string, x array<array<double>>, y array<array<double>>"
+    whole = spark.createDataFrame(rows, schema).repartition(7)
+    bad = spark.createDataFrame([("a", [[1.0, None, 2.0], [1.0, 2.0, 3.0]], [[9.0, 9.0]]), ("a", [[1.0] * 3] * 2, None), ("b", [[1.0] * 3] * 2, [])], schema)
+    fit = forecast.fit_forecaster(whole.unionByName(bad), 1, ("p", "q"), split=(whole.unionByName(bad), whole))
+    assert np.allclose(fit.weights, weights) and max(fit.scores.values()) < 1e-12
+    assert {r.station: [round(v, 9) for v in r.level] for r in fit.levels.collect()} == {k: [v, v] for k, v in level.items()}
+    ridge = forecast.fit_forecaster(whole, 1, ("p", "q"), split=(whole, whole), reg_param=0.1)
+    hot = np.array([[k == s for s in level] for k in keys], float)
+    z = np.hstack([x.reshape(300, 6), hot])
+    assert np.allclose(ridge.weights, np.linalg.solve(z.T @ z + 30 * np.eye(9), z.T @ y)[:6])
+    # The same number twice, and one that never changes: the data leave weights open.
+    open_ = whole.withColumn("x", F.transform("x", lambda r: F.array(r[0], r[0], F.lit(0.0))))
+    assert np.isfinite(forecast.fit_forecaster(open_, 1, ("p", "q"), split=(open_, open_)).weights).all()
+    assert fit.predict(bad).where("p_day1 IS NULL").count() == 1
+    with pytest.raises(ValueError):
+        forecast.fit_forecaster(bad, 1, ("p", "q"), split=(bad, bad))
 
 
 def square_with_noise():
@@ -252,4 +282,4 @@ def test_train_job_from_combined_to_saved_model(spark, landing):
              float(k % 13 + d * (k % 7 + 1)), float(k % 17 + 50 + d * (k % 5 + 2))) for k in range(4) for d in range(30)]
     model = forecast.train_forecaster(spark.createDataFrame(days, COMBINED), history=3, forecast=1, horizon=1, reg_param=1e-9, path=f"{landing}/model")
     assert set(model.scores) == {"min_flow_day1", "max_flow_day1"} and all(v < 1e-6 for v in model.scores.values())
-    assert PipelineModel.load(f"{landing}/model").stages
+    assert forecast.load_forecaster(spark, f"{landing}/model").scores == model.scores
