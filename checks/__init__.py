@@ -5,5 +5,5 @@ readings, suppliers are gauging sites or watersheds, customers weather stations,
 orders grid cells or dated records.
 """
 
-from checks import core, jobs, landed, spatial  # noqa: F401  (registers the queries)
+from checks import core, jobs, landed, models, ranges, spatial  # noqa: F401  (registers the queries)
 from checks.base import QUERIES, SQL  # noqa: F401

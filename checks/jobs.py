@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.base import RINGS_SQL, day_sql, lattice, query
+from checks.base import OUTLINE, RINGS_SQL, day_sql, lattice, query
 from checks.core import KM
 from checks.landed import _SWE_SQL, _swe_docs
 from checks.spatial import _GRANULE_SQL, _MEETS, _granules
-from freshet.operators import flows, series
+from freshet.functions import rings
+from freshet.operators import flows, series, simplify
 from freshet.plans import dataset, forecast, watershed
 from freshet.sources import snow as snow_source
 
@@ -125,13 +126,43 @@ def _(t):
 
 # --- watershed jobs -------------------------------------------------------------------
 
-_MATCH_SQL = f"""WITH {RINGS_SQL}, {_GRANULE_SQL}, huc AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS huc_id, s_name AS name FROM supplier WHERE s_nationkey >= 10),
+# The rings of the suppliers with a vertex between any two corners, off the line by less than the
+# tolerance, but for the third of every third ring: simplifying leaves the corners and that one.
+TOLERANCE = 0.005
+BUMPED_SQL = f"""{RINGS_SQL},
+bumped AS (SELECT k, 2 * i AS i, x, y, true AS kept FROM vertex UNION ALL
+  SELECT a.k, 2 * a.i + 1, (a.x + b.x) / 2 + CASE WHEN a.i = 2 AND a.k % 3 = 0 THEN 0.012e0 ELSE 0.0011e0 END, (a.y + b.y) / 2 - 0.0007e0, a.i = 2 AND a.k % 3 = 0
+  FROM vertex a JOIN vertex b ON a.k = b.k AND b.i = (a.i + 1) % {len(OUTLINE)}),
+raw AS (SELECT k, i, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+  FROM bumped WINDOW w AS (PARTITION BY k ORDER BY i)),
+reduced AS (SELECT k, i, x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+  FROM bumped WHERE kept WINDOW w AS (PARTITION BY k ORDER BY i))"""
+
+
+def bumped_rings(t):
+    """(polygon_id, ring) of ``BUMPED_SQL``."""
+    corners = len(OUTLINE)
+
+    def between(i):
+        a, b = F.get("ring", F.lit(i)), F.get("ring", F.lit((i + 1) % corners))
+        high = F.when(F.col("polygon_id") % 3 == 0, 0.012).otherwise(0.0011) if i == 2 else F.lit(0.0011)
+        return F.struct(((a["lon"] + b["lon"]) / 2 + high).alias("lon"), ((a["lat"] + b["lat"]) / 2 - F.lit(0.0007)).alias("lat"))
+
+    return t.rings().select("polygon_id", F.array(*[p for i in range(corners) for p in (F.get("ring", F.lit(i)), between(i))]).alias("ring"))
+
+
+def bumped_hucs(t):
+    """The watersheds with the rings of ``BUMPED_SQL``."""
+    rings = bumped_rings(t).select(F.lpad(F.col("polygon_id").cast("string"), 8, "0").alias("huc_id"), "ring")
+    return t.hucs().drop("ring").join(rings, "huc_id")
+
+
+MATCH_BUMPED_SQL = f"""WITH {BUMPED_SQL}, {_GRANULE_SQL}, huc AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS huc_id, s_name AS name FROM supplier WHERE s_nationkey >= 10),
 pt AS (SELECT c_custkey AS point_id, 37 + (c_custkey % 400) / 1e2 AS lat, -109 + (c_custkey % 700) / 1e2 AS lon FROM customer),
-hit AS (SELECT point_id, k, lat, lon FROM pt, edge GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1),
+hit AS (SELECT point_id, k, lat, lon FROM pt, raw GROUP BY ALL HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1),
 found AS (SELECT point_id, lon, lat, min(huc_id) AS huc_id, arg_min(name, huc_id) AS name FROM hit JOIN huc USING (k) GROUP BY ALL),
 used AS (SELECT k, huc_id FROM huc WHERE huc_id IN (SELECT huc_id FROM found)),
-re AS (SELECT k, huc_id, round_even(x1, 6) AS x1, round_even(y1, 6) AS y1, round_even(x2, 6) AS x2, round_even(y2, 6) AS y2 FROM edge JOIN used USING (k))"""
-_TINY = 1e-9
+re AS (SELECT k, huc_id, round_even(x1, 6) AS x1, round_even(y1, 6) AS y1, round_even(x2, 6) AS x2, round_even(y2, 6) AS y2 FROM reduced JOIN used USING (k))"""
 
 
 def _pts(t):
@@ -139,25 +170,51 @@ def _pts(t):
     return t.customer.select(F.col("c_custkey").alias("point_id"), lat.alias("lat"), lon.alias("lon"))
 
 
-@query("huc_boundary", f"""{_MATCH_SQL}, e AS (SELECT huc_id, count(*) + 1 AS n, bool_or(least(x1, x2) <= -105 AND greatest(x1, x2) >= -107 AND least(y1, y2) <= 39 AND greatest(y1, y2) >= 38
+@query("huc_boundary", f"""{MATCH_BUMPED_SQL}, e AS (SELECT huc_id, count(*) + 1 AS n, bool_or(least(x1, x2) <= -105 AND greatest(x1, x2) >= -107 AND least(y1, y2) <= 39 AND greatest(y1, y2) >= 38
   AND abs((y2 - y1) * (-106 - x1) + (x1 - x2) * (38.5 - y1)) <= abs(y2 - y1) * 1 + abs(x1 - x2) * 0.5) AS meets,
   count(*) FILTER (WHERE (y1 > 38) <> (y2 > 38) AND x1 + (38 - y1) * (x2 - x1) / (y2 - y1) > -107) % 2 = 1 AS corner FROM re GROUP BY 1)
 SELECT point_id, lon, lat, huc_id, name, n AS n_vertices, meets OR corner AS meets_bounds FROM found JOIN e USING (huc_id)""")
 def _(t):
-    out = watershed.huc_boundary(_pts(t), t.hucs(), 8, bounds=(-107, 38, -105, 39), tolerance=_TINY)
+    out = watershed.huc_boundary(_pts(t), bumped_hucs(t), 8, bounds=(-107, 38, -105, 39), tolerance=TOLERANCE)
     return out.withColumn("n_vertices", F.size("ring").cast("long")).drop("ring")
 
 
-@query("huc_boundary_simplified")
+# Corners turn counter-clockwise and end where they began; numbers as both engines write them, by micro-degrees.
+_RING_SQL = "string_agg(CAST(round(x1 * 1e6) AS BIGINT) || ' ' || CAST(round(y1 * 1e6) AS BIGINT), ',' ORDER BY i)"
+
+
+@query("huc_boundary_simplified", f"""{MATCH_BUMPED_SQL}, r AS (SELECT lpad(CAST(k AS VARCHAR), 8, '0') AS huc_id, count(*) + 1 AS n_vertices, {_RING_SQL} AS ring FROM reduced GROUP BY k)
+SELECT point_id, huc_id, n_vertices, ring FROM found JOIN r USING (huc_id)""")
+def _(t):
+    out = watershed.huc_boundary(_pts(t), bumped_hucs(t), 8, tolerance=TOLERANCE)
+    return out.select("point_id", "huc_id", F.size("ring").cast("long").alias("n_vertices"), _ring_text("ring").alias("ring"))
+
+
+def _ring_text(ring):
+    """A closed ring but for its last point, counter-clockwise rings from their first corner on."""
+    turned = F.slice(F.col(ring), 1, F.size(ring) - 1)
+    micro = lambda c: F.round(c * 1e6).cast("long").cast("string")
+    return F.array_join(F.transform(turned, lambda p: F.concat_ws(" ", micro(p["lon"]), micro(p["lat"]))), ",")
+
+
+@query("simplify_rings_kept", f"WITH {BUMPED_SQL} SELECT k AS polygon_id, {_RING_SQL} AS ring FROM reduced GROUP BY k")
+def _(t):
+    """Closed rings whose kept vertices follow from their keys, by the distance from segments."""
+    out = simplify.simplify_rings(bumped_rings(t), TOLERANCE)
+    return out.select("polygon_id", _ring_text("ring").alias("ring"))
+
+
+@query("simplify_rdp_kept", f"WITH {BUMPED_SQL} SELECT k AS polygon_id, {_RING_SQL} AS ring FROM reduced GROUP BY k")
 def _(t):
-    out = watershed.huc_boundary(_pts(t), t.hucs(), 8, tolerance=0.02)
-    return out.select("point_id", "huc_id", F.size("ring").alias("n_vertices"))
+    """The same rings by the distance from chords' lines, closed before."""
+    out = simplify.simplify_rdp(bumped_rings(t).withColumn("ring", rings.close_ring(F.col("ring"))), TOLERANCE)
+    return out.select("polygon_id", _ring_text("ring").alias("ring"))
 
 
 _SEG = "greatest(0, least(1, ((lon - x1) * (x2 - x1) + (lat - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2))))"
 
 
-@query("huc_soil_moisture", f"""{_MATCH_SQL}, req AS (SELECT huc_id, min(x1) AS rx0, min(y1) AS ry0, max(x1) AS rx1, max(y1) AS ry1 FROM re GROUP BY 1),
+@query("huc_soil_moisture", f"""{MATCH_BUMPED_SQL}, req AS (SELECT huc_id, min(x1) AS rx0, min(y1) AS ry0, max(x1) AS rx1, max(y1) AS ry1 FROM re GROUP BY 1),
 g AS (SELECT huc_id, arg_min(granule_id, (size_mb, granule_id)) AS granule_id FROM req, granule WHERE rx0 <= x1 AND x0 <= rx1 AND ry0 <= y1 AND y0 <= ry1
   AND a <= DATE '2024-01-15' AND b >= DATE '2024-01-10' GROUP BY 1),
 c AS (SELECT o_custkey AS granule_id, o_orderkey AS id, 37 + (o_custkey % 400) / 1e2 + (o_orderkey % 20) / 1e2 AS lat, -109 + (o_custkey % 700) / 1e2 + (o_orderkey % 30) / 1e2 AS lon, floor(o_totalprice) AS value
@@ -171,26 +228,26 @@ def _(t):
     k, o = F.col("o_custkey"), F.col("o_orderkey")
     cells = t.orders.select(k.alias("grid_id"), (37 + (k % 400) / 100.0 + (o % 20) / 100.0).alias("lat"), (-109 + (k % 700) / 100.0 + (o % 30) / 100.0).alias("lon"),
                             F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice").cast("double")).alias("value"))
-    out = watershed.huc_soil_moisture(_pts(t), t.hucs(), _granules(t), cells, "2024-01-10", "2024-01-15", tolerance=_TINY)
+    out = watershed.huc_soil_moisture(_pts(t), bumped_hucs(t), _granules(t), cells, "2024-01-10", "2024-01-15", tolerance=TOLERANCE)
     return out.withColumns({"mean_value": F.round("mean_value", 6), "radius": F.round("radius", 6)})
 
 
-@query("huc_drought_cells", f"""{_MATCH_SQL}, c AS (SELECT o_orderkey AS id, 41.0007e0 - 0.01e0 * ((o_orderkey % 397) + 0.5e0) AS lat, -109.0003e0 + 0.01e0 * ((o_orderkey % 691) + 0.5e0) AS lon, o_totalprice AS value FROM orders)
+@query("huc_drought_cells", f"""{MATCH_BUMPED_SQL}, c AS (SELECT o_orderkey AS id, 41.0007e0 - 0.01e0 * ((o_orderkey % 397) + 0.5e0) AS lat, -109.0003e0 + 0.01e0 * ((o_orderkey % 691) + 0.5e0) AS lon, o_totalprice AS value FROM orders)
 SELECT huc_id AS polygon_id, round(lat, 6) AS latitude, round(lon, 6) AS longitude, value FROM c, re GROUP BY huc_id, id, lat, lon, value
 HAVING count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1""")
 def _(t):
     cells = t.orders.select((F.col("o_orderkey") % 397).alias("row"), (F.col("o_orderkey") % 691).alias("col"), F.col("o_totalprice").alias("value"))
-    out = watershed.huc_drought_cells(_pts(t), t.hucs(), cells, (0.01, 0, -109.0003, 0, -0.01, 41.0007), tolerance=_TINY)
+    out = watershed.huc_drought_cells(_pts(t), bumped_hucs(t), cells, (0.01, 0, -109.0003, 0, -0.01, 41.0007), tolerance=TOLERANCE)
     return out.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6)})
 
 
-@query("huc_moisture_series", f"""{_MATCH_SQL}, c AS (SELECT o_orderkey AS id, 37 + (o_orderkey % 397) / 1e2 AS lat, -109 + (o_orderkey % 691) / 1e2 AS lon, CAST(o_orderdate AS DATE) AS ts,
+@query("huc_moisture_series", f"""{MATCH_BUMPED_SQL}, c AS (SELECT o_orderkey AS id, 37 + (o_orderkey % 397) / 1e2 AS lat, -109 + (o_orderkey % 691) / 1e2 AS lon, CAST(o_orderdate AS DATE) AS ts,
   CASE WHEN o_totalprice >= 20000 THEN floor(o_totalprice) END AS value FROM orders WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
 p AS (SELECT huc_id, id, ts, value, count(*) FILTER (WHERE (y1 > lat) <> (y2 > lat) AND x1 + (lat - y1) * (x2 - x1) / (y2 - y1) > lon) % 2 = 1 AS inside, bool_or({_MEETS}) AS touched
   FROM c, re, (SELECT 0.0062e0 AS h) GROUP BY 1, 2, 3, 4)
 SELECT huc_id AS polygon_id, {day_sql('ts')} AS ts, round(avg(value), 6) AS mean_value FROM p WHERE inside OR touched GROUP BY 1, 2""")
 def _(t):
-    out = watershed.huc_moisture_series(_pts(t), t.hucs(), t.cells(), "1996-01-01", "2000-12-31", (0.0062, 0.0062), tolerance=_TINY)
+    out = watershed.huc_moisture_series(_pts(t), bumped_hucs(t), t.cells(), "1996-01-01", "2000-12-31", (0.0062, 0.0062), tolerance=TOLERANCE)
     return out.withColumn("mean_value", F.round("mean_value", 6))
 
 

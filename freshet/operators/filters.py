@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from freshet.operators.joins import lookup
 from freshet.functions.numeric import col
@@ -22,6 +23,35 @@ def day(value: Column | str | dt.date) -> Column:
     return value if isinstance(value, Column) else F.lit(str(value)).cast("date")
 
 
+def moment(value: Column | str | dt.date) -> Column:
+    """A date or, with a time of day, a timestamp argument as a Column."""
+    timed = isinstance(value, dt.datetime) or isinstance(value, str) and len(value.strip()) > 10
+    return F.lit(str(value)).cast("timestamp") if timed else day(value)
+
+
+def is_timed(df: DataFrame, value: Column) -> bool:
+    """Does the expression carry times of day?"""
+    return isinstance(df.select(value).schema[0].dataType, (TimestampType, TimestampNTZType))
+
+
+def not_after(df: DataFrame, value: Column, end: Column) -> Column:
+    """``value`` is up to ``end``; an end that is a date includes its whole day.
+
+    The day is closed by the first moment after it, so that the comparison with a
+    column stays one that a scan can take.
+    """
+    if is_timed(df, value) and not is_timed(df, end):
+        return value < F.date_add(end, 1)
+    return value <= end
+
+
+def not_before(df: DataFrame, value: Column, start: Column) -> Column:
+    """``value`` is from ``start``; a value that is a date stands for its whole day."""
+    if is_timed(df, start) and not is_timed(df, value):
+        return value >= start.cast("date")
+    return value >= start
+
+
 def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
     missing = sorted(set(cols) - set(df.columns))
     if missing:
@@ -79,10 +109,10 @@ def has_all_fields(fields: DataFrame, required: Sequence[str] = ("TMIN", "TMAX")
 
 
 def date_range(df: DataFrame, start, end, date: str = "date") -> DataFrame:
-    """Rows from ``start`` to ``end``, both in.  A reversed range is an error."""
+    """Rows from ``start`` to ``end``, both in: of timestamps the whole last day.  A reversed range is an error."""
     if not isinstance(start, Column) and not isinstance(end, Column) and str(end) < str(start):
         raise ValueError("end date is before start date")
-    return df.where(col(date).between(day(start), day(end)))
+    return df.where(not_before(df, col(date), moment(start)) & not_after(df, col(date), moment(end)))
 
 
 def valid_cells(df: DataFrame, value: str = "value") -> DataFrame:
@@ -114,10 +144,10 @@ def pick_layer(layers: DataFrame, term: str = "soil_moisture", by: str = "produc
 
 
 def granules_for(granules: DataFrame, bbox, start, end) -> DataFrame:
-    """Granules that overlap a time range and a (min_lon, min_lat, max_lon, max_lat) box."""
+    """Granules that overlap a time range, its last day included, and a (min_lon, min_lat, max_lon, max_lat) box."""
     min_lon, min_lat, max_lon, max_lat = (b if isinstance(b, Column) else F.lit(float(b)) for b in bbox)
     return granules.where(
-        (F.col("start") <= day(end)) & (F.col("end") >= day(start))
+        not_after(granules, F.col("start"), moment(end)) & not_before(granules, F.col("end"), moment(start))
         & (F.col("min_lon") <= max_lon) & (F.col("max_lon") >= min_lon)
         & (F.col("min_lat") <= max_lat) & (F.col("max_lat") >= min_lat))
 
@@ -132,9 +162,9 @@ def smallest_granule(granules: DataFrame, by: str | Sequence[str] = "request_id"
 
 def latest_scene(scenes: DataFrame, as_of, days: int = 30, by: str = "dataset",
                  taken: str = "acquisition_date", tie: str = "scene_id") -> DataFrame:
-    """Per dataset, the newest scene of the ``days`` days up to ``as_of``."""
+    """Per dataset, the newest scene of the ``days`` days up to ``as_of``, that day included."""
     as_of = day(as_of)
-    recent = scenes.where(col(taken).between(F.date_sub(as_of, days), as_of))
+    recent = scenes.where(not_before(scenes, col(taken), F.date_sub(as_of, days)) & not_after(scenes, col(taken), as_of))
     rest = [c for c in scenes.columns if c != by]
     newest = F.max_by(F.struct(*map(col, rest)), F.struct(col(taken), col(tie)))
     return recent.groupBy(col(by)).agg(newest.alias("_s")).select(col(by), "_s.*")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from freshet.functions.numeric import col
 from freshet.functions.rings import close_ring, edge_meets_box, ring_bbox, ring_edges
 from freshet.functions.text import leading_letters
+from freshet.operators.filters import not_after
 from freshet.operators.joins import SALTS
 
 _MIN_LEVEL, _MAX_LEVEL = -20, 8
@@ -305,14 +306,16 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
     """Granules that overlap each request's box and date range.
 
     Requests and granules carry ``start``, ``end`` and the four box columns.
-    Dates and timestamps both work, and the ranges are compared exactly.  Both
+    Dates and timestamps both work, on one side or both, and the ranges are
+    compared exactly; an ``end`` that is a date includes its whole day.  Both
     sides are laid out on buckets of space and of whole days, each of a power of
     two that suits the own extent, so a range of any length lies in two spans of
     days at most.  A pair is made at the coarser of the two sizes, and only in
     the bucket and span where its overlap begins, so it comes out once.
     """
     def laid_out(df: DataFrame, tag: str, levels: Column, spans: Column) -> DataFrame:
-        sized = df.select(*[col(c).alias(f"{tag}{c}") for c in df.columns]).where(F.col(f"{tag}start") <= F.col(f"{tag}end"))
+        sized = (df.where(not_after(df, F.col("start"), F.col("end")))
+                   .select(*[col(c).alias(f"{tag}{c}") for c in df.columns]))
         sized = sized.withColumns({f"{tag}own": _box_level(tag), f"{tag}span": _span_level(tag)})
         box = {c: F.col(f"{tag}{c}") for c in _BOX}
         s = _size(F.col("_lvl"))
@@ -338,7 +341,8 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
         return _level(wide)
 
     def own_levels(df: DataFrame) -> DataFrame:
-        named = df.select(*[col(c).alias(f"z{c}") for c in ("start", "end", *_BOX)]).where(F.col("zstart") <= F.col("zend"))
+        named = (df.where(not_after(df, F.col("start"), F.col("end")))
+                   .select(*[col(c).alias(f"z{c}") for c in ("start", "end", *_BOX)]))
         return named.select(_box_level("z").alias("_lvl"), _span_level("z").alias("_span"))
 
     own = own_levels(requests).unionByName(own_levels(granules))
@@ -354,9 +358,10 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
     s = _size(F.col("_lvl"))
     low_x = F.greatest("r_min_lon", "g_min_lon")
     low_y = F.greatest("r_min_lat", "g_min_lat")
-    pairs = left.join(right, keys).where(
+    joined = left.join(right, keys)
+    pairs = joined.where(
         (F.col("_lvl") == F.greatest("r_own", "g_own")) & (F.col("_span") == F.greatest("r_span", "g_span"))
-        & (F.col("r_start") <= F.col("g_end")) & (F.col("g_start") <= F.col("r_end"))
+        & not_after(joined, F.col("r_start"), F.col("g_end")) & not_after(joined, F.col("g_start"), F.col("r_end"))
         & (F.col("r_min_lon") <= F.col("g_max_lon")) & (F.col("g_min_lon") <= F.col("r_max_lon"))
         & (F.col("r_min_lat") <= F.col("g_max_lat")) & (F.col("g_min_lat") <= F.col("r_max_lat"))
         & (F.col("_bx") == _bucket(low_x, s)) & (F.col("_by") == _bucket(low_y, s))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.numeric import col
 from freshet.functions.rings import clean_rings, intersects_bounds, ring_bbox
-from freshet.operators.filters import date_range, day, resolve_basin, smallest_granule, valid_cells
+from freshet.operators.filters import date_range, day, moment, resolve_basin, smallest_granule, valid_cells
 from freshet.operators.grids import cells_with_coords, clip_cells, expanding_mean_of_pairs, spatial_mean_by_time
 from freshet.operators.joins import SALTS, lookup
 from freshet.operators.simplify import simplify_rings
@@ -65,7 +65,7 @@ def huc_soil_moisture(points: DataFrame, polygons: DataFrame, granules: DataFram
     """
     found, rings = _used(points, polygons, level, point_id, tolerance, salts)
     boxed = rings.select("polygon_id", "ring", ring_bbox(F.col("ring")).alias("b"))
-    requests = boxed.select(F.col("polygon_id").alias("request_id"), day(start).alias("start"), day(end).alias("end"), "b.*")
+    requests = boxed.select(F.col("polygon_id").alias("request_id"), moment(start).alias("start"), moment(end).alias("end"), "b.*")
     chosen = shared(smallest_granule(granules_for_requests(requests, granules, salts=salts)).select(
         F.col("request_id").alias("polygon_id"), F.col("granule_id")))
     # Most granules are nobody's choice: drop their cells before the spatial join, in

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import flows, grids, snow
+from freshet.operators import filters, flows, grids, snow
 from freshet.sources import flow, grids as grid_source, sinks, snow as snow_source, stations, watershed, weather
 
 
@@ -161,3 +161,47 @@ def test_writers_keep_every_row(spark, landing):
     assert spark.read.csv(f"{landing}/csv", header=True).count() == 500
     sinks.write_normalized(df.drop("date"), f"{landing}/normalized")
     assert spark.read.parquet(f"{landing}/normalized").columns == ["station_id", "tmin"]
+
+
+def test_some_stations_replace_theirs(spark, landing):
+    schema = "station_id string, date date, min_flow double"
+    rows_ = [(f"s{k}", dt.date(2024, m, 1), float(k)) for k in range(20) for m in (1, 2)]
+    for fmt in ("parquet", "csv"):
+        path = f"{landing}/{fmt}-parts"
+        first = spark.createDataFrame(rows_, schema)
+        sinks.write_combined(first, path, fmt, "stations", buckets=4)  # nothing there yet
+        sinks.write_combined(spark.createDataFrame([("s3", dt.date(2024, 5, 1), None), ("new", dt.date(2024, 5, 1), 9.0)], schema), path, fmt, "stations", buckets=4)
+        sinks.write_combined(first.limit(0), path, fmt, "stations", buckets=4)
+        got = {tuple(r) for r in sinks.read_combined(spark, path, first.schema, fmt).collect()}
+        assert got == {r for r in rows_ if r[0] != "s3"} | {("s3", dt.date(2024, 5, 1), None), ("new", dt.date(2024, 5, 1), 9.0)}
+
+
+def test_granules_of_any_type(spark, landing):
+    text = "granule_id,min_lon,min_lat,max_lon,max_lat,start,end,size_mb\n" \
+           "a,1,2,3,4,2024-01-01T10:00:00-07:00,2024-01-02,5\nb,1,2,3,4,2024-01-01 10:00:00,2024-01-02T00:00:00Z,\n" \
+           "c,x,2,3,4,2024-01-01,2024-01-02,1\nd,9,2,3,4,2024-01-01,2024-01-02,1\n,1,2,3,4,2024-01-03,2024-01-02,big\n"
+    spark.conf.set("spark.sql.session.timeZone", "America/Denver")
+    try:
+        good, bad = grid_source.read_granules(spark, put(landing, "g.csv", text), "csv")
+        at = {r.granule_id: (r.s, r.e, r.size_mb) for r in good.selectExpr("*", "unix_seconds(start) AS s", "unix_micros(end) AS e").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert at == {"a": (1704128400, 1704239999999999, 5.0), "b": (1704103200, 1704153600000000, None)}
+    assert {r.granule_id: r.reason for r in bad.collect()} == {"c": "min_lon", "d": "max_lon", None: "size_mb,granule_id,end"}
+    assert '"min_lon":"x"' in bad.where("granule_id = 'c'").first().landed
+    typed = spark.createDataFrame([(7, 1.0, float("nan"), dt.date(2024, 1, 1), dt.date(2024, 1, 1))], "granule_id int, min_lon double, min_lat double, start date, end date")
+    typed.write.parquet(f"{landing}/typed")
+    good, bad = grid_source.read_granules(spark, f"{landing}/typed")
+    assert good.count() == 0 and bad.first().reason == "min_lat,max_lon,max_lat"
+    assert grid_source.parse_granules(typed.limit(0))[0].count() == 0
+
+
+def test_ranges_take_the_whole_last_day(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, timestamp'2024-01-02 00:00:00'), (2, timestamp'2024-01-03 23:59:59.999999'), (3, timestamp'2024-01-04 00:00:00'), (4, NULL) AS t(id, ts)")
+    ids = lambda d: [r.id for r in d.orderBy("id").collect()]
+    assert ids(filters.date_range(df, "2024-01-02", "2024-01-03", "ts")) == [1, 2]
+    assert ids(filters.date_range(df, dt.date(2024, 1, 3), dt.datetime(2024, 1, 4), "ts")) == [2, 3]
+    days = df.withColumn("ts", F.col("ts").cast("date"))
+    assert ids(filters.date_range(days, "2024-01-02 12:00:00", "2024-01-03 01:00:00", "ts")) == [1, 2]
+    with pytest.raises(ValueError):
+        filters.date_range(df, "2024-01-02", "2024-01-01", "ts")
