@@ -22,6 +22,34 @@ def _(t):
     return spatial.within_distance(t.cells().select("id", "lat", "lon"), t.rings(), 0.0213).select("id", "polygon_id")
 
 
+# A square for every supplier, of 100 vertices or, every 25th, of 50,000, half of these in a hundredth of a side.
+@query("points_in_dense_rings", f"""WITH {CELLS_SQL}, q AS (SELECT s_suppkey AS k, -109 + (s_suppkey * 7 % 700) / 1e2 + 0.00371e0 AS x, 37 + (s_suppkey * 3 % 400) / 1e2 + 0.00293e0 AS y, 0.1e0 + (s_suppkey % 5) / 10e0 AS h FROM supplier)
+SELECT id, k AS polygon_id FROM cell, q WHERE abs(lon - x) < h AND abs(lat - y) < h""")
+def _(t):
+    k = F.col("s_suppkey")
+    x = F.lit(-109) + (k * 7 % 700) / F.lit(100.0) + F.lit(0.00371)
+    y = F.lit(37) + (k * 3 % 400) / F.lit(100.0) + F.lit(0.00293)
+    n, h = F.when(k % 25 == 0, 50_000).otherwise(100), F.lit(0.1) + (k % 5) / F.lit(10.0)
+
+    def vertex(i):
+        share = i / n
+        at = 4 * F.when(share < 0.5, share * 0.005).otherwise(0.0025 + (share - 0.5) * 1.995)
+        side, f = F.floor(at), at - F.floor(at)
+        lon = F.when(side == 0, -1 + 2 * f).when(side == 1, 1.0).when(side == 2, 1 - 2 * f).otherwise(-1.0)
+        lat = F.when(side == 0, -1.0).when(side == 1, -1 + 2 * f).when(side == 2, 1.0).otherwise(1 - 2 * f)
+        return F.struct((x + h * lon).alias("lon"), (y + h * lat).alias("lat"))
+
+    corners = F.array(*[F.struct((x + h * a).alias("lon"), (y + h * b).alias("lat")) for a, b in ((1, -1), (1, 1), (-1, 1))])
+    dense = F.transform(F.sequence(F.lit(0), n - 1), vertex)
+    # The corners are vertices too, wherever the walk around the square meets them.
+    place = lambda p: F.when(p["lat"] == y - h, F.struct(F.lit(0).alias("s"), p["lon"].alias("d"))).when(
+        p["lon"] == x + h, F.struct(F.lit(1).alias("s"), p["lat"].alias("d"))).when(
+        p["lat"] == y + h, F.struct(F.lit(2).alias("s"), (-p["lon"]).alias("d"))).otherwise(F.struct(F.lit(3).alias("s"), (-p["lat"]).alias("d")))
+    ring = F.transform(F.array_sort(F.transform(F.concat(dense, corners), lambda p: F.struct(place(p).alias("o"), p.alias("p")))), lambda v: v["p"])
+    squares = t.supplier.select(k.alias("polygon_id"), ring.alias("ring"))
+    return spatial.points_in_polygons(t.cells().select("id", "lat", "lon"), squares).select("id", "polygon_id")
+
+
 _HUC = """huc AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS huc_id, s_name AS name,
   CASE WHEN s_nationkey < 5 THEN 4 WHEN s_nationkey < 10 THEN 6 ELSE 8 END AS huc_level FROM supplier)"""
 

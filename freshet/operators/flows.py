@@ -11,6 +11,7 @@ from freshet.functions.numeric import col
 from freshet.operators.filters import require_columns
 from freshet.operators.joins import lookup
 from freshet.operators.scaling import fill_mean
+from freshet.operators.staging import shared
 
 VALUE_COLUMNS = ("tmax", "tmin", "min_flow", "max_flow")
 
@@ -82,12 +83,14 @@ def merge_weather_flow(wx: DataFrame, flow: DataFrame, fill: bool = True, key: s
     """Full outer join on (date, station); gaps filled with the station's column mean.
 
     The day is part of the join key, which spreads a hot station over the shuffle.
+    To fill, the joined rows are written to shared storage: the means and the
+    rows both come from there, so the join runs once.
     """
     require_columns(wx, [date, key])
     require_columns(flow, [date, key])
     merged = wx.join(flow, [date, key], "full")
     present = [c for c in VALUE_COLUMNS if c in merged.columns]
-    return fill_mean(merged, present, by=key) if fill and present else merged
+    return fill_mean(shared(merged, "merged"), present, by=key) if fill and present else merged
 
 
 def union_sites(frames: Sequence[DataFrame]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.numeric import col, in_bbox, radii
 from freshet.operators.filters import valid_cells
-from freshet.operators.joins import SALTS, lookup
+from freshet.operators.joins import SALTS, Salts, lookup
+from freshet.operators.staging import shared
 from freshet.operators.spatial import match_polygons, points_in_boxes, within_distance
 
 # Fixed value: what the name of a soil-moisture group contains.
@@ -20,7 +21,7 @@ MOISTURE_GROUP = "Soil_Moisture_Retrieval_Data"
 
 
 def first_group_cells(cells: DataFrame, name_part: str = MOISTURE_GROUP, group: str = "grp",
-                      order: str = "group_order", salts: int = SALTS) -> DataFrame:
+                      order: str = "group_order", salts: Salts = SALTS) -> DataFrame:
     """Per grid, the cells of the first group whose name contains ``name_part``."""
     named = cells.where(F.contains(col(group), F.lit(name_part)))
     first = named.groupBy("grid_id").agg(F.min(col(order)).alias(order))
@@ -38,7 +39,7 @@ def grid_bounds(cells: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def grid_availability(cells: DataFrame, boxes: DataFrame, margin: float = 1.0,
-                      id_col: str = "polygon_id", salts: int = SALTS) -> DataFrame:
+                      id_col: str = "polygon_id", salts: Salts = SALTS) -> DataFrame:
     """Cells and valid cells in each box, and valid cells in the box grown by ``margin``.
 
     A box with no cell near it has a row without ``grid_id``: no cells, and no share that is valid.
@@ -63,7 +64,7 @@ def cells_with_coords(cells: DataFrame, transform: Sequence[Column | float]) ->
 
 def clip_cells(cells: DataFrame, polygons: DataFrame, all_touched: bool = False,
                half: tuple[float, float] | None = None, id_col: str = "polygon_id",
-               salts: int = SALTS) -> DataFrame:
+               salts: Salts = SALTS) -> DataFrame:
     """Cells whose centre is in the polygon; with ``all_touched`` every cell it touches.
 
     ``half`` is half the width and height of a cell in degrees.
@@ -76,7 +77,7 @@ def clip_cells(cells: DataFrame, polygons: DataFrame, all_touched: bool = False,
 
 
 def cells_near_polygon(cells: DataFrame, polygons: DataFrame, distance: float,
-                       id_col: str = "polygon_id", salts: int = SALTS) -> DataFrame:
+                       id_col: str = "polygon_id", salts: Salts = SALTS) -> DataFrame:
     """Valid cells inside a polygon or within ``distance`` of its boundary, each once."""
     return within_distance(valid_cells(cells), polygons, distance, id_col=id_col, salts=salts)
 
@@ -86,7 +87,7 @@ def _with_every_polygon(polygons: DataFrame, means: DataFrame, id_col: str) -> D
 
 
 def zonal_mean(cells: DataFrame, polygons: DataFrame, id_col: str = "polygon_id",
-               value: str = "value", salts: int = SALTS) -> DataFrame:
+               value: str = "value", salts: Salts = SALTS) -> DataFrame:
     """Mean of the valid cells in each polygon; NULL when there is none."""
     pairs = clip_cells(valid_cells(cells, value), polygons, id_col=id_col, salts=salts)
     means = pairs.groupBy(col(id_col)).agg(F.avg(col(value)).alias("mean_value"),
@@ -94,26 +95,41 @@ def zonal_mean(cells: DataFrame, polygons: DataFrame, id_col: str = "polygon_id"
     return _with_every_polygon(polygons, means, id_col)
 
 
+#: What rounding may add to a distance at a radius.
+_ROUNDING = 5e-10
+
+
 def zonal_mean_expanding(cells: DataFrame, polygons: DataFrame, max_distance: float = 0.1,
                          steps: int = 5, id_col: str = "polygon_id", value: str = "value",
-                         salts: int = SALTS) -> DataFrame:
+                         salts: Salts = SALTS, same: tuple[str, str] | None = None, inside_first: bool = True) -> DataFrame:
     """Mean of the valid cells within the smallest of ``steps`` radii that reaches any.
 
-    One join at the largest radius.  A cell's ring is the first radius reaching
-    it; a polygon's answer is the ring that comes first, since no smaller one
-    has cells.
+    From the polygon outwards: the first join looks inside only, which is where
+    most polygons find cells and are done.  The rest look around themselves once,
+    at the largest radius; a cell's ring is the first radius reaching it, and the
+    answer is the ring that comes first, since no smaller one has cells.
+    ``same`` names a cell column and a polygon column that must be equal too.
+    Where cells are so few that one look around costs less than two joins,
+    ``inside_first`` can be switched off; the result is the same.
     """
-    pairs = match_polygons(valid_cells(cells, value), polygons, id_col=id_col, margin=max_distance, salts=salts)
-    return _with_every_polygon(polygons, expanding_mean_of_pairs(pairs, max_distance, steps, id_col, value), id_col)
-
-
-def expanding_mean_of_pairs(pairs: DataFrame, max_distance: float, steps: int = 5,
-                            id_col: str = "polygon_id", value: str = "value") -> DataFrame:
-    """The expanding-radius mean of (cell, polygon) pairs matched at the largest radius."""
-    # Radii are evenly spaced, so the first that reaches the cell follows by
-    # division; half a nanodegree forgives rounding at the ring limits.
+    usable = valid_cells(cells, value)
+    if not inside_first:
+        return _with_every_polygon(polygons, _ring_means(usable, polygons, max_distance, max_distance, steps, id_col, value, salts, same), id_col)
+    inside = shared(_ring_means(usable, polygons, 0.0, max_distance, steps, id_col, value, salts, same), "means")
+    left = polygons.join(inside.select(id_col), id_col, "left_anti")
+    if left.isEmpty():
+        return _with_every_polygon(polygons, inside, id_col)
+    around = _ring_means(usable, left, max_distance, max_distance, steps, id_col, value, salts, same)
+    return _with_every_polygon(polygons, inside.unionByName(around), id_col)
+
+
+def _ring_means(cells: DataFrame, polygons: DataFrame, reach: float, max_distance: float, steps: int, id_col: str, value: str,
+                salts: Salts, same: tuple[str, str] | None) -> DataFrame:
+    """Of each polygon the mean over the first ring with cells, looking as far as ``reach``."""
+    pairs = match_polygons(cells, polygons, id_col=id_col, margin=reach + _ROUNDING, salts=salts, same=same)
+    # Radii are evenly spaced, so the first that reaches the cell follows by division.
     gap = max_distance / max(steps - 1, 1)
-    ring = F.greatest(F.lit(0), F.ceil((F.sqrt("away_sq") - 5e-10) / gap)).cast("int")
+    ring = F.greatest(F.lit(0), F.ceil((F.sqrt("away_sq") - _ROUNDING) / gap)).cast("int")
     per_ring = (pairs.withColumn("_ring", ring).groupBy(col(id_col), "_ring")
                      .agg(F.avg(col(value)).alias("mean_value"), F.count(F.lit(1)).alias("n_cells")))
     best = F.min_by(F.struct("mean_value", "n_cells",
@@ -128,7 +144,7 @@ def spatial_mean_by_time(cells: DataFrame, id_col: str = "polygon_id", ts: str =
 
 
 def grid_iou(cells: DataFrame, first: DataFrame, second: DataFrame, id_col: str = "polygon_id",
-             cell_id: str = "cell_id", salts: int = SALTS) -> DataFrame:
+             cell_id: str = "cell_id", salts: Salts = SALTS) -> DataFrame:
     """Overlap of two versions of each polygon, measured on cells: both / either; NULL where no cell is in either."""
     both = first.select(F.struct(col(id_col).alias("id"), F.lit(True).alias("a")).alias("_v"), "ring").unionByName(
         second.select(F.struct(col(id_col).alias("id"), F.lit(False).alias("a")).alias("_v"), "ring"))

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from freshet.functions.numeric import col, haversine_km, km_from_haversine
 from freshet.functions.text import with_prefix
 from freshet.operators.filters import filter_wx_stations, fit_stations, has_all_fields
-from freshet.operators.joins import SALTS, lookup
+from freshet.operators.joins import SALTS, Salts, equi_join, lookup
+from freshet.operators.staging import shared
 
 WX_PREFIX = "GHCND:"
 # Cell sizes in degrees, each an eighth of the one before.  32 degrees cut the
@@ -73,14 +74,14 @@ def _prune(frontier: DataFrame, k: int, size: float) -> DataFrame:
 
 
 def nearest_to_points(points: DataFrame, stations: DataFrame, k: int = 50,
-                      sizes: Sequence[float] = CELL_SIZES, salts: int = SALTS) -> DataFrame:
+                      sizes: Sequence[float] = CELL_SIZES, salts: Salts = SALTS) -> DataFrame:
     """(_plat, _plon, wx_id, km, rank) for distinct points; ranks run 1..k."""
     # Stations on one spot are ordered by id, so past k of them none can matter.
     on_spot = W.partitionBy("lat", "lon").orderBy("wx_id")
     cands = (stations.select("wx_id", "lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
              .withColumn("_r", F.row_number().over(on_spot)).where(F.col("_r") <= k).drop("_r"))
     cx, cy = _cell(F.col("lat"), F.col("lon"), sizes[-1])
-    leaves = cands.withColumns({"_cx": cx, "_cy": cy})
+    leaves = shared(cands.withColumns({"_cx": cx, "_cy": cy}), "stations")  # every level counts them
     counts = [leaves.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))]
     for _ in sizes[1:]:
         counts.append(counts[-1].groupBy(F.shiftright("_cx", 3).alias("_cx"), F.shiftright("_cy", 3).alias("_cy"))
@@ -101,14 +102,13 @@ def nearest_to_points(points: DataFrame, stations: DataFrame, k: int = 50,
     return ranked.where(F.col("rank") <= k)
 
 
-def _join_cells(frontier: DataFrame, cells: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """Open the cells of each point; points crowding into one cell are salted."""
-    if salts > 1:
-        frontier = frontier.withColumn("_salt", F.pmod(F.xxhash64("_plat", "_plon"), F.lit(salts)))
-        cells = cells.withColumn("_salt", F.explode(
-            F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        keys = keys + ["_salt"]
-    return frontier.join(cells, keys).drop("_salt")
+def _join_cells(frontier: DataFrame, cells: DataFrame, keys: list[str], salts: Salts) -> DataFrame:
+    """Open the cells of each point.
+
+    The frontier is the work of all levels above, too dear to sketch: points
+    crowding into one cell are left to the runtime's splitting, unless told.
+    """
+    return equi_join(frontier, cells, keys, 1 if salts is None else salts)
 
 
 def _distinct_points(sites: DataFrame, lat: str, lon: str) -> DataFrame:
@@ -117,19 +117,14 @@ def _distinct_points(sites: DataFrame, lat: str, lon: str) -> DataFrame:
 
 
 def _back_to_sites(sites: DataFrame, found: DataFrame, site_id: str, lat: str, lon: str,
-                   salts: int) -> DataFrame:
+                   salts: Salts) -> DataFrame:
     """Give every site on a spot what was found for the spot."""
     keyed = sites.select(col(site_id), col(lat).alias("_plat"), col(lon).alias("_plon"))
-    if salts > 1:
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(col(site_id)), F.lit(salts)))
-        found = found.withColumn("_salt", F.explode(
-            F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        return keyed.join(found, ["_plat", "_plon", "_salt"]).drop("_plat", "_plon", "_salt")
-    return keyed.join(found, ["_plat", "_plon"]).drop("_plat", "_plon")
+    return equi_join(keyed, found, ["_plat", "_plon"], salts).drop("_plat", "_plon")
 
 
 def nearest_stations(sites: DataFrame, stations: DataFrame, k: int = 50, site_id: str = "site_id",
-                     lat: str = "lat", lon: str = "lon", salts: int = SALTS) -> DataFrame:
+                     lat: str = "lat", lon: str = "lon", salts: Salts = SALTS) -> DataFrame:
     """(site_id, wx_id, km, rank): each site's k nearest stations, nearest first."""
     found = nearest_to_points(_distinct_points(sites, lat, lon), stations, k, salts=salts)
     return _back_to_sites(sites, found, site_id, lat, lon, salts)
@@ -139,7 +134,7 @@ def nearest_fit_station(sites: DataFrame, stations: DataFrame, meta: DataFrame,
                         start, end, k: int = 50, required: Sequence[str] = ("TMIN", "TMAX"),
                         site_id: str = "site_id", lat: str = "lat", lon: str = "lon",
                         min_coverage: float = 0.87, grace_days: int = 3,
-                        salts: int = SALTS) -> DataFrame:
+                        salts: Salts = SALTS) -> DataFrame:
     """(site_id, noaa_station, km, rank): the first of the k nearest that is fit.
 
     Fit means enough coverage over the range and all required fields.  A site
@@ -151,7 +146,7 @@ def nearest_fit_station(sites: DataFrame, stations: DataFrame, meta: DataFrame,
                               required, key="_wx")
     near = nearest_to_points(_distinct_points(sites, lat, lon), filter_wx_stations(stations), k, salts=salts)
     usable = lookup(near.withColumn("_wx", with_prefix(F.col("wx_id"), WX_PREFIX)),
-                    fit.join(complete, "_wx"), ["_wx"], how="left_semi", salts=salts)
+                    fit.join(complete, "_wx"), ["_wx"], how="left_semi", salts=1)
     first = (usable.groupBy("_plat", "_plon")
                    .agg(F.min_by(F.struct(F.col("wx_id").alias("noaa_station"), "km", "rank"), F.col("rank")).alias("_b"))
                    .select("_plat", "_plon", "_b.*"))

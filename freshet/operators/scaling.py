@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.numeric import col
-from freshet.operators.joins import lookup
+from freshet.operators.joins import HOT_ROWS, NAMED, lookup
+from freshet.operators.staging import shared
 
 
 def _single(df: DataFrame, stats: dict[str, Column]) -> Column:
@@ -18,15 +19,18 @@ def _single(df: DataFrame, stats: dict[str, Column]) -> Column:
 def fill_mean(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None) -> DataFrame:
     """Replace NULLs by the column mean, of the group when ``by`` is given.
 
-    A column without any value stays NULL.
+    A column without any value stays NULL.  Groups large enough to be split are
+    known from their means' counts.
     """
     if by is None:
         means = _single(df, {f"m{i}": F.avg(col(c)) for i, c in enumerate(cols)})
         return df.withColumns({c: F.coalesce(col(c), means[f"m{i}"]) for i, c in enumerate(cols)})
     by = [by] if isinstance(by, str) else list(by)
-    means = df.groupBy(*map(col, by)).agg(*[F.avg(col(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
+    means = shared(df.groupBy(*map(col, by)).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(col(c)).alias(f"_m{i}") for i, c in enumerate(cols)]), "means")
+    large = means.where(F.col("_n") > HOT_ROWS).orderBy(F.desc("_n")).limit(NAMED)
+    pieces = {r.h: -(-r.n // HOT_ROWS) for r in large.select(F.xxhash64(*map(col, by)).alias("h"), F.col("_n").alias("n")).collect()}
     filled = {c: F.coalesce(col(c), F.col(f"_m{i}")) for i, c in enumerate(cols)}
-    return (lookup(df, means, by).withColumns(filled)
+    return (lookup(df, means.drop("_n"), by, salts=pieces).withColumns(filled)
             .drop(*[f"_m{i}" for i in range(len(cols))]))
 
 

@@ -7,8 +7,11 @@ pass through, and whether the bucket's anchor point is inside.  A point then
 needs an equality join on its bucket and a walk over those few edges: it is
 inside if the way from the anchor to the point crosses an odd number of them.
 
-Points look into one bucket per size in use; the sizes come from a scalar
-subquery.  Buckets that hold many points are salted.
+Where an outline is dense, buckets are quartered until each keeps a set number
+of edges, so a coast of a million vertices costs a point no more than a square.
+
+The buckets are written to shared storage once.  Points look into one bucket per
+size in use; only buckets that hold very many points are split.
 """
 
 from __future__ import annotations
@@ -22,12 +25,18 @@ from freshet.functions.numeric import col
 from freshet.functions.rings import close_ring, edge_meets_box, ring_bbox, ring_edges
 from freshet.functions.text import leading_letters
 from freshet.operators.filters import not_after
-from freshet.operators.joins import SALTS
+from freshet.operators.joins import SALTS, Salts, equi_join
+from freshet.operators.staging import shared
 
 _MIN_LEVEL, _MAX_LEVEL = -20, 8
 # Where in a bucket its anchor sits: off every round fraction, so that real
 # coordinates do not line up with it.
 _AX, _AY = math.sqrt(2) - 1, math.sqrt(3) - 1
+#: Buckets up to this size, by count of their edges, are broadcast.
+BROADCAST_BYTES = 64 << 20
+_EDGE_BYTES, _ROW_BYTES = 64, 256
+#: Edges that a bucket keeps, unless they meet in a point.
+MAX_EDGES = 64
 HUC_LEVELS = (4, 6, 8)
 _BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 _EDGES = ("array<struct<x1:double,y1:double,x2:double,y2:double,dx:double,dy:double,"
@@ -49,7 +58,7 @@ def _bucket(v: Column, size: Column) -> Column:
 
 
 def _polygon_level(ring: Column, margin: float) -> Column:
-    """Bucket size for about 4 to 64 buckets across, more for more vertices."""
+    """Bucket size for 4 to 64 buckets across, more for more vertices; denser places are split later."""
     box = ring_bbox(ring)
     extent = F.greatest(box["max_lon"] - box["min_lon"], box["max_lat"] - box["min_lat"]) + 2 * margin
     across = F.greatest(F.lit(4.0), F.least(F.lit(64.0), F.size(ring) / 64.0))
@@ -61,69 +70,167 @@ def _levels_in_use(df: DataFrame) -> Column:
     return df.select("_lvl").distinct().agg(F.collect_list("_lvl")).scalar()
 
 
-def polygon_parts(polygons: DataFrame, id_col: str, ring_col: str, margin: float) -> DataFrame:
-    """(id, _part, _ring, _lvl): each different ring of each polygon, once.
+def gathered_polygons(polygons: DataFrame, id_col: str, ring_col: str, margin: float, attrs: Sequence[str] = (),
+                      same: str | None = None) -> DataFrame:
+    """(id, _parts, _lvl, _dense, _box, _a, _same): a row for each polygon with its different rings.
 
     Landed polygons repeat and may have several rings under one id.  All parts of
     a polygon get the bucket size of the one that needs the largest.
     """
-    parts = (polygons.select(col(id_col), F.xxhash64(col(ring_col)).alias("_part"), col(ring_col).alias("_ring"))
-             .dropDuplicates([id_col, "_part"]))
-    return parts.withColumn("_lvl", F.max(_polygon_level(F.col("_ring"), margin)).over(W.partitionBy(col(id_col))))
+    one = polygons.where(col(ring_col).isNotNull()).groupBy(col(id_col)).agg(
+        F.collect_set(col(ring_col)).alias("_parts"),
+        (F.min(F.struct(*map(col, attrs))) if attrs else F.lit(None).cast("int")).alias("_a"),
+        (F.collect_set(col(same)) if same else F.array(F.lit(0))).alias("_same"))
+    boxes = F.transform("_parts", ring_bbox)
+    box = F.struct(*[f(F.col("_b")[c]).alias(c) for c, f in zip(_BOX, (F.array_min, F.array_min, F.array_max, F.array_max))])
+    vertices = F.aggregate("_parts", F.lit(0), lambda n, r: n + F.size(r) + 1)
+    return (one.withColumn("_lvl", F.array_max(F.transform("_parts", lambda r: _polygon_level(r, margin))))
+               .withColumn("_dense", vertices > MAX_EDGES).withColumn("_b", boxes).withColumn("_box", box).drop("_b"))
 
 
-def ring_buckets(parts: DataFrame, id_col: str = "polygon_id", margin: float = 0.0) -> DataFrame:
-    """(id, _lvl, _bx, _by, _rings) for every bucket a polygon needs, from its :func:`polygon_parts`.
+_KEY = ("_lvl", "_bx", "_by")
 
-    ``_rings`` has an entry (_anchor_in, _edges, _ups) for every part that reaches
-    the bucket.  ``_edges`` are the edges passing through, with what tests against
-    them need worked out once.  ``_ups`` are the heights at which edges cross the
-    vertical through the anchor.  ``margin`` widens what counts as passing
-    through, for searches within a distance of the boundary.
-    """
-    edges = (parts.select(col(id_col), "_part", "_lvl", F.explode(ring_edges(close_ring(F.col("_ring")))).alias("e"))
-                  .withColumn("_s", _size(F.col("_lvl"))))
-    e, s = F.col("e"), F.col("_s")
-    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
 
-    def span(a: Column, b: Column, grow: float) -> Column:
-        return F.explode(F.sequence(_bucket(F.least(a, b) - grow, s), _bucket(F.greatest(a, b) + grow, s)))
-
-    key = [col(id_col), F.col("_part"), F.col("_lvl"), F.col("_bx"), F.col("_by")]
-    anchor_x = (F.col("_bx") + F.lit(_AX)) * s
-    edge = F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"),
+def _edge(e: Column) -> Column:
+    """An edge with what tests against it need, worked out once."""
+    dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    return F.struct(e["x1"].alias("x1"), e["y1"].alias("y1"), e["x2"].alias("x2"), e["y2"].alias("y2"),
                     dx.alias("dx"), dy.alias("dy"), F.coalesce(F.try_divide(dx, dy), F.lit(0.0)).alias("slope"),
                     F.coalesce(F.try_divide(F.lit(1.0), dx * dx + dy * dy), F.lit(0.0)).alias("per_length_sq"))
-    up = F.when((e["x1"] > anchor_x) != (e["x2"] > anchor_x), e["y1"] + (anchor_x - e["x1"]) * F.try_divide(dy, dx))
-    through = (edges.withColumn("_bx", span(e["x1"], e["x2"], margin))
-                    .withColumn("_by", span(e["y1"], e["y2"], margin))
-                    .where(edge_meets_box(e, F.col("_bx") * s, F.col("_by") * s, (F.col("_bx") + 1) * s,
-                                          (F.col("_by") + 1) * s, slack=margin + s * 1e-9))
-                    .groupBy(*key).agg(F.collect_list(edge).alias("_edges"), F.collect_list(up).alias("_ups")))
-
-    # Anchors of a bucket row: the polygon's edges cut the row's anchor line at
-    # some columns, and the anchors between an odd and an even cut are inside.
+
+
+def _distance_sq(e: Column, x: Column, y: Column) -> Column:
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x1"]) * e["dx"] + (y - e["y1"]) * e["dy"]) * e["per_length_sq"]))
+    return F.pow(x - e["x1"] - t * e["dx"], 2) + F.pow(y - e["y1"] - t * e["dy"], 2)
+
+
+def _meets_bucket(e: Column, slack: float) -> Column:
+    s = _size(F.col("_lvl"))
+    return edge_meets_box(e, F.col("_bx") * s, F.col("_by") * s, (F.col("_bx") + 1) * s, (F.col("_by") + 1) * s, slack=slack + s * 1e-9)
+
+
+def edge_buckets(parts: DataFrame, id_col: str, margin: float) -> tuple[DataFrame, DataFrame]:
+    """(edges, anchors) of polygon parts at their own bucket size.
+
+    ``edges`` has a row (id, _part, _lvl, _bx, _by, _e) for every bucket that an
+    edge passes through, ``margin`` widening what counts; ``anchors`` a row
+    without ``_e`` for every bucket whose anchor is inside the part.
+    """
+    rows = (parts.select(col(id_col), "_part", "_lvl", F.explode(ring_edges(close_ring(F.col("_ring")))).alias("e"))
+                 .select(col(id_col), "_part", "_lvl", _edge(F.col("e")).alias("_e")).withColumn("_s", _size(F.col("_lvl"))))
+    e, s = F.col("_e"), F.col("_s")
+
+    def span(a: Column, b: Column) -> Column:
+        return F.explode(F.sequence(_bucket(F.least(a, b) - margin, s), _bucket(F.greatest(a, b) + margin, s)))
+
+    edges = (rows.withColumn("_bx", span(e["x1"], e["x2"])).withColumn("_by", span(e["y1"], e["y2"]))
+                 .where(_meets_bucket(e, margin)).select(col(id_col), "_part", *_KEY, "_e"))
+
+    # Anchors of a bucket row: the part's edges cut the row's anchor line at some
+    # columns, and the anchors between an odd and an even cut are inside.
     line = (F.col("_by") + F.lit(_AY)) * s
-    cut_x = e["x1"] + (line - e["y1"]) * F.try_divide(e["x2"] - e["x1"], e["y2"] - e["y1"])
-    cuts = (edges.withColumn("_by", F.explode(F.sequence(
+    cut_x = e["x1"] + (line - e["y1"]) * F.try_divide(e["dx"], e["dy"])
+    cuts = (rows.withColumn("_by", F.explode(F.sequence(
                     _bucket(F.least(e["y1"], e["y2"]), s) - 1, _bucket(F.greatest(e["y1"], e["y2"]), s))))
-                 .where((e["y1"] > line) != (e["y2"] > line))
-                 .select(col(id_col), "_part", "_lvl", "_by",
-                         (F.ceil(cut_x / s - F.lit(_AX)) - 1).alias("_last")))
+                .where((e["y1"] > line) != (e["y2"] > line))
+                .select(col(id_col), "_part", "_lvl", "_by", (F.ceil(cut_x / s - F.lit(_AX)) - 1).alias("_last")))
     row = W.partitionBy(col(id_col), "_part", "_by").orderBy("_last")
-    runs = (cuts.withColumn("_to_right", F.count(F.lit(1)).over(
-                    W.partitionBy(col(id_col), "_part", "_by").orderBy(F.col("_last"))
-                     .rowsBetween(W.currentRow, W.unboundedFollowing)))
+    runs = (cuts.withColumn("_to_right", F.count(F.lit(1)).over(row.rowsBetween(W.currentRow, W.unboundedFollowing)))
                 .withColumn("_prev", F.lag("_last").over(row))
                 .where((F.col("_to_right") % 2 == 1) & (F.col("_last") > F.col("_prev"))))
-    inside = runs.select(col(id_col), "_part", "_lvl", "_by",
-                         F.explode(F.sequence(F.col("_prev") + 1, F.col("_last"))).alias("_bx"),
-                         F.lit(True).alias("_anchor_in"))
+    anchors = runs.select(col(id_col), "_part", "_lvl", F.explode(F.sequence(F.col("_prev") + 1, F.col("_last"))).alias("_bx"), "_by")
+    return edges, anchors
+
+
+def quartered(edges: DataFrame, anchors: DataFrame, id_col: str, margin: float, nearest: bool,
+              most: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+    """The same area in buckets of ``most`` edges at most: those with more are quartered twice, round after round.
+
+    An edge goes to the quarters it passes through.  A quarter's anchor is inside
+    if the way to it from the old anchor, up or down and then across, crosses an
+    odd number of edges, counting the old anchor's side.  Within a margin, if
+    only the nearest edge matters (``nearest``), a quarter also drops edges that
+    another is nearer than from all of it.  Buckets end at the smallest size, within
+    a margin at an eighth of it, or at the margin where every edge within it
+    matters: smaller ones would be many and hold hardly less.  Only what is still
+    too dense is written and read again in a round; nothing is gathered by bucket.
+    """
+    key = [id_col, *_KEY]
+    lowest = _MIN_LEVEL if margin <= 0 else max(_MIN_LEVEL, math.ceil(math.log2(margin / 8 if nearest else margin)))
+    edges, anchors = shared(edges, "edges"), shared(anchors, "anchors")
+    done: list[tuple[DataFrame, DataFrame]] = []
+    while True:
+        dense = edges.groupBy(*map(col, key)).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > most) & (F.col("_lvl") >= lowest + 2))
+        dense = shared(dense.select(*map(col, key)), "dense")
+        if dense.isEmpty():
+            done.append((edges, anchors))
+            return tuple(_union([d[i] for d in done]) for i in (0, 1))
+        done.append((edges.join(dense, key, "left_anti"), anchors.join(dense, key, "left_anti")))
+        pieces = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in range(4) for y in range(4)]))
+
+        def quarters(rows: DataFrame) -> DataFrame:
+            return (rows.join(dense, key, "left_semi").withColumn("_q", pieces)
+                        .withColumns({"_px": F.col("_bx"), "_py": F.col("_by"), "_lvl": F.col("_lvl") - 2})
+                        .withColumns({"_bx": F.col("_bx") * 4 + F.col("_q.x"), "_by": F.col("_by") * 4 + F.col("_q.y")}))
+
+        s, e = _size(F.col("_lvl")), F.col("_e")
+        ax, ay = (F.col("_px") + F.lit(_AX)) * 4 * s, (F.col("_py") + F.lit(_AY)) * 4 * s
+        bx, by = (F.col("_bx") + F.lit(_AX)) * s, (F.col("_by") + F.lit(_AY)) * s
+        up_at = e["y1"] + (ax - e["x1"]) * F.try_divide(e["dy"], e["dx"])
+        across_at = e["x1"] + (by - e["y1"]) * e["slope"]
+        up = ((e["x1"] > ax) != (e["x2"] > ax)) & ((up_at > ay) != (up_at > by))
+        across = ((e["y1"] > by) != (e["y2"] > by)) & ((across_at > ax) != (across_at > bx))
+        split = quarters(edges)
+        crossings = split.withColumn("_c", F.coalesce(up.cast("int"), F.lit(0)) + F.coalesce(across.cast("int"), F.lit(0))).where("_c > 0")
+        sides = crossings.select(*map(col, key), "_part", "_c").unionByName(quarters(anchors).select(*map(col, key), "_part", F.lit(1).alias("_c")))
+        anchors = sides.groupBy(*map(col, key), "_part").agg(F.sum("_c").alias("_c")).where("_c % 2 = 1").drop("_c")
+        kept = split.where(_meets_bucket(e, margin))
+        if nearest and margin > 0:
+            half = s * (math.sqrt(2) / 2)
+            far = kept.withColumn("_d", F.sqrt(_distance_sq(e, (F.col("_bx") + 0.5) * s, (F.col("_by") + 0.5) * s)))
+            least = far.groupBy(*map(col, key)).agg(F.min("_d").alias("_least"))
+            kept = far.join(least, key).where(_meets_bucket(e, 0.0) | (F.col("_d") - half <= F.col("_least") + half * (1 + 1e-9)))
+        edges = shared(kept.select(col(id_col), "_part", *_KEY, "_e"), "edges")
+        anchors = shared(anchors.select(col(id_col), "_part", *_KEY), "anchors")
+
+
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def whole_buckets(small: DataFrame, id_col: str, margin: float) -> DataFrame:
+    """(id, _lvl, _bx, _by, _rings) of polygons with few edges: every bucket of their box has them all."""
+    s, box = _size(F.col("_lvl")), F.col("_box")
+    ring = lambda r: F.struct(F.lit(False).alias("_anchor_in"), F.transform(ring_edges(close_ring(r)), _edge).alias("_edges"),
+                              F.array().cast("array<double>").alias("_ups"), F.lit(True).alias("_whole"))
+    return (small.withColumn("_rings", F.transform("_parts", ring))
+                 .withColumn("_bx", F.explode(F.sequence(_bucket(box["min_lon"] - margin, s), _bucket(box["max_lon"] + margin, s))))
+                 .withColumn("_by", F.explode(F.sequence(_bucket(box["min_lat"] - margin, s), _bucket(box["max_lat"] + margin, s))))
+                 .select(col(id_col), *_KEY, "_rings"))
+
+
+def ring_buckets(dense: DataFrame, id_col: str = "polygon_id", margin: float = 0.0, nearest: bool = True) -> DataFrame:
+    """(id, _lvl, _bx, _by, _rings) for every bucket a polygon needs, from :func:`gathered_polygons`.
+
+    ``_rings`` has an entry (_anchor_in, _edges, _ups) for every part that reaches
+    the bucket.  ``_edges`` are the edges passing through, ``_ups`` the heights at
+    which edges cross the vertical through the anchor.
+    """
+    parts = dense.select(col(id_col), "_lvl", F.posexplode("_parts").alias("_part", "_ring"))
+    edges, anchors = quartered(*edge_buckets(parts, id_col, margin), id_col, margin, nearest)
+    e = F.col("_e")
+    anchor_x = (F.col("_bx") + F.lit(_AX)) * _size(F.col("_lvl"))
+    up = F.when((e["x1"] > anchor_x) != (e["x2"] > anchor_x), e["y1"] + (anchor_x - e["x1"]) * F.try_divide(e["dy"], e["dx"]))
+    through = edges.groupBy(col(id_col), "_part", *_KEY).agg(F.collect_list(e).alias("_edges"), F.collect_list(up).alias("_ups"))
     ring = F.struct(F.coalesce("_anchor_in", F.lit(False)).alias("_anchor_in"),
                     F.coalesce("_edges", F.array().cast(_EDGES)).alias("_edges"),
-                    F.coalesce("_ups", F.array().cast("array<double>")).alias("_ups"))
-    return (through.join(inside, [id_col, "_part", "_lvl", "_bx", "_by"], "full")
-                   .groupBy(col(id_col), "_lvl", "_bx", "_by").agg(F.collect_list(ring).alias("_rings")))
+                    F.coalesce("_ups", F.array().cast("array<double>")).alias("_ups"), F.lit(False).alias("_whole"))
+    inside = anchors.withColumn("_anchor_in", F.lit(True))
+    return (through.join(inside, [id_col, "_part", *_KEY], "full")
+                   .groupBy(col(id_col), *_KEY).agg(F.collect_list(ring).alias("_rings")))
 
 
 def _in_buckets(points: DataFrame, x: str, y: str, levels: Column) -> DataFrame:
@@ -132,30 +239,20 @@ def _in_buckets(points: DataFrame, x: str, y: str, levels: Column) -> DataFrame:
                   .withColumns({"_bx": _bucket(col(x), size), "_by": _bucket(col(y), size)}))
 
 
-def _salted_join(points: DataFrame, buckets: DataFrame, salts: int, also: Sequence[str] = ()) -> DataFrame:
-    """Inner equi-join on the bucket, with hot buckets cut into ``salts`` pieces."""
-    keys = ["_lvl", "_bx", "_by", *also]
-    if salts > 1:
-        points = points.withColumn("_salt", F.pmod(F.xxhash64(*map(col, points.columns)), F.lit(salts)))
-        buckets = buckets.withColumn("_salt", F.explode(
-            F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        keys = keys + ["_salt"]
-    return points.join(buckets, keys).drop("_salt")
-
-
 def _point_state(x: Column, y: Column, margin: float) -> Column:
     """``struct<inside, _edge_sq>`` of a point joined to its bucket.
 
     Inside a polygon is inside any of its parts.  The way from the anchor goes
     straight up or down to the point's height, then across; edges it crosses
-    flip the anchor's side.
+    flip the anchor's side.  A ring that is there as a whole has its anchor far
+    to the right.
     """
     size = _size(F.col("_lvl"))
     ax, ay = (F.col("_bx") + F.lit(_AX)) * size, (F.col("_by") + F.lit(_AY)) * size
 
-    def crossed(e: Column) -> Column:
+    def crossed(e: Column, from_x: Column) -> Column:
         at = e["x1"] + (y - e["y1"]) * e["slope"]
-        return ((e["y1"] > y) != (e["y2"] > y)) & ((at > x) != (at > ax))
+        return ((e["y1"] > y) != (e["y2"] > y)) & ((at > x) != (at > from_x))
 
     def on_edge(e: Column) -> Column:
         return ((e["dx"] * (y - e["y1"]) == (x - e["x1"]) * e["dy"])
@@ -163,7 +260,9 @@ def _point_state(x: Column, y: Column, margin: float) -> Column:
                 & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
     def holds(ring: Column) -> Column:
-        flips = F.size(F.filter(ring["_ups"], lambda v: (v > ay) != (v > y))) + F.size(F.filter(ring["_edges"], crossed))
+        flips = F.size(F.filter(ring["_ups"], lambda v: (v > ay) != (v > y))) + F.when(
+            ring["_whole"], F.size(F.filter(ring["_edges"], lambda e: crossed(e, F.lit(math.inf))))).otherwise(
+            F.size(F.filter(ring["_edges"], lambda e: crossed(e, ax))))
         return F.when(F.size(ring["_edges"]) == 0, ring["_anchor_in"]).otherwise(
             (ring["_anchor_in"] != (flips % 2 == 1)) & ~F.exists(ring["_edges"], on_edge))
 
@@ -174,20 +273,15 @@ def _point_state(x: Column, y: Column, margin: float) -> Column:
     if margin <= 0:
         return F.struct(inside.alias("inside"))
 
-    def distance_sq(e: Column) -> Column:
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (
-            (x - e["x1"]) * e["dx"] + (y - e["y1"]) * e["dy"]) * e["per_length_sq"]))
-        return F.pow(x - e["x1"] - t * e["dx"], 2) + F.pow(y - e["y1"] - t * e["dy"], 2)
-
     # Only a point outside needs its distance.
-    nearest = F.array_min(F.transform("_rings", lambda r: F.array_min(F.transform(r["_edges"], distance_sq))))
+    nearest = F.array_min(F.transform("_rings", lambda r: F.array_min(F.transform(r["_edges"], lambda e: _distance_sq(e, x, y)))))
     return F.transform(F.array(inside), lambda i: F.struct(
         i.alias("inside"), F.when(i, F.lit(0.0)).otherwise(nearest).alias("_edge_sq")))[0]
 
 
 def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: str = "lat",
                    id_col: str = "polygon_id", ring_col: str = "ring",
-                   attrs: Sequence[str] = (), margin: float = 0.0, salts: int = SALTS,
+                   attrs: Sequence[str] = (), margin: float = 0.0, salts: Salts = SALTS,
                    touched_half: tuple[float, float] | None = None,
                    same: tuple[str, str] | None = None) -> DataFrame:
     """Every (point, polygon) pair that the polygon contains; adds ``inside`` (strictly).
@@ -202,24 +296,38 @@ def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: st
     ``touched_half``, half the width and height of a cell, instead also pairs
     whose cell an edge crosses.  ``same`` names a point column and a polygon
     column that must be equal too; they become part of the join key.
+
+    Writes the polygons' buckets to shared storage and reads them for the join,
+    so the polygons' side is worked out once and its size is known.
     """
     reach = max(touched_half) if touched_half is not None else margin
-    parts = polygon_parts(polygons, id_col, ring_col, reach)
-    buckets = ring_buckets(parts, id_col, reach)
-    boxed = parts.select(col(id_col), ring_bbox(F.col("_ring")).alias("_b")).groupBy(col(id_col)).agg(F.struct(
-        F.min("_b.min_lon").alias("min_lon"), F.min("_b.min_lat").alias("min_lat"),
-        F.max("_b.max_lon").alias("max_lon"), F.max("_b.max_lat").alias("max_lat")).alias("_box"))
-    extra = boxed
+    held = shared(gathered_polygons(polygons, id_col, ring_col, reach, attrs, None if same is None else same[1]), "polygons")
+    buckets = whole_buckets(held.where("NOT _dense"), id_col, reach)
+    across = [F.floor((F.col(f"_box.max_{c}") + reach) / _size(F.col("_lvl"))) - F.floor((F.col(f"_box.min_{c}") - reach) / _size(F.col("_lvl"))) + 1
+              for c in ("lon", "lat")]
+    edges = F.aggregate("_parts", F.lit(0), lambda n, r: n + F.size(r) + 1)
+    seen = held.agg(F.collect_set("_lvl").alias("levels"), F.max("_dense").alias("dense"),
+                    F.sum(F.when(~F.col("_dense"), across[0] * across[1] * (edges * _EDGE_BYTES + _ROW_BYTES))).alias("size")).first()
+    levels, size = set(seen.levels), seen.size or 0  # at most 29 levels
+    if seen.dense:
+        split = shared(ring_buckets(held.where("_dense"), id_col, reach, touched_half is None), "buckets")
+        edges = F.aggregate("_rings", F.lit(0), lambda n, r: n + F.size(r["_edges"]) + F.size(r["_ups"]))
+        more = split.agg(F.collect_set("_lvl").alias("levels"), F.sum(edges * _EDGE_BYTES + _ROW_BYTES).alias("size")).first()
+        levels, size = levels | set(more.levels), size + (more.size or 0)
+        buckets = buckets.unionByName(split)
+    kept = buckets.join(held.select(col(id_col), "_box", *(["_a"] if attrs else []), *(["_same"] if same else [])), id_col)
+    also = []
     if attrs:
-        named = polygons.groupBy(col(id_col)).agg(F.min(F.struct(*map(col, attrs))).alias("_a"))
-        extra = boxed.join(named.select(col(id_col), "_a.*"), id_col)
-    levels = _levels_in_use(parts)
-    placed, kept, also = _in_buckets(points, x, y, levels), buckets.join(extra, id_col), []
+        kept = kept.select(*[c for c in kept.columns if c != "_a"], "_a.*")
     if same is not None:
         also = ["_same"]
-        placed = placed.withColumn("_same", col(same[0]))
-        kept = kept.join(polygons.select(col(id_col), col(same[1]).alias("_same")).distinct(), id_col)
-    pairs = _salted_join(placed, kept, salts, also).drop(*also)
+        points = points.withColumn("_same", col(same[0]))
+        kept = kept.withColumn("_same", F.explode("_same"))
+    placed = _in_buckets(points, x, y, F.array(*map(F.lit, sorted(levels))).cast("array<int>"))
+    # The buckets' size is known: small ones go to where the points are, others meet them in a shuffle.
+    # Points are never sent around, however few: that would leave all pairs to the few tasks of the buckets.
+    kept = F.broadcast(kept) if size <= BROADCAST_BYTES else kept.hint("merge")
+    pairs = equi_join(placed, kept, [*_KEY, *also], salts, dear=True).drop(*also)
     # Four comparisons spare most of the pairs that only share a bucket.
     grown = [F.col(f"_box.{c}") for c in _BOX]
     pairs = pairs.where((col(x) >= grown[0] - reach) & (col(x) <= grown[2] + reach)
@@ -251,7 +359,7 @@ def within_distance(points: DataFrame, polygons: DataFrame, distance: float, **k
 
 def assign_watershed(points: DataFrame, polygons: DataFrame, point_id: str = "point_id",
                      level: int | None = None, order: str | None = None, x: str = "lon",
-                     y: str = "lat", salts: int = SALTS) -> DataFrame:
+                     y: str = "lat", salts: Salts = SALTS) -> DataFrame:
     """The first polygon that strictly contains each point; points without one get no row.
 
     "First" goes by ``order`` (a column of ``polygons``), by id without one.
@@ -262,7 +370,7 @@ def assign_watershed(points: DataFrame, polygons: DataFrame, point_id: str = "po
     named = polygons.where(F.col("name").isNotNull() & F.col("huc_id").isNotNull())
     order = order or "huc_id"
     attrs = list(dict.fromkeys(["huc_id", "name", order]))
-    keyed = named.select(F.struct(col(order), F.col("huc_id")).alias("_p"), "ring", *map(col, attrs))
+    keyed = named.select(F.struct(col(order).alias("order"), F.col("huc_id").alias("id")).alias("_p"), "ring", *map(col, attrs))
     pairs = match_polygons(points.select(col(point_id), col(x), col(y)), keyed, x, y, id_col="_p",
                            attrs=attrs, salts=salts)
     first = F.min_by(F.struct(col(x), col(y), "huc_id", "name"), F.col("_p"))
@@ -287,7 +395,7 @@ def polygon_bbox(polygons: DataFrame, id_col: str = "polygon_id", ring_col: str
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, id_col: str = "polygon_id", x: str = "lon",
-                    y: str = "lat", margin: float = 0.0, salts: int = SALTS) -> DataFrame:
+                    y: str = "lat", margin: float = 0.0, salts: Salts = SALTS) -> DataFrame:
     """(point, box) pairs with the point in the closed box grown by ``margin``; keeps the box columns."""
     min_x, min_y, max_x, max_y = (col(c) for c in _BOX)
     extent = F.greatest(max_x - min_x, max_y - min_y) + 2 * margin
@@ -295,14 +403,14 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, id_col: str = "polygon_
     s = _size(F.col("_lvl"))
     spread = (sized.withColumn("_bx", F.explode(F.sequence(_bucket(min_x - margin, s), _bucket(max_x + margin, s))))
                    .withColumn("_by", F.explode(F.sequence(_bucket(min_y - margin, s), _bucket(max_y + margin, s)))))
-    pairs = _salted_join(_in_buckets(points, x, y, _levels_in_use(sized)), spread, salts)
+    pairs = equi_join(_in_buckets(points, x, y, _levels_in_use(sized)), spread, _KEY, salts)
     inside = ((col(x) >= min_x - margin) & (col(x) <= max_x + margin)
               & (col(y) >= min_y - margin) & (col(y) <= max_y + margin))
     return pairs.where(inside).drop("_lvl", "_bx", "_by")
 
 
 def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id: str = "request_id",
-                          salts: int = SALTS) -> DataFrame:
+                          salts: Salts = SALTS) -> DataFrame:
     """Granules that overlap each request's box and date range.
 
     Requests and granules carry ``start``, ``end`` and the four box columns.
@@ -350,15 +458,10 @@ def granules_for_requests(requests: DataFrame, granules: DataFrame, request_id:
     spans = own.select("_span").distinct().agg(F.collect_list("_span")).scalar()  # at most 22 numbers
     keys = ["_lvl", "_bx", "_by", "_span", "_day"]
     left, right = laid_out(requests, "r_", levels, spans), laid_out(granules, "g_", levels, spans)
-    if salts > 1:  # one bucket and span may hold most requests
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(F.col(f"r_{request_id}")), F.lit(salts)))
-        right = right.withColumn("_salt", F.explode(
-            F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        keys = keys + ["_salt"]
     s = _size(F.col("_lvl"))
     low_x = F.greatest("r_min_lon", "g_min_lon")
     low_y = F.greatest("r_min_lat", "g_min_lat")
-    joined = left.join(right, keys)
+    joined = equi_join(left, right, keys, salts)  # one bucket and span may hold most requests
     pairs = joined.where(
         (F.col("_lvl") == F.greatest("r_own", "g_own")) & (F.col("_span") == F.greatest("r_span", "g_span"))
         & not_after(joined, F.col("r_start"), F.col("g_end")) & not_after(joined, F.col("g_start"), F.col("r_end"))

@@ -12,7 +12,7 @@ from freshet.functions.numeric import coerce_numeric
 from freshet.functions.text import blank_to_null
 from freshet.operators.filters import day, lookup_sites, parse_site_keys, require_columns
 from freshet.operators.flows import daily_extremes, merge_weather_flow, select_readings, union_sites
-from freshet.operators.joins import SALTS
+from freshet.operators.joins import HOT_ROWS, SALTS, Salts, equi_join
 from freshet.operators.nearest import nearest_fit_station
 from freshet.operators.scaling import fill_and_standardize, fill_mean, one_hot, one_hot_index
 from freshet.operators.series import smooth_temperatures
@@ -34,18 +34,21 @@ class Sources:
     wx_daily: DataFrame     # noaa_station, date, tmin, tmax
 
 
-def weather_for_sites(sites: DataFrame, days: DataFrame, salts: int = SALTS) -> DataFrame:
+#: Days of a station that come out for each of its sites, in the mean.
+_DAYS = 2_500
+
+
+def weather_for_sites(sites: DataFrame, days: DataFrame, salts: Salts = SALTS) -> DataFrame:
     """Daily temperatures of each site's weather station, keyed by the site.
 
-    Many sites can share one station; its days are spread by salt before they fan out.
+    Many sites can share one station; where so many do that their days are more
+    than a task takes, the sites are split.
     """
-    chosen = (sites.select("station_id", "noaa_station", F.col("site_id").alias("usgs_site_id"))
-              .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
-    spread = days.withColumn("_salt", F.pmod(F.xxhash64("noaa_station", "date"), F.lit(salts)))
-    return spread.join(chosen, ["noaa_station", "_salt"]).drop("_salt")
+    chosen = sites.select("station_id", "noaa_station", F.col("site_id").alias("usgs_site_id"))
+    return equi_join(chosen, days, ["noaa_station"], salts, HOT_ROWS // _DAYS)
 
 
-def build_dataset(sources: Sources, as_of, years: int = 7, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
+def build_dataset(sources: Sources, as_of, years: int = 7, salts: Salts = SALTS) -> tuple[DataFrame, DataFrame]:
     """(combined, rejects) for all sites.
 
     site -> coordinates -> nearest fit weather station -> its days, merged with the

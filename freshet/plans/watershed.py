@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from freshet.functions.numeric import col
 from freshet.functions.rings import clean_rings, intersects_bounds, ring_bbox
 from freshet.operators.filters import date_range, day, moment, resolve_basin, smallest_granule, valid_cells
-from freshet.operators.grids import cells_with_coords, clip_cells, expanding_mean_of_pairs, spatial_mean_by_time
-from freshet.operators.joins import SALTS, lookup
+from freshet.operators.grids import cells_with_coords, clip_cells, spatial_mean_by_time, zonal_mean_expanding
+from freshet.operators.joins import SALTS, Salts, lookup
 from freshet.operators.simplify import simplify_rings
 from freshet.operators.snow import swe_to_daily
 from freshet.operators.staging import shared
-from freshet.operators.spatial import granules_for_requests, huc_for_points, match_polygons
+from freshet.operators.spatial import granules_for_requests, huc_for_points
 
 
 def basin_snow(requests: DataFrame, basins: DataFrame, wide: DataFrame, start, end) -> DataFrame:
@@ -35,7 +35,7 @@ def simplified_hucs(polygons: DataFrame, level: int, tolerance: float = 0.005) -
 
 
 def _used(points: DataFrame, polygons: DataFrame, level: int, point_id: str, tolerance: float,
-          salts: int) -> tuple[DataFrame, DataFrame]:
+          salts: Salts) -> tuple[DataFrame, DataFrame]:
     """(point -> polygon, the simplified polygons that hold a point), both shared.
 
     Placing the points and simplifying in Python are the dear parts; what follows
@@ -47,7 +47,7 @@ def _used(points: DataFrame, polygons: DataFrame, level: int, point_id: str, tol
 
 
 def huc_boundary(points: DataFrame, polygons: DataFrame, level: int = 8, bounds: Sequence[float] | None = None,
-                 tolerance: float = 0.005, point_id: str = "point_id", salts: int = SALTS) -> DataFrame:
+                 tolerance: float = 0.005, point_id: str = "point_id", salts: Salts = SALTS) -> DataFrame:
     """Each point's watershed with its simplified ring, and whether it meets ``bounds``."""
     found, rings = _used(points, polygons, level, point_id, tolerance, salts)
     rings = rings.select("huc_id", "ring")
@@ -58,7 +58,7 @@ def huc_boundary(points: DataFrame, polygons: DataFrame, level: int = 8, bounds:
 
 def huc_soil_moisture(points: DataFrame, polygons: DataFrame, granules: DataFrame, cells: DataFrame, start, end,
                       level: int = 8, max_distance: float = 0.1, tolerance: float = 0.005,
-                      point_id: str = "point_id", salts: int = SALTS) -> DataFrame:
+                      point_id: str = "point_id", salts: Salts = SALTS) -> DataFrame:
     """Mean soil moisture around each point, from the smallest granule over its watershed.
 
     Work is done once per watershed, then handed to the points in it.
@@ -70,17 +70,16 @@ def huc_soil_moisture(points: DataFrame, polygons: DataFrame, granules: DataFram
         F.col("request_id").alias("polygon_id"), F.col("granule_id")))
     # Most granules are nobody's choice: drop their cells before the spatial join, in
     # which the granule is part of the key, so a polygon only meets cells of its own.
-    usable = lookup(valid_cells(cells), chosen.select(F.col("granule_id").alias("grid_id")).distinct(), ["grid_id"],
-                    how="left_semi", salts=salts)
+    usable = shared(lookup(valid_cells(cells).select("grid_id", "lat", "lon", "value"), chosen.select(F.col("granule_id").alias("grid_id")).distinct(),
+                           ["grid_id"], how="left_semi", salts=salts), "cells")
     wanted = boxed.select("polygon_id", "ring").join(chosen, "polygon_id")
-    pairs = match_polygons(usable, wanted, margin=max_distance, salts=salts, same=("grid_id", "granule_id"))
-    means = chosen.join(expanding_mean_of_pairs(pairs, max_distance), "polygon_id", "left")
-    per_huc = means.withColumnRenamed("polygon_id", "huc_id")
+    means = zonal_mean_expanding(usable, wanted, max_distance, salts=salts, same=("grid_id", "granule_id"), inside_first=False)
+    per_huc = shared(chosen.join(means, "polygon_id", "left").withColumnRenamed("polygon_id", "huc_id"), "means")
     return lookup(found, per_huc, ["huc_id"], salts=salts)
 
 
 def huc_drought_cells(points: DataFrame, polygons: DataFrame, cells: DataFrame, transform, level: int = 8,
-                      tolerance: float = 0.005, point_id: str = "point_id", salts: int = SALTS, on=None,
+                      tolerance: float = 0.005, point_id: str = "point_id", salts: Salts = SALTS, on=None,
                       date: str = "ts") -> DataFrame:
     """Drought-index cells in the watersheds that hold a point: (polygon_id, latitude, longitude, value).
 
@@ -96,7 +95,7 @@ def huc_drought_cells(points: DataFrame, polygons: DataFrame, cells: DataFrame,
 
 def huc_moisture_series(points: DataFrame, polygons: DataFrame, cells: DataFrame, start, end,
                         half: tuple[float, float], level: int = 8, tolerance: float = 0.005,
-                        point_id: str = "point_id", salts: int = SALTS) -> DataFrame:
+                        point_id: str = "point_id", salts: Salts = SALTS) -> DataFrame:
     """Per watershed that holds a point and day, the mean over every cell it touches."""
     _, rings = _used(points, polygons, level, point_id, tolerance, salts)
     in_range = date_range(cells, start, end, date="ts")

@@ -248,3 +248,49 @@ def test_first_fit_station(spark):
     no_max = [f for f in fields if f != ("USW00000003", "TMAX")]
     assert run(no_max)["x"] == ("USW00000004", 4)
     assert run(no_max, k=3) == {}
+
+
+@pytest.mark.parametrize("margin", [0.0, 0.05])
+def test_dense_outlines_are_quartered(spark, margin):
+    rng = random.Random(5)
+    angles = sorted([rng.uniform(0, .03) for _ in range(700)] + [rng.uniform(0, 2 * math.pi) for _ in range(300)])
+    blob = [(.3 + (1 + .2 * math.sin(7 * a)) * math.cos(a), .4 + (1 + .2 * math.sin(7 * a)) * math.sin(a)) for a in angles]
+    hole = [(.3 + .1 * math.cos(a / 50), .4 + .1 * math.sin(a / 50)) for a in range(314)]
+    rings = spark.createDataFrame([("a", blob), ("a", hole), ("b", [(0., 0.), (1., 0.), (0., 1.)])], "polygon_id string, ring array<struct<lon:double,lat:double>>")
+    points = [(i, rng.uniform(-1, 1.6), rng.uniform(-1, 1.7)) for i in range(400)] + [(1000 + i, 1.3 + rng.gauss(0, .01), .4 + rng.gauss(0, .01)) for i in range(300)]
+    df = spark.createDataFrame(points, "pid int, lon double, lat double")
+    buckets = None if margin else spatial.ring_buckets(spatial.gathered_polygons(rings, "polygon_id", "ring", margin).where("_dense"), "polygon_id", margin)
+    assert margin or max(sum(len(x["_edges"]) for x in r["_rings"]) for r in buckets.collect()) <= spatial.MAX_EDGES
+    match = spatial.within_distance(df, rings, margin) if margin else spatial.points_in_polygons(df, rings)
+    got = {(r.pid, r.polygon_id) for r in match.select("pid", "polygon_id").collect()}
+
+    def away(x, y, ring):
+        best = math.inf
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            dx, dy = x2 - x1, y2 - y1
+            t = max(0, min(1, ((x - x1) * dx + (y - y1) * dy) / ((dx * dx + dy * dy) or 1)))
+            best = min(best, math.hypot(x - x1 - t * dx, y - y1 - t * dy))
+        return best
+
+    def inside(x, y, ring):
+        return sum((y1 > y) != (y2 > y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+
+    shapes = {"a": [blob, hole], "b": [[(0., 0.), (1., 0.), (0., 1.)]]}
+    want = {(i, k) for i, x, y in points for k, parts in shapes.items() if any(inside(x, y, r) or margin and away(x, y, r) <= margin for r in parts)}
+    assert got == want
+
+
+def test_only_hot_keys_are_split(spark, monkeypatch):
+    from freshet.operators import joins
+    flat = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    hot = flat.unionByName(spark.range(900).select(F.lit(7).cast("long").alias("k"), (F.col("id") + 5000).alias("id"))).unionByName(spark.range(3).select(F.lit(None).cast("long").alias("k"), "id"))
+    names = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("name")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, 5L AS name"))
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    assert joins.hot_keys(flat, ["k"]) == {} and list(joins.hot_keys(hot, ["k"]).values()) == [10]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" not in plan(joins.lookup(flat, names, ["k"])) and "_salt" in plan(joins.lookup(hot, names, ["k"]))
+    for how in ("left", "inner"):
+        got = sorted((r.k is not None, r.k or 0, r.id, r.name) for r in joins.lookup(hot, names, ["k"], how).collect())
+        assert len(got) == 1903 and all(n == (2 * k if there else 5) for there, k, _, n in got)
+    assert joins.lookup(hot, names.where("k <> 7"), ["k"], "left_anti").count() == 913
+    assert joins.equi_join(hot, names, ["k"]).count() == 1900 == joins.equi_join(hot, names, ["k"], 3).count()
