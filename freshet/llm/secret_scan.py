@@ -31,7 +31,7 @@ class CharacterClass:
 HEX = CharacterClass("hex_entropy", "0123456789abcdefABCDEF", 24, 3.0)
 BASE64 = CharacterClass("base64_entropy", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 24, 4.0)
 #: Candidates that match one of these in full are no secrets: numbers, plain words, words with hyphens or slashes.
-ALLOWED = (r"[0-9]+", r"[A-Za-z]+", r"[A-Za-z]+(?:[-_/=+]+[A-Za-z]*)+")
+ALLOWED = (r"[0-9]+", r"[A-Za-z][A-Za-z\-_/=+]*")
 
 _SCALE = 1 << 20
 _CHUNK = 256
