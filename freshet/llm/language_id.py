@@ -111,13 +111,15 @@ def training_rows(docs: DataFrame) -> DataFrame:
     """(rank, lang, text) of the sample: labelled rows that aren't held out, the first of each language in an order by hash.
 
     The ranks use doc_id and lang alone; only the sample's ids, ``SAMPLE`` rows at
-    most, then pick texts.
+    most, then pick texts.  Rows that repeat a doc_id and lang count once, with
+    the first of their texts.
     """
     labelled = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(~is_held_out(F.col("doc_id")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    chosen = (labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order))
+    chosen = (labelled.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(order))
               .filter(F.col("rank") <= PER_LANGUAGE).orderBy("rank", "lang").limit(SAMPLE))
-    return labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("rank", "lang", "text")
+    texts = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
+    return texts.groupBy("rank", "lang").agg(F.min("text").alias("text"))
 
 
 def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
