@@ -34,11 +34,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash of every segment of ``values``, from one running sum modulo 2**64."""
-    power = np.cumprod(np.full(len(values), _STEP, np.uint64))
-    inverse = np.cumprod(np.full(len(values), pow(_STEP, -1, 1 << 64), np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power)])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """A hash of every segment of ``values``: the sum of a random number for each value at its place in the segment."""
+    lengths = ends - starts
+    last = np.cumsum(lengths)
+    place = np.arange(last[-1] if len(last) else 0) - np.repeat(last - lengths, lengths)
+    each = _mix(values[place + np.repeat(starts, lengths)] * np.uint64(_STEP) + _mix(place.astype(np.uint64) + np.uint64(_STEP)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+    return _mix(sums[last] - sums[last - lengths] + lengths.astype(np.uint64))
 
 
 def _alphabet(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
