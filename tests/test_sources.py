@@ -205,3 +205,37 @@ def test_ranges_take_the_whole_last_day(spark):
     assert ids(filters.date_range(days, "2024-01-02 12:00:00", "2024-01-03 01:00:00", "ts")) == [1, 2]
     with pytest.raises(ValueError):
         filters.date_range(df, "2024-01-02", "2024-01-01", "ts")
+
+
+def _layer(n, first="properties"):
+    def feature(i):
+        ring = [[i * 1.0, 0.0], [i + 1.0, 0.0], [i + 1.0, 1.0 + i % 3], [i * 1.0, 0.0]]
+        parts = {"properties": {"huc8": f"{i:08d}", "name": "a } , { ] " + "x" * (i % 50), "huc2": "14"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}
+        return {"type": "Feature", **{k: parts[k] for k in (first, *(set(parts) - {first}))}}
+    return {"type": "FeatureCollection", "features": [feature(i) for i in range(n)], "more": {"type": "x"}}
+
+
+@pytest.mark.parametrize("layout", [{"indent": 1}, {"separators": (",", ":")}, {}])
+def test_layers_are_read_in_pieces(spark, landing, layout):
+    path = os.path.join(landing, "layer.json")
+    with open(path, "w") as f:
+        json.dump(_layer(2000, "geometry" if layout else "properties"), f, **layout)
+    whole = watershed.parse_watershed_geojson(spark.read.schema(watershed.GEOJSON).json(path, multiLine=True), 8)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    try:
+        split = watershed.read_watershed_geojson(spark, path, 8)
+        assert split.rdd.getNumPartitions() > 2
+        assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect())) and split.count() == 2000
+        assert watershed.read_features(spark, path, watershed.GEOJSON).select(F.max(F.size("features"))).first()[0] == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_layers_that_cannot_be_split(spark, landing):
+    odd = _layer(3)
+    odd["features"][1] = {"id": 5, **{k: odd["features"][1][k] for k in ("geometry", "properties")}}  # opens in another way
+    assert watershed.read_watershed_geojson(spark, put(landing, "odd.json", odd), 8).count() == 3
+    assert watershed.read_watershed_geojson(spark, put(landing, "none.json", {"type": "FeatureCollection", "features": []}), 8).count() == 0
+    esri = {"features": [{"attributes": {"huc8": f"{i}", "name": "n"}, "geometry": {"rings": [[[0, 0], [1, 0], [1, 1]]]}} for i in range(50)]}
+    assert watershed.read_huc_polygons(spark, put(landing, "esri.json", esri), 8).count() == 50
