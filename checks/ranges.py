@@ -9,7 +9,9 @@ from checks.jobs import MATCH_BUMPED_SQL, TOLERANCE, _pts, bumped_hucs
 from checks.spatial import _MEETS
 from freshet.operators import filters, spatial
 from freshet.plans import watershed
-from freshet.sources import grids
+from freshet.operators.staging import new_folder
+from freshet.sources import grids, watershed as watershed_source
+from freshet.sources.watershed import ring_vertices
 
 # --- the last day of a range ------------------------------------------------------------
 
@@ -128,3 +130,24 @@ def _(t):
         ((e + h * 7) % 397).alias("row"), ((e + h * 11) % 691).alias("col"), "ts", "value")
     out = watershed.huc_drought_cells(_pts(t), bumped_hucs(t), cells, (0.01, 0, -109.0003, 0, -0.01, 41.0007), tolerance=TOLERANCE, on="2024-01-06")
     return out.withColumns({"latitude": F.round("latitude", 6), "longitude": F.round("longitude", 6)})
+
+
+# --- a layer landed as one document ----------------------------------------------------------------
+
+@query("watershed_layer", f"""WITH {RINGS_SQL} SELECT lpad(CAST(k AS VARCHAR), 8, '0') AS huc_id, s_name AS name, i AS seq, round(x, 6) AS lon, round(y, 6) AS lat
+FROM vertex JOIN supplier ON s_suppkey = k""")
+def _(t):
+    """The suppliers' rings, written as one GeoJSON file and read by features."""
+    named = t.supplier.select(F.col("s_suppkey").alias("polygon_id"), F.col("s_name").alias("name"))
+    ring = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lpad(F.col("polygon_id").cast("string"), 8, "0").alias("huc8"), "name").alias("properties"),
+                       F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    rows = t.rings().join(named, "polygon_id").select("polygon_id", F.to_json(feature).alias("value"))
+    first = rows.agg(F.min("polygon_id")).first()[0]
+    lines = rows.select(F.col("polygon_id").alias("at"), F.concat(F.when(F.col("polygon_id") == first, '{"type":"FeatureCollection","features":[').otherwise(","), "value").alias("value"))
+    end = t.spark.createDataFrame([(1 << 62, "]}")], "at long, value string")
+    path = new_folder(t.spark, "layer")
+    lines.unionByName(end).coalesce(1).sortWithinPartitions("at").select("value").write.option("lineSep", " ").text(path)
+    out = ring_vertices(watershed_source.read_watershed_geojson(t.spark, path, 8).select("huc_id", "name", "ring"), "huc_id")
+    names = t.hucs().select("huc_id", "name")
+    return out.join(names, "huc_id").select("huc_id", "name", F.col("seq").cast("long").alias("seq"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))

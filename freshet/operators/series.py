@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.numeric import col
+from freshet.operators.staging import shared
 
 CHUNK_ROWS = 4096
 
@@ -98,8 +99,11 @@ def _fill(df: DataFrame, cols, by, backward: bool, forward: bool) -> DataFrame:
     """Backward, then forward fill of a numbered, chunked frame.
 
     Each chunk is reduced to the first and last value it holds; those are carried
-    along the chunks, and rows look in their own chunk first.
+    along the chunks, and rows look in their own chunk first.  The frame is
+    written to shared storage, so that what leads to it (numbering, halo, rolling
+    window) runs once and both the chunks' values and the rows are read from there.
     """
+    df = shared(df, "chunked")
     stats = []
     for i, c in enumerate(cols):
         has = col(c).isNotNull()
