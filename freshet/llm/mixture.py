@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, weights: int = 3, passes: int = PASSES) ->
 def pack(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Where each document's words lie once the words of its source stand in blocks of ``block_words``.
 
-    One row for every document and block it reaches: (rank, block, row, at, n),
+    One row for every document and block it reaches: (rank, row, key, block, at, n),
     ``at`` the first of its ``n`` words there; with a column ``words`` of the
     documents, also those words.  The documents of a source stand in an order by
     hash.  A source is numbered in parts, each from the words of the parts before.
@@ -61,12 +61,15 @@ def pack(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
               .withColumn("start", F.col("_start") + F.col("_end") - F.col("size")))
     b = F.lit(block_words).cast("long")
     first, last = _div(F.col("start"), block_words), _div(F.col("start") + F.col("size") - 1, block_words)
-    kept = ["rank", "row", "start", "size", *(["words"] if "words" in rows.columns else [])]
-    pieces = placed.select(*kept, F.explode(F.sequence(first, last)).alias("block"))
-    at = F.greatest(F.col("block") * b - F.col("start"), F.lit(0).cast("long"))
-    n = F.least((F.col("block") + 1) * b - F.col("start"), F.col("size")) - at
-    out = pieces.select("rank", "block", "row", at.alias("at"), n.alias("n"), *kept[4:])
-    return out.withColumn("words", F.slice("words", (F.col("at") + 1).cast("int"), F.col("n").cast("int"))) if kept[4:] else out
+
+    def piece(block):
+        at = F.greatest(block * b - F.col("start"), F.lit(0).cast("long"))
+        n = F.least((block + 1) * b - F.col("start"), F.col("size")) - at
+        words = [F.slice("words", (at + 1).cast("int"), n.cast("int")).alias("words")] if "words" in rows.columns else []
+        return F.struct(block.alias("block"), at.alias("at"), n.alias("n"), *words)
+
+    # A document's words are cut within its row; a piece takes its own along and no others.
+    return placed.select("rank", "row", "key", F.inline(F.transform(F.sequence(first, last), piece)))
 
 
 def _div(x: Column, by: int) -> Column:
@@ -133,8 +136,8 @@ def measure(docs: DataFrame, keep_words: bool = False) -> DataFrame:
 def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(mixture, sources) of measured documents.
 
-    ``mixture`` has the pieces that fill the slots: (shard, slot, rank, block,
-    row, at, n), and their words if the documents have theirs; the pieces of a
+    ``mixture`` has the pieces that fill the slots: (shard, slot, rank, block, row,
+    key, at, n), and their words if the documents have theirs; the pieces of a
     slot in the order of (key, row) are its block (:func:`token_blocks`).
     ``sources`` is :func:`source_targets`.
 
@@ -148,24 +151,36 @@ def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_sl
     return slots.join(pack(ranked, block_words), ["rank", "block"]), sources
 
 
-def token_blocks(mixture: DataFrame, rows: DataFrame) -> DataFrame:
-    """(shard, slot, rank, words): the filled slots, one fixed-length block each but for the last block of a source."""
-    keyed = mixture.join(rows.select("row", "key"), "row")
+def token_blocks(mixture: DataFrame) -> DataFrame:
+    """(shard, slot, rank, words, parts): the filled slots, one fixed-length block each but for the last block of a source.
+
+    ``parts`` has (row, n): how many of the block's words each document gave.
+    """
     parts = F.sort_array(F.collect_list(F.struct("key", "row", "words")))
-    return keyed.groupBy("shard", "slot", "rank").agg(F.flatten(parts.getField("words")).alias("words"))
+    return mixture.groupBy("shard", "slot", "rank").agg(parts.alias("p")).select(
+        "shard", "slot", "rank", F.flatten(F.col("p.words")).alias("words"),
+        F.transform("p", lambda p: F.struct(p["row"].alias("row"), F.size(p["words"]).cast("long").alias("n"))).alias("parts"))
 
 
-def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS) -> DataFrame:
+def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, write_blocks: bool = True) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken``.
 
+    The blocks of words are written to shared storage and ``taken`` is counted
+    from what was written.  Without ``write_blocks`` the mix is drawn alike but
+    only its index is made, for a caller that takes whole documents by it.
+
     ``taken`` counts the words of the document in the mix, repeats included; it is
     at most ``PASSES`` times its size.  Sizes are words (runs without blanks),
     0 for a NULL text.  A NULL source is a source.  Rows with one doc_id are
     documents of their own.  An empty table gives no rows.
     """
-    rows = measure(docs)
+    rows = measure(docs, keep_words=write_blocks)
     mixture, sources = mix(rows, seed, block_words)
+    if write_blocks:
+        blocks = stored(token_blocks(mixture), "blocks")
+        mixture = blocks.select(F.inline("parts"))
     taken = mixture.groupBy("row").agg(F.sum("n").alias("taken"))
+    rows = rows.drop("words")
     facts = sources.select(F.col("source").alias("_source"), "source_size", "target")
     return (rows.join(taken, "row", "left").join(facts, F.expr("source <=> _source"))
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))

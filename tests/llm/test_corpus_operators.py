@@ -191,7 +191,7 @@ def test_blocks_hold_the_words(documents):
     rows = [(k, " ".join(f"{k}.{j}" for j in range(rng.randint(0, 30))), None, rng.choice("ab")) for k in range(60)]
     measured = mixture.measure(documents(rows), keep_words=True)
     mix, sources = mixture.mix(measured, block_words=8, shard_slots=16)
-    blocks = mixture.token_blocks(mix, measured).collect()
+    blocks = mixture.token_blocks(mix).collect()
     total = sum(len(t.split()) for _, t, _, _ in rows)
     assert abs(sum(len(b.words) for b in blocks) - total) < .2 * total
     assert all(len(b.words) <= 8 for b in blocks) and sum(len(b.words) < 8 for b in blocks) <= 2 * 3
