@@ -62,7 +62,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copy with that chance, drawn by a hash of its key, so whole documents keep
     the sources' shares.  A document without words stays once.
     """
-    taken = mixture.mix_documents(_identified(docs, "text", "source")).groupBy(F.col("doc_id").alias("key")).agg(
+    taken = mixture.mix_documents(_identified(docs, "text", "source"), write_blocks=False).groupBy(F.col("doc_id").alias("key")).agg(
         F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     chance = F.shiftrightunsigned(F.xxhash64("key", F.lit("copies")), 11) / F.lit(float(1 << 53))
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.try_divide("taken", "size") + chance))
