@@ -62,14 +62,17 @@ def pack(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     b = F.lit(block_words).cast("long")
     first, last = _div(F.col("start"), block_words), _div(F.col("start") + F.col("size") - 1, block_words)
 
-    def piece(block):
-        at = F.greatest(block * b - F.col("start"), F.lit(0).cast("long"))
-        n = F.least((block + 1) * b - F.col("start"), F.col("size")) - at
-        words = [F.slice("words", (at + 1).cast("int"), n.cast("int")).alias("words")] if "words" in rows.columns else []
-        return F.struct(block.alias("block"), at.alias("at"), n.alias("n"), *words)
+    def pieces(words):
+        def piece(block):
+            at = F.greatest(block * b - F.col("start"), F.lit(0).cast("long"))
+            n = F.least((block + 1) * b - F.col("start"), F.col("size")) - at
+            own = [] if words is None else [F.array_join(F.slice(words, (at + 1).cast("int"), n.cast("int")), " ").alias("words")]
+            return F.struct(block.alias("block"), at.alias("at"), n.alias("n"), *own)
+        return F.transform(F.sequence(first, last), piece)
 
-    # A document's words are cut within its row; a piece takes its own along and no others.
-    return placed.select("rank", "row", "key", F.inline(F.transform(F.sequence(first, last), piece)))
+    # A document's words are split once and cut within its row; a piece takes its own along and no others.
+    cut = bind(F.split("words", " "), pieces) if "words" in rows.columns else pieces(None)
+    return placed.select("rank", "row", "key", F.inline(cut))
 
 
 def _div(x: Column, by: int) -> Column:
@@ -126,9 +129,10 @@ def permuted(x: Column, size: Column, key: Column) -> Column:
 
 
 def measure(docs: DataFrame, keep_words: bool = False) -> DataFrame:
-    """(row, doc_id, source, size, key) of every document, and its words if they are to be mixed; stored."""
+    """(row, doc_id, source, size, key) of every document, and its words, a blank between, if they are to be mixed; stored."""
     words = blank_words(F.col("text"))
-    cols = ["row", "doc_id", "source", F.size("words").cast("long").alias("size"), "key", *(["words"] if keep_words else [])]
+    kept = [F.array_join("words", " ").alias("words")] if keep_words else []
+    cols = ["row", "doc_id", "source", F.size("words").cast("long").alias("size"), "key", *kept]
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
                               F.xxhash64("doc_id", F.lit("order")).alias("key"), words.alias("words")).select(*cols), "measured")
 
@@ -137,8 +141,8 @@ def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_sl
     """(mixture, sources) of measured documents.
 
     ``mixture`` has the pieces that fill the slots: (shard, slot, rank, block, row,
-    key, at, n), and their words if the documents have theirs; the pieces of a
-    slot in the order of (key, row) are its block (:func:`token_blocks`).
+    key, at, n); if the documents have their words, the blocks that fill the slots:
+    (shard, slot, rank, block, parts), the parts' words in order being the block's.
     ``sources`` is :func:`source_targets`.
 
     Slots and blocks meet on (source, block), a key of a few rows, so a source
@@ -148,18 +152,18 @@ def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_sl
     sources = checkpointed(source_targets(rows.select("source", "size")))
     ranked = rows.join(sources.select(F.col("source").alias("_source"), "rank"), F.expr("source <=> _source")).drop("source", "_source")
     slots = draw(sources, seed, block_words, shard_slots)
-    return slots.join(pack(ranked, block_words), ["rank", "block"]), sources
+    pieces = pack(ranked, block_words)
+    return slots.join(token_blocks(pieces) if "words" in rows.columns else pieces, ["rank", "block"]), sources
 
 
-def token_blocks(mixture: DataFrame) -> DataFrame:
-    """(shard, slot, rank, words, parts): the filled slots, one fixed-length block each but for the last block of a source.
+def token_blocks(pieces: DataFrame) -> DataFrame:
+    """(rank, block, parts): fixed-length blocks but for the last of a source, as (row, words) in the order of (key, row).
 
-    ``parts`` has (row, n): how many of the block's words each document gave.
+    Blocks are put together on the key by which slots find them, so filling the
+    slots moves no words again.
     """
     parts = F.sort_array(F.collect_list(F.struct("key", "row", "words")))
-    return mixture.groupBy("shard", "slot", "rank").agg(parts.alias("p")).select(
-        "shard", "slot", "rank", F.flatten(F.col("p.words")).alias("words"),
-        F.transform("p", lambda p: F.struct(p["row"].alias("row"), F.size(p["words"]).cast("long").alias("n"))).alias("parts"))
+    return pieces.groupBy("rank", "block").agg(F.transform(parts, lambda p: F.struct(p["row"].alias("row"), p["words"].alias("words"))).alias("parts"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, write_blocks: bool = True) -> DataFrame:
@@ -177,8 +181,8 @@ def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS
     rows = measure(docs, keep_words=write_blocks)
     mixture, sources = mix(rows, seed, block_words)
     if write_blocks:
-        blocks = stored(token_blocks(mixture), "blocks")
-        mixture = blocks.select(F.inline("parts"))
+        blocks = stored(mixture.select("shard", "slot", "parts"), "blocks")
+        mixture = blocks.select(F.inline("parts")).select("row", F.size(F.split("words", " ")).cast("long").alias("n"))
     taken = mixture.groupBy("row").agg(F.sum("n").alias("taken"))
     rows = rows.drop("words")
     facts = sources.select(F.col("source").alias("_source"), "source_size", "target")
