@@ -14,12 +14,17 @@ from freshet.llm.base import (arrow_rows, checkpointed, comparison_blocks, compo
 
 shipped_by_value(__name__)
 
-#: Lines are candidates when their 64-bit SimHashes differ in at most DISTANCE bits.
-DISTANCE = 3
-#: Widths of the pigeonhole blocks: of five blocks, two at least are untouched by three changed bits.
-WIDTHS = (13, 13, 13, 13, 12)
-_OFFSETS = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS)))
-_TABLES = tuple(combinations(range(len(WIDTHS)), len(WIDTHS) - DISTANCE))
+#: Blocks of a SimHash.  Every feature votes in one block only, so few changed features leave most blocks as they were.
+BLOCKS = 6
+#: Bits of a block.
+WIDTH = 32
+#: Lines meet where two of their blocks are equal.
+_TABLES = tuple(combinations(range(BLOCKS), 2))
+#: Characters that the words behind two blocks have at least; fewer say little about a line ("of the").
+LEAST = 8
+#: From here on a letter is a word by itself: scripts written without blanks.
+WIDE = 0x2E80
+_SIGS, _SIZES = [f"s{k}" for k in range(BLOCKS)], [f"c{k}" for k in range(BLOCKS)]
 #: Documents handed to Python at a time.
 BATCH = 256
 #: Most keys sent to every executor, 8 bytes each.
@@ -60,41 +65,59 @@ def normal(line: str) -> str:
 
 
 def line_signatures(texts: list[str | None]) -> dict[str, np.ndarray]:
-    """Of every line with a letter or digit: ``text`` and ``line`` (its place), ``n`` characters, ``h`` and SimHash ``sig``.
+    """Of every line with a letter or digit: ``text`` and ``line`` (its place), ``n`` characters when normalised, ``h``,
+    ``sig`` (``BLOCKS`` blocks of a SimHash) and ``size`` (characters of the words that voted in each block).
 
     The different words of a line are its features; counted as often as they stand
-    there, the commonest words would make all lines of a language alike.  All
-    lines of the batch are worked on together.
+    there, the commonest words would make all lines of a language alike.  A word's
+    hash says which block it votes in and how.  All lines of the batch are worked
+    on together.
     """
     codes = [np.frombuffer((t + "\n" if t else "\n").encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
     c = np.concatenate(codes)
     lower, counts = _alphabet(c)
-    inside, ends_line = counts[c], c == 10
+    inside, ends_line, wide = counts[c], c == 10, c >= WIDE
     before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
-    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    by_wide, to_wide = np.concatenate([[False], wide[:-1]]), np.concatenate([wide[1:], [False]])
+    starts = np.flatnonzero(inside & (~before | wide | by_wide))
+    ends = np.flatnonzero(inside & (~after | wide | to_wide)) + 1
     line_at = np.cumsum(ends_line) - ends_line
     words = _segment_hashes(lower[c].astype(np.uint64) + np.uint64(1), starts, ends)
-    of_line = line_at[starts]
+    of_line, apart, letters = line_at[starts], ~before[starts], ends - starts
     first = np.flatnonzero(np.concatenate([[True], of_line[1:] != of_line[:-1]])) if len(words) else np.zeros(0, np.int64)
     stop = np.append(first[1:], len(words)).astype(np.int64) if len(first) else first
-    order = np.lexsort((words, of_line))
-    one, at = words[order], of_line[order]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (one[1:] != one[:-1])]) if len(one) else np.zeros(0, bool)
-    one, at = one[new], at[new]
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(one) else first
-    end = np.append(begin[1:], len(one)).astype(np.int64) if len(begin) else begin
-    # Bits are summed as bytes, eight to a machine word, in runs of at most 255 words.
-    runs = np.concatenate([np.arange(a, b, 255) for a, b in zip(begin, end)]) if len(begin) else begin
-    bits = np.unpackbits(one.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-    by_run = np.add.reduceat(bits, runs, axis=0).view(np.uint8).astype(np.int32) if len(begin) else np.zeros((0, 64), np.int32)
-    ones = np.add.reduceat(by_run, np.searchsorted(runs, begin), axis=0) if len(begin) else by_run
-    sig = np.packbits(2 * ones > (end - begin)[:, None], axis=1).view(np.int64).ravel()
+    sig, size = _votes(words, np.repeat(np.arange(len(first)), stop - first), letters, len(first))
     text = row[starts[first]]
     lines_before = np.concatenate([[0], np.cumsum(np.bincount(row[ends_line], minlength=len(texts)))])
-    width = np.concatenate([[0], np.cumsum(ends - starts)])
-    return {"text": text, "line": of_line[first] - lines_before[text], "n": width[stop] - width[first] + (stop - first) - 1,
-            "h": _segment_hashes(words, first, stop).view(np.int64), "sig": sig}
+    width, blanks = (np.concatenate([[0], np.cumsum(x)]) for x in (letters, apart))
+    return {"text": text, "line": of_line[first] - lines_before[text],
+            "n": width[stop] - width[first] + blanks[stop] - blanks[first] - 1,
+            "h": _segment_hashes(words + apart.astype(np.uint64), first, stop).view(np.int64), "sig": sig, "size": size}
+
+
+def _votes(words: np.ndarray, line: np.ndarray, letters: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BLOCKS) arrays: the blocks of each line's SimHash and the characters of its different words behind them."""
+    sig, size = np.zeros((lines * BLOCKS, WIDTH // 8), np.uint8), np.zeros(lines * BLOCKS, np.int64)
+    if lines:
+        place = line * BLOCKS + (words % np.uint64(BLOCKS)).astype(np.int64)
+        order = np.lexsort((words, place))
+        one, at, letters = words[order], place[order], letters[order]
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (one[1:] != one[:-1])])
+        one, at, letters = one[new], at[new], letters[new]
+        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        total = np.diff(np.append(begin, len(one)))
+        # Bits are summed as bytes, eight to a machine word, in runs of at most 255 words.
+        pieces = -(-total // 255)
+        head = np.cumsum(pieces) - pieces
+        runs = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(head, pieces))
+        votes = (one >> np.uint64(64 - WIDTH)).astype(np.uint32).view(np.uint8).reshape(-1, WIDTH // 8)
+        bits = np.unpackbits(votes, axis=1).view(np.uint64)
+        by_run = np.add.reduceat(bits, runs, axis=0).view(np.uint8).astype(np.int32)
+        ones = np.add.reduceat(by_run, head, axis=0)
+        sig[at[begin]] = np.packbits(2 * ones > total[:, None], axis=1)
+        size[at[begin]] = np.add.reduceat(letters, begin)
+    return sig.view(np.int32).reshape(lines, BLOCKS), size.reshape(lines, BLOCKS)
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,17 +125,18 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(batch):
             found = line_signatures(batch["text"].tolist())
             yield pd.DataFrame({"key": batch["key"].to_numpy()[found["text"]], "order": batch["order"].to_numpy()[found["text"]],
-                                "line": found["line"], "n": found["n"], "h": found["h"], "sig": found["sig"]})
+                                "line": found["line"], "n": found["n"], "h": found["h"],
+                                **dict(zip(_SIGS, found["sig"].T)), **dict(zip(_SIZES, found["size"].T))})
 
 
 def _pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The wanted lines of documents, normalised, with their hashes."""
+    """The wanted lines of documents, normalised."""
     for batch in batches:
-        if len(batch):
-            found = line_signatures(batch["text"].tolist())
-            texts, wanted = [t.split("\n") for t in batch["text"]], [set(x) for x in batch["lines"]]
-            rows = [(h, normal(texts[t][k])) for t, k, h in zip(found["text"], found["line"], found["h"]) if k in wanted[t]]
-            yield pd.DataFrame(rows, columns=["rep", "norm"])
+        rows = []
+        for text, lines, reps in zip(batch["text"], batch["lines"], batch["reps"]):
+            split = text.split("\n")
+            rows += [(rep, normal(split[k])) for k, rep in zip(lines, reps)]
+        yield pd.DataFrame(rows, columns=["rep", "norm"])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -153,34 +177,34 @@ def _similar(percent: int):
     return test
 
 
-def _key_bits(sig: Column, table: tuple[int, ...]) -> Column:
-    """The bits of some blocks, side by side."""
-    out, shift = F.lit(0).cast("long"), 0
-    for k in table:
-        part = F.shiftrightunsigned(sig, _OFFSETS[k]).bitwiseAND(F.lit((1 << WIDTHS[k]) - 1))
-        out = out.bitwiseOR(F.shiftleft(part, shift))
-        shift += WIDTHS[k]
-    return out
-
-
-def _partners(block: dict[str, np.ndarray]) -> pd.DataFrame:
-    """For every row of two blocks of a bucket: the rows of other components whose SimHash is near, once per pair."""
-    own, comp, sig, rep = block["own"], block["comp"], block["sig"].view(np.uint64), block["rep"]
-    lo, hi, band = block["lo"][0], block["hi"][0], block["band"][0]
-    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    lists, wanted = {}, set()
-    for i in left:
-        there = right[right > i] if lo == hi else right
-        differ = sig[there] ^ sig[i]
-        near = (comp[there] != comp[i]) & (np.bitwise_count(differ) <= DISTANCE)
-        for j, d in zip(there[near], differ[near].tolist()):
-            untouched = [k for k, w in enumerate(WIDTHS) if not (d >> _OFFSETS[k]) & ((1 << w) - 1)]
-            if _TABLES.index(tuple(untouched[:len(_TABLES[0])])) == band:  # the first table the pair shares
-                lists.setdefault(i, []).append(int(rep[j]))
-                wanted.update((i, j))
-    rows = np.array(sorted(wanted), np.int64)
-    return pd.DataFrame({**{c: block[c][rows] for c in ("key", "lo", "hi", "rep")},
-                         "partners": pd.Series([lists.get(i, []) for i in rows], dtype=object)})
+def _near_length(a: str, b: str, percent: int) -> Column:
+    """Whether two lengths are so near that lines of them can be similar."""
+    return 100 * F.abs(F.col(a) - F.col(b)) <= (100 - percent) * F.greatest(a, b)
+
+
+def _partners(percent: int):
+    """For every row of two blocks of a bucket: the rows of other components it may be similar to, once per pair."""
+    def look(block: dict[str, np.ndarray]) -> pd.DataFrame:
+        own, comp, rep, n = block["own"], block["comp"], block["rep"], block["n"].astype(np.int64)
+        sig, size = (np.stack([block[c] for c in names], axis=1) for names in (_SIGS, _SIZES))
+        one, two = (np.array(x) for x in zip(*_TABLES))
+        full = size[:, one].astype(np.int64) + size[:, two] >= LEAST
+        lo, hi, band = block["lo"][0], block["hi"][0], block["band"][0]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        lists, wanted = {}, set()
+        for i in left:
+            there = right[right > i] if lo == hi else right
+            there = there[(comp[there] != comp[i]) & (100 * np.abs(n[there] - n[i]) <= (100 - percent) * np.maximum(n[there], n[i]))]
+            equal = sig[there] == sig[i]
+            met = equal[:, one] & equal[:, two] & full[there] & full[i]
+            there = there[met[:, band] & (met.argmax(axis=1) == band)]  # the first table the pair shares
+            if len(there):
+                lists[i] = rep[there].tolist()
+                wanted.update((i, *there.tolist()))
+        rows = np.array(sorted(wanted), np.int64)
+        return pd.DataFrame({**{c: block[c][rows] for c in ("key", "lo", "hi", "rep")},
+                             "partners": pd.Series([lists.get(i, []) for i in rows], dtype=object)})
+    return look
 
 
 def _links(percent: int):
@@ -194,12 +218,12 @@ def _links(percent: int):
 
 def _texts_of(keyed: DataFrame, lines: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, norm): the normalised texts of some distinct lines, from a document that has each."""
-    wanted = lines.join(reps, "rep").groupBy("key").agg(F.collect_list("line").alias("lines"))
-    wanted = checkpointed(wanted)
+    wanted = lines.join(reps, "rep").groupBy("key").agg(F.collect_list(F.struct("line", "rep")).alias("w"))
+    wanted = checkpointed(wanted.select("key", F.col("w.line").alias("lines"), F.col("w.rep").alias("reps")))
     few = wanted.limit(SENT_IDS + 1).count() <= SENT_IDS
-    docs = keyed.join(F.broadcast(wanted) if few else wanted, "key").select("text", "lines")
+    docs = keyed.join(F.broadcast(wanted) if few else wanted, "key").select("text", "lines", "reps")
     with arrow_rows(keyed.sparkSession, BATCH):
-        return checkpointed(docs.mapInPandas(_pick, "rep long, norm string").dropDuplicates(["rep"]))
+        return stored(docs.mapInPandas(_pick, "rep long, norm string").dropDuplicates(["rep"]), "texts")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -210,43 +234,50 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups) of the lines of all documents.
 
-    ``occurrences``: (key, order, line, n, h, sig) of every line with a letter or
-    digit, ``key`` telling documents apart and ``order`` their doc_id, NULL last.  ``groups``: (h, component) of the
-    lines that a link ties to another.  Two different lines are linked when their
-    SimHashes differ in at most ``DISTANCE`` bits and their edit similarity is
-    ``percent`` or more; both on normalised lines (:func:`normal`), whole.
-
-    Equal lines meet first and go on as one.  Every two linked lines share two of
-    five blocks of bits, so they meet in one of ten tables.  There the bucket's
-    members are tied to its smallest; buckets left with several components are
-    compared in blocks, and only confirmed links leave a block.
+    ``occurrences``: (key, order, line, n, h) of every line with a letter or
+    digit, with its signature, ``key`` telling documents apart and ``order`` their
+    doc_id, NULL last.  ``groups``: (h, component) of the lines that a link ties to
+    another.  Two different lines are linked when two blocks of their SimHashes are
+    equal, the words behind these have ``LEAST`` characters or more, and their edit
+    similarity is ``percent`` or more; all on normalised lines (:func:`normal`), whole.
+
+    Equal lines meet first and go on as one.  A changed word touches two of six
+    blocks at most, that of the old and that of the new word, so four stay and any
+    two of them are a key the lines share; of four changed features two blocks stay
+    for certain.  A bucket's members are tied to its smallest; buckets left with
+    several components are compared in blocks, and only confirmed links leave a block.
     """
     keyed = _keyed(docs)
+    blocks = [*_SIGS, *_SIZES]
+    schema = "key long, order long, line int, n int, h long, " + ", ".join(f"{c} int" for c in blocks)
     with arrow_rows(docs.sparkSession, BATCH):
-        occurrences = stored(keyed.drop("doc_id").mapInPandas(_sign, "key long, order long, line int, n int, h long, sig long"), "lines")
+        occurrences = stored(keyed.drop("doc_id").mapInPandas(_sign, schema), "lines")
     lines = occurrences.groupBy(F.col("h").alias("rep")).agg(
-        F.min(F.struct("key", "line")).alias("at"), F.first("sig").alias("sig")).select("rep", "at.key", "at.line", "sig")
-    lines = stored(lines, "distinct")
-    tables = F.array(*[F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(_key_bits(F.col("sig"), t)) for k, t in enumerate(_TABLES)])
-    keys = lines.select("rep", "sig", F.posexplode(tables).alias("band", "key"))
+        F.min(F.struct("key", "line")).alias("at"), *[F.first(c).alias(c) for c in ["n", *blocks]])
+    lines = stored(lines.select("rep", "at.key", "at.line", "n", *blocks), "distinct")
+    tables = F.array(*[F.when(F.col(f"c{i}") + F.col(f"c{j}") >= LEAST, F.xxhash64(F.lit(k), f"s{i}", f"s{j}"))
+                       for k, (i, j) in enumerate(_TABLES)])
+    keys = lines.select("rep", F.posexplode(tables).alias("band", "key")).filter("key IS NOT NULL")
     # Most keys are had by one line; those of several are found first, from keys alone.
     shared = checkpointed(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"))
     few = shared.limit(SENT_IDS + 1).count() <= SENT_IDS
-    members = stored(keys.join(F.broadcast(shared) if few else shared, "key", "left_semi"), "members")
-    leaders = members.groupBy("key").agg(F.min(F.struct("rep", "sig")).alias("leader"))
-    led = members.join(leaders, "key")
-    near = F.bit_count(F.col("sig").bitwiseXOR(F.col("leader.sig"))) <= DISTANCE
-    pairs = checkpointed(led.filter(near & (F.col("rep") != F.col("leader.rep")))
-                         .select(F.col("leader.rep").alias("a"), F.col("rep").alias("b")).distinct())
+    met = keys.join(F.broadcast(shared) if few else shared, "key", "left_semi")
+    members = stored(met.join(lines.select("rep", "n"), "rep"), "members")
+    leaders = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("leader")).select(
+        "key", F.col("leader.rep").alias("first"), F.col("leader.n").alias("first_n"))
+    led = salted_join(members.select("key", "rep", "n"), leaders, ["key"], "rep")
+    pairs = checkpointed(led.filter(_near_length("n", "first_n", percent) & (F.col("rep") != F.col("first")))
+                         .select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     places = lines.select("rep", "key", "line")
     texts = _texts_of(keyed, places, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
     one, two = (texts.select(F.col("rep").alias(c), F.col("norm").alias(f"n{c}")) for c in "ab")
-    tied = checkpointed(pairs.join(one, "a").join(two, "b").filter(_similar(percent)("na", "nb")).select("a", "b"))
+    tied = stored(pairs.join(one, "a").join(two, "b").filter(_similar(percent)("na", "nb")).select("a", "b"), "tied")
     by_node = components(tied).withColumnsRenamed({"node": "rep", "component": "_comp"})
-    placed = members.select("key", "band", "rep", "sig").join(by_node, "rep", "left").withColumn("comp", F.coalesce("_comp", "rep")).drop("_comp")
-    listed = checkpointed(in_blocks(comparison_blocks(placed), _partners, "key long, lo long, hi long, rep long, partners array<long>"))
+    placed = members.select("key", "band", "rep").join(by_node, "rep", "left").withColumn("comp", F.coalesce("_comp", "rep")).drop("_comp")
+    signed = comparison_blocks(placed).join(lines.select("rep", "n", *blocks), "rep")
+    listed = checkpointed(in_blocks(signed, _partners(percent), "key long, lo long, hi long, rep long, partners array<long>"))
     more = _texts_of(keyed, places, listed.select("rep").distinct())
-    links = checkpointed(in_blocks(listed.join(more, "rep"), _links(percent), "a long, b long"))
+    links = stored(in_blocks(listed.join(more, "rep"), _links(percent), "a long, b long"), "links")
     return occurrences, components(tied.union(links)).withColumnRenamed("node", "h")
 
 

@@ -100,26 +100,16 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def near_lines(rows, module, percent):
-    """{(doc_id, text): text without its repeated lines}; SimHash and edit distance of every two different lines."""
-    docs = list(dict.fromkeys(rows))
-    found = []
-    for d, (i, t) in enumerate(docs):
-        got = module.line_signatures([t])
-        for k, sig in zip(got["line"], got["sig"]):
-            found.append((d, int(k), module.normal(t.split("\n")[k]), int(sig) & (2 ** 64 - 1)))
-    unique = {norm: sig for _, _, norm, sig in found}
-    names, sigs = list(unique), np.array(list(unique.values()), np.uint64)
+def near_lines(rows, normal, percent, distance):
+    """({different normalised line: its group}, links): plain edit similarity of every two different lines."""
+    names = list(dict.fromkeys(n for _, t in rows if t for n in map(normal, t.split("\n")) if n))
+    letters = [collections.Counter(n) for n in names]
     links = []
-    for k, norm in enumerate(names):
-        for j in np.flatnonzero(np.bitwise_count(sigs[:k] ^ sigs[k]) <= module.DISTANCE):
-            longer = max(len(norm), len(names[j]))
-            if 100 * levenshtein(norm, names[j]) <= (100 - percent) * longer:
-                links.append((norm, names[j]))
-    comp, first = groups(names, links), {}
-    for d, k, norm, _ in found:
-        place = (docs[d][0] is None, docs[d][0] or 0, d, k)
-        first[comp[norm]] = min(first.get(comp[norm], place), place)
-    gone = {(d, k) for d, k, norm, _ in found if first[comp[norm]][2:] != (d, k)}
-    return {r: None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if (d, k) not in gone)
-            for d, r in enumerate(docs)}, len(links)
+    for k, a in enumerate(names):
+        for j, b in enumerate(names[:k]):
+            most = (100 - percent) * max(len(a), len(b))
+            # An edit takes at most one letter away and adds one.
+            if 100 * max(sum((letters[k] - letters[j]).values()), sum((letters[j] - letters[k]).values())) <= most:
+                if 100 * distance(a, b) <= most:
+                    links.append((a, b))
+    return groups(names, links), links
