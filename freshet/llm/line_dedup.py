@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,9 +34,13 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """Stirs fresh numbers in place."""
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -43,7 +48,10 @@ def _segment_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     lengths = ends - starts
     last = np.cumsum(lengths)
     place = np.arange(last[-1] if len(last) else 0) - np.repeat(last - lengths, lengths)
-    each = _mix(values[place + np.repeat(starts, lengths)] * np.uint64(_STEP) + _mix(place.astype(np.uint64) + np.uint64(_STEP)))
+    of_place = _mix(np.arange(lengths.max(initial=0), dtype=np.uint64) + np.uint64(_STEP))
+    each = values[place + np.repeat(starts, lengths)] * np.uint64(_STEP)
+    each += of_place[place]
+    each = _mix(each)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
     return _mix(sums[last] - sums[last - lengths] + lengths.astype(np.uint64))
 
@@ -77,11 +85,15 @@ def line_signatures(texts: list[str | None]) -> dict[str, np.ndarray]:
     row = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
     c = np.concatenate(codes)
     lower, counts = _alphabet(c)
-    inside, ends_line, wide = counts[c], c == 10, c >= WIDE
+    inside, ends_line = counts[c], c == 10
     before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
-    by_wide, to_wide = np.concatenate([[False], wide[:-1]]), np.concatenate([wide[1:], [False]])
-    starts = np.flatnonzero(inside & (~before | wide | by_wide))
-    ends = np.flatnonzero(inside & (~after | wide | to_wide)) + 1
+    opens, closes = inside & ~before, inside & ~after
+    if len(lower) > WIDE:
+        wide = inside & (c >= WIDE)
+        opens, closes = opens | wide, closes | wide
+        opens[1:] |= inside[1:] & wide[:-1]
+        closes[:-1] |= inside[:-1] & wide[1:]
+    starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     line_at = np.cumsum(ends_line) - ends_line
     words = _segment_hashes(lower[c].astype(np.uint64) + np.uint64(1), starts, ends)
     of_line, apart, letters = line_at[starts], ~before[starts], ends - starts
@@ -113,9 +125,10 @@ def _votes(words: np.ndarray, line: np.ndarray, letters: np.ndarray, lines: int)
         runs = np.repeat(begin, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(head, pieces))
         votes = (one >> np.uint64(64 - WIDTH)).astype(np.uint32).view(np.uint8).reshape(-1, WIDTH // 8)
         bits = np.unpackbits(votes, axis=1).view(np.uint64)
-        by_run = np.add.reduceat(bits, runs, axis=0).view(np.uint8).astype(np.int32)
-        ones = np.add.reduceat(by_run, head, axis=0)
-        sig[at[begin]] = np.packbits(2 * ones > total[:, None], axis=1)
+        ones = np.add.reduceat(bits, runs, axis=0).view(np.uint8)
+        if len(runs) > len(begin):
+            ones = np.add.reduceat(ones.astype(np.int32), head, axis=0)
+        sig[at[begin]] = np.packbits(ones > (total // 2).astype(ones.dtype)[:, None], axis=1)
         size[at[begin]] = np.add.reduceat(letters, begin)
     return sig.view(np.int32).reshape(lines, BLOCKS), size.reshape(lines, BLOCKS)
 
@@ -162,12 +175,35 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def _common(a: str, b: str) -> int:
+    """The length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def similar(a: str, b: str, percent: int) -> bool:
     """Whether 100 * (1 - distance / longer length) is ``percent`` or more."""
-    longer = max(len(a), len(b))
-    if 100 * abs(len(a) - len(b)) > (100 - percent) * longer:
+    most = (100 - percent) * max(len(a), len(b)) // 100
+    if abs(len(a) - len(b)) > most:
         return False
-    return 100 * edit_distance(a, b) <= (100 - percent) * longer
+    k = _common(a, b)  # what both begin and end with doesn't count
+    a, b = a[k:], b[k:]
+    k = _common(a[::-1], b[::-1])
+    a, b = a[:len(a) - k], b[:len(b) - k]
+    if max(len(a), len(b)) <= most:
+        return True
+    # An edit takes one letter away at most, and adds one at most.
+    n = Counter(a)
+    n.subtract(b)
+    if max(sum(v for v in n.values() if v > 0), -sum(v for v in n.values() if v < 0)) > most:
+        return False
+    return edit_distance(a, b) <= most
 
 
 def _similar(percent: int):
@@ -184,8 +220,12 @@ def _near_length(a: str, b: str, percent: int) -> Column:
 
 def _partners(percent: int):
     """For every row of two blocks of a bucket: the rows of other components it may be similar to, once per pair."""
+    none = pd.DataFrame(columns=["key", "lo", "hi", "rep", "partners"])
+
     def look(block: dict[str, np.ndarray]) -> pd.DataFrame:
         own, comp, rep, n = block["own"], block["comp"], block["rep"], block["n"].astype(np.int64)
+        if len(rep) < 2 or (comp == comp[0]).all():
+            return none
         sig, size = (np.stack([block[c] for c in names], axis=1) for names in (_SIGS, _SIZES))
         one, two = (np.array(x) for x in zip(*_TABLES))
         full = size[:, one].astype(np.int64) + size[:, two] >= LEAST
@@ -195,12 +235,16 @@ def _partners(percent: int):
         for i in left:
             there = right[right > i] if lo == hi else right
             there = there[(comp[there] != comp[i]) & (100 * np.abs(n[there] - n[i]) <= (100 - percent) * np.maximum(n[there], n[i]))]
+            if not len(there):
+                continue
             equal = sig[there] == sig[i]
             met = equal[:, one] & equal[:, two] & full[there] & full[i]
             there = there[met[:, band] & (met.argmax(axis=1) == band)]  # the first table the pair shares
             if len(there):
                 lists[i] = rep[there].tolist()
                 wanted.update((i, *there.tolist()))
+        if not wanted:
+            return none
         rows = np.array(sorted(wanted), np.int64)
         return pd.DataFrame({**{c: block[c][rows] for c in ("key", "lo", "hi", "rep")},
                              "partners": pd.Series([lists.get(i, []) for i in rows], dtype=object)})
@@ -300,6 +344,6 @@ def drop_near_lines(docs: DataFrame, percent: int = 90) -> DataFrame:
     per_doc = dropped.groupBy("key").agg(F.collect_set("line").alias("_dropped"))
     rows = _keyed(docs).join(per_doc, "key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"),
+    return rows.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
                        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
                        F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept).alias("text"))
