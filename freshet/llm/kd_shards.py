@@ -175,6 +175,26 @@ def _measures(docs: DataFrame) -> dict[str, Column]:
     return out | {"_tie": F.shiftrightunsigned(F.xxhash64("doc_id", out["text_crc32"], out["_d_source"]), 1)}
 
 
+#: Copies of a row written out together.
+_COPIES = 1_000
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """The same rows with a ``_tie`` of its own for every copy of equal ones.
+
+    Equal rows are counted and written out again by their number, in runs of
+    ``_COPIES`` that are dealt over the tasks, so no task holds all copies of a row
+    and a rerun gives the same ties.
+    """
+    columns = [c for c in rows.columns if c != "_tie"]
+    counted = stored(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies")), "counted")
+    runs = counted.filter("_copies > 1").withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(_COPIES).cast("long"))))
+    copy = F.explode(F.sequence("_from", F.least(F.col("_from") + _COPIES, F.col("_copies")) - 1))
+    copies = runs.repartition("_tie", "_from").withColumn("_copy", copy)
+    apart = F.shiftrightunsigned(F.xxhash64("_tie", "_copy"), 1)
+    return stored(counted.filter("_copies = 1").select(*columns, "_tie").union(copies.select(*columns, apart.alias("_tie"))), "apart")
+
+
 DIMENSIONS = ["_d_source", "_d_lang", "_d_chars", "_d_id"]
 
 
@@ -184,19 +204,23 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     The law is ``bytes``: shards of near equal size, in UTF-8 bytes of the text
     plus 8.  The dimensions are source, language, characters and doc_id; NULLs
     sort before all values, and a NULL text is empty.  A value that holds too
-    much of a node, such as a hot source, is cut by a hash of the row, so only
-    rows equal in doc_id and text can't be parted.  Slots go by doc_id.
+    much of a node, such as a hot source, is cut by a hash of the row, in which
+    rows that are equal have numbers, so any two rows can be parted.  Slots go by
+    doc_id within parts dealt by that hash.
     ``grown_shard`` is NULL under this law.  An empty table gives no rows.
     """
-    rows = stored(docs.select("doc_id", *[c.alias(n) for n, c in _measures(docs).items()]), "measured")
+    rows = _told_apart(docs.select("doc_id", *[c.alias(n) for n, c in _measures(docs).items()]))
     tree = grow_tree(rows, DIMENSIONS, "size", shards)
     placed = rows.withColumn("shard", tree.place())
-    return with_slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select(
+    return with_slots(placed, "shard", ["doc_id", "text_crc32", "size", "_tie"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """The documents with all their columns, and ``shard`` and ``slot``, which replace columns of these names."""
+    """The documents with all their columns, and ``shard`` and ``slot``, which replace columns of these names.
+
+    Rows equal in doc_id, text and source stay together here.
+    """
     columns = [c for c in docs.columns if c not in ("shard", "slot")]
     docs = docs.select(*columns)
     measures = _measures(docs)

@@ -266,8 +266,17 @@ def test_shards(documents):
 
 
 def test_shards_of_equal_rows(documents):
-    got = kd_shards.shard_documents(documents([(1, "a", "en", "s")] * 50)).collect()
-    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(50))
+    rng = random.Random(15)
+    rows = [(k, prose(rng, 3), "en", "s") for k in range(200)] + [(None, "equal text here", "en", "s")] * 2300 + [(7, "b", None, None)] * 30
+    got = kd_shards.shard_documents(documents(rows)).collect()
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(got) == len(rows) and len(sizes) == 24
+    assert max(sizes.values()) - min(sizes.values()) < .03 * sum(sizes.values()) / 24 + 2 * max(r.size for r in got)
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in sizes)
+    again = kd_shards.shard_documents(documents(rows[::-1])).collect()
+    assert collections.Counter(got) == collections.Counter(again)
 
 
 def pages(spark, rows):
