@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rings
-from freshet.operators import grids, nearest, spatial
+from freshet.operators import filters, grids, nearest, spatial
 
 POLY = "polygon_id string, ring array<struct<lon:double,lat:double>>"
 
@@ -197,6 +197,34 @@ def test_granules_for_requests_is_the_plain_overlap(spark):
     assert {(r.request_id, r.granule_id) for r in rows} == want and len(rows) == len(want)
 
 
+def test_ranges_without_an_end_meet_only_what_they_overlap(spark):
+    """Rows that are both finer than a bucket or a span are not joined in it, only to be dropped."""
+    day = "date_add(DATE'2020-01-01', CAST(id % 300 AS INT))"
+    short = spark.range(600).selectExpr("id AS request_id", "id % 3 * 4.0D AS min_lon", "0D AS min_lat", "id % 3 * 4.0D + 0.1D AS max_lon", "0.1D AS max_lat", f"{day} AS start", f"{day} AS `end`")
+    ever = spark.sql("SELECT 1000L AS request_id, 0D AS min_lon, 0D AS min_lat, 60D AS max_lon, 60D AS max_lat, DATE'2020-01-01' AS start, DATE'9999-12-31' AS `end`")
+    granules = short.unionByName(ever).withColumnRenamed("request_id", "granule_id")
+    found = spatial.granules_for_requests(short.unionByName(ever), granules, salts=1)
+    # 600 short ones meet the 2 of the same place and day, and the long one meets all.
+    assert found.count() == 600 * 2 + 600 * 2 + 1
+    joined = found._jdf.queryExecution().optimizedPlan()
+    while joined.nodeName() != "Join":
+        joined = joined.children().apply(0)
+    sides = [spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, joined.children().apply(i)) for i in (0, 1)]
+    left, right = (type(found)(side, spark) for side in sides)
+    keys = ["_lvl", "_wide", "_bx", "_by", "_span", "_long", "_day"]
+    counts = left.groupBy(*keys).count().join(right.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+    assert counts.agg(F.sum(F.col("count") * F.col("m"))).first()[0] < 20_000  # 600 * 600 and more before
+
+
+def test_smallest_granule_sorts_only_the_least_sizes(spark):
+    rows = [(1, 5, 2.0), (1, 4, 2.0), (1, 9, 1.5), (1, 8, 1.5), (2, 3, None), (2, 1, 0.5), (2, 2, None), (None, 7, 4.0), (None, 6, float("nan")), (3, 5, float("nan"))]
+    df = spark.createDataFrame(rows, "request_id int, granule_id int, size_mb double")
+    out = filters.smallest_granule(df)
+    assert {(r.request_id, r.granule_id) for r in out.collect()} == {(1, 8), (2, 2), (None, 7), (3, 5)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
 def haversine(a, b, c, d):
     a, b, c, d = map(math.radians, (a, b, c, d))
     h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
