@@ -113,6 +113,17 @@ def test_first_watershed_wins_and_boundary_is_outside(spark):
         spatial.huc_for_points(pts, polys, 10)
 
 
+def test_first_watershed_is_found_without_sorting_pairs(spark):
+    square = [(0., 0.), (4., 0.), (4., 4.), (0., 4.)]
+    rows = [(8, i, n, r) for i, n, r in (("b", "B2", square), ("b", "B1", square), ("a", "A", [(1., 1.), (3., 1.), (3., 3.), (1., 3.)]),
+                                         ("b", "B0", None), (None, "N", square), ("0", None, square))]
+    polys = spark.createDataFrame(rows, "huc_level int, huc_id string, name string, ring array<struct<lon:double,lat:double>>")
+    pts = spark.createDataFrame([("p", 2., 2.), ("q", .5, .5), (None, .5, 2.), (None, 2., 2.5), ("r", None, 1.), ("s", 9., 9.)], "point_id string, lon double, lat double")
+    out = spatial.assign_watershed(pts, polys)
+    assert {tuple(r) for r in out.collect()} == {("p", 2., 2., "a", "A"), ("q", .5, .5, "b", "B1"), (None, 2., 2.5, "a", "A")}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_huc4_code(spark):
     df = spark.createDataFrame([(4, "14", None, "gunnison river"), (8, "14", "14020001", "x"), (8, "14", None, "x")],
                                "l int, h string, c string, n string")
