@@ -179,6 +179,32 @@ def test_expanding_mean_uses_the_first_radius_that_reaches_cells(spark):
     assert plain == {"full": 2.0, "near": None, "gone": None, "none": None}
 
 
+def test_availability_counts_squares(spark):
+    rng = random.Random(21)
+    cells = [(rng.choice(["g", "h", None]), rng.uniform(0, 8), rng.uniform(0, 6), rng.choice([None, 1.0])) for _ in range(2500)]
+    cells += [("g", 2 + rng.gauss(0, .01), 3 + rng.gauss(0, .01), 1.0) for _ in range(800)]
+    cells += [("g", float(i % 9), float(i // 9), 1.0) for i in range(60)] + [("g", None, 1.0, 1.0), ("h", math.nan, 1.0, 1.0)]
+    boxes = [(i, x, y, x + rng.uniform(0, 5), y + rng.uniform(0, 4)) for i, x, y in ((i, rng.uniform(-1, 6), rng.uniform(-1, 5)) for i in range(20))]
+    boxes += [boxes[0], (50, 1.0, 1.0, 4.0, 4.0), (51, 50.0, 50.0, 51.0, 51.0), (52, 3.0, 3.0, 2.5, 2.5), (53, None, 1.0, 2.0, 2.0), (None, -9.0, -9.0, 20.0, 20.0)]
+    c = spark.createDataFrame(cells, "grid_id string, lon double, lat double, value double")
+    b = spark.createDataFrame(boxes, "polygon_id int, min_lon double, min_lat double, max_lon double, max_lat double")
+    got = {(r.polygon_id, r.grid_id): (r.total, r.valid, r.valid_around) for r in grids.grid_availability(c, b, margin=.5).collect()}
+    want = {}
+    for k, x0, y0, x1, y1 in boxes:
+        for g, x, y, v in cells:
+            if None in (x0, x, y) or not (x0 - .5 <= x <= x1 + .5 and y0 - .5 <= y <= y1 + .5):
+                continue
+            hit, n = x0 <= x <= x1 and y0 <= y <= y1, want.setdefault((k, g), [0, 0, 0])
+            for i, add in enumerate((hit, hit and v is not None, v is not None)):
+                n[i] += add
+    met = {k: v for k, v in got.items() if k in want and k[0] is not None}
+    assert met == {k: tuple(v) for k, v in want.items() if k[0] is not None} and got[(51, None)] == (0, 0, 0)
+    # A box of everything takes some rows for its inside, not one for each of its cells.
+    every = spark.sql("SELECT 1 AS polygon_id, -9D AS x0, -9D AS y0, 20D AS x1, 20D AS y1")
+    counted = grids.box_counts(c, every).agg(F.sum("_n"), F.count("*")).first()
+    assert counted[0] == len(cells) - 2 and counted[1] < 1000
+
+
 def test_bounds_overlap_is_exact(spark):
     df = spark.createDataFrame([("p", [(0., 0.), (4., 0.), (0., 4.)])], POLY)
     cases = {(1, 1, 2, 2): True, (3.5, 3.5, 5, 5): False, (-1, -1, 9, 9): True, (.1, .1, .2, .2): True, (2.1, 2.1, 3, 3): False, (4, 0, 5, 1): True}
