@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rings
-from freshet.operators import filters, grids, nearest, spatial
+from freshet.operators import filters, grids, joins, nearest, spatial
 
 POLY = "polygon_id string, ring array<struct<lon:double,lat:double>>"
 
@@ -359,3 +359,60 @@ def test_only_hot_keys_are_split(spark, monkeypatch):
         assert len(got) == 1903 and all(n == (2 * k if there else 5) for there, k, _, n in got)
     assert joins.lookup(hot, names.where("k <> 7"), ["k"], "left_anti").count() == 913
     assert joins.equi_join(hot, names, ["k"]).count() == 1900 == joins.equi_join(hot, names, ["k"], 3).count()
+
+
+def crowd(n_points=900, n_squares=60):
+    """Points of one bucket or a few, and squares that overlap there, of two parts each."""
+    rng = random.Random(7)
+    pts = [(i, rng.uniform(-105.2, -105.0), rng.uniform(38.0, 38.2)) for i in range(n_points)]
+    parts = []
+    for k in range(n_squares):
+        for _ in range(2):
+            x, y, r = rng.uniform(-105.2, -105.0), rng.uniform(38.0, 38.2), rng.uniform(.01, .06)
+            parts.append((k, [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r)]))
+    held = {(p, k) for p, px, py in pts for k, s in parts if s[0][0] < px < s[1][0] and s[0][1] < py < s[2][1]}
+    return pts, parts, held
+
+
+def crowd_frames(spark):
+    pts, parts, held = crowd()
+    return (spark.createDataFrame(pts, "pid long, lon double, lat double").withColumns({
+                "at": F.expr("timestamp_seconds(pid)"), "note": F.when(F.col("pid") % 2 == 0, F.lit("even"))}),
+            spark.createDataFrame(parts, "polygon_id long, ring array<struct<lon:double,lat:double>>"), held)
+
+
+def test_buckets_are_tested_as_arrays_and_go_on_over_batches(spark):
+    p, q, held = crowd_frames(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = spatial.match_polygons(p, q)
+        assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.pid, r.polygon_id) for r in rows) == sorted(held)
+    assert all(int(r["at"].timestamp()) == r.pid and r.note == ("even" if r.pid % 2 == 0 else None) for r in rows)
+
+
+def test_hot_buckets_are_split_on_both_sides(spark, monkeypatch):
+    p, q, held = crowd_frames(spark)
+    monkeypatch.setattr(joins, "_MET_LEFT", 20)
+    monkeypatch.setattr(joins, "_MET_RIGHT", 10)
+    out = spatial.match_polygons(p, q)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_dealt" in plan and "_salt" in plan
+    assert sorted((r.pid, r.polygon_id) for r in out.collect()) == sorted(held)
+
+
+def test_first_polygon_is_found_without_all_pairs(spark):
+    p, q, held = crowd_frames(spark)
+    rows = spatial.match_polygons(p, q, first=True).collect()
+    first = {i: min(k for j, k in held if j == i) for i in {i for i, _ in held}}
+    found = {i: min(r.polygon_id for r in rows if r.pid == i) for i in {r.pid for r in rows}}
+    assert found == first and len(rows) < len(held) / 2
+
+
+def test_points_without_a_place_match_nothing(spark):
+    p = spark.createDataFrame([(1, None, 38.5), (2, float("nan"), 38.5), (3, -105.5, float("nan")), (4, -105.5, 38.5)], "pid long, lon double, lat double")
+    q = spark.createDataFrame([("box", [(-106.0, 38.0), (-105.0, 38.0), (-105.0, 39.0), (-106.0, 39.0)]), ("none", None)], POLY)
+    assert [r.pid for r in spatial.within_distance(p, q, .1).collect()] == [4]
