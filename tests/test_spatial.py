@@ -416,3 +416,11 @@ def test_points_without_a_place_match_nothing(spark):
     p = spark.createDataFrame([(1, None, 38.5), (2, float("nan"), 38.5), (3, -105.5, float("nan")), (4, -105.5, 38.5)], "pid long, lon double, lat double")
     q = spark.createDataFrame([("box", [(-106.0, 38.0), (-105.0, 38.0), (-105.0, 39.0), (-106.0, 39.0)]), ("none", None)], POLY)
     assert [r.pid for r in spatial.within_distance(p, q, .1).collect()] == [4]
+
+
+def test_few_tasks_are_dealt_out_before_dear_work(spark):
+    df = spark.range(0, 500, 1, 1)
+    out = joins.dealt_out(df)
+    assert out.rdd.getNumPartitions() >= 8 and sorted(r.id for r in out.collect()) == list(range(500))
+    wide = spark.range(0, 500, 1, 64)
+    assert joins.dealt_out(wide) is wide
