@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import rings
-from freshet.operators import filters, grids, joins, nearest, spatial
+from freshet.operators import filters, grids, joins, nearest, spatial, walk
 
 POLY = "polygon_id string, ring array<struct<lon:double,lat:double>>"
 
@@ -424,3 +424,37 @@ def test_few_tasks_are_dealt_out_before_dear_work(spark):
     assert out.rdd.getNumPartitions() >= 8 and sorted(r.id for r in out.collect()) == list(range(500))
     wide = spark.range(0, 500, 1, 64)
     assert joins.dealt_out(wide) is wide
+
+
+def test_zonal_sums_leave_the_walk_without_pairs(spark):
+    p, q, held = crowd_frames(spark)
+    cells = p.select("lon", "lat", F.col("pid").cast("double").alias("value")).withColumn("value", F.explode(F.array("value", F.col("value") + 1, F.col("value") + 2)))
+    wanted = {}
+    for i, k in held:
+        total, n = wanted.get(k, (0, 0))
+        wanted[k] = total + 3 * i + 3, n + 3
+    rows = spatial.match_totals(cells, q, "value").collect()
+    assert len(rows) < len(held)
+    assert {k: (sum(r.total for r in rows if r.polygon_id == k), sum(r.n for r in rows if r.polygon_id == k)) for k in {r.polygon_id for r in rows}} == wanted
+    means = {r.polygon_id: (r.mean_value, r.n_cells) for r in grids.zonal_mean(cells, q).collect()}
+    assert means == {r.polygon_id: (None, None) for r in q.collect()} | {k: (t / n, n) for k, (t, n) in wanted.items()}
+
+
+def test_pairs_carry_only_the_columns_to_keep(spark):
+    p, q, held = crowd_frames(spark)
+    out = grids.clip_cells(p, q, keep=("pid",))
+    assert out.columns == ["pid", "polygon_id"] and sorted(map(tuple, out.collect())) == sorted(held)
+
+
+def test_buckets_of_one_hash_are_told_apart(spark):
+    import pyarrow as pa
+    square = lambda x: [x, .0, x + 1, 1.0, 2.0, 4.0, .0, x, .0, x + 1, .0, x + 1, .0, x + 1, 1.0, x + 1, 1.0, x, 1.0, x, 1.0, x, .0]
+    piece = pa.struct([("id", pa.int64()), ("_shape", pa.list_(pa.float64()))])
+    columns = {"_lvl": pa.array([0] * 6, pa.int32()), "_bx": pa.array([0, 5, 0, 5, 0, 5], pa.int64()), "_by": pa.array([0] * 6, pa.int64()),
+               "_at": pa.array([8, 8, 9, 9, 9, 9], pa.int64()), "_x": pa.array([None, None, .5, 5.5, .25, 5.25]), "_y": pa.array([None, None, .5, .5, .5, .5]),
+               "_pt": pa.array([None, None, *({"pid": i} for i in range(4))], pa.struct([("pid", pa.int64())])),
+               "_piece": pa.array([{"id": 7, "_shape": square(.0)}, {"id": 8, "_shape": square(5.0)}, None, None, None, None], piece)}
+    whole = pa.RecordBatch.from_pydict(columns)
+    for batches in ([whole], [whole.slice(i, 1) for i in range(6)]):
+        found = walk.pairs(iter(batches), ["_lvl", "_bx", "_by"], ["id"], (.4, .7), 0.0, 0.0, None, False)
+        assert sorted((r["c0"], r["c1"]) for b in found for r in b.to_pylist()) == [(0, 7), (1, 8), (2, 7), (3, 8)]
