@@ -458,3 +458,10 @@ def test_buckets_of_one_hash_are_told_apart(spark):
     for batches in ([whole], [whole.slice(i, 1) for i in range(6)]):
         found = walk.pairs(iter(batches), ["_lvl", "_bx", "_by"], ["id"], (.4, .7), 0.0, 0.0, None, False)
         assert sorted((r["c0"], r["c1"]) for b in found for r in b.to_pylist()) == [(0, 7), (1, 8), (2, 7), (3, 8)]
+
+
+def test_pieces_of_small_polygons_are_not_joined(spark):
+    p, q, held = crowd_frames(spark)
+    out = spatial.match_polygons(p, q)
+    assert " Inner" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pid, r.polygon_id) for r in out.collect()) == sorted(held)
