@@ -76,10 +76,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return stored(df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism), "narrow")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Run the plan into a Parquet table in shared storage, for large tables read by column."""
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Run the plan into a Parquet table in shared storage, for large tables read by column; ``codec`` as Parquet's, the session's by default."""
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

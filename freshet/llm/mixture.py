@@ -42,37 +42,39 @@ def source_targets(sizes: DataFrame, weights: int = 3, passes: int = PASSES) ->
     return per.select("source", "rank", "source_size", "weight", target.alias("target"))
 
 
-def pack(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Where each document's words lie once the words of its source stand in blocks of ``block_words``.
-
-    One row for every document and block it reaches: (rank, row, key, block, at, n),
-    ``at`` the first of its ``n`` words there; with a column ``words`` of the
-    documents, also those words.  The documents of a source stand in an order by
-    hash.  A source is numbered in parts, each from the words of the parts before.
-    """
-    total = rows.count()
-    parts = max(1, -(-total // _NUMBERED))
-    dealt = rows.filter("size > 0").withColumn("_part", F.pmod("key", F.lit(parts)))
+def _parts(dealt: DataFrame) -> DataFrame:
+    """(rank, _part, _start, _s): the words of each part of a source, and those of the parts before."""
     sums = dealt.groupBy("rank", "_part").agg(F.sum("size").alias("_s"))
     before = W.partitionBy("rank").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("rank", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    return checkpointed(sums.select("rank", "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"), "_s"))
+
+
+def _started(dealt: DataFrame, parts: DataFrame) -> DataFrame:
+    """Documents with the place of their first word among their source's; equal rows may change places."""
     inside = W.partitionBy("rank", "_part").orderBy("key", "row").rowsBetween(W.unboundedPreceding, 0)
-    placed = (dealt.withColumn("_end", F.sum("size").over(inside)).join(starts, ["rank", "_part"])
-              .withColumn("start", F.col("_start") + F.col("_end") - F.col("size")))
-    b = F.lit(block_words).cast("long")
-    first, last = _div(F.col("start"), block_words), _div(F.col("start") + F.col("size") - 1, block_words)
+    return (dealt.withColumn("_end", F.sum("size").over(inside)).join(parts.select("rank", "_part", "_start"), ["rank", "_part"])
+            .withColumn("start", F.col("_start") + F.col("_end") - F.col("size")).drop("_start", "_end"))
+
+
+def _cut(block_words: int, words: Column | None = None) -> Column:
+    """The pieces of a document at ``start``: (block, at, n), ``at`` the first of its ``n`` words there, and these words."""
+    b, start, size = F.lit(block_words).cast("long"), F.col("start"), F.col("size")
+
+    def piece(block):
+        at = F.greatest(block * b - start, F.lit(0).cast("long"))
+        n = F.least((block + 1) * b - start, size) - at
+        own = [] if words is None else [F.array_join(F.slice(words, (at + 1).cast("int"), n.cast("int")), " ").alias("words")]
+        return F.struct(block.alias("block"), at.alias("at"), n.alias("n"), *own)
+    return F.transform(F.sequence(_div(start, block_words), _div(start + size - 1, block_words)), piece)
+
 
-    def pieces(words):
-        def piece(block):
-            at = F.greatest(block * b - F.col("start"), F.lit(0).cast("long"))
-            n = F.least((block + 1) * b - F.col("start"), F.col("size")) - at
-            own = [] if words is None else [F.array_join(F.slice(words, (at + 1).cast("int"), n.cast("int")), " ").alias("words")]
-            return F.struct(block.alias("block"), at.alias("at"), n.alias("n"), *own)
-        return F.transform(F.sequence(first, last), piece)
+def pack(placed: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Where each document's words lie once the words of its source stand in blocks of ``block_words``.
 
-    # A document's words are split once and cut within its row; a piece takes its own along and no others.
-    cut = bind(F.split("words", " "), pieces) if "words" in rows.columns else pieces(None)
-    return placed.select("rank", "row", "key", F.inline(cut))
+    One row for every document and block it reaches: (rank, start, block, at, n),
+    ``at`` the first of its ``n`` words there.
+    """
+    return placed.filter("size > 0").select("rank", "start", F.inline(_cut(block_words)))
 
 
 def _div(x: Column, by: int) -> Column:
@@ -129,41 +131,90 @@ def permuted(x: Column, size: Column, key: Column) -> Column:
 
 
 def measure(docs: DataFrame, keep_words: bool = False) -> DataFrame:
-    """(row, doc_id, source, size, key) of every document, and its words, a blank between, if they are to be mixed; stored."""
+    """(row, doc_id, source, size, key) of every document, stored; with ``keep_words`` not stored, and with its words, a blank between.
+
+    ``row`` is a hash of the whole row: equal rows share it, and reading the documents again gives it again.
+    """
     words = blank_words(F.col("text"))
     kept = [F.array_join("words", " ").alias("words")] if keep_words else []
+    row = F.xxhash64("doc_id", "source", F.col("source").isNull(), "text")
     cols = ["row", "doc_id", "source", F.size("words").cast("long").alias("size"), "key", *kept]
-    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source",
-                              F.xxhash64("doc_id", F.lit("order")).alias("key"), words.alias("words")).select(*cols), "measured")
+    rows = docs.select(row.alias("row"), "doc_id", "source", F.xxhash64("doc_id", F.lit("order")).alias("key"), words.alias("words")).select(*cols)
+    return rows if keep_words else stored(rows, "measured")
 
 
 def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(mixture, sources) of measured documents.
 
-    ``mixture`` has the pieces that fill the slots: (shard, slot, rank, block, row,
-    key, at, n); if the documents have their words, the blocks that fill the slots:
-    (shard, slot, rank, block, parts), the parts' words in order being the block's.
+    ``mixture`` has the pieces that fill the slots: (shard, slot, rank, block, start,
+    at, n), ``start`` the place of a document's first word in its source; if the
+    documents have their words, the blocks that fill the slots, stored:
+    (shard, slot, rank, parts), the parts' words in order being the block's.
     ``sources`` is :func:`source_targets`.
 
-    Slots and blocks meet on (source, block), a key of a few rows, so a source
-    that holds most of the words is spread like others.  Draws and permutations
-    are hashes of positions, so reruns agree.
+    Slots without words meet pieces on (source, block), a key of a few rows; with
+    them they go to the parts that hold their words.  So a source that holds most
+    of the words is spread like others.  Draws and permutations are hashes of
+    positions, so reruns agree.
     """
-    sources = checkpointed(source_targets(rows.select("source", "size")))
-    ranked = rows.join(sources.select(F.col("source").alias("_source"), "rank"), F.expr("source <=> _source")).drop("source", "_source")
+    mixture, sources, _ = _mixed(rows, seed, block_words, shard_slots)
+    return mixture, sources
+
+
+def _mixed(rows: DataFrame, seed: int, block_words: int, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`mix`, and the measured documents, without words, with their ``rank`` and ``start``, stored."""
+    measured = stored(rows.drop("words"), "measured") if "words" in rows.columns else rows
+    sources = checkpointed(source_targets(measured.select("source", "size")))
+
+    # The documents of a source stand in an order by hash, in parts that are numbered from the words of the parts before.
+    count = max(1, -(-measured.count() // _NUMBERED))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        ranks = sources.select(F.col("source").alias("_source"), "rank")
+        return df.join(ranks, F.expr("source <=> _source")).drop("source", "_source").withColumn("_part", F.pmod("key", F.lit(count)))
+
+    parts = _parts(dealt(measured).filter("size > 0"))
+    empty = dealt(measured).filter("size = 0").select("doc_id", "size", "rank", F.lit(None).cast("long").alias("start"))
+    placed = stored(_started(dealt(measured).filter("size > 0"), parts).select("doc_id", "size", "rank", "start").union(empty), "placed")
     slots = draw(sources, seed, block_words, shard_slots)
-    pieces = pack(ranked, block_words)
-    return slots.join(token_blocks(pieces) if "words" in rows.columns else pieces, ["rank", "block"]), sources
+    if "words" not in rows.columns:
+        return slots.join(pack(placed, block_words), ["rank", "block"]), sources, placed
+    return token_blocks(dealt(rows).filter("size > 0"), parts, slots, block_words), sources, placed
 
 
-def token_blocks(pieces: DataFrame) -> DataFrame:
-    """(rank, block, parts): fixed-length blocks but for the last of a source, as (row, words) in the order of (key, row).
+def token_blocks(dealt: DataFrame, parts: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(shard, slot, rank, parts): the slots with their blocks, as (start, words) in the order of ``start``; stored.
 
-    Blocks are put together on the key by which slots find them, so filling the
-    slots moves no words again.
+    Slots are sent to the words, not words to the slots: each goes to the part of
+    its source that its block lies in, found by a guide that lists the parts
+    reaching into equal spans of blocks.  There documents are numbered, cut, and
+    put together with the slots on (source, part, block), in the one exchange in
+    which words move.  A block that lies in several parts is written in pieces,
+    few of all, and these are put together afterwards.
     """
-    parts = F.sort_array(F.collect_list(F.struct("key", "row", "words")))
-    return pieces.groupBy("rank", "block").agg(F.transform(parts, lambda p: F.struct(p["row"].alias("row"), p["words"].alias("words"))).alias("parts"))
+    first, last = _div(F.col("_start"), block_words), _div(F.col("_start") + F.col("_s") - 1, block_words)
+    reach = parts.select("rank", "_part", first.alias("_first"), last.alias("_last"))
+    width = reach.groupBy("rank").agg((F.floor(F.max("_last") / F.count(F.lit(1))) + 1).alias("_width"))
+    spans = F.sequence(F.floor(F.col("_first") / F.col("_width")), F.floor(F.col("_last") / F.col("_width")))
+    guide = checkpointed(reach.join(width, "rank").withColumn("_span", F.explode(spans)))
+    sent = (slots.join(guide.select("rank", "_width").distinct(), "rank").withColumn("_span", F.floor(F.col("block") / F.col("_width")))
+            .join(guide.drop("_width"), ["rank", "_span"]).filter("block BETWEEN _first AND _last"))
+    none = lambda kind: F.lit(None).cast(kind)
+    both = dealt.select("rank", "_part", "key", "row", "size", "words", none("long").alias("shard"), none("long").alias("slot"), none("long").alias("block")).union(
+        sent.select("rank", "_part", none("long"), none("long"), F.lit(0).cast("long"), none("string"), "shard", "slot", "block"))
+    # Slots have no key and no size: they come first in their part and count for nothing in its sums.
+    at_start = _started(both.withColumnRenamed("block", "_of"), parts)
+    pieces = F.when(F.col("words").isNull(), F.array(F.struct(F.col("_of").alias("block"), none("long").alias("at"), none("long").alias("n"), none("string").alias("words")))).otherwise(
+        bind(F.split("words", " "), lambda w: _cut(block_words, w)))
+    cut = at_start.select("rank", "_part", "start", "shard", "slot", F.inline(pieces))
+    piece, slot = F.struct("start", "words"), F.struct("shard", "slot")
+    whole = cut.groupBy("rank", "_part", "block").agg(F.sort_array(F.collect_list(F.when(F.col("words").isNotNull(), piece))).alias("parts"),
+                                                      F.collect_list(F.when(F.col("slot").isNotNull(), slot)).alias("_slots"), F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))
+    # Short of words is also the last block of a source.
+    filled = whole.select("rank", "parts", (F.col("_n") < block_words).alias("short"), F.inline("_slots")).select("shard", "slot", "rank", "parts", "short")
+    written = stored(filled, "blocks", "zstd")
+    mended = written.filter("short").groupBy("shard", "slot", "rank").agg(F.sort_array(F.flatten(F.collect_list("parts"))).alias("parts"))
+    return written.filter("NOT short").drop("short").union(stored(mended, "mended", "zstd"))
 
 
 def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, write_blocks: bool = True) -> DataFrame:
@@ -178,13 +229,10 @@ def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS
     0 for a NULL text.  A NULL source is a source.  Rows with one doc_id are
     documents of their own.  An empty table gives no rows.
     """
-    rows = measure(docs, keep_words=write_blocks)
-    mixture, sources = mix(rows, seed, block_words)
+    mixture, sources, placed = _mixed(measure(docs, keep_words=write_blocks), seed, block_words)
     if write_blocks:
-        blocks = stored(mixture.select("shard", "slot", "parts"), "blocks")
-        mixture = blocks.select(F.inline("parts")).select("row", F.size(F.split("words", " ")).cast("long").alias("n"))
-    taken = mixture.groupBy("row").agg(F.sum("n").alias("taken"))
-    rows = rows.drop("words")
-    facts = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    return (rows.join(taken, "row", "left").join(facts, F.expr("source <=> _source"))
+        mixture = mixture.select("rank", F.inline("parts")).select("rank", "start", F.size(F.split("words", " ")).cast("long").alias("n"))
+    taken = mixture.groupBy("rank", "start").agg(F.sum("n").alias("taken"))
+    facts = sources.select("rank", "source", "source_size", "target")
+    return (placed.join(taken, ["rank", "start"], "left").join(facts, "rank")
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken")))
