@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from freshet.llm.base import bind, blank_words, checkpointed, stored
+from freshet.llm.base import bind, checkpointed, stored
 
 BLOCK_WORDS = 16
 SHARD_SLOTS = 1 << 14
@@ -50,7 +50,7 @@ def _parts(dealt: DataFrame) -> DataFrame:
 
 
 def _started(dealt: DataFrame, parts: DataFrame) -> DataFrame:
-    """Documents with the place of their first word among their source's; equal rows may change places."""
+    """Documents with the place of their first word among their source's."""
     inside = W.partitionBy("rank", "_part").orderBy("key", "row").rowsBetween(W.unboundedPreceding, 0)
     return (dealt.withColumn("_end", F.sum("size").over(inside)).join(parts.select("rank", "_part", "_start"), ["rank", "_part"])
             .withColumn("start", F.col("_start") + F.col("_end") - F.col("size")).drop("_start", "_end"))
@@ -114,7 +114,7 @@ def draw(sources: DataFrame, seed: int, block_words: int = BLOCK_WORDS, shard_sl
     numbered = (drawn.withColumn("_number", number).join(starts, ["rank", "shard"])
                 .withColumn("index", F.col("_start") + F.col("_number") - 1).filter(F.col("index") < F.col("blocks") * passes))
     turn = numbered.withColumn("_key", F.xxhash64("rank", F.floor(F.col("index") / F.col("blocks")), F.lit(seed)))
-    return turn.select("shard", "slot", "rank", permuted(F.pmod("index", "blocks"), F.col("blocks"), F.col("_key")).alias("block"))
+    return _permuted_rows(turn, F.pmod("index", "blocks"), "blocks", "_key", "block").select("shard", "slot", "rank", "block")
 
 
 def permuted(x: Column, size: Column, key: Column) -> Column:
@@ -123,24 +123,38 @@ def permuted(x: Column, size: Column, key: Column) -> Column:
     Swap-or-not: in every round x and its mirror image about a round's point
     change places or not, by a bit that the larger of them decides.
     """
-    def turn(at, r):
-        mirror = F.pmod(F.pmod(F.xxhash64(key, r), size) - at, size)
-        return bind(mirror, lambda m: F.when(F.xxhash64(key, r, F.lit("swap"), F.greatest(at, m)) % 2 == 0, m).otherwise(at))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), x, lambda at, r: bind(_mirror(at, size, key, r), lambda m: _swapped(at, m, key, r)))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_ROUNDS)), x, turn)
 
+def _mirror(at: Column, size: Column, key: Column, r: Column) -> Column:
+    # Never NULL, and known not to be: no test for it is pushed down through the rounds, doubling in each.
+    return F.coalesce(F.pmod(F.pmod(F.xxhash64(key, r), size) - at, size), F.lit(0).cast("long"))
 
-def measure(docs: DataFrame, keep_words: bool = False) -> DataFrame:
-    """(row, doc_id, source, size, key) of every document, stored; with ``keep_words`` not stored, and with its words, a blank between.
 
-    ``row`` is a hash of the whole row: equal rows share it, and reading the documents again gives it again.
-    """
-    words = blank_words(F.col("text"))
-    kept = [F.array_join("words", " ").alias("words")] if keep_words else []
-    row = F.xxhash64("doc_id", "source", F.col("source").isNull(), "text")
-    cols = ["row", "doc_id", "source", F.size("words").cast("long").alias("size"), "key", *kept]
-    rows = docs.select(row.alias("row"), "doc_id", "source", F.xxhash64("doc_id", F.lit("order")).alias("key"), words.alias("words")).select(*cols)
-    return rows if keep_words else stored(rows, "measured")
+def _swapped(at: Column, mirror: Column, key: Column, r: Column) -> Column:
+    return F.when(F.xxhash64(key, r, F.lit("swap"), F.greatest(at, mirror)) % 2 == 0, mirror).otherwise(at)
+
+
+def _permuted_rows(rows: DataFrame, x: Column, size: str, key: str, name: str) -> DataFrame:
+    """The rows with :func:`permuted` as ``name``, round by round in columns, which Spark compiles; functions of arrays it doesn't."""
+    rows = rows.withColumn(name, F.coalesce(x, F.lit(0).cast("long")))
+    for r in range(1, _ROUNDS + 1):
+        rows = rows.withColumn("_mirror", _mirror(F.col(name), F.col(size), F.col(key), F.lit(r)))
+        rows = rows.withColumn(name, _swapped(F.col(name), F.col("_mirror"), F.col(key), F.lit(r)))
+    return rows.drop("_mirror")
+
+
+def _n_words(words: Column) -> Column:
+    """How many words stand in ``words``, one blank between any two."""
+    return F.when(words == "", 0).otherwise(F.octet_length(words) - F.octet_length(F.replace(words, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def measure(docs: DataFrame, keep_words: bool = False) -> DataFrame:
+    """(row, doc_id, source, size, key) of every document, and its words, a blank between, if they are to be mixed; stored."""
+    kept = ["words"] if keep_words else []
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.xxhash64("doc_id", F.lit("order")).alias("key"), words.alias("words"))
+    return stored(rows.select("row", "doc_id", "source", _n_words(F.col("words")).alias("size"), "key", *kept), "measured", "zstd")
 
 
 def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +177,7 @@ def mix(rows: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS, shard_sl
 
 def _mixed(rows: DataFrame, seed: int, block_words: int, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """:func:`mix`, and the measured documents, without words, with their ``rank`` and ``start``, stored."""
-    measured = stored(rows.drop("words"), "measured") if "words" in rows.columns else rows
+    measured = rows.drop("words")
     sources = checkpointed(source_targets(measured.select("source", "size")))
 
     # The documents of a source stand in an order by hash, in parts that are numbered from the words of the parts before.
@@ -197,7 +211,8 @@ def token_blocks(dealt: DataFrame, parts: DataFrame, slots: DataFrame, block_wor
     width = reach.groupBy("rank").agg((F.floor(F.max("_last") / F.count(F.lit(1))) + 1).alias("_width"))
     spans = F.sequence(F.floor(F.col("_first") / F.col("_width")), F.floor(F.col("_last") / F.col("_width")))
     guide = checkpointed(reach.join(width, "rank").withColumn("_span", F.explode(spans)))
-    sent = (slots.join(guide.select("rank", "_width").distinct(), "rank").withColumn("_span", F.floor(F.col("block") / F.col("_width")))
+    sent = (slots.join(guide.select("rank", "_width").distinct(), "rank")
+            .withColumn("_span", F.coalesce(F.floor(F.col("block") / F.col("_width")), F.lit(0).cast("long")))
             .join(guide.drop("_width"), ["rank", "_span"]).filter("block BETWEEN _first AND _last"))
     none = lambda kind: F.lit(None).cast(kind)
     both = dealt.select("rank", "_part", "key", "row", "size", "words", none("long").alias("shard"), none("long").alias("slot"), none("long").alias("block")).union(
@@ -231,7 +246,7 @@ def mix_documents(docs: DataFrame, seed: int = 8, block_words: int = BLOCK_WORDS
     """
     mixture, sources, placed = _mixed(measure(docs, keep_words=write_blocks), seed, block_words)
     if write_blocks:
-        mixture = mixture.select("rank", F.inline("parts")).select("rank", "start", F.size(F.split("words", " ")).cast("long").alias("n"))
+        mixture = mixture.select("rank", F.inline("parts")).select("rank", "start", _n_words(F.col("words")).alias("n"))
     taken = mixture.groupBy("rank", "start").agg(F.sum("n").alias("taken"))
     facts = sources.select("rank", "source", "source_size", "target")
     return (placed.join(taken, ["rank", "start"], "left").join(facts, "rank")
