@@ -136,7 +136,10 @@ def _swapped(at: Column, mirror: Column, key: Column, r: Column) -> Column:
 
 
 def _permuted_rows(rows: DataFrame, x: Column, size: str, key: str, name: str) -> DataFrame:
-    """The rows with :func:`permuted` as ``name``, round by round in columns, which Spark compiles; functions of arrays it doesn't."""
+    """The rows with :func:`permuted` as ``name``, round by round in columns, which Spark compiles; functions of arrays it doesn't.
+
+    To be joined by ``name`` or written, not filtered by it in the same plan: a filter is pushed down and doubles in every round.
+    """
     rows = rows.withColumn(name, F.coalesce(x, F.lit(0).cast("long")))
     for r in range(1, _ROUNDS + 1):
         rows = rows.withColumn("_mirror", _mirror(F.col(name), F.col(size), F.col(key), F.lit(r)))
