@@ -253,6 +253,61 @@ def test_ranges_without_an_end_meet_only_what_they_overlap(spark):
     assert counts.agg(F.sum(F.col("count") * F.col("m"))).first()[0] < 20_000  # 600 * 600 and more before
 
 
+def _first_join(df):
+    plan = df._jdf.queryExecution().sparkPlan()
+    while "Join" not in plan.nodeName():
+        plan = plan.children().apply(0)
+    return plan.nodeName()
+
+
+def test_laid_out_requests_are_not_sent_to_all_tasks(spark):
+    """Few requests make many rows; their tables' size doesn't tell."""
+    day = "date_add(DATE'2020-01-01', CAST(id % 30 AS INT))"
+    rows = spark.range(200).selectExpr("id AS request_id", "id % 7 * 1.0D AS min_lon", "0D AS min_lat", "id % 7 + 0.3D AS max_lon", "0.3D AS max_lat", f"{day} AS start", f"date_add({day}, 2) AS `end`")
+    found = spatial.granules_for_requests(rows, rows.withColumnRenamed("request_id", "granule_id"))
+    assert _first_join(found) == "SortMergeJoin"
+    want = sum(i % 7 == j % 7 and abs(i % 30 - j % 30) <= 2 for i in range(200) for j in range(200))
+    assert found.count() == want == found.distinct().count()
+
+
+def test_granules_meet_requests_at_bounds_and_with_gaps(spark):
+    """Boxes that only touch, points, reversed boxes, missing sides, ids that repeat, days against times of day."""
+    from datetime import date, datetime
+    a = [(1, 0., 0., 1., 1., date(2020, 1, 1), date(2020, 1, 2)), (1, 0., 0., 1., 1., date(2020, 1, 1), date(2020, 1, 2)), (2, 5., 0., 3., 1., date(2020, 1, 1), date(2020, 1, 9)),
+         (None, -170., -80., 170., 80., date(2020, 1, 2), date(2020, 1, 2)), (4, None, 0., 1., 1., date(2020, 1, 1), date(2020, 1, 9)), (5, 0., 0., 1., 1., date(2020, 1, 3), date(2020, 1, 2))]
+    b = [(10, 1., 1., 1., 1., datetime(2020, 1, 2, 23), datetime(2020, 1, 3, 1)), (11, -1., -1., 0., 0., datetime(2019, 12, 1), datetime(2020, 1, 1)), (12, 2., 0., 6., 1., datetime(2020, 1, 9, 5), datetime(9999, 12, 31)),
+         (13, 1.0000001, 0., 2., 1., datetime(2020, 1, 1), datetime(2020, 1, 2)), (14, 0., 0., 1., None, datetime(2020, 1, 1), datetime(2020, 1, 2)), (15, .5, .5, .6, .6, None, datetime(2020, 1, 2))]
+    box = "min_lon double, min_lat double, max_lon double, max_lat double"
+    requests = spark.createDataFrame(a, f"request_id int, {box}, start date, end date")
+    granules = spark.createDataFrame(b, f"granule_id int, {box}, start timestamp, end timestamp")
+    got = sorted(((r.request_id or 0, r.granule_id) for r in spatial.granules_for_requests(requests, granules).collect()))
+    assert got == [(0, 10), (0, 13), (1, 10), (1, 10), (1, 11), (1, 11), (2, 12)]
+
+
+def test_the_least_sizes_are_written_before_granules_are_told_by_them(spark):
+    df = spark.range(100).selectExpr("id % 5 AS request_id", "id AS granule_id", "id % 10 * 1.0D AS size_mb")
+    out = filters.smallest_granule(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "parquet" in plan and "strategy=broadcast" in plan
+    assert {(r.request_id, r.granule_id) for r in out.collect()} == {(i, i) for i in range(5)}
+
+
+def test_squares_of_boxes_are_not_sent_to_all_tasks(spark):
+    cells = spark.range(2000).selectExpr("'g' AS grid_id", "id % 50 * 1.0D AS lon", "id % 40 * 1.0D AS lat", "1.0D AS value")
+    boxes = spark.range(20).selectExpr("id AS k", "id * 1.0D AS x0", "0.0D AS y0", "id + 20.0D AS x1", "20.0D AS y1")
+    counted = grids.box_counts(cells, boxes)
+    names = [n.nodeName() for n in _nodes(counted._jdf.queryExecution().sparkPlan()) if "Join" in n.nodeName()]
+    assert names and set(names) == {"SortMergeJoin"}
+    got = {r.k: r.n for r in counted.groupBy("k").agg(F.sum("_n").alias("n")).collect()}
+    assert got == {k: sum(k <= i % 50 <= k + 20 and i % 40 <= 20 for i in range(2000)) for k in range(20)}
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
 def test_smallest_granule_sorts_only_the_least_sizes(spark):
     rows = [(1, 5, 2.0), (1, 4, 2.0), (1, 9, 1.5), (1, 8, 1.5), (2, 3, None), (2, 1, 0.5), (2, 2, None), (None, 7, 4.0), (None, 6, float("nan")), (3, 5, float("nan"))]
     df = spark.createDataFrame(rows, "request_id int, granule_id int, size_mb double")
