@@ -302,6 +302,31 @@ def test_squares_of_boxes_are_not_sent_to_all_tasks(spark):
     assert got == {k: sum(k <= i % 50 <= k + 20 and i % 40 <= 20 for i in range(2000)) for k in range(20)}
 
 
+def test_overlap_is_counted_without_pairs(spark):
+    """Versions in parts, of few and of many edges, cells that come again, at two places, without an id or a place."""
+    rng = random.Random(31)
+    circle = lambda x, y, r, n: [(x + r * math.cos(6.283185 * i / n), y + r * math.sin(6.283185 * i / n)) for i in range(n)]
+    first = [("a", circle(0, 0, 1, 9)), ("a", circle(3, 0, 1, 300)), ("a", circle(3, 0, 1, 300)), ("b", circle(1, 1, 2, 500)), ("c", circle(50, 50, 1, 8)), (None, circle(0, 0, 1, 5)), ("d", circle(0, 1, 1, 6))]
+    second = [("a", circle(.5, 0, 1, 400)), ("b", circle(1, 1, 2, 500)), ("e", circle(1, 0, 1, 7)), (None, circle(0, 0, 1, 5)), ("d", circle(0, 1, .4, 80))]
+    cells = [(i, rng.uniform(-2, 5), rng.uniform(-2, 4)) for i in range(1500)]
+    cells += cells[:200] + [(i, rng.uniform(-2, 5), rng.uniform(-2, 4)) for i in range(100, 160)] + [(None, 0., 0.), (None, 3., 0.), (7, None, 1.), (9, math.nan, 0.)]
+    where = spark.createDataFrame(cells, "cell_id int, lon double, lat double")
+    one, two = (spark.createDataFrame(v, POLY) for v in (first, second))
+
+    def within(version):
+        found = spatial.match_polygons(where, version).collect()
+        return {(r.polygon_id, r.cell_id) for r in found if r.polygon_id is not None}
+
+    a, b = within(one), within(two)
+    want = {k: len([p for p in a & b if p[0] == k]) / max(1, len([p for p in a | b if p[0] == k])) for k in "abde"} | {"c": None, None: None}
+    assert want["a"] > 0 and want["b"] == 1
+    assert {r.polygon_id: r.iou for r in grids.grid_iou(where, one, two).collect()} == want
+    apart = where.where("cell_id >= 200").dropDuplicates(["cell_id"])
+    plan = grids.grid_iou(apart, one, two)._jdf.queryExecution().optimizedPlan()
+    walked = [n for n in _nodes(plan) if n.nodeName() == "MapInArrow"]
+    assert len(walked) == 1 and "either" in walked[0].toString().split("\n")[0]
+
+
 def _nodes(plan):
     yield plan
     for i in range(plan.children().size()):
