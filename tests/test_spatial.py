@@ -327,6 +327,19 @@ def test_overlap_is_counted_without_pairs(spark):
     assert len(walked) == 1 and "either" in walked[0].toString().split("\n")[0]
 
 
+def test_pairs_that_nobody_measures_are_bare(spark):
+    square = spark.createDataFrame([("p", [(0., 0.), (4., 0.), (4., 4.), (0., 4.)])], POLY)
+    points = spark.createDataFrame([(1, 1., 1., "in"), (2, 4.5, 1., "near"), (3, 9., 9., None)], "id int, lon double, lat double, value string")
+    near = spatial.within_distance(points, square, 1.0, keep=["id"])
+    walked = [n for n in _nodes(near._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "MapInArrow"][0]
+    assert walked.output().size() == 2
+    assert near.columns == ["id", "polygon_id"] and sorted(near.collect()) == [(1, "p"), (2, "p")]
+    cells = grids.cells_near_polygon(points, square, 1.0, keep=["id", "value"])
+    assert sorted(cells.collect()) == [(1, "in", "p"), (2, "near", "p")]
+    assert spatial.points_in_polygons(points, square).columns == [*points.columns, "polygon_id"]
+    assert spatial.match_polygons(points, square, margin=1.0).columns[-2:] == ["inside", "away_sq"]
+
+
 def _nodes(plan):
     yield plan
     for i in range(plan.children().size()):
